@@ -13,15 +13,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kpimart.config import AggregationSpec, ComputedField, FilterSpec, PipelineConfig
+from kpimart.config import AggregationSpec, ChartConfig, ComputedField, FilterSpec, PipelineConfig
 from kpimart.functions.registry import register_aggregate
 from kpimart.operators.aggregate import aggregate
+from kpimart.operators.charts import chart_dataset, combined_datasets, multi_series
 from kpimart.operators.computed import with_computed_fields
+from kpimart.operators.entitlements import authorize, denied, effective_access, entitled_rows, role_gate, visible_dashboards
 from kpimart.operators.filters import GlobalFilters, apply_filters, apply_row_filters
+from kpimart.operators.latest import latest_per_key
 from kpimart.operators.metrics import ratio_of_sums, share, share_of_parent, share_of_total, yoy
 from kpimart.plans import marts
+from kpimart.plans.fanout import fan_out
 from kpimart.plans.processing import run
+from kpimart.session import scratch_dir
+from kpimart.sinks.store import SnapshotStore
+from kpimart.sources.csv import load_csv, write_csv_gz
 from kpimart.sources.tables import table
+from kpimart.streaming.upload import upload_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -255,6 +263,168 @@ def pip_run(spark: SparkSession, d: str) -> DataFrame:
     return _double(run(marts.sales_fact(spark, d), cfg), "sum_q2")
 
 
+# ------------------------------------------------- fan-out and snapshots
+
+
+def pip_fanout(spark: SparkSession, d: str) -> DataFrame:
+    """AGG-12/PIP-6: one staged input, three dashboards, rows written per
+    dashboard as observed on each snapshot write (read from the manifest)."""
+    configs = {
+        1: PipelineConfig(aggregations=(), group_by=("category",)),
+        2: PipelineConfig(aggregations=(_agg("id", "count", "n"),), group_by=("brand",)),
+        3: PipelineConfig(aggregations=(_agg("sales", "sum", "total_sales"),), group_by=("category", "year")),
+    }
+    store = SnapshotStore(spark, scratch_dir(spark, "fanout-store"))
+    results = fan_out(marts.sales_fact(spark, d), configs, store)
+    failed = [r for r in results if r.status != "ok"]
+    if failed:
+        raise RuntimeError(f"fan-out failed: {failed}")
+    return store.current().select(F.col("dashboard_id").cast("int"), F.col("row_count").alias("records"))
+
+
+def snk_latest(spark: SparkSession, d: str) -> DataFrame:
+    """SNK-1/SNK-2: save two results for one dashboard, read the latest."""
+    store = SnapshotStore(spark, scratch_dir(spark, "snapshot-store"))
+    fact = marts.sales_fact(spark, d)
+    by_brand = lambda year: PipelineConfig(
+        filters=(FilterSpec("year", year),), aggregations=(_agg("id", "count", "n"),), group_by=("brand",)
+    )
+    store.save(7, run(fact, by_brand(1999)))
+    store.save(7, run(fact, by_brand(2000)))
+    return store.get(7)
+
+
+def srt_latest(spark: SparkSession, d: str) -> DataFrame:
+    """SRT-1: latest event per user without a global sort."""
+    return latest_per_key(table(spark, d, "events"), ["user_id"], "ts", ["event_type"], tiebreak="event_id", ts_alias="created_at")
+
+
+FACT_DDL = "year int, category string, brand string, region string, sales decimal(18,2), quantity double, id bigint"
+
+
+def src_csv(spark: SparkSession, d: str) -> DataFrame:
+    """SRC-1: the fact written as gzip CSV (the upload), loaded back with a
+    schema, then aggregated."""
+    folder = scratch_dir(spark, "csv-upload")
+    write_csv_gz(marts.sales_fact(spark, d), folder)
+    df = load_csv(spark, folder, FACT_DDL, multi_line=True)
+    cfg = PipelineConfig(
+        aggregations=(_agg("id", "count", "n"), _agg("sales", "sum", "total_sales")), group_by=("category", "brand")
+    )
+    return _double(run(df, cfg), "total_sales")
+
+
+def _land_upload(df: DataFrame, incoming: str, name: str) -> None:
+    """Write one ``.csv.gz`` elsewhere and rename it into ``incoming``
+    (a file appears in a watched folder atomically)."""
+    spark = df.sparkSession
+    tmp = scratch_dir(spark, "landing")
+    write_csv_gz(df.coalesce(1), tmp)
+    jvm = spark.sparkContext._jvm
+    src = jvm.org.apache.hadoop.fs.Path(tmp)
+    fs = src.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    dst_dir = jvm.org.apache.hadoop.fs.Path(incoming)
+    fs.mkdirs(dst_dir)
+    for st in fs.listStatus(src):
+        if st.getPath().getName().endswith(".csv.gz"):
+            fs.rename(st.getPath(), jvm.org.apache.hadoop.fs.Path(dst_dir, f"{name}.csv.gz"))
+
+
+def str_upload(spark: SparkSession, d: str) -> DataFrame:
+    """STR-1: two uploads arrive (1998's rows, then the whole fact); the
+    stream recomputes the dashboard per file and the second file wins."""
+    base = scratch_dir(spark, "stream")
+    incoming = f"{base}/incoming"
+    fact = marts.sales_fact(spark, d)
+    _land_upload(apply_row_filters(fact, [FilterSpec("year", 1998)]), incoming, "upload-1")
+    _land_upload(fact, incoming, "upload-2")
+    cfg = PipelineConfig(filters=(FilterSpec("year", 1999),), aggregations=(_agg("id", "count", "n"),), group_by=("category",))
+    store = SnapshotStore(spark, f"{base}/store")
+    q = upload_stream(spark, incoming, FACT_DDL, {11: cfg}, store, f"{base}/checkpoint", name="str_upload")
+    q.awaitTermination()
+    return store.get(11)
+
+
+# ---------------------------------------------------------- entitlements
+
+
+def _ent(spark: SparkSession, d: str):
+    return marts.users(spark, d), marts.dashboards(spark, d), marts.access(spark, d)
+
+
+def ent_effective(spark: SparkSession, d: str) -> DataFrame:
+    """ENT-1/SET-1: every (user, dashboard) pair a user may see."""
+    return effective_access(*_ent(spark, d))
+
+
+def ent_visible(spark: SparkSession, d: str) -> DataFrame:
+    """ENT-2/ENT-3: the dashboards user 35 may see."""
+    return visible_dashboards(*_ent(spark, d), user_id=35).select("dashboard_id", "name")
+
+
+def ent_check(spark: SparkSession, d: str) -> DataFrame:
+    """ENT-4: authorise a batch of requests (ids 25-29 do not exist)."""
+    return authorize(marts.access_requests(spark, d), *_ent(spark, d))
+
+
+def ent_denied(spark: SparkSession, d: str) -> DataFrame:
+    """ENT-4: the denied requests."""
+    return denied(marts.access_requests(spark, d), *_ent(spark, d))
+
+
+def ent_rows(spark: SparkSession, d: str) -> DataFrame:
+    """ENT-5: per-region aggregates, one copy per user entitled to the region's dashboard."""
+    users, dashboards, access = _ent(spark, d)
+    agg = _double(run(marts.sales_fact(spark, d), PipelineConfig(
+        aggregations=(_agg("sales", "sum", "total_sales"),), group_by=("region",))), "total_sales")
+    rows = agg.join(dashboards.select("dashboard_id", F.col("name").alias("region")), "region")
+    eff = effective_access(users, dashboards, access)
+    return entitled_rows(rows, eff).select("user_id", "region", "total_sales")
+
+
+def ent_role(spark: SparkSession, d: str) -> DataFrame:
+    """ENT-6: whether each effective pair may upload (editor or admin)."""
+    users, dashboards, access = _ent(spark, d)
+    return role_gate(effective_access(users, dashboards, access), users)
+
+
+# ---------------------------------------------------------------- charts
+
+
+def _count_by(*keys: str, alias: str = "n") -> PipelineConfig:
+    return PipelineConfig(aggregations=(_agg("id", "count", alias),), group_by=keys)
+
+
+def cht_bar(spark: SparkSession, d: str) -> DataFrame:
+    """CHT-1/CHT-3/CHT-5: a bar series of row counts per year."""
+    return chart_dataset(run(marts.sales_fact(spark, d), _count_by("year")), ChartConfig("bar", "year", "n"))
+
+
+def cht_dot(spark: SparkSession, d: str) -> DataFrame:
+    """CHT-2: a dot chart with size and color."""
+    cfg = PipelineConfig(
+        aggregations=(_agg("id", "count", "n"), _agg("quantity", "max"), _agg("category", "min")), group_by=("brand",)
+    )
+    chart = ChartConfig("dot", "brand", "n", size="max_quantity", color="min_category")
+    return chart_dataset(run(marts.sales_fact(spark, d), cfg), chart)
+
+
+def cht_multi(spark: SparkSession, d: str) -> DataFrame:
+    """CHT-6: two y columns as long-form series."""
+    cfg = PipelineConfig(aggregations=(_agg("quantity", "min", "lo"), _agg("quantity", "max", "hi")), group_by=("year",))
+    return multi_series(run(marts.sales_fact(spark, d), cfg), "year", ["lo", "hi"])
+
+
+def cht_combined(spark: SparkSession, d: str) -> DataFrame:
+    """CHT-7: two charts over one globally filtered frame."""
+    g = apply_filters(marts.sales_fact(spark, d), year=1998)
+    charts = [
+        (_count_by("category"), ChartConfig("bar", "category", "n")),
+        (_count_by("brand"), ChartConfig("bar", "brand", "n")),
+    ]
+    return combined_datasets(g, charts).select("chart_id", "x", "value")
+
+
 QUERIES: dict[str, Query] = {
     "flt_eq": flt_eq,
     "flt_ops": flt_ops,
@@ -280,6 +450,21 @@ QUERIES: dict[str, Query] = {
     "met_share_total": met_share_total,
     "met_custom": met_custom,
     "pip_run": pip_run,
+    "pip_fanout": pip_fanout,
+    "snk_latest": snk_latest,
+    "srt_latest": srt_latest,
+    "src_csv": src_csv,
+    "str_upload": str_upload,
+    "ent_effective": ent_effective,
+    "ent_visible": ent_visible,
+    "ent_check": ent_check,
+    "ent_denied": ent_denied,
+    "ent_rows": ent_rows,
+    "ent_role": ent_role,
+    "cht_bar": cht_bar,
+    "cht_dot": cht_dot,
+    "cht_multi": cht_multi,
+    "cht_combined": cht_combined,
 }
 
 
