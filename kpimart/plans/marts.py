@@ -14,8 +14,8 @@ They are lazy plans: Catalyst prunes every column a query does not use and
 pushes filters on ``category``/``brand``/``region`` into the dimension scans
 and filters on ``year`` below the join onto ``orders``. Join strategies are
 left to Catalyst and AQE: the runtime size of each side decides between a
-broadcast and a shuffle join, and runtime bloom filters from the filtered
-dimension sides prune ``lineitem`` before its shuffle.
+broadcast and a shuffle join (for a shuffle join with a selective dimension
+filter, Spark may also inject a runtime bloom filter on ``lineitem``).
 """
 
 from __future__ import annotations
@@ -35,18 +35,22 @@ OWNER_FACTOR = 7
 def sales_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``lineitem ⋈ orders ⋈ part ⋈ supplier ⋈ nation`` in the fact schema.
 
-    Small dimension joins come first (supplier, nation), so the big
-    lineitem-sized stream is shuffled at most twice (on orderkey and on
-    partkey) and only with the five columns it carries.
+    The joins are chained from ``lineitem`` so every build side is a base
+    table (or its filtered scan) whose size Spark estimates from its files:
+    joining two dimensions first would make Spark's size estimate of that
+    pair the product of both sizes and could flip the build side onto the
+    fact. Whether each dimension is broadcast or shuffle-joined is left to
+    the planner and AQE's runtime sizes; the lineitem-sized stream carries
+    only the five columns it needs.
     """
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
     part = table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_brand")
     supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    supp_nation = supplier.join(nation, supplier.s_nationkey == nation.n_nationkey).select("s_suppkey", "n_name")
     j = (
-        li.join(supp_nation, li.l_suppkey == supp_nation.s_suppkey)
+        li.join(supplier, li.l_suppkey == supplier.s_suppkey)
+        .join(nation, supplier.s_nationkey == nation.n_nationkey)
         .join(orders, li.l_orderkey == orders.o_orderkey)
         .join(part, li.l_partkey == part.p_partkey)
     )
