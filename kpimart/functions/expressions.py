@@ -57,11 +57,23 @@ class CompiledExpression:
     grouped: list[GroupedAggregate] = field(default_factory=list)
 
 
+class _Context:
+    """Compilation state: the frame, the per-group aggregates found so far,
+    and a probe frame in which each of them exists as a typed null column
+    (so operand types can be checked before the aggregates are joined in)."""
+
+    def __init__(self, df: DataFrame, field_name: str):
+        self.df = df
+        self.probe = df
+        self.grouped: list[GroupedAggregate] = []
+        self.field_name = field_name
+
+
 def compile_expression(df: DataFrame, expr, field_name: str = "expr") -> CompiledExpression:
     """Compile a computed-field expression against ``df``'s schema."""
-    grouped: list[GroupedAggregate] = []
-    col = _compile(df, expr, grouped, field_name)
-    return CompiledExpression(col, grouped)
+    ctx = _Context(df, field_name)
+    col = _compile(ctx, expr)
+    return CompiledExpression(col, ctx.grouped)
 
 
 def _dtype(df: DataFrame, c: Column) -> T.DataType:
@@ -71,7 +83,8 @@ def _dtype(df: DataFrame, c: Column) -> T.DataType:
         raise ValueError(f"Invalid expression: {exc}") from exc
 
 
-def _compile(df: DataFrame, node, grouped: list[GroupedAggregate], field_name: str) -> Column:
+def _compile(ctx: _Context, node) -> Column:
+    df = ctx.df
     if isinstance(node, Column):
         return node
     if isinstance(node, str):
@@ -93,14 +106,14 @@ def _compile(df: DataFrame, node, grouped: list[GroupedAggregate], field_name: s
     if "cast" in node:
         if "to" not in node:
             raise ValueError(f"A cast needs 'to': {node!r}")
-        return _compile(df, node["cast"], grouped, field_name).cast(node["to"])
+        return _compile(ctx, node["cast"]).cast(node["to"])
     if "agg" in node:
-        return _compile_aggregate(df, node, grouped, field_name)
+        return _compile_aggregate(ctx, node)
     if "op" in node:
         op = node["op"]
-        args = [_compile(df, a, grouped, field_name) for a in node.get("args", [])]
+        args = [_compile(ctx, a) for a in node.get("args", [])]
         for a in args:
-            dt = _dtype(df, a)
+            dt = _dtype(ctx.probe, a)
             if not is_numeric(dt) and not isinstance(dt, T.NullType):
                 raise ValueError(f"Operator {op} needs numeric operands, got {dt.simpleString()}")
         if op == "neg":
@@ -144,15 +157,18 @@ def aggregate_column(df: DataFrame, fn: str, arg: Column) -> Column:
     return F.max(nan_to_null(arg, dt))
 
 
-def _compile_aggregate(df: DataFrame, node: dict, grouped: list[GroupedAggregate], field_name: str) -> Column:
+def _compile_aggregate(ctx: _Context, node: dict) -> Column:
+    df = ctx.df
     fn = node["agg"]
-    arg = _compile(df, node.get("arg", {"lit": 1}), grouped, field_name)
+    arg = _compile(ctx, node.get("arg", {"lit": 1}))
     agg = aggregate_column(df, fn, arg)
     over = tuple(node.get("over", ()) or ())
     if not over:
         # Whole-frame aggregate as a scalar subquery: no join, no global window.
         return df.agg(agg.alias("_v")).scalar()
     require_columns(df, over, "group key")
-    name = f"__{field_name}_agg{len(grouped)}"
-    grouped.append(GroupedAggregate(name, over, agg))
+    name = f"__{ctx.field_name}_agg{len(ctx.grouped)}"
+    ctx.grouped.append(GroupedAggregate(name, over, agg))
+    agg_type = df.select(agg.alias("_t")).schema["_t"].dataType  # analysis only
+    ctx.probe = ctx.probe.withColumn(name, F.lit(None).cast(agg_type))
     return F.col(name)

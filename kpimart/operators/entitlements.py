@@ -11,13 +11,15 @@ grant. Checks (ENT-2/3/4/6) never list admin pairs: they test the role and
 look the request up in the owner/grant pairs, so their size follows the
 requests, not users x dashboards.
 
-Listing everything (ENT-1) does include one row per admin and dashboard, the
-size of the answer itself. Admin visibility is modelled as a role grant
-``(role='admin', dashboard_id)`` joined to users on ``role``. That key is hot
-by construction (every admin row has it), so the grants side is broadcast
-only after a row-count check; above the bound the join is salted: users get
-a hash salt in ``[0, n)`` and the grants are replicated ``n`` times, which
-spreads one role over ``n`` tasks.
+Listing everything (ENT-1) does include one row per admin and dashboard,
+the size of the answer itself. It is built without a join operator: the
+dashboard ids become one array through a scalar subquery (only after a
+row-count check bounds them), and each admin row, in its own partition,
+explodes that array. Above the bound the ids cannot travel as one value, so
+admins get a hash salt in ``[0, n)``, the dashboard ids are replicated ``n``
+times, and an equi-join on the salt spreads the expansion over ``n`` tasks.
+(A join on a constant ``role`` key would not do: the optimizer folds the
+constant away and plans a nested-loop cross product.)
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from kpimart.functions.columns import require_columns
 ADMIN = "admin"
 WRITE_ROLES = ("admin", "editor")
 WRITE_ACTIONS = ("upload", "recompute")
-DEFAULT_BROADCAST_ROWS = 2_000_000
+DEFAULT_BROADCAST_ROWS = 1_000_000
 
 
 def fits(df: DataFrame, max_rows: int) -> bool:
@@ -49,18 +51,16 @@ def direct_access(dashboards: DataFrame, access: DataFrame) -> DataFrame:
     return owners.unionByName(grants).distinct()
 
 
-def role_grants(dashboards: DataFrame, role: str = ADMIN) -> DataFrame:
-    """Every dashboard granted to ``role``: ``(role, dashboard_id)``."""
-    return dashboards.select(F.lit(role).alias("role"), F.col("dashboard_id"))
-
-
-def _expand_role(users_with_role: DataFrame, grants: DataFrame, max_broadcast_rows: int) -> DataFrame:
-    if fits(grants, max_broadcast_rows):
-        return users_with_role.join(F.broadcast(grants), "role").select("user_id", "dashboard_id")
-    n = int(users_with_role.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    salted_users = users_with_role.withColumn("salt", F.pmod(F.xxhash64("user_id"), F.lit(n)))
-    salted_grants = grants.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).cast("bigint"))
-    return salted_users.join(salted_grants, ["role", "salt"]).select("user_id", "dashboard_id")
+def _expand_to_all(members: DataFrame, dashboard_ids: DataFrame, max_ids: int) -> DataFrame:
+    """``(user_id, dashboard_id)`` for every member and every dashboard id."""
+    if fits(dashboard_ids, max_ids):
+        ids = dashboard_ids.agg(F.collect_list("dashboard_id").alias("_ids")).scalar()
+        return members.select("user_id", F.explode(ids).alias("dashboard_id"))
+    n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salted = members.select("user_id", F.pmod(F.xxhash64("user_id"), F.lit(n)).alias("salt"))
+    salts = F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))
+    copies = dashboard_ids.select("dashboard_id", F.explode(salts).alias("salt"))
+    return salted.join(copies, "salt").select("user_id", "dashboard_id")
 
 
 def effective_access(
@@ -72,8 +72,8 @@ def effective_access(
 ) -> DataFrame:
     """ENT-1/SET-1: every ``(user_id, dashboard_id)`` a user may see."""
     require_columns(users, ("user_id", "role"))
-    admins = users.where(F.col("role") == F.lit(admin_role)).select("user_id", "role")
-    expanded = _expand_role(admins, role_grants(dashboards, admin_role), max_broadcast_rows)
+    admins = users.where(F.col("role") == F.lit(admin_role)).select("user_id")
+    expanded = _expand_to_all(admins, dashboards.select("dashboard_id"), max_broadcast_rows)
     return expanded.unionByName(direct_access(dashboards, access)).distinct()
 
 

@@ -156,3 +156,28 @@ _SQL = {
 def oracle_sql() -> dict[str, str]:
     """Query name -> DuckDB SQL with the shared CTEs substituted."""
     return {k: v.replace("{f}", F_CTE).replace("{e}", E_CTE) for k, v in _SQL.items()}
+
+
+def _normalise(v, rounded: bool):
+    import math
+
+    if v is None:
+        return None
+    if isinstance(v, float):
+        if math.isnan(v):
+            return "nan"
+        return float(f"{v:.9g}") if rounded else v
+    if hasattr(v, "isoformat"):
+        return v.isoformat()
+    if hasattr(v, "as_tuple"):  # Decimal
+        return float(v) if rounded else str(v.normalize())
+    return v
+
+
+def result_digest(columns: list[str], rows: list[tuple], rounded: bool = False) -> str:
+    """Order-insensitive hash of a result, columns taken in name order."""
+    import hashlib
+
+    order = sorted(range(len(columns)), key=lambda i: columns[i])
+    lines = sorted(repr(tuple(_normalise(r[i], rounded) for i in order)) for r in rows)
+    return hashlib.sha256("\n".join(lines).encode()).hexdigest()[:16]

@@ -150,14 +150,17 @@ def validate_files(
     cells = F.transform(F.split(F.col("header_line"), ","), lambda s: F.regexp_replace(F.trim(s), '^"|"$', ""))
     headers = first.select("path", cells.alias("header"))
 
+    # Cells as strings in the expected column order (positional, the same
+    # for every file; header mismatches are reported by the header check).
+    strings = T.StructType([T.StructField(f.name, T.StringType()) for f in st.fields])
     raw = (
-        spark.read.options(**CSV_OPTIONS, multiLine="true", inferSchema="false")
+        spark.read.schema(strings)
+        .options(**CSV_OPTIONS, multiLine="true")
         .option("pathGlobFilter", glob)
         .option("recursiveFileLookup", "true")
         .csv(directory)
     )
-    present = [f for f in st.fields if f.name in raw.columns]
-    bad_cell = [F.col(f"`{f.name}`").isNotNull() & F.col(f"`{f.name}`").try_cast(f.dataType).isNull() for f in present]
+    bad_cell = [F.col(f"`{f.name}`").isNotNull() & F.col(f"`{f.name}`").try_cast(f.dataType).isNull() for f in st.fields]
     is_bad = F.lit(False)
     for b in bad_cell:
         is_bad = is_bad | b
