@@ -59,6 +59,17 @@ def aggregate_expression(df: DataFrame, spec: AggregationSpec) -> Column:
     return out.alias(spec.output_name)
 
 
+def empty_group_value(df: DataFrame, spec: AggregationSpec) -> Column | None:
+    """The value an operation takes on an empty group (sum and count: 0;
+    others: null), in the aggregate's own type; None means null."""
+    if spec.operation == "count":
+        return F.lit(0).cast("bigint")
+    if spec.operation == "sum":
+        s = df.select(F.sum(spec.column).alias("_s")).schema["_s"].dataType
+        return F.lit(0).cast(s)
+    return None
+
+
 def aggregate(
     df: DataFrame,
     aggregations: Sequence[AggregationSpec | dict] | None,

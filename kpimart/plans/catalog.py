@@ -23,7 +23,8 @@ from kpimart.operators.filters import GlobalFilters, apply_filters, apply_row_fi
 from kpimart.operators.latest import latest_per_key
 from kpimart.operators.metrics import ratio_of_sums, share, share_of_parent, share_of_total, yoy
 from kpimart.plans import marts
-from kpimart.plans.fanout import fan_out
+from kpimart.plans.families import fan_out_grouped
+from kpimart.plans.fanout import dashboard_configs, fan_out
 from kpimart.plans.processing import run
 from kpimart.session import scratch_dir
 from kpimart.sinks.store import SnapshotStore
@@ -49,7 +50,7 @@ def _agg(column: str, operation: str, alias: str | None = None) -> AggregationSp
 def flt_eq(spark: SparkSession, d: str) -> DataFrame:
     """FLT-1: config equality filters, AND-ed in order."""
     cfg = PipelineConfig(filters=(FilterSpec("year", 1997), FilterSpec("category", "ECONOMY")))
-    return run(marts.sales_fact(spark, d), cfg).select("year", "category", "brand", "id", "quantity")
+    return run(marts.staged_sales_fact(spark, d), cfg).select("year", "category", "brand", "id", "quantity")
 
 
 def flt_ops(spark: SparkSession, d: str) -> DataFrame:
@@ -65,19 +66,19 @@ def flt_ops(spark: SparkSession, d: str) -> DataFrame:
             ]
         }
     )
-    return run(marts.sales_fact(spark, d), cfg).select("year", "category", "brand", "id", "quantity")
+    return run(marts.staged_sales_fact(spark, d), cfg).select("year", "category", "brand", "id", "quantity")
 
 
 def flt_strict(spark: SparkSession, d: str) -> DataFrame:
     """FLT-4/FLT-8: strict typed global filters, then count by region."""
-    f = apply_filters(marts.sales_fact(spark, d), year=1998, brand="Brand#2")
+    f = apply_filters(marts.staged_sales_fact(spark, d), year=1998, brand="Brand#2")
     return aggregate(f, [_agg("id", "count", "n")], ["region"])
 
 
 def flt_lenient(spark: SparkSession, d: str) -> DataFrame:
     """FLT-5: lenient filter set; ``channel`` is not a column and is skipped."""
     gf = GlobalFilters().set_filter("year", 1998).set_filter("channel", "web")
-    return aggregate(gf.apply_to_dataframe(marts.sales_fact(spark, d)), [_agg("id", "count", "n")], ["category"])
+    return aggregate(gf.apply_to_dataframe(marts.staged_sales_fact(spark, d)), [_agg("id", "count", "n")], ["category"])
 
 
 _SALES_BY_CATEGORY = PipelineConfig(aggregations=(AggregationSpec("sales", "sum", "total_sales"),), group_by=("category",))
@@ -85,13 +86,13 @@ _SALES_BY_CATEGORY = PipelineConfig(aggregations=(AggregationSpec("sales", "sum"
 
 def flt_pre_agg(spark: SparkSession, d: str) -> DataFrame:
     """FLT-6: request filter on raw rows, before the pipeline."""
-    raw = apply_row_filters(marts.sales_fact(spark, d), [FilterSpec("region", "NATION_3")])
+    raw = apply_row_filters(marts.staged_sales_fact(spark, d), [FilterSpec("region", "NATION_3")])
     return _double(run(raw, _SALES_BY_CATEGORY), "total_sales")
 
 
 def flt_post_agg(spark: SparkSession, d: str) -> DataFrame:
     """FLT-7: request filters on the aggregate (a measure and a key)."""
-    agg = run(marts.sales_fact(spark, d), _SALES_BY_CATEGORY)
+    agg = run(marts.staged_sales_fact(spark, d), _SALES_BY_CATEGORY)
     kept = apply_row_filters(agg, [FilterSpec("total_sales", 1000000, ">"), FilterSpec("category", "PROMO", "!=")])
     return _double(kept, "total_sales")
 
@@ -108,14 +109,14 @@ def prj_chain(spark: SparkSession, d: str) -> DataFrame:
             ComputedField("q3", {"op": "/", "args": [{"col": "q2"}, {"lit": 4}]}),
         ),
     )
-    return run(marts.sales_fact(spark, d), cfg).select("id", "category", "q2", "q3")
+    return run(marts.staged_sales_fact(spark, d), cfg).select("id", "category", "q2", "q3")
 
 
 def prj_broadcast(spark: SparkSession, d: str) -> DataFrame:
     """PRJ-4: a whole-frame aggregate inside a row expression (scalar
     subquery), computed over the whole fact, then rows filtered."""
     below = ComputedField("below_max", {"op": "-", "args": [{"agg": "max", "arg": {"col": "quantity"}}, {"col": "quantity"}]})
-    f = with_computed_fields(marts.sales_fact(spark, d), [below])
+    f = with_computed_fields(marts.staged_sales_fact(spark, d), [below])
     f = apply_row_filters(f, [FilterSpec("year", 1995), FilterSpec("brand", "Brand#3")])
     return f.select("id", "category", "quantity", "below_max")
 
@@ -125,7 +126,7 @@ def prj_broadcast(spark: SparkSession, d: str) -> DataFrame:
 
 def agg_sum(spark: SparkSession, d: str) -> DataFrame:
     """AGG-1/AGG-6: grouped exact sum."""
-    return _double(run(marts.sales_fact(spark, d), _SALES_BY_CATEGORY), "total_sales")
+    return _double(run(marts.staged_sales_fact(spark, d), _SALES_BY_CATEGORY), "total_sales")
 
 
 def agg_mean(spark: SparkSession, d: str) -> DataFrame:
@@ -135,18 +136,18 @@ def agg_mean(spark: SparkSession, d: str) -> DataFrame:
         aggregations=(_agg("quantity", "mean"),),
         group_by=("brand",),
     )
-    return run(marts.sales_fact(spark, d), cfg)
+    return run(marts.staged_sales_fact(spark, d), cfg)
 
 
 def agg_count(spark: SparkSession, d: str) -> DataFrame:
     """AGG-3/AGG-10: row count, default alias ``count_id``."""
-    return run(marts.sales_fact(spark, d), PipelineConfig(aggregations=(_agg("id", "count"),), group_by=("region",)))
+    return run(marts.staged_sales_fact(spark, d), PipelineConfig(aggregations=(_agg("id", "count"),), group_by=("region",)))
 
 
 def agg_min_max(spark: SparkSession, d: str) -> DataFrame:
     """AGG-4/AGG-5: NaN-ignoring min and max, two keys."""
     cfg = PipelineConfig(aggregations=(_agg("quantity", "min"), _agg("quantity", "max")), group_by=("category", "brand"))
-    return run(marts.sales_fact(spark, d), cfg)
+    return run(marts.staged_sales_fact(spark, d), cfg)
 
 
 def agg_multi(spark: SparkSession, d: str) -> DataFrame:
@@ -155,13 +156,13 @@ def agg_multi(spark: SparkSession, d: str) -> DataFrame:
         aggregations=(_agg("sales", "sum", "total_sales"), _agg("id", "count", "n"), _agg("quantity", "max")),
         group_by=("category", "region"),
     )
-    return _double(run(marts.sales_fact(spark, d), cfg), "total_sales")
+    return _double(run(marts.staged_sales_fact(spark, d), cfg), "total_sales")
 
 
 def agg_global(spark: SparkSession, d: str) -> DataFrame:
     """AGG-7: global aggregate (no keys) -> one row."""
     cfg = PipelineConfig(filters=(FilterSpec("year", 1997),), aggregations=(_agg("sales", "sum"), _agg("id", "count")))
-    return _double(run(marts.sales_fact(spark, d), cfg), "sum_sales")
+    return _double(run(marts.staged_sales_fact(spark, d), cfg), "sum_sales")
 
 
 def agg_global_empty(spark: SparkSession, d: str) -> DataFrame:
@@ -170,7 +171,7 @@ def agg_global_empty(spark: SparkSession, d: str) -> DataFrame:
         filters=(FilterSpec("year", 2050),),
         aggregations=(_agg("sales", "sum"), _agg("id", "count"), _agg("quantity", "max")),
     )
-    return _double(run(marts.sales_fact(spark, d), cfg), "sum_sales")
+    return _double(run(marts.staged_sales_fact(spark, d), cfg), "sum_sales")
 
 
 def agg_passthrough(spark: SparkSession, d: str) -> DataFrame:
@@ -178,12 +179,12 @@ def agg_passthrough(spark: SparkSession, d: str) -> DataFrame:
     cfg = PipelineConfig.from_dict(
         {"filters": [{"column": "year", "value": 1999}, {"column": "brand", "value": "Brand#5"}], "group_by": ["category"]}
     )
-    return run(marts.sales_fact(spark, d), cfg).select("year", "category", "brand", "id")
+    return run(marts.staged_sales_fact(spark, d), cfg).select("year", "category", "brand", "id")
 
 
 def agg_keys_only(spark: SparkSession, d: str) -> DataFrame:
     """AGG-9: ``aggregations: []`` -> distinct key tuples."""
-    return run(marts.sales_fact(spark, d), PipelineConfig(aggregations=(), group_by=("category", "brand")))
+    return run(marts.staged_sales_fact(spark, d), PipelineConfig(aggregations=(), group_by=("category", "brand")))
 
 
 # --------------------------------------------------------------- metrics
@@ -191,7 +192,7 @@ def agg_keys_only(spark: SparkSession, d: str) -> DataFrame:
 
 def _sales_by(spark: SparkSession, d: str, keys: tuple[str, ...], filters=()) -> DataFrame:
     cfg = PipelineConfig(filters=tuple(filters), aggregations=(_agg("sales", "sum", "sales"),), group_by=keys)
-    return run(marts.sales_fact(spark, d), cfg)
+    return run(marts.staged_sales_fact(spark, d), cfg)
 
 
 def met_yoy(spark: SparkSession, d: str) -> DataFrame:
@@ -239,7 +240,7 @@ def met_custom(spark: SparkSession, d: str) -> DataFrame:
     cfg = PipelineConfig.from_dict(
         {"aggregations": [{"column": "sales", "operation": "unit_price", "alias": "unit_price"}], "group_by": ["brand"]}
     )
-    return run(marts.sales_fact(spark, d), cfg)
+    return run(marts.staged_sales_fact(spark, d), cfg)
 
 
 # -------------------------------------------------------------- pipeline
@@ -260,7 +261,7 @@ def pip_run(spark: SparkSession, d: str) -> DataFrame:
             "group_by": ["category", "brand"],
         }
     )
-    return _double(run(marts.sales_fact(spark, d), cfg), "sum_q2")
+    return _double(run(marts.staged_sales_fact(spark, d), cfg), "sum_q2")
 
 
 # ------------------------------------------------- fan-out and snapshots
@@ -275,17 +276,31 @@ def pip_fanout(spark: SparkSession, d: str) -> DataFrame:
         3: PipelineConfig(aggregations=(_agg("sales", "sum", "total_sales"),), group_by=("category", "year")),
     }
     store = SnapshotStore(spark, scratch_dir(spark, "fanout-store"))
-    results = fan_out(marts.sales_fact(spark, d), configs, store)
+    results = fan_out(marts.staged_sales_fact(spark, d), configs, store)
     failed = [r for r in results if r.status != "ok"]
     if failed:
         raise RuntimeError(f"fan-out failed: {failed}")
     return store.current().select(F.col("dashboard_id").cast("int"), F.col("row_count").alias("records"))
 
 
+def pip_family(spark: SparkSession, d: str) -> DataFrame:
+    """AGG-12 at scale: the 25 region dashboards share one pipeline shape, so
+    they run as one family: one join to their parameter table, one aggregate,
+    one partitioned write; read back with ``dashboard_id``."""
+    store = SnapshotStore(spark, scratch_dir(spark, "family-store"))
+    configs = dashboard_configs(marts.dashboards(spark, d))
+    status = fan_out_grouped(marts.staged_sales_fact(spark, d), configs, store, snapshot_id="family-run")
+    failed = status.where(F.col("status") != "ok").collect()
+    if failed:
+        raise RuntimeError(f"family fan-out failed: {failed}")
+    out = store.read_batch("family-run").withColumn("dashboard_id", F.col("dashboard_id").cast("bigint"))
+    return _double(out, "total_sales").select("dashboard_id", "category", "year", "total_sales", "n")
+
+
 def snk_latest(spark: SparkSession, d: str) -> DataFrame:
     """SNK-1/SNK-2: save two results for one dashboard, read the latest."""
     store = SnapshotStore(spark, scratch_dir(spark, "snapshot-store"))
-    fact = marts.sales_fact(spark, d)
+    fact = marts.staged_sales_fact(spark, d)
     by_brand = lambda year: PipelineConfig(
         filters=(FilterSpec("year", year),), aggregations=(_agg("id", "count", "n"),), group_by=("brand",)
     )
@@ -306,7 +321,7 @@ def src_csv(spark: SparkSession, d: str) -> DataFrame:
     """SRC-1: the fact written as gzip CSV (the upload), loaded back with a
     schema, then aggregated."""
     folder = scratch_dir(spark, "csv-upload")
-    write_csv_gz(marts.sales_fact(spark, d), folder)
+    write_csv_gz(marts.staged_sales_fact(spark, d), folder)
     df = load_csv(spark, folder, FACT_DDL, multi_line=True)
     cfg = PipelineConfig(
         aggregations=(_agg("id", "count", "n"), _agg("sales", "sum", "total_sales")), group_by=("category", "brand")
@@ -335,7 +350,7 @@ def str_upload(spark: SparkSession, d: str) -> DataFrame:
     stream recomputes the dashboard per file and the second file wins."""
     base = scratch_dir(spark, "stream")
     incoming = f"{base}/incoming"
-    fact = marts.sales_fact(spark, d)
+    fact = marts.staged_sales_fact(spark, d)
     _land_upload(apply_row_filters(fact, [FilterSpec("year", 1998)]), incoming, "upload-1")
     _land_upload(fact, incoming, "upload-2")
     cfg = PipelineConfig(filters=(FilterSpec("year", 1999),), aggregations=(_agg("id", "count", "n"),), group_by=("category",))
@@ -349,7 +364,7 @@ def str_upload(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _ent(spark: SparkSession, d: str):
-    return marts.users(spark, d), marts.dashboards(spark, d), marts.access(spark, d)
+    return marts.users(spark, d), marts.dashboards(spark, d), marts.staged_access(spark, d)
 
 
 def ent_effective(spark: SparkSession, d: str) -> DataFrame:
@@ -375,7 +390,7 @@ def ent_denied(spark: SparkSession, d: str) -> DataFrame:
 def ent_rows(spark: SparkSession, d: str) -> DataFrame:
     """ENT-5: per-region aggregates, one copy per user entitled to the region's dashboard."""
     users, dashboards, access = _ent(spark, d)
-    agg = _double(run(marts.sales_fact(spark, d), PipelineConfig(
+    agg = _double(run(marts.staged_sales_fact(spark, d), PipelineConfig(
         aggregations=(_agg("sales", "sum", "total_sales"),), group_by=("region",))), "total_sales")
     rows = agg.join(dashboards.select("dashboard_id", F.col("name").alias("region")), "region")
     eff = effective_access(users, dashboards, access)
@@ -397,7 +412,7 @@ def _count_by(*keys: str, alias: str = "n") -> PipelineConfig:
 
 def cht_bar(spark: SparkSession, d: str) -> DataFrame:
     """CHT-1/CHT-3/CHT-5: a bar series of row counts per year."""
-    return chart_dataset(run(marts.sales_fact(spark, d), _count_by("year")), ChartConfig("bar", "year", "n"))
+    return chart_dataset(run(marts.staged_sales_fact(spark, d), _count_by("year")), ChartConfig("bar", "year", "n"))
 
 
 def cht_dot(spark: SparkSession, d: str) -> DataFrame:
@@ -406,18 +421,18 @@ def cht_dot(spark: SparkSession, d: str) -> DataFrame:
         aggregations=(_agg("id", "count", "n"), _agg("quantity", "max"), _agg("category", "min")), group_by=("brand",)
     )
     chart = ChartConfig("dot", "brand", "n", size="max_quantity", color="min_category")
-    return chart_dataset(run(marts.sales_fact(spark, d), cfg), chart)
+    return chart_dataset(run(marts.staged_sales_fact(spark, d), cfg), chart)
 
 
 def cht_multi(spark: SparkSession, d: str) -> DataFrame:
     """CHT-6: two y columns as long-form series."""
     cfg = PipelineConfig(aggregations=(_agg("quantity", "min", "lo"), _agg("quantity", "max", "hi")), group_by=("year",))
-    return multi_series(run(marts.sales_fact(spark, d), cfg), "year", ["lo", "hi"])
+    return multi_series(run(marts.staged_sales_fact(spark, d), cfg), "year", ["lo", "hi"])
 
 
 def cht_combined(spark: SparkSession, d: str) -> DataFrame:
     """CHT-7: two charts over one globally filtered frame."""
-    g = apply_filters(marts.sales_fact(spark, d), year=1998)
+    g = apply_filters(marts.staged_sales_fact(spark, d), year=1998)
     charts = [
         (_count_by("category"), ChartConfig("bar", "category", "n")),
         (_count_by("brand"), ChartConfig("bar", "brand", "n")),
@@ -451,6 +466,7 @@ QUERIES: dict[str, Query] = {
     "met_custom": met_custom,
     "pip_run": pip_run,
     "pip_fanout": pip_fanout,
+    "pip_family": pip_family,
     "snk_latest": snk_latest,
     "srt_latest": srt_latest,
     "src_csv": src_csv,

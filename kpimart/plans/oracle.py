@@ -107,6 +107,11 @@ _SQL = {
         "select 2, count(distinct brand) from f union all "
         "select 3, count(*) from (select distinct category, year from f) x"
     ),
+    "pip_family": (
+        "with {f} select cast(n_nationkey as bigint) as dashboard_id, category, year, "
+        "cast(sum(sales) as double) as total_sales, count(*) as n from f join nation on region = n_name "
+        "group by n_nationkey, category, year"
+    ),
     "snk_latest": "with {f} select brand, count(*) as n from f where year = 2000 group by brand",
     "srt_latest": "select user_id, max(ts) as created_at, max_by(event_type, ts) as event_type from events group by user_id",
     "src_csv": (

@@ -147,6 +147,12 @@ class SnapshotStore:
         info = self.latest_info(dashboard_id)
         return None if info is None else self.spark.read.parquet(info.path)
 
+    def read_batch(self, snapshot_id: str) -> DataFrame:
+        """All dashboards of one family write (``dashboard_id`` from the
+        folder names; partition pruning reads only that snapshot)."""
+        out = self.spark.read.parquet(f"{self.root}/batches")
+        return out.where(F.col("snapshot_id") == F.lit(snapshot_id)).drop("snapshot_id")
+
     # SNK-4
     def prune(self, dashboard_id: int, keep: str) -> int:
         """Delete snapshot folders of ``dashboard_id`` other than ``keep``."""
