@@ -360,6 +360,21 @@ def str_upload(spark: SparkSession, d: str) -> DataFrame:
     return store.get(11)
 
 
+def str_backlog(spark: SparkSession, d: str) -> DataFrame:
+    """STR-1 with a backlog: both uploads are pending when the stream starts;
+    one batch takes them and keeps only the newest file's rows."""
+    base = scratch_dir(spark, "stream-backlog")
+    incoming = f"{base}/incoming"
+    fact = marts.staged_sales_fact(spark, d)
+    _land_upload(apply_row_filters(fact, [FilterSpec("year", 1998)]), incoming, "upload-1")
+    _land_upload(fact, incoming, "upload-2")
+    cfg = PipelineConfig(filters=(FilterSpec("year", 1999),), aggregations=(_agg("id", "count", "n"),), group_by=("category",))
+    store = SnapshotStore(spark, f"{base}/store")
+    q = upload_stream(spark, incoming, FACT_DDL, {11: cfg}, store, f"{base}/checkpoint", name="str_backlog", latest_only=True)
+    q.awaitTermination()
+    return store.get(11)
+
+
 # ---------------------------------------------------------- entitlements
 
 
@@ -471,6 +486,7 @@ QUERIES: dict[str, Query] = {
     "srt_latest": srt_latest,
     "src_csv": src_csv,
     "str_upload": str_upload,
+    "str_backlog": str_backlog,
     "ent_effective": ent_effective,
     "ent_visible": ent_visible,
     "ent_check": ent_check,

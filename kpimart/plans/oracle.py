@@ -119,6 +119,7 @@ _SQL = {
         "from f group by category, brand"
     ),
     "str_upload": "with {f} select category, count(*) as n from f where year = 1999 group by category",
+    "str_backlog": "with {f} select category, count(*) as n from f where year = 1999 group by category",
     "ent_effective": "with {e} select user_id, dashboard_id from eff",
     "ent_visible": (
         "with {e} select d.dashboard_id, d.name from dashboards d where exists "

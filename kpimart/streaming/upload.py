@@ -7,6 +7,11 @@ their snapshots, so the newest file wins and nothing accumulates across
 files. The snapshot id is derived from the stream name and ``batch_id``: a
 batch replayed after a failure overwrites its own snapshot.
 
+With ``latest_only=True`` a backlog is handled in one batch instead: the
+batch takes every pending file and keeps only the rows of the newest one
+(greatest modification time, then path), since older files would be
+superseded anyway. A backlog of k uploads then costs one recomputation, not k.
+
 ``cleanSource=delete`` removes a consumed file only once a later batch
 commits, so with one file per run the newest file stays in place.
 Files should land atomically (write elsewhere, then rename into the folder).
@@ -17,12 +22,15 @@ from __future__ import annotations
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from kpimart.plans.fanout import fan_out
 from kpimart.sinks.store import SnapshotStore
 from kpimart.sources.csv import CSV_OPTIONS, UPLOAD_GLOB, _schema
 
+_FILE, _MTIME = "__source_file", "__source_mtime"
+
 
 def upload_stream(
     spark: SparkSession,
@@ -35,6 +43,7 @@ def upload_stream(
     clean_source: bool = False,
     available_now: bool = True,
     processing_time: str | None = None,
+    latest_only: bool = False,
 ) -> StreamingQuery:
     """Start the stream; with ``available_now`` it processes the files present
     and stops (call ``awaitTermination``)."""
@@ -42,14 +51,22 @@ def upload_stream(
         spark.readStream.schema(_schema(schema))
         .options(**CSV_OPTIONS, multiLine="true", mode="PERMISSIVE")
         .option("pathGlobFilter", UPLOAD_GLOB)
-        .option("maxFilesPerTrigger", 1)
     )
+    if not latest_only:
+        reader = reader.option("maxFilesPerTrigger", 1)
     if clean_source:
         reader = reader.option("cleanSource", "delete")
-    stream = reader.csv(input_dir)
+    stream = reader.csv(input_dir).select(
+        "*",
+        F.col("_metadata.file_path").alias(_FILE),
+        F.col("_metadata.file_modification_time").alias(_MTIME),
+    )
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
-        fan_out(batch, configs, store, snapshot_id=f"{name}-{batch_id:012d}")
+        if latest_only:
+            newest = batch.agg(F.max_by(_FILE, F.struct(_MTIME, _FILE)).alias("_f")).scalar()
+            batch = batch.where(F.col(_FILE) == newest)
+        fan_out(batch.drop(_FILE, _MTIME), configs, store, snapshot_id=f"{name}-{batch_id:012d}")
 
     writer = stream.writeStream.queryName(name).foreachBatch(on_batch).option("checkpointLocation", checkpoint_location)
     if available_now:

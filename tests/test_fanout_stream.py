@@ -95,3 +95,18 @@ def test_stream_newest_file_wins(spark, tmp_path):
     # cleanSource removes a file once a later batch commits: the newest stays
     assert not (incoming / "first.csv.gz").exists()
     assert (incoming / "second.csv.gz").exists()
+
+
+def test_stream_backlog_in_one_batch_keeps_only_the_newest_file(spark, tmp_path):
+    incoming = tmp_path / "incoming"
+    _gz(incoming / "a.csv.gz", "cat,year,sales\na,2020,1.0\n")
+    time.sleep(1.1)
+    _gz(incoming / "b.csv.gz", "cat,year,sales\nb,2020,2.0\n")
+    time.sleep(1.1)
+    _gz(incoming / "c.csv.gz", "cat,year,sales\nc,2020,3.0\nc,2021,4.0\n")
+    store = SnapshotStore(spark, str(tmp_path / "store"))
+    q = upload_stream(spark, str(incoming), CSV_SCHEMA, {1: _sum_by("cat")}, store, str(tmp_path / "cp"),
+                      name="t_backlog", latest_only=True)
+    q.awaitTermination()
+    assert sorted((r.cat, r.total) for r in store.get(1).collect()) == [("c", 7.0)]
+    assert [r.snapshot_id for r in store.manifest().collect()] == ["t_backlog-000000000000"]  # one batch
