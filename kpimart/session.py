@@ -37,14 +37,18 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared checkpoint folder of the session; set one only if unset."""
-    root = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getConf().get(CHECKPOINT_CONF, None)
+    """The shared checkpoint folder: ``spark.checkpoint.dir`` as the cluster
+    names it, else the context's checkpoint folder. Only when neither is set
+    (a single machine, as in tests) is a local folder created and registered
+    with ``SparkContext.setCheckpointDir`` (the conf itself cannot change at
+    run time)."""
+    sc = spark.sparkContext
+    root = spark.conf.get(CHECKPOINT_CONF, None) or sc.getConf().get(CHECKPOINT_CONF, None) or sc.getCheckpointDir()
     if not root:
-        # Only reached on a single machine (tests): a cluster names its shared folder.
-        root = tempfile.mkdtemp(prefix="kpimart-checkpoints-")
-        spark.conf.set(CHECKPOINT_CONF, root)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(root)
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="kpimart-checkpoints-"))
+        root = sc.getCheckpointDir()
+    elif sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(root)
     return root.rstrip("/")
 
 

@@ -25,7 +25,7 @@ import datetime as _dt
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -66,6 +66,15 @@ def delete_path(spark: SparkSession, path: str) -> bool:
     return bool(fs.delete(p, True))
 
 
+def _norm(path: str) -> str:
+    """Compare paths without scheme or trailing slash."""
+    for prefix in ("file://", "file:"):
+        if path.startswith(prefix):
+            path = path[len(prefix):]
+            break
+    return path.rstrip("/")
+
+
 def new_snapshot_id(now: _dt.datetime | None = None) -> str:
     """Time-ordered id: sorts like ``created_at``, unique under ties."""
     now = now or _dt.datetime.now(_dt.timezone.utc)
@@ -103,6 +112,7 @@ class SnapshotStore:
         snapshot_id: str | None = None,
         created_at: _dt.datetime | None = None,
         prune: bool = True,
+        retain: int = 2,
     ) -> SnapshotInfo:
         """Replace the dashboard's aggregate with ``df``.
 
@@ -120,7 +130,7 @@ class SnapshotStore:
         row = [(info.dashboard_id, info.snapshot_id, info.created_at, info.row_count, info.path)]
         self.spark.createDataFrame(row, MANIFEST_SCHEMA).coalesce(1).write.parquet(self._entry_path())
         if prune:
-            self.prune(dashboard_id, keep=snapshot_id)
+            self.prune(dashboard_id, retain=retain)
         return info
 
     def manifest(self) -> DataFrame:
@@ -154,19 +164,50 @@ class SnapshotStore:
         return out.where(F.col("snapshot_id") == F.lit(snapshot_id)).drop("snapshot_id")
 
     # SNK-4
-    def prune(self, dashboard_id: int, keep: str) -> int:
-        """Delete snapshot folders of ``dashboard_id`` other than ``keep``."""
+    def _retained(self, dashboard_id: int | None, retain: int) -> DataFrame:
+        """Snapshots to keep: the newest ``retain`` per dashboard, by
+        ``(created_at, snapshot_id)`` (the current one and, with retain=2, the
+        previous one, which a reader may have looked up just before a save)."""
+        m = self.manifest()
+        if dashboard_id is not None:
+            m = m.where(F.col("dashboard_id") == F.lit(int(dashboard_id)))
+        w = Window.partitionBy("dashboard_id").orderBy(F.col("created_at").desc(), F.col("snapshot_id").desc())
+        return m.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= retain).select("path")
+
+    def prune(self, dashboard_id: int, retain: int = 2) -> int:
+        """Delete the dashboard's own snapshot folders beyond the newest
+        ``retain`` (family batches are shared and left to ``vacuum``)."""
         fs, base = _fs(self.spark, f"{self.root}/data/dashboard_id={int(dashboard_id)}")
         if not fs.exists(base):
             return 0
+        keep = {_norm(r.path) for r in self._retained(dashboard_id, retain).collect()}
         removed = 0
         for status in fs.listStatus(base):
-            name = status.getPath().getName()
-            if status.isDirectory() and name.startswith("snapshot_id=") and name != f"snapshot_id={keep}":
-                fs.delete(status.getPath(), True)
+            p = status.getPath()
+            if status.isDirectory() and p.getName().startswith("snapshot_id=") and _norm(p.toString()) not in keep:
+                fs.delete(p, True)
                 removed += 1
         return removed
 
+    def vacuum(self, retain: int = 2) -> int:
+        """Delete snapshot and family-batch folders that no retained snapshot
+        uses. Reads one path per retained snapshot to the driver."""
+        keep = {_norm(r.path) for r in self._retained(None, retain).collect()}
+        removed = 0
+        for top in ("data", "batches"):
+            fs, base = _fs(self.spark, f"{self.root}/{top}")
+            if not fs.exists(base):
+                continue
+            dirs = [s.getPath() for s in fs.listStatus(base) if s.isDirectory()]
+            if top == "data":  # data/dashboard_id=N/snapshot_id=S
+                dirs = [s.getPath() for d in dirs for s in fs.listStatus(d) if s.isDirectory()]
+            for d in dirs:
+                name = _norm(d.toString())
+                if not any(k == name or k.startswith(name + "/") for k in keep):
+                    fs.delete(d, True)
+                    removed += 1
+        return removed
+
     def compact_manifest(self, max_entries: int = 64) -> bool:
         """Rewrite the manifest as one entry once saves made it many.
 

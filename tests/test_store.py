@@ -94,3 +94,31 @@ def test_current_picks_latest_per_dashboard(spark, store):
     assert len(cur) == 1 and cur[0].row_count == 1
     assert store.get(1).first().n == 2
     assert store.current().where(F.col("dashboard_id") == 1).first().created_at == dt.datetime(2024, 1, 2)
+
+
+def test_prune_keeps_current_and_previous_and_vacuum_clears_the_rest(spark, store, tmp_path):
+    import os
+
+    for i in range(4):
+        store.save(8, spark.createDataFrame([(i,)], "n long"), created_at=dt.datetime(2024, 1, 1 + i))
+    folders = os.listdir(tmp_path / "store" / "data" / "dashboard_id=8")
+    assert len(folders) == 2  # current + previous
+    assert store.get(8).first().n == 3
+    assert store.vacuum(retain=1) == 1
+    assert len(os.listdir(tmp_path / "store" / "data" / "dashboard_id=8")) == 1
+    assert store.get(8).first().n == 3
+
+
+def test_vacuum_keeps_family_batches_in_use(spark, store, tmp_path):
+    import os
+
+    from kpimart.config import PipelineConfig
+    from kpimart.plans.families import fan_out_grouped
+
+    df = spark.createDataFrame([("r1", 1.0), ("r2", 2.0)], "region string, v double")
+    cfg = lambda r: PipelineConfig.from_dict({"filters": [{"column": "region", "value": r}], "aggregations": [{"column": "v", "operation": "sum", "alias": "s"}]})
+    fan_out_grouped(df, {1: cfg("r1"), 2: cfg("r2")}, store, snapshot_id="first").collect()
+    fan_out_grouped(df, {1: cfg("r1"), 2: cfg("r2")}, store, snapshot_id="second").collect()
+    assert store.vacuum(retain=1) == 1
+    assert os.listdir(tmp_path / "store" / "batches") == ["snapshot_id=second"]
+    assert store.get(2).first().s == 2.0
