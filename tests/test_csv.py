@@ -87,3 +87,9 @@ def test_validate_files_per_file(spark, tmp_path):
     assert res["missing.csv.gz"].error == "Missing columns: n"
     assert res["dup.csv.gz"].error == "Duplicate column names"
     assert res["empty.csv.gz"].error == "Empty file"
+
+
+def test_header_only_file_is_an_empty_frame_that_validates(spark, tmp_path):
+    df = load_csv(spark, _write(tmp_path / "h" / "header.csv.gz", "a,n\n", gz=True), SCHEMA)
+    assert df.count() == 0 and df.columns == ["a", "n"]
+    assert check_columns(df, ["a", "n"])

@@ -85,3 +85,11 @@ def test_no_cartesian_product_in_plans(ent):
     for df in (effective_access(*ent), visible_dashboards(*ent, user_id=1), effective_access(*ent, max_broadcast_rows=0)):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_revoked_grant_denies(spark, ent):
+    users, dashboards, access = ent
+    req = spark.createDataFrame([(4, 10)], "user_id long, dashboard_id long")
+    assert authorize(req, users, dashboards, access).first().allowed
+    revoked = access.where("not (user_id = 4 and dashboard_id = 10)")
+    assert not authorize(req, users, dashboards, revoked).first().allowed

@@ -110,3 +110,12 @@ def test_stream_backlog_in_one_batch_keeps_only_the_newest_file(spark, tmp_path)
     q.awaitTermination()
     assert sorted((r.cat, r.total) for r in store.get(1).collect()) == [("c", 7.0)]
     assert [r.snapshot_id for r in store.manifest().collect()] == ["t_backlog-000000000000"]  # one batch
+
+
+def test_retrieval_with_filters_matching_nothing_is_empty_not_none(spark, tmp_path):
+    df = spark.createDataFrame([("a", 2020, 1.0)], CSV_SCHEMA)
+    store = SnapshotStore(spark, str(tmp_path / "store"))
+    store.save(1, run(df, _sum_by("cat")))
+    got = get_data(store, 1, {"cat": "zzz"})
+    assert got is not None and got.count() == 0 and got.columns == ["cat", "total"]
+    assert get_data(store, 1).count() == 1  # without filters

@@ -106,3 +106,21 @@ def test_filter_on_group_key_is_pushed_below_aggregate(spark, sf_small):
     out = apply_row_filters(agg, [FilterSpec("category", "PROMO")])
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(p_type,PROMO)" in plan  # reaches the Parquet scan of part
+
+
+def test_datetime_column_filters(spark):
+    import datetime as dt
+
+    df = spark.createDataFrame(
+        [(dt.datetime(2024, 1, 1, 10), 1), (dt.datetime(2024, 3, 1, 0), 2)], "ts timestamp_ntz, n int"
+    )
+    got = apply_row_filters(df, [FilterSpec("ts", dt.datetime(2024, 2, 1), ">=")])
+    assert [r.n for r in got.collect()] == [2]
+    got = apply_row_filters(df, [FilterSpec("ts", "2024-02-01", "<")])
+    assert [r.n for r in got.collect()] == [1]
+    with pytest.raises(ValueError, match="Type mismatch"):
+        apply_row_filters(df, [FilterSpec("ts", 2024)])
+
+
+def test_empty_filter_list_keeps_every_row(df):
+    assert apply_row_filters(df, []).count() == 4
