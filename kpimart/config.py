@@ -111,7 +111,7 @@ class PipelineConfig:
         object.__setattr__(self, "group_by", tuple(self.group_by))
         if self.aggregations is not None:
             object.__setattr__(self, "aggregations", tuple(self.aggregations))
-            _check_output_names(self.group_by, self.aggregations)
+            check_output_names(self.group_by, self.aggregations)
 
     @classmethod
     def from_dict(cls, d: dict | None) -> "PipelineConfig":
@@ -132,7 +132,7 @@ class PipelineConfig:
         return cls.from_dict(_loads(text))
 
 
-def _check_output_names(group_by: tuple[str, ...], aggregations: tuple[AggregationSpec, ...]) -> None:
+def check_output_names(group_by: tuple[str, ...], aggregations: tuple[AggregationSpec, ...]) -> None:
     """Duplicate keys, duplicate aliases and alias = key are errors (Spark
     would accept them silently)."""
     seen: set[str] = set()

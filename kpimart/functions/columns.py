@@ -50,8 +50,6 @@ def check_value_type(column: str, dtype: T.DataType, value: object) -> None:
         ok = isinstance(value, bool)
     elif isinstance(dtype, T.NumericType):
         ok = isinstance(value, (int, float, Decimal)) and not isinstance(value, bool)
-        if ok and isinstance(dtype, T.IntegralType) and isinstance(value, float) and not value.is_integer():
-            ok = True  # comparisons such as year > 1996.5 are meaningful
     elif isinstance(dtype, T.StringType):
         ok = isinstance(value, str)
     elif isinstance(dtype, (T.TimestampType, T.TimestampNTZType, T.DateType)):

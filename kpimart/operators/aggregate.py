@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kpimart.config import AggregationSpec, PipelineConfig, _check_output_names
+from kpimart.config import AggregationSpec, PipelineConfig, check_output_names
 from kpimart.functions.columns import column_type, is_numeric, nan_to_null, require_columns, safe_divide
 from kpimart.functions.registry import get_aggregate
 
@@ -80,7 +80,7 @@ def aggregate(
         return df  # AGG-8
     specs = tuple(a if isinstance(a, AggregationSpec) else AggregationSpec.from_dict(a) for a in aggregations)
     keys = tuple(group_by)
-    _check_output_names(keys, specs)
+    check_output_names(keys, specs)
     require_columns(df, keys, "group key")
     if not specs:
         if keys:

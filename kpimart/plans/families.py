@@ -28,10 +28,11 @@ from __future__ import annotations
 
 import datetime as _dt
 import json
+import uuid
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,7 +42,7 @@ from kpimart.operators.aggregate import aggregate, empty_group_value
 from kpimart.operators.computed import with_computed_fields
 from kpimart.operators.filters import apply_row_filters
 from kpimart.plans.fanout import RESULT_SCHEMA, fan_out, results_frame, stage
-from kpimart.plans.processing import as_pipeline
+from kpimart.plans.processing import as_pipeline, run
 from kpimart.sinks.store import SnapshotStore, new_snapshot_id
 
 PARAM_ID = "__param_id"
@@ -134,13 +135,14 @@ def _tables(df: DataFrame, fam: Family) -> tuple[DataFrame, DataFrame, list[tupl
 
 
 def run_family(df: DataFrame, fam: Family) -> DataFrame:
-    """The family's results for all members: ``dashboard_id`` + the shape's columns."""
+    """The family's results for all members: ``dashboard_id`` + the shape's
+    columns. (A family without parameters is identical configs: it is run
+    once and shared, see ``save_shared``.)"""
+    if not fam.params:
+        raise ValueError("A family without parameters is run once and shared (save_shared)")
     values, mapping, _ = _tables(df, fam)
     base = apply_row_filters(df, fam.shape.filters)
-    if fam.params:
-        joined = base.join(values, list(fam.params))
-    else:  # identical configs: one tuple, id 0
-        joined = base.withColumn(PARAM_ID, F.lit(0).cast("bigint"))
+    joined = base.join(values, list(fam.params))
     computed = with_computed_fields(joined, fam.shape.computed_fields)
     aggs, keys = fam.shape.aggregations, fam.shape.group_by
     out = aggregate(computed, aggs, (PARAM_ID, *keys)) if aggs is not None else computed
@@ -185,6 +187,28 @@ def save_family(store: SnapshotStore, result: DataFrame, dashboard_ids: DataFram
     return spark.read.parquet(entry)
 
 
+def save_shared(store: SnapshotStore, result: DataFrame, dashboard_ids: DataFrame, snapshot_id: str | None = None) -> DataFrame:
+    """Identical configs: write the one result once and point every member's
+    manifest row at it (no copy per dashboard). Returns the manifest rows."""
+    spark = result.sparkSession
+    store.ensure()
+    sid = snapshot_id or new_snapshot_id()
+    created_at = _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)
+    path = f"{store.root}/batches/snapshot_id={sid}/shared-{uuid.uuid4().hex}"
+    obs = Observation(f"shared_{uuid.uuid4().hex}")
+    result.observe(obs, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(path)
+    rows = dashboard_ids.select(
+        F.col("dashboard_id").cast("bigint"),
+        F.lit(sid).alias("snapshot_id"),
+        F.lit(created_at).cast("timestamp").alias("created_at"),
+        F.lit(int(obs.get["rows"])).cast("bigint").alias("row_count"),
+        F.lit(path).alias("path"),
+    )
+    entry = store._entry_path()
+    rows.coalesce(1).write.parquet(entry)
+    return spark.read.parquet(entry)
+
+
 def fan_out_grouped(
     df: DataFrame, configs: Mapping[int, object], store: SnapshotStore, snapshot_id: str | None = None
 ) -> DataFrame:
@@ -211,7 +235,10 @@ def fan_out_grouped(
             continue
         ids = spark.createDataFrame([(d,) for d in sorted(fam.members)], "dashboard_id bigint")
         try:
-            rows = save_family(store, run_family(source, fam), ids, snapshot_id)
+            if fam.params:
+                rows = save_family(store, run_family(source, fam), ids, snapshot_id)
+            else:
+                rows = save_shared(store, run(source, fam.shape), ids, snapshot_id)
             frames.append(rows.select("dashboard_id", F.lit("ok").alias("status"), F.col("row_count").alias("rows"),
                                       "snapshot_id", F.lit(None).cast("string").alias("error")))
         except Exception as exc:  # noqa: BLE001 - reported per dashboard

@@ -91,7 +91,19 @@ def test_failures_are_reported_per_dashboard(spark, df, tmp_path):
 def test_family_plan_has_no_cartesian_product(spark, df):
     from kpimart.plans.families import run_family
 
-    configs = {i: _cfg(f"r{i}", **GROUPED) for i in range(1, 4)}
-    fams, _ = plan_families(configs)
-    plan = run_family(df, fams[0])._jdf.queryExecution().executedPlan().toString()
-    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+    for extra in (GROUPED, GLOBAL, {}):
+        configs = {i: _cfg(f"r{i}", **extra) for i in range(1, 4)}
+        fams, _ = plan_families(configs)
+        out = run_family(df, fams[0])
+        out.collect()
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_identical_configs_share_one_snapshot(spark, df, tmp_path):
+    cfg = PipelineConfig.from_dict(GROUPED)
+    store = SnapshotStore(spark, str(tmp_path / "store"))
+    fan_out_grouped(df, {1: cfg, 2: cfg, 3: cfg}, store).collect()
+    paths = {r.path for r in store.current().collect()}
+    assert len(paths) == 1
+    assert sorted(store.get(2).collect(), key=repr) == sorted(run(df, cfg).collect(), key=repr)
