@@ -23,8 +23,8 @@ from kpimart.operators.filters import GlobalFilters, apply_filters, apply_row_fi
 from kpimart.operators.latest import latest_per_key
 from kpimart.operators.metrics import ratio_of_sums, share, share_of_parent, share_of_total, yoy
 from kpimart.plans import marts
-from kpimart.plans.families import fan_out_grouped
-from kpimart.plans.fanout import dashboard_configs, fan_out
+from kpimart.plans.families import fan_out_table
+from kpimart.plans.fanout import fan_out
 from kpimart.plans.processing import run
 from kpimart.session import scratch_dir
 from kpimart.sinks.store import SnapshotStore
@@ -284,12 +284,13 @@ def pip_fanout(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pip_family(spark: SparkSession, d: str) -> DataFrame:
-    """AGG-12 at scale: the 25 region dashboards share one pipeline shape, so
-    they run as one family: one join to their parameter table, one aggregate,
-    one partitioned write; read back with ``dashboard_id``."""
+    """AGG-12 at scale: Spark plans the dashboards table into families; the
+    25 region dashboards share one shape, so they run as one family (one
+    join to their parameter table, one aggregate, one partitioned write) and
+    are read back with ``dashboard_id``."""
     store = SnapshotStore(spark, scratch_dir(spark, "family-store"))
-    configs = dashboard_configs(marts.dashboards(spark, d))
-    status = fan_out_grouped(marts.staged_sales_fact(spark, d), configs, store, snapshot_id="family-run")
+    dashboards = marts.dashboards(spark, d)
+    status = fan_out_table(marts.staged_sales_fact(spark, d), dashboards, store, snapshot_id="family-run")
     failed = status.where(F.col("status") != "ok").collect()
     if failed:
         raise RuntimeError(f"family fan-out failed: {failed}")

@@ -5,23 +5,29 @@ their equality filters (one dashboard per region, say). Running one job per
 dashboard would make the driver loop over thousands of plans. A family
 instead runs as one plan:
 
-1. the distinct parameter tuples become a small table ``(param_id, c1..ck)``;
-2. the input (after the shape's other filters) is joined to it on
-   ``c1..ck``, so each row meets the parameter tuples it matches; AQE
-   broadcasts the table when its runtime size is small;
-3. computed fields, then the aggregate with ``param_id`` as an extra key
-   (partial aggregation before the shuffle, as for a single dashboard);
-   global aggregates give one row per tuple, also for tuples with no rows;
-4. the aggregated rows are mapped to dashboards ``(dashboard_id, param_id)``
-   and written once with ``partitionBy("dashboard_id")`` after a
-   ``rebalance`` hint, so AQE sizes the write tasks and splits a skewed one;
-5. manifest rows (one per dashboard, with its row count, read from the
+1. its members form a table ``(dashboard_id, __p0..__pk)`` of parameter
+   values; the distinct value tuples are computed once;
+2. the input (after the shape's other filters) is joined to those tuples on
+   the filter columns, so each row meets the tuples it matches; AQE
+   broadcasts the tuple table when its runtime size is small;
+3. computed fields, then the aggregate with the parameter columns as extra
+   keys (partial aggregation before the shuffle, as for a single dashboard);
+   global aggregates give one row per tuple, also for tuples without rows;
+4. the aggregated rows are joined back to the members (null-safe on the
+   parameter values) and written once with ``partitionBy("dashboard_id")``
+   after a ``rebalance`` hint, so AQE sizes the write tasks;
+5. manifest rows (one per dashboard, with its row count read from the
    written files) are built by Spark and appended as one entry.
 
-Identical parameter tuples are computed once, so many dashboards sharing one
-value do not multiply the input rows. Configs with an aggregate inside a
-computed field, SQL-text or ``Column`` expressions, or a single member are
-run on their own by ``kpimart.plans.fanout.fan_out``.
+Identical configs (a shape without parameters) are run once and every member
+points at the one snapshot. Shapes that cannot be shared (an aggregate inside
+a computed field, SQL-text or ``Column`` expressions, two equality filters on
+one column) run per dashboard through ``kpimart.plans.fanout.fan_out``.
+
+Two entry points: ``fan_out_grouped`` takes configs held in Python;
+``fan_out_table`` takes the dashboards table itself and plans families in
+Spark (configs parsed as ``VARIANT``): only the distinct shapes reach the
+driver, never one row per dashboard.
 """
 
 from __future__ import annotations
@@ -32,7 +38,7 @@ import uuid
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -45,7 +51,13 @@ from kpimart.plans.fanout import RESULT_SCHEMA, fan_out, results_frame, stage
 from kpimart.plans.processing import as_pipeline, run
 from kpimart.sinks.store import SnapshotStore, new_snapshot_id
 
-PARAM_ID = "__param_id"
+# Fixed value: the operator spellings that mean equality in a config.
+EQ_OPS = ("==", "=", "eq")
+RESERVED = ("dashboard_id",)
+
+
+def _pcols(k: int) -> list[str]:
+    return [f"__p{i}" for i in range(k)]
 
 
 @dataclass
@@ -64,29 +76,30 @@ def _structured(expr) -> bool:
     return isinstance(expr, (int, float, bool, str)) or expr is None
 
 
-def _familiar(cfg: PipelineConfig) -> bool:
+def shareable(cfg: PipelineConfig, params: tuple[str, ...] = ()) -> bool:
+    """Can members of this shape run as one family?"""
     if not all(isinstance(c.expression, dict) and _structured(c.expression) for c in cfg.computed_fields):
         return False
     if cfg.aggregations is not None and not cfg.aggregations and not cfg.group_by:
         return False  # zero-column result
     names = set(cfg.group_by) | {a.output_name for a in cfg.aggregations or ()} | {c.name for c in cfg.computed_fields}
-    eq_cols = [f.column for f in cfg.filters if f.op == "=="]
-    return "dashboard_id" not in names and PARAM_ID not in names and len(eq_cols) == len(set(eq_cols))
+    return not (names & set(RESERVED)) and len(params) == len(set(params))
 
 
 def plan_families(configs: Mapping[int, object]) -> tuple[list[Family], dict[int, PipelineConfig]]:
-    """Split configs into families (two or more members) and singles."""
+    """Split configs held in Python into families (two or more members) and
+    singles."""
     groups: dict[str, Family] = {}
     singles: dict[int, PipelineConfig] = {}
     for dash_id, raw in configs.items():
         cfg = as_pipeline(raw)
-        if not _familiar(cfg):
-            singles[int(dash_id)] = cfg
-            continue
         eq = tuple(f for f in cfg.filters if f.op == "==")
         rest = tuple(f for f in cfg.filters if f.op != "==")
-        shape = PipelineConfig(rest, cfg.computed_fields, cfg.aggregations, cfg.group_by)
         params = tuple(f.column for f in eq)
+        shape = PipelineConfig(rest, cfg.computed_fields, cfg.aggregations, cfg.group_by)
+        if not shareable(shape, params):
+            singles[int(dash_id)] = cfg
+            continue
         key = json.dumps(
             [params, repr(rest), [(c.name, c.expression) for c in cfg.computed_fields], repr(cfg.aggregations), cfg.group_by],
             sort_keys=True,
@@ -119,44 +132,41 @@ def invalid_members(df: DataFrame, fam: Family) -> dict[int, str]:
     return bad
 
 
-def _tables(df: DataFrame, fam: Family) -> tuple[DataFrame, DataFrame, list[tuple]]:
-    """``(param_id, c1..ck)`` for the distinct tuples and ``(dashboard_id, param_id)``."""
-    spark = df.sparkSession
+def members_frame(df: DataFrame, fam: Family) -> DataFrame:
+    """``(dashboard_id, __p0..__pk)`` for members held in Python."""
     types = [column_type(df, c) for c in fam.params]
-    tuples = sorted(set(fam.members.values()), key=repr)
-    ids = {v: i for i, v in enumerate(tuples)}
-    values_schema = T.StructType([T.StructField(PARAM_ID, T.LongType(), False)] + [
-        T.StructField(c, t) for c, t in zip(fam.params, types)])
-    values = spark.createDataFrame([(ids[v], *v) for v in tuples], values_schema)
-    mapping = spark.createDataFrame(
-        [(d, ids[v]) for d, v in sorted(fam.members.items())], "dashboard_id bigint, " + PARAM_ID + " bigint"
+    schema = T.StructType(
+        [T.StructField("dashboard_id", T.LongType(), False)]
+        + [T.StructField(p, t) for p, t in zip(_pcols(len(fam.params)), types)]
     )
-    return values, mapping, tuples
+    return df.sparkSession.createDataFrame([(d, *v) for d, v in sorted(fam.members.items())], schema)
 
 
-def run_family(df: DataFrame, fam: Family) -> DataFrame:
-    """The family's results for all members: ``dashboard_id`` + the shape's
-    columns. (A family without parameters is identical configs: it is run
-    once and shared, see ``save_shared``.)"""
-    if not fam.params:
+def run_family(df: DataFrame, shape: PipelineConfig, params: tuple[str, ...], members: DataFrame) -> DataFrame:
+    """All members' results: ``dashboard_id`` + the shape's output columns."""
+    if not params:
         raise ValueError("A family without parameters is run once and shared (save_shared)")
-    values, mapping, _ = _tables(df, fam)
-    base = apply_row_filters(df, fam.shape.filters)
-    joined = base.join(values, list(fam.params))
-    computed = with_computed_fields(joined, fam.shape.computed_fields)
-    aggs, keys = fam.shape.aggregations, fam.shape.group_by
-    out = aggregate(computed, aggs, (PARAM_ID, *keys)) if aggs is not None else computed
+    pcols = _pcols(len(params))
+    values = members.select(*pcols).distinct()
+    base = apply_row_filters(df, shape.filters)
+    joined = base.join(values, [base[c] == values[p] for c, p in zip(params, pcols)])
+    computed = with_computed_fields(joined, shape.computed_fields)
+    aggs, keys = shape.aggregations, shape.group_by
+    out = aggregate(computed, aggs, (*pcols, *keys)) if aggs is not None else computed
     if aggs and not keys:
         # One row per tuple even when no input row matched it (AGG-7).
-        filled = values.select(PARAM_ID).join(out, PARAM_ID, "left")
+        filled = values.join(out, [values[p].eqNullSafe(out[p]) for p in pcols], "left").select(
+            values["*"], *[out[c] for c in out.columns if c not in pcols]
+        )
         fills = {}
         for spec in aggs:
             empty = empty_group_value(computed, spec)
             if empty is not None:
                 fills[spec.output_name] = F.coalesce(F.col(spec.output_name), empty)
         out = filled.withColumns(fills) if fills else filled
-    result_cols = [c for c in out.columns if c != PARAM_ID]
-    return out.join(mapping, PARAM_ID).select("dashboard_id", *result_cols)
+    result_cols = [c for c in out.columns if c not in pcols]
+    back = members.join(out, [members[p].eqNullSafe(out[p]) for p in pcols])
+    return back.select(members["dashboard_id"], *[out[c] for c in result_cols])
 
 
 def save_family(store: SnapshotStore, result: DataFrame, dashboard_ids: DataFrame, snapshot_id: str | None = None) -> DataFrame:
@@ -209,11 +219,34 @@ def save_shared(store: SnapshotStore, result: DataFrame, dashboard_ids: DataFram
     return spark.read.parquet(entry)
 
 
+def _ok(rows: DataFrame) -> DataFrame:
+    return rows.select(
+        "dashboard_id", F.lit("ok").alias("status"), F.col("row_count").alias("rows"), "snapshot_id",
+        F.lit(None).cast("string").alias("error"),
+    )
+
+
+def _errors(ids: DataFrame, message: Column | str) -> DataFrame:
+    msg = F.lit(message) if isinstance(message, str) else message
+    return ids.select(
+        F.col("dashboard_id").cast("bigint"), F.lit("error").alias("status"), F.lit(None).cast("bigint").alias("rows"),
+        F.lit(None).cast("string").alias("snapshot_id"), msg.cast("string").alias("error"),
+    )
+
+
+def _run_shape(source, shape, params, members, store, snapshot_id) -> DataFrame:
+    ids = members.select("dashboard_id")
+    if params:
+        return _ok(save_family(store, run_family(source, shape, params, members), ids, snapshot_id))
+    return _ok(save_shared(store, run(source, shape), ids, snapshot_id))
+
+
 def fan_out_grouped(
     df: DataFrame, configs: Mapping[int, object], store: SnapshotStore, snapshot_id: str | None = None
 ) -> DataFrame:
-    """AGG-12 for many dashboards: one job per family, one per single.
-    Returns ``(dashboard_id, status, rows, snapshot_id, error)`` per dashboard."""
+    """AGG-12 for many dashboards whose configs are held in Python: one job
+    per family, one per single. Returns ``(dashboard_id, status, rows,
+    snapshot_id, error)`` per dashboard."""
     spark = df.sparkSession
     parsed, statuses = {}, []
     for dash_id, raw in configs.items():
@@ -233,14 +266,8 @@ def fan_out_grouped(
         fam = Family(fam.shape, fam.params, {d: v for d, v in fam.members.items() if d not in bad})
         if not fam.members:
             continue
-        ids = spark.createDataFrame([(d,) for d in sorted(fam.members)], "dashboard_id bigint")
         try:
-            if fam.params:
-                rows = save_family(store, run_family(source, fam), ids, snapshot_id)
-            else:
-                rows = save_shared(store, run(source, fam.shape), ids, snapshot_id)
-            frames.append(rows.select("dashboard_id", F.lit("ok").alias("status"), F.col("row_count").alias("rows"),
-                                      "snapshot_id", F.lit(None).cast("string").alias("error")))
+            frames.append(_run_shape(source, fam.shape, fam.params, members_frame(source, fam), store, snapshot_id))
         except Exception as exc:  # noqa: BLE001 - reported per dashboard
             msg = f"{type(exc).__name__}: {exc}"[:2000]
             statuses.extend((d, "error", None, None, msg) for d in sorted(fam.members))
@@ -250,3 +277,132 @@ def fan_out_grouped(
     for f in frames:
         out = out.unionByName(f)
     return out
+
+
+# ------------------------------------------------ planning inside Spark
+
+
+def config_shapes(dashboards: DataFrame) -> DataFrame:
+    """Per dashboard: ``shape`` (JSON text of its pipeline with equality
+    filter values taken out), ``values`` (those values as VARIANTs, in filter
+    order) and ``bad_json``. Nested ``{"pipeline": ...}`` and flat configs
+    are read; a flat top-level ``filters`` list of names belongs to the view."""
+    v = F.try_parse_json(F.col("config"))
+    nested = F.try_variant_get(v, "$.pipeline", "variant")
+    pipe = F.coalesce(nested, v)
+    raw = F.try_variant_get(pipe, "$.filters", "array<variant>")
+    names_only = nested.isNull() & F.exists(raw, lambda f: F.try_variant_get(f, "$.column", "string").isNull())
+    none = F.filter(raw, lambda f: F.lit(False))
+    filters = F.when(names_only, none).otherwise(raw)
+
+    def is_eq(f: Column) -> Column:
+        op = F.coalesce(F.try_variant_get(f, "$.op", "string"), F.try_variant_get(f, "$.operator", "string"), F.lit("=="))
+        return op.isin(*EQ_OPS)
+
+    eq = F.filter(filters, is_eq)
+    rest = F.filter(filters, lambda f: ~is_eq(f))
+    shape = F.to_json(
+        F.struct(
+            F.coalesce(F.transform(eq, lambda f: F.try_variant_get(f, "$.column", "string")), F.array()).alias("params"),
+            F.coalesce(F.transform(eq, lambda f: F.try_variant_get(f, "$.value", "variant").isNull()), F.array()).alias("missing_value"),
+            F.coalesce(F.transform(rest, lambda f: F.to_json(f)), F.array()).alias("rest"),
+            F.to_json(F.try_variant_get(pipe, "$.computed_fields", "variant")).alias("computed_fields"),
+            F.to_json(F.try_variant_get(pipe, "$.aggregations", "variant")).alias("aggregations"),
+            F.to_json(F.try_variant_get(pipe, "$.group_by", "variant")).alias("group_by"),
+        )
+    )
+    values = F.transform(eq, lambda f: F.try_variant_get(f, "$.value", "variant"))
+    return dashboards.select(
+        F.col("dashboard_id").cast("bigint").alias("dashboard_id"),
+        v.isNull().alias("bad_json"),
+        shape.alias("shape"),
+        values.alias("values"),
+    )
+
+
+def _shape_config(text: str) -> tuple[PipelineConfig, tuple[str, ...]]:
+    s = json.loads(text)
+    if any(c is None for c in s.get("params", [])) or any(s.get("missing_value", [])):
+        raise ValueError("A filter needs 'column' and 'value'")
+
+    def load(t, default):
+        return default if t is None else json.loads(t)
+
+    d = {  # absent keys are left out of the shape text
+        "filters": [json.loads(f) for f in s.get("rest", [])],
+        "computed_fields": load(s.get("computed_fields"), []) or [],
+        "aggregations": load(s.get("aggregations"), None),
+        "group_by": load(s.get("group_by"), []) or [],
+    }
+    return PipelineConfig.from_dict(d), tuple(s.get("params", []))
+
+
+def _variant_fits(value: Column, dtype: T.DataType) -> Column:
+    """The JSON type of a parameter value fits the column type (no silent
+    '2023' == 2023); JSON null fits anything (it matches no row)."""
+    t = F.schema_of_variant(value)
+    if isinstance(dtype, T.BooleanType):
+        ok = t == F.lit("BOOLEAN")
+    elif isinstance(dtype, T.NumericType):
+        ok = t.isin("BIGINT", "INT", "SMALLINT", "TINYINT", "DOUBLE", "FLOAT") | t.startswith("DECIMAL")
+    elif isinstance(dtype, (T.StringType, T.DateType, T.TimestampType, T.TimestampNTZType)):
+        ok = t == F.lit("STRING")
+    else:
+        ok = F.lit(True)
+    return F.is_variant_null(value) | ok
+
+
+def fan_out_table(
+    df: DataFrame, dashboards: DataFrame, store: SnapshotStore, snapshot_id: str | None = None
+) -> DataFrame:
+    """AGG-12 straight from the dashboards table ``(dashboard_id, config)``.
+
+    Spark parses every config and splits it into a shape and its parameter
+    values; only the distinct shapes are read to the driver. Each shareable
+    shape runs as one family whose member table stays a DataFrame; members
+    whose values do not fit the column types are reported, the rest run.
+    Shapes that cannot be shared run per dashboard (their configs are read
+    for that). Returns ``(dashboard_id, status, rows, snapshot_id, error)``.
+    """
+    spark = df.sparkSession
+    frame = config_shapes(dashboards)
+    shapes = [r.shape for r in frame.where(~F.col("bad_json")).select("shape").distinct().collect()]
+    source = stage(df) if len(shapes) > 1 else df
+    out = _errors(frame.where(F.col("bad_json")), "Config is not valid JSON")
+    for text in shapes:
+        in_shape = frame.where(~F.col("bad_json") & (F.col("shape") == F.lit(text)))
+        try:
+            shape, params = _shape_config(text)
+            types = [column_type(source, c) for c in params]
+        except ValueError as exc:
+            out = out.unionByName(_errors(in_shape, str(exc)))
+            continue
+        if not shareable(shape, params):
+            keep = in_shape.select("dashboard_id")
+            configs = {int(r.dashboard_id): r.config for r in dashboards.join(keep, "dashboard_id", "left_semi").collect()}
+            out = out.unionByName(results_frame(spark, fan_out(source, configs, store, snapshot_id, stage_input=False)))
+            continue
+        pcols = _pcols(len(params))
+        fits = F.lit(True)
+        mismatch = F.lit(None).cast("string")
+        for i, (c, t) in enumerate(zip(params, types)):
+            val = F.get(F.col("values"), i)
+            ok = _variant_fits(val, t)
+            fits = fits & ok
+            text_of = F.concat(
+                F.lit(f"Type mismatch for column {c}: column is {t.simpleString()}, value is "),
+                F.lower(F.schema_of_variant(val)),
+            )
+            mismatch = F.coalesce(mismatch, F.when(~ok, text_of))
+        checked = in_shape.withColumn("__fits", fits).withColumn("__mismatch", mismatch)
+        out = out.unionByName(_errors(checked.where(~F.col("__fits")), F.col("__mismatch")))
+        typed = [
+            F.try_variant_get(F.get(F.col("values"), i), "$", t.simpleString()).alias(p)
+            for i, (p, t) in enumerate(zip(pcols, types))
+        ]
+        members = checked.where(F.col("__fits")).select("dashboard_id", *typed)
+        try:
+            out = out.unionByName(_run_shape(source, shape, params, members, store, snapshot_id))
+        except Exception as exc:  # noqa: BLE001 - reported per dashboard
+            out = out.unionByName(_errors(members, f"{type(exc).__name__}: {exc}"[:2000]))
+    return out

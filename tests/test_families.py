@@ -91,10 +91,13 @@ def test_failures_are_reported_per_dashboard(spark, df, tmp_path):
 def test_family_plan_has_no_cartesian_product(spark, df):
     from kpimart.plans.families import run_family
 
+    from kpimart.plans.families import members_frame
+
     for extra in (GROUPED, GLOBAL, {}):
         configs = {i: _cfg(f"r{i}", **extra) for i in range(1, 4)}
         fams, _ = plan_families(configs)
-        out = run_family(df, fams[0])
+        fam = fams[0]
+        out = run_family(df, fam.shape, fam.params, members_frame(df, fam))
         out.collect()
         plan = out._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
@@ -107,3 +110,40 @@ def test_identical_configs_share_one_snapshot(spark, df, tmp_path):
     paths = {r.path for r in store.current().collect()}
     assert len(paths) == 1
     assert sorted(store.get(2).collect(), key=repr) == sorted(run(df, cfg).collect(), key=repr)
+
+
+def test_fan_out_table_plans_families_in_spark(spark, df, tmp_path):
+    import json
+
+    from kpimart.plans.families import config_shapes, fan_out_table
+
+    def conf(d):
+        return json.dumps({"pipeline": d})
+
+    grouped = lambda r: conf({"filters": [{"column": "region", "value": r}], **GROUPED})
+    rows = [
+        (1, grouped("r1")),
+        (2, grouped("r2")),
+        (3, grouped("r9")),
+        (4, conf({"filters": [{"column": "region", "value": 5}], **GROUPED})),  # number for a string column
+        (5, "not json"),
+        (6, json.dumps({"filters": ["year"], **GLOBAL})),  # flat form: a list of names is the view's
+        (7, conf({"computed_fields": [{"name": "m", "expression": {"agg": "max", "arg": {"col": "sales"}}}]})),
+        (8, conf({"aggregations": [{"column": "x", "operation": "median"}]})),
+        (9, json.dumps({"filters": ["year"], **GLOBAL})),
+    ]
+    dashboards = spark.createDataFrame(rows, "dashboard_id long, config string")
+    assert config_shapes(dashboards).where("not bad_json").select("shape").distinct().count() == 4  # 1-4, 6+9, 7, 8
+    store = SnapshotStore(spark, str(tmp_path / "store"))
+    status = {r.dashboard_id: r for r in fan_out_table(df, dashboards, store).collect()}
+    assert sorted(status) == list(range(1, 10))
+    for i, region in ((1, "r1"), (2, "r2"), (3, "r9")):
+        assert status[i].status == "ok", status[i]
+        want = sorted(run(df, _cfg(region, **GROUPED)).collect(), key=repr)
+        assert sorted(store.get(i).collect(), key=repr) == want
+    assert status[4].status == "error" and "Type mismatch for column region" in status[4].error
+    assert status[5].status == "error" and "not valid JSON" in status[5].error
+    assert status[6].status == "ok" and store.get(6).first().n == 5  # view filter names ignored
+    assert store.current().where("dashboard_id in (6, 9)").select("path").distinct().count() == 1  # shared
+    assert status[7].status == "ok" and store.get(7).count() == 5  # run on its own
+    assert status[8].status == "error" and "median" in status[8].error
