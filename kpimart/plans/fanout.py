@@ -119,12 +119,16 @@ def upload(
     schema=None,
 ) -> list[DashboardResult]:
     """The upload flow: load the file, find the dashboards the uploader may
-    recompute (ENT-4/ENT-6), run each one's config, replace its snapshot."""
+    recompute (ENT-4/ENT-6), run each one's config, replace its snapshot.
+    Families are planned in Spark from the entitled rows of the dashboards
+    table; returns the per-dashboard status rows."""
+    from kpimart.plans.families import fan_out_table
+
     df = load_csv(spark, path, schema)
     requests = dashboards.select(F.lit(user_id).cast("bigint").alias("user_id"), "dashboard_id", F.lit("upload").alias("action"))
     allowed = authorize(requests, users, dashboards, access).where("allowed").select("dashboard_id")
     entitled = dashboards.join(allowed, "dashboard_id", "left_semi")
-    return fan_out(df, dashboard_configs(entitled), store)
+    return [DashboardResult(**r.asDict()) for r in fan_out_table(df, entitled, store).collect()]
 
 
 def trigger_processing(

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from kpimart.plans.families import fan_out_table
 from kpimart.plans.fanout import fan_out
 from kpimart.sinks.store import SnapshotStore
 from kpimart.sources.csv import CSV_OPTIONS, UPLOAD_GLOB, _schema
@@ -36,7 +37,7 @@ def upload_stream(
     spark: SparkSession,
     input_dir: str,
     schema,
-    configs: Mapping[int, object],
+    configs: Mapping[int, object] | DataFrame,
     store: SnapshotStore,
     checkpoint_location: str,
     name: str = "uploads",
@@ -46,7 +47,9 @@ def upload_stream(
     latest_only: bool = False,
 ) -> StreamingQuery:
     """Start the stream; with ``available_now`` it processes the files present
-    and stops (call ``awaitTermination``)."""
+    and stops (call ``awaitTermination``). ``configs`` is a mapping of
+    dashboard id to config, or the dashboards table ``(dashboard_id,
+    config)`` itself, whose families are then planned inside Spark."""
     reader = (
         spark.readStream.schema(_schema(schema))
         .options(**CSV_OPTIONS, multiLine="true", mode="PERMISSIVE")
@@ -66,7 +69,11 @@ def upload_stream(
         if latest_only:
             newest = batch.agg(F.max_by(_FILE, F.struct(_MTIME, _FILE)).alias("_f")).scalar()
             batch = batch.where(F.col(_FILE) == newest)
-        fan_out(batch.drop(_FILE, _MTIME), configs, store, snapshot_id=f"{name}-{batch_id:012d}")
+        sid = f"{name}-{batch_id:012d}"
+        if isinstance(configs, DataFrame):  # the dashboards table: families planned in Spark
+            fan_out_table(batch.drop(_FILE, _MTIME), configs, store, snapshot_id=sid).collect()
+        else:
+            fan_out(batch.drop(_FILE, _MTIME), configs, store, snapshot_id=sid)
 
     writer = stream.writeStream.queryName(name).foreachBatch(on_batch).option("checkpointLocation", checkpoint_location)
     if available_now:

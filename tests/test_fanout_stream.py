@@ -119,3 +119,17 @@ def test_retrieval_with_filters_matching_nothing_is_empty_not_none(spark, tmp_pa
     got = get_data(store, 1, {"cat": "zzz"})
     assert got is not None and got.count() == 0 and got.columns == ["cat", "total"]
     assert get_data(store, 1).count() == 1  # without filters
+
+
+def test_stream_with_the_dashboards_table(spark, tmp_path):
+    import json
+
+    incoming = tmp_path / "incoming"
+    _gz(incoming / "u.csv.gz", "cat,year,sales\na,2020,1.0\nb,2020,2.0\nb,2021,4.0\n")
+    conf = lambda c: json.dumps({"pipeline": {"filters": [{"column": "cat", "value": c}],
+                                              "aggregations": [{"column": "sales", "operation": "sum", "alias": "s"}]}})
+    dashboards = spark.createDataFrame([(1, conf("a")), (2, conf("b"))], "dashboard_id long, config string")
+    store = SnapshotStore(spark, str(tmp_path / "store"))
+    q = upload_stream(spark, str(incoming), CSV_SCHEMA, dashboards, store, str(tmp_path / "cp"), name="t_table")
+    q.awaitTermination()
+    assert store.get(1).first().s == 1.0 and store.get(2).first().s == 6.0
