@@ -36,7 +36,9 @@ DEFAULT_BROADCAST_ROWS = 1_000_000
 
 
 def fits(df: DataFrame, max_rows: int) -> bool:
-    """True if ``df`` has at most ``max_rows`` rows (one bounded job)."""
+    """True if ``df`` has at most ``max_rows`` rows. A size check before
+    something is gathered into one value: it reads at most ``max_rows + 1``
+    rows and truncates no result."""
     return df.limit(max_rows + 1).count() <= max_rows
 
 
