@@ -180,9 +180,12 @@ class SnapshotStore:
         fs, base = _fs(self.spark, f"{self.root}/data/dashboard_id={int(dashboard_id)}")
         if not fs.exists(base):
             return 0
+        folders = [st for st in fs.listStatus(base) if st.isDirectory() and st.getPath().getName().startswith("snapshot_id=")]
+        if len(folders) <= retain:
+            return 0  # nothing to prune: no manifest job needed
         keep = {_norm(r.path) for r in self._retained(dashboard_id, retain).collect()}
         removed = 0
-        for status in fs.listStatus(base):
+        for status in folders:
             p = status.getPath()
             if status.isDirectory() and p.getName().startswith("snapshot_id=") and _norm(p.toString()) not in keep:
                 fs.delete(p, True)
