@@ -389,7 +389,7 @@ def ent_effective(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ent_visible(spark: SparkSession, d: str) -> DataFrame:
-    """ENT-2/ENT-3: the dashboards user 35 may see."""
+    """ENT-2: the dashboards user 35 may see (ENT-3 narrows this to one id)."""
     return visible_dashboards(*_ent(spark, d), user_id=35).select("dashboard_id", "name")
 
 
@@ -427,7 +427,7 @@ def _count_by(*keys: str, alias: str = "n") -> PipelineConfig:
 
 
 def cht_bar(spark: SparkSession, d: str) -> DataFrame:
-    """CHT-1/CHT-3/CHT-5: a bar series of row counts per year."""
+    """CHT-1: a bar series of row counts per year."""
     return chart_dataset(run(marts.staged_sales_fact(spark, d), _count_by("year")), ChartConfig("bar", "year", "n"))
 
 
