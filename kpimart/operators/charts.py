@@ -72,7 +72,7 @@ def chart_dataset(df: DataFrame, chart: ChartConfig, x_alias: str = "x") -> Data
     if len(chart.y) > 1:
         return multi_series(df, chart.x, chart.y, x_alias)
     if chart.type == "line":
-        return line_series(df, chart.x, chart.y[0], x_alias)
+        return line_series(df, chart.x, chart.y[0], x_alias, sort=True)
     return bar_series(df, chart.x, chart.y[0], x_alias)
 
 
@@ -86,7 +86,10 @@ def combined_datasets(df: DataFrame, charts: Sequence[tuple[PipelineConfig, Char
     for i, (pipeline, chart) in enumerate(charts):
         if chart.type in ("dot", "table", "pie"):
             raise ValueError(f"Chart {i}: a combined view takes bar or line series, got {chart.type}")
-        data = chart_dataset(run(df, pipeline), chart)
+        agg = run(df, pipeline)
+        check_chart(agg, chart)
+        # line and bar give the same rows; a union keeps no order, so no sort
+        data = multi_series(agg, chart.x, chart.y, "x") if len(chart.y) > 1 else bar_series(agg, chart.x, chart.y[0])
         parts.append(
             data.select(F.lit(i).alias("chart_id"), F.col("x").cast("string").alias("x"), "series", "value")
         )

@@ -431,6 +431,24 @@ def cht_bar(spark: SparkSession, d: str) -> DataFrame:
     return chart_dataset(run(marts.staged_sales_fact(spark, d), _count_by("year")), ChartConfig("bar", "year", "n"))
 
 
+def cht_line(spark: SparkSession, d: str) -> DataFrame:
+    """CHT-3: a line series of row counts per year, ordered by x."""
+    return chart_dataset(run(marts.staged_sales_fact(spark, d), _count_by("year")), ChartConfig("line", "year", "n"))
+
+
+def cht_pie(spark: SparkSession, d: str) -> DataFrame:
+    """CHT-4: pie slices of sales by category with each slice's percent."""
+    pie = chart_dataset(marts.staged_sales_fact(spark, d), ChartConfig("pie", "category", "sales"))
+    return _double(pie, "value")
+
+
+def cht_table(spark: SparkSession, d: str) -> DataFrame:
+    """CHT-5: a table of several measures per category."""
+    cfg = PipelineConfig(aggregations=(_agg("sales", "sum", "total_sales"), _agg("id", "count", "n")), group_by=("category",))
+    table = chart_dataset(run(marts.staged_sales_fact(spark, d), cfg), ChartConfig("table", "category", ["total_sales", "n"]))
+    return _double(table, "total_sales")
+
+
 def cht_dot(spark: SparkSession, d: str) -> DataFrame:
     """CHT-2: a dot chart with size and color."""
     cfg = PipelineConfig(
@@ -495,6 +513,9 @@ QUERIES: dict[str, Query] = {
     "ent_rows": ent_rows,
     "ent_role": ent_role,
     "cht_bar": cht_bar,
+    "cht_line": cht_line,
+    "cht_pie": cht_pie,
+    "cht_table": cht_table,
     "cht_dot": cht_dot,
     "cht_multi": cht_multi,
     "cht_combined": cht_combined,

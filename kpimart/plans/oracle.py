@@ -147,6 +147,14 @@ _SQL = {
         "from eff e join users u on e.user_id = u.user_id"
     ),
     "cht_bar": "with {f} select year as x, 'n' as series, count(*) as value from f group by year",
+    "cht_line": "with {f} select year as x, 'n' as series, count(*) as value from f group by year",
+    "cht_pie": (
+        "with {f}, a as (select category as x, sum(sales) as v from f group by category) select x, "
+        "cast(v as double) as value, cast(v as double) / cast((select sum(v) from a) as double) * 100 as share from a"
+    ),
+    "cht_table": (
+        "with {f} select category, cast(sum(sales) as double) as total_sales, count(*) as n from f group by category"
+    ),
     "cht_dot": "with {f} select brand as x, count(*) as y, max(quantity) as size, min(category) as color from f group by brand",
     "cht_multi": (
         "with {f}, a as (select year, min(quantity) as lo, max(quantity) as hi from f group by year) "
