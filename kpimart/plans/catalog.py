@@ -23,6 +23,7 @@ from kpimart.operators.filters import GlobalFilters, apply_filters, apply_row_fi
 from kpimart.operators.latest import latest_per_key
 from kpimart.operators.metrics import ratio_of_sums, share, share_of_parent, share_of_total, yoy
 from kpimart.plans import marts
+from kpimart.plans.dashboards import PipelineDashboard, StoredDashboard
 from kpimart.plans.families import fan_out_table
 from kpimart.plans.fanout import fan_out
 from kpimart.plans.processing import run
@@ -310,6 +311,24 @@ def snk_latest(spark: SparkSession, d: str) -> DataFrame:
     return store.get(7)
 
 
+def pip_get_data(spark: SparkSession, d: str) -> DataFrame:
+    """PIP-5/FLT-7/FLT-9/REG-2: a stored dashboard (region NATION_3, sales by
+    category and year) read back through its permitted ``year`` filter."""
+    store = SnapshotStore(spark, scratch_dir(spark, "get-data-store"))
+    config = {
+        "name": "NATION_3 sales",
+        "pipeline": {
+            "filters": [{"column": "region", "value": "NATION_3"}],
+            "aggregations": [{"column": "sales", "operation": "sum", "alias": "total_sales"},
+                             {"column": "id", "operation": "count", "alias": "n"}],
+            "group_by": ["category", "year"],
+        },
+        "view": {"charts": [{"type": "bar", "x": "category", "y": "total_sales"}], "filters": ["year"]},
+    }
+    store.save(3, PipelineDashboard(config, marts.staged_sales_fact(spark, d)).get_data())
+    return _double(StoredDashboard(config, store, 3).get_data({"year": 1998}), "total_sales")
+
+
 def srt_latest(spark: SparkSession, d: str) -> DataFrame:
     """SRT-1: latest event per user without a global sort."""
     return latest_per_key(table(spark, d, "events"), ["user_id"], "ts", ["event_type"], tiebreak="event_id", ts_alias="created_at")
@@ -502,6 +521,7 @@ QUERIES: dict[str, Query] = {
     "pip_fanout": pip_fanout,
     "pip_family": pip_family,
     "snk_latest": snk_latest,
+    "pip_get_data": pip_get_data,
     "srt_latest": srt_latest,
     "src_csv": src_csv,
     "str_upload": str_upload,

@@ -113,6 +113,10 @@ _SQL = {
         "group by n_nationkey, category, year"
     ),
     "snk_latest": "with {f} select brand, count(*) as n from f where year = 2000 group by brand",
+    "pip_get_data": (
+        "with {f} select category, year, cast(sum(sales) as double) as total_sales, count(*) as n from f "
+        "where region = 'NATION_3' and year = 1998 group by category, year"
+    ),
     "srt_latest": "select user_id, max(ts) as created_at, max_by(event_type, ts) as event_type from events group by user_id",
     "src_csv": (
         "with {f} select category, brand, count(*) as n, cast(sum(sales) as double) as total_sales "
