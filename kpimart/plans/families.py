@@ -49,6 +49,7 @@ from kpimart.operators.computed import with_computed_fields
 from kpimart.operators.filters import apply_row_filters
 from kpimart.plans.fanout import RESULT_SCHEMA, fan_out, results_frame, stage
 from kpimart.plans.processing import as_pipeline, run
+from kpimart.session import checkpoint_root
 from kpimart.sinks.store import SnapshotStore, new_snapshot_id
 
 # Fixed value: the operator spellings that mean equality in a config.
@@ -365,7 +366,11 @@ def fan_out_table(
     for that). Returns ``(dashboard_id, status, rows, snapshot_id, error)``.
     """
     spark = df.sparkSession
-    frame = config_shapes(dashboards)
+    checkpoint_root(spark)
+    # Parsed once and checkpointed (reliable, in the shared checkpoint
+    # folder): every shape below selects its members from this copy instead
+    # of parsing all configs again.
+    frame = config_shapes(dashboards).checkpoint(eager=True)
     shapes = [r.shape for r in frame.where(~F.col("bad_json")).select("shape").distinct().collect()]
     source = stage(df) if len(shapes) > 1 else df
     out = _errors(frame.where(F.col("bad_json")), "Config is not valid JSON")
