@@ -147,7 +147,12 @@ def validate_files(
         "value",
     )
     first = lines.groupBy("path").agg(F.min_by("value", "pos").alias("header_line"))
-    cells = F.transform(F.split(F.col("header_line"), ","), lambda s: F.regexp_replace(F.trim(s), '^"|"$', ""))
+    # split on commas outside quotes; strip the quotes, undo doubled quotes
+    outside_quotes = ',(?=(?:[^"]*"[^"]*")*[^"]*$)'
+    cells = F.transform(
+        F.split(F.col("header_line"), outside_quotes),
+        lambda s: F.regexp_replace(F.regexp_replace(F.trim(s), '^"|"$', ""), '""', '"'),
+    )
     headers = first.select("path", cells.alias("header"))
 
     # Cells as strings in the expected column order (positional, the same

@@ -93,3 +93,12 @@ def test_header_only_file_is_an_empty_frame_that_validates(spark, tmp_path):
     df = load_csv(spark, _write(tmp_path / "h" / "header.csv.gz", "a,n\n", gz=True), SCHEMA)
     assert df.count() == 0 and df.columns == ["a", "n"]
     assert check_columns(df, ["a", "n"])
+
+
+def test_validate_quoted_header_names(spark, tmp_path):
+    d = tmp_path / "quoted"
+    _write(d / "q.csv.gz", '"a","n","x, y"\nv,1,z\n', gz=True)
+    _write(d / "m.csv.gz", '"a, n",b\nv,1\n', gz=True)
+    res = {r.path.rsplit("/", 1)[-1]: r for r in validate_files(spark, str(d), SCHEMA).collect()}
+    assert res["q.csv.gz"].is_valid, res["q.csv.gz"]
+    assert res["m.csv.gz"].error == "Missing columns: a, n"
