@@ -243,11 +243,17 @@ def _run_shape(source, shape, params, members, store, snapshot_id) -> DataFrame:
 
 
 def fan_out_grouped(
-    df: DataFrame, configs: Mapping[int, object], store: SnapshotStore, snapshot_id: str | None = None
+    df: DataFrame,
+    configs: Mapping[int, object],
+    store: SnapshotStore,
+    snapshot_id: str | None = None,
+    stage_input: bool = True,
 ) -> DataFrame:
     """AGG-12 for many dashboards whose configs are held in Python: one job
-    per family, one per single. Returns ``(dashboard_id, status, rows,
-    snapshot_id, error)`` per dashboard."""
+    per family, one per single. The input is staged once when several jobs
+    read it, unless it already is a columnar copy (``stage_input=False``).
+    Returns ``(dashboard_id, status, rows, snapshot_id, error)`` per
+    dashboard."""
     spark = df.sparkSession
     parsed, statuses = {}, []
     for dash_id, raw in configs.items():
@@ -256,7 +262,7 @@ def fan_out_grouped(
         except ValueError as exc:
             statuses.append((int(dash_id), "error", None, None, str(exc)))
     families, singles = plan_families(parsed)
-    source = stage(df) if len(families) + len(singles) > 1 else df
+    source = stage(df) if stage_input and len(families) + len(singles) > 1 else df
     frames = []
     for fam in families:
         try:
@@ -354,7 +360,11 @@ def _variant_fits(value: Column, dtype: T.DataType) -> Column:
 
 
 def fan_out_table(
-    df: DataFrame, dashboards: DataFrame, store: SnapshotStore, snapshot_id: str | None = None
+    df: DataFrame,
+    dashboards: DataFrame,
+    store: SnapshotStore,
+    snapshot_id: str | None = None,
+    stage_input: bool = True,
 ) -> DataFrame:
     """AGG-12 straight from the dashboards table ``(dashboard_id, config)``.
 
@@ -363,7 +373,9 @@ def fan_out_table(
     shape runs as one family whose member table stays a DataFrame; members
     whose values do not fit the column types are reported, the rest run.
     Shapes that cannot be shared run per dashboard (their configs are read
-    for that). Returns ``(dashboard_id, status, rows, snapshot_id, error)``.
+    for that). The input is staged once when several shapes read it, unless
+    it already is a columnar copy (``stage_input=False``). Returns
+    ``(dashboard_id, status, rows, snapshot_id, error)``.
     """
     spark = df.sparkSession
     checkpoint_root(spark)
@@ -372,7 +384,7 @@ def fan_out_table(
     # of parsing all configs again.
     frame = config_shapes(dashboards).checkpoint(eager=True)
     shapes = [r.shape for r in frame.where(~F.col("bad_json")).select("shape").distinct().collect()]
-    source = stage(df) if len(shapes) > 1 else df
+    source = stage(df) if stage_input and len(shapes) > 1 else df
     out = _errors(frame.where(F.col("bad_json")), "Config is not valid JSON")
     for text in shapes:
         in_shape = frame.where(~F.col("bad_json") & (F.col("shape") == F.lit(text)))
