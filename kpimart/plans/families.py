@@ -378,12 +378,14 @@ def fan_out_table(
     ``(dashboard_id, status, rows, snapshot_id, error)``.
     """
     spark = df.sparkSession
-    checkpoint_root(spark)
-    # Parsed once and checkpointed (reliable, in the shared checkpoint
-    # folder): every shape below selects its members from this copy instead
-    # of parsing all configs again.
-    frame = config_shapes(dashboards).checkpoint(eager=True)
+    frame = config_shapes(dashboards)
     shapes = [r.shape for r in frame.where(~F.col("bad_json")).select("shape").distinct().collect()]
+    if len(shapes) > 1:
+        # Checkpointed once (reliable, in the shared checkpoint folder): each
+        # shape below selects its members from this copy instead of parsing
+        # every config again.
+        checkpoint_root(spark)
+        frame = frame.checkpoint(eager=True)
     source = stage(df) if stage_input and len(shapes) > 1 else df
     out = _errors(frame.where(F.col("bad_json")), "Config is not valid JSON")
     for text in shapes:
