@@ -50,7 +50,7 @@ from kpimart.operators.filters import apply_row_filters
 from kpimart.plans.fanout import RESULT_SCHEMA, fan_out, results_frame, stage
 from kpimart.plans.processing import as_pipeline, run
 from kpimart.session import checkpoint_root
-from kpimart.sinks.store import SnapshotStore, new_snapshot_id
+from kpimart.sinks.store import SnapshotStore, new_snapshot_id, path_exists
 
 # Fixed value: the operator spellings that mean equality in a config.
 EQ_OPS = ("==", "=", "eq")
@@ -195,7 +195,8 @@ def save_family(store: SnapshotStore, result: DataFrame, dashboard_ids: DataFram
     )
     entry = store._entry_path()
     rows.coalesce(1).write.parquet(entry)
-    return spark.read.parquet(entry)
+    store.compact_manifest(store.max_manifest_entries)
+    return spark.read.parquet(entry) if path_exists(spark, entry) else _entry_rows(store, sid, dashboard_ids)
 
 
 def save_shared(store: SnapshotStore, result: DataFrame, dashboard_ids: DataFrame, snapshot_id: str | None = None) -> DataFrame:
@@ -217,7 +218,15 @@ def save_shared(store: SnapshotStore, result: DataFrame, dashboard_ids: DataFram
     )
     entry = store._entry_path()
     rows.coalesce(1).write.parquet(entry)
-    return spark.read.parquet(entry)
+    store.compact_manifest(store.max_manifest_entries)
+    return spark.read.parquet(entry) if path_exists(spark, entry) else _entry_rows(store, sid, dashboard_ids)
+
+
+def _entry_rows(store: SnapshotStore, sid: str, dashboard_ids: DataFrame) -> DataFrame:
+    """The manifest rows of one save after compaction folded its entry in."""
+    return store.manifest().where(F.col("snapshot_id") == F.lit(sid)).join(
+        dashboard_ids.select(F.col("dashboard_id").cast("bigint")), "dashboard_id", "left_semi"
+    )
 
 
 def _ok(rows: DataFrame) -> DataFrame:

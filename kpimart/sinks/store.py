@@ -22,6 +22,7 @@ One writer per dashboard is assumed.
 from __future__ import annotations
 
 import datetime as _dt
+import threading
 import uuid
 from dataclasses import dataclass
 
@@ -82,9 +83,11 @@ def new_snapshot_id(now: _dt.datetime | None = None) -> str:
 
 
 class SnapshotStore:
-    def __init__(self, spark: SparkSession, root: str):
+    def __init__(self, spark: SparkSession, root: str, max_manifest_entries: int = 64):
         self.spark = spark
         self.root = root.rstrip("/")
+        self.max_manifest_entries = max_manifest_entries
+        self._compact_lock = threading.Lock()
 
     @property
     def manifest_path(self) -> str:
@@ -131,6 +134,7 @@ class SnapshotStore:
         self.spark.createDataFrame(row, MANIFEST_SCHEMA).coalesce(1).write.parquet(self._entry_path())
         if prune:
             self.prune(dashboard_id, retain=retain)
+        self.compact_manifest(self.max_manifest_entries)
         return info
 
     def manifest(self) -> DataFrame:
@@ -220,10 +224,16 @@ class SnapshotStore:
         fs, base = _fs(self.spark, self.manifest_path)
         if not fs.exists(base):
             return False
-        entries = [s.getPath() for s in fs.listStatus(base) if s.isDirectory()]
-        if len(entries) <= max_entries:
-            return False
-        self.manifest().coalesce(1).write.parquet(self._entry_path("compact"))
-        for p in entries:
-            fs.delete(p, True)
+        with self._compact_lock:
+            entries = [s.getPath() for s in fs.listStatus(base) if s.isDirectory()]
+            if len(entries) <= max_entries:
+                return False
+            # Only the listed entries are compacted and deleted; an entry a
+            # concurrent save adds meanwhile stays as it is.
+            listed = self.spark.read.schema(MANIFEST_SCHEMA).parquet(*[p.toString() for p in entries])
+            latest_row = F.max_by(F.struct(*listed.columns), F.col("created_at"))
+            deduped = listed.groupBy("dashboard_id", "snapshot_id").agg(latest_row.alias("r")).select("r.*")
+            deduped.coalesce(1).write.parquet(self._entry_path("compact"))
+            for p in entries:
+                fs.delete(p, True)
         return True

@@ -122,3 +122,15 @@ def test_vacuum_keeps_family_batches_in_use(spark, store, tmp_path):
     assert store.vacuum(retain=1) == 1
     assert os.listdir(tmp_path / "store" / "batches") == ["snapshot_id=second"]
     assert store.get(2).first().s == 2.0
+
+
+def test_manifest_compacts_itself(spark, tmp_path):
+    import os
+
+    store = SnapshotStore(spark, str(tmp_path / "auto"), max_manifest_entries=3)
+    for i in range(6):
+        store.save(i % 2, spark.createDataFrame([(i,)], "n long"), created_at=dt.datetime(2024, 1, 1 + i))
+    entries = os.listdir(tmp_path / "auto" / "_manifest")
+    assert len(entries) <= 3
+    assert store.manifest().count() == 6
+    assert store.get(0).first().n == 4 and store.get(1).first().n == 5
