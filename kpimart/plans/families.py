@@ -50,7 +50,7 @@ from kpimart.operators.filters import apply_row_filters
 from kpimart.plans.fanout import RESULT_SCHEMA, fan_out, results_frame, stage
 from kpimart.plans.processing import as_pipeline, run
 from kpimart.session import checkpoint_root
-from kpimart.sinks.store import SnapshotStore, new_snapshot_id, path_exists
+from kpimart.sinks.store import SnapshotStore, new_snapshot_id
 
 # Fixed value: the operator spellings that mean equality in a config.
 EQ_OPS = ("==", "=", "eq")
@@ -193,16 +193,16 @@ def save_family(store: SnapshotStore, result: DataFrame, dashboard_ids: DataFram
         .otherwise(F.concat(F.lit(f"{batch}/dashboard_id="), F.col("dashboard_id").cast("string")))
         .alias("path"),
     )
-    entry = store._entry_path()
-    rows.coalesce(1).write.parquet(entry)
+    rows.coalesce(1).write.parquet(store._entry_path())
     store.compact_manifest(store.max_manifest_entries)
-    return spark.read.parquet(entry) if path_exists(spark, entry) else _entry_rows(store, sid, dashboard_ids)
+    # The rows themselves (recomputed from the written data and the member
+    # ids), not a read of the entry folder, which a later compaction removes.
+    return rows
 
 
 def save_shared(store: SnapshotStore, result: DataFrame, dashboard_ids: DataFrame, snapshot_id: str | None = None) -> DataFrame:
     """Identical configs: write the one result once and point every member's
     manifest row at it (no copy per dashboard). Returns the manifest rows."""
-    spark = result.sparkSession
     store.ensure()
     sid = snapshot_id or new_snapshot_id()
     created_at = _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)
@@ -216,17 +216,11 @@ def save_shared(store: SnapshotStore, result: DataFrame, dashboard_ids: DataFram
         F.lit(int(obs.get["rows"])).cast("bigint").alias("row_count"),
         F.lit(path).alias("path"),
     )
-    entry = store._entry_path()
-    rows.coalesce(1).write.parquet(entry)
+    rows.coalesce(1).write.parquet(store._entry_path())
     store.compact_manifest(store.max_manifest_entries)
-    return spark.read.parquet(entry) if path_exists(spark, entry) else _entry_rows(store, sid, dashboard_ids)
-
-
-def _entry_rows(store: SnapshotStore, sid: str, dashboard_ids: DataFrame) -> DataFrame:
-    """The manifest rows of one save after compaction folded its entry in."""
-    return store.manifest().where(F.col("snapshot_id") == F.lit(sid)).join(
-        dashboard_ids.select(F.col("dashboard_id").cast("bigint")), "dashboard_id", "left_semi"
-    )
+    # The rows themselves (member ids and the observed count), not a read of
+    # the entry folder, which a later compaction removes.
+    return rows
 
 
 def _ok(rows: DataFrame) -> DataFrame:

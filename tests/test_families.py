@@ -147,3 +147,19 @@ def test_fan_out_table_plans_families_in_spark(spark, df, tmp_path):
     assert store.current().where("dashboard_id in (6, 9)").select("path").distinct().count() == 1  # shared
     assert status[7].status == "ok" and store.get(7).count() == 5  # run on its own
     assert status[8].status == "error" and "median" in status[8].error
+
+
+def test_many_shapes_with_manifest_compaction(spark, df, tmp_path):
+    import json
+
+    from kpimart.plans.families import fan_out_table
+
+    rows = []
+    for i, key in enumerate(["cat", "year", "region"] * 2):
+        agg = {"column": "sales", "operation": "sum", "alias": f"s{i}"}
+        rows.append((i, json.dumps({"pipeline": {"aggregations": [agg], "group_by": [key]}})))
+    dashboards = spark.createDataFrame(rows, "dashboard_id long, config string")
+    store = SnapshotStore(spark, str(tmp_path / "store"), max_manifest_entries=2)
+    status = fan_out_table(df, dashboards, store).collect()  # collected after several compactions
+    assert sorted(r.dashboard_id for r in status) == list(range(6)) and all(r.status == "ok" for r in status)
+    assert store.current().count() == 6
