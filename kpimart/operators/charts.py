@@ -76,12 +76,60 @@ def chart_dataset(df: DataFrame, chart: ChartConfig, x_alias: str = "x") -> Data
     return bar_series(df, chart.x, chart.y[0], x_alias)
 
 
+def _one_key_each(charts: Sequence[tuple[PipelineConfig, ChartConfig]]) -> bool:
+    """Charts whose pipelines differ only in one group key each."""
+    first = charts[0][0]
+    keys = [p.group_by for p, _ in charts]
+    return (
+        len(charts) > 1
+        and not first.computed_fields
+        and first.aggregations
+        and all(len(k) == 1 for k in keys)
+        and len({k[0] for k in keys}) == len(keys)
+        and all(p.filters == first.filters and p.aggregations == first.aggregations and not p.computed_fields
+                for p, _ in charts)
+        and all(c.type in ("bar", "line") and len(c.y) == 1 and c.x == p.group_by[0] for p, c in charts)
+    )
+
+
+def _grouping_sets(df: DataFrame, charts: Sequence[tuple[PipelineConfig, ChartConfig]]) -> DataFrame:
+    """One ``GROUPING SETS`` aggregate for all charts: one scan, one shuffle.
+    ``grouping_id`` tells the sets apart (a real null key stays distinct from
+    a rolled-up one) and maps each row to its chart."""
+    from kpimart.operators.aggregate import aggregate_expression
+    from kpimart.operators.filters import apply_row_filters
+
+    pipeline = charts[0][0]
+    base = apply_row_filters(df, pipeline.filters)
+    keys = [p.group_by[0] for p, _ in charts]
+    require_columns(base, keys, "group key")
+    exprs = [aggregate_expression(base, spec) for spec in pipeline.aggregations]
+    g = base.groupingSets([[k] for k in keys], *keys).agg(*exprs, F.grouping_id().alias("__gid"))
+    n = len(keys)
+    chart_id = x = series = value = None
+    for i, (_, chart) in enumerate(charts):
+        check_chart(g, chart)
+        gid = sum(1 << (n - 1 - j) for j in range(n) if j != i)  # bit set = column rolled up
+        hit = F.col("__gid") == F.lit(gid)
+        pairs = ((F.lit(i), "chart_id"), (F.col(keys[i]).cast("string"), "x"), (F.lit(chart.y[0]), "series"), (F.col(chart.y[0]), "value"))
+        built = []
+        for (val, _), prev in zip(pairs, (chart_id, x, series, value)):
+            built.append(F.when(hit, val) if prev is None else prev.when(hit, val))
+        chart_id, x, series, value = built
+    return g.select(chart_id.alias("chart_id"), x.alias("x"), series.alias("series"), value.alias("value"))
+
+
 def combined_datasets(df: DataFrame, charts: Sequence[tuple[PipelineConfig, ChartConfig]]) -> DataFrame:
-    """CHT-7: several charts over one (globally filtered) frame. Each chart's
-    pipeline runs on the same frame; the datasets are tagged ``chart_id``
-    (its position) and unioned as ``(chart_id, x, series, value)``."""
+    """CHT-7: several charts over one (globally filtered) frame, tagged
+    ``chart_id`` (their position), as ``(chart_id, x, series, value)``.
+
+    Charts that differ only in their single group key are one grouping-sets
+    aggregate (one scan); others run their own pipelines on the frame and
+    are unioned."""
     from kpimart.plans.processing import run
 
+    if charts and _one_key_each(charts):
+        return _grouping_sets(df, charts)
     parts = []
     for i, (pipeline, chart) in enumerate(charts):
         if chart.type in ("dot", "table", "pie"):

@@ -47,3 +47,30 @@ def test_entry_smoke(spark):
     df = entry_mod.entry(spark)
     assert df.columns == ["category", "year", "sales", "prev_sales", "yoy"]
     assert df.count() > 0
+
+
+def _final_plan(df) -> str:
+    """The executed (AQE final) plan text, initial-plan blocks removed."""
+    df.collect()
+    out, skip = [], None
+    for line in df._jdf.queryExecution().executedPlan().toString().splitlines():
+        depth = len(line) - len(line.lstrip(" :|"))
+        if skip is not None and depth > skip:
+            continue
+        skip = None
+        if "== Initial Plan ==" in line:
+            skip = depth
+            continue
+        out.append(line)
+    return "\n".join(out)
+
+
+FACT_QUERIES = sorted(n for n in QUERIES if n.startswith(("flt_", "prj_", "agg_", "met_", "cht_")) and n != "met_share_cols")
+
+
+@pytest.mark.parametrize("name", FACT_QUERIES)
+def test_one_scan_of_the_fact_per_plan(spark, sf_small, name):
+    plan = _final_plan(QUERIES[name](spark, sf_small))
+    scans = plan.count("FileScan parquet")
+    subqueries = len(re.findall(r"Subquery subquery", plan))
+    assert 1 <= scans <= 1 + subqueries, (name, scans, subqueries)

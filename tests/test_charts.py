@@ -49,3 +49,24 @@ def test_combined_charts_share_one_filtered_frame(spark):
     cnt = lambda k: PipelineConfig.from_dict({"aggregations": [{"column": "c", "operation": "count", "alias": "n"}], "group_by": [k]})
     out = combined_datasets(df, [(cnt("cat"), ChartConfig("bar", "cat", "n")), (cnt("brand"), ChartConfig("bar", "brand", "n"))])
     assert sorted((r.chart_id, r.x, r.value) for r in out.collect()) == [(0, "a", 2), (0, "b", 1), (1, "x", 1), (1, "y", 2)]
+
+
+def test_combined_grouping_sets_equal_separate_charts(spark):
+    from kpimart.plans.processing import run
+
+    df = spark.createDataFrame(
+        [("a", "x", 1.0), ("a", "y", 2.0), ("b", "y", 3.0), (None, "y", 4.0), ("b", None, 5.0)],
+        "cat string, brand string, v double",
+    )
+    aggs = [{"column": "v", "operation": "sum", "alias": "s"}, {"column": "v", "operation": "count", "alias": "n"}]
+    cfg = lambda k: PipelineConfig.from_dict({"filters": [{"column": "v", "op": "<", "value": 5.0}], "aggregations": aggs, "group_by": [k]})
+    charts = [(cfg("cat"), ChartConfig("bar", "cat", "s")), (cfg("brand"), ChartConfig("line", "brand", "n"))]
+    out = combined_datasets(df, charts)
+    got = sorted((tuple(r) for r in out.collect()), key=repr)
+    want = []
+    for i, (p, c) in enumerate(charts):
+        for r in run(df, p).collect():
+            want.append((i, r[c.x], c.y[0], float(r[c.y[0]])))
+    assert got == sorted(want, key=repr)  # includes the real null keys of both charts
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Expand" in plan and "Union" not in plan  # one grouping-sets pass
