@@ -48,11 +48,15 @@ class DashboardResult:
 
 
 def stage(df: DataFrame, path: str | None = None, partitions: int | None = None) -> DataFrame:
-    """Write ``df`` once as Parquet (under the checkpoint folder) and read it back."""
+    """Write ``df`` once as Parquet (under the checkpoint folder) and read it
+    back. A ``rebalance`` hint spreads a non-splittable input (one gzip file
+    per task) over several tasks and lets AQE size the files from the data,
+    so a small upload does not become thousands of tiny files on a large
+    cluster; ``partitions`` forces a fixed count instead."""
     spark = df.sparkSession
     path = path or scratch_dir(spark, "staged")
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.repartition(n).write.mode("overwrite").parquet(path)
+    spread = df.repartition(partitions) if partitions else df.hint("rebalance")
+    spread.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 
