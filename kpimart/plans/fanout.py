@@ -6,7 +6,9 @@ upload), spreads a non-splittable ``.csv.gz`` over many files, and lets each
 dashboard's plan read only its own columns. Each dashboard then gets its own
 lazy plan and snapshot write; jobs are submitted from a small driver thread
 pool so independent dashboards run side by side. A failing dashboard is
-reported and does not stop the others.
+reported and does not stop the others. This is the form for tens of
+dashboards; many dashboards of one shape run as one job per shape in
+``kpimart.plans.families``.
 """
 
 from __future__ import annotations
