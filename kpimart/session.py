@@ -16,10 +16,15 @@ from pyspark.sql import SparkSession
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
 
-def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str = "kpimart") -> SparkSession:
+def local_session(
+    cpus: int | str = "*", shuffle_partitions: int = 8, app: str = "kpimart", extra_conf: dict | None = None
+) -> SparkSession:
     """A local session for tests and bench (UI off, AQE on, UTC)."""
+    builder = SparkSession.builder
+    for k, v in (extra_conf or {}).items():
+        builder = builder.config(k, v)
     spark = (
-        SparkSession.builder.master(f"local[{cpus}]")
+        builder.master(f"local[{cpus}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
