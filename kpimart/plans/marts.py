@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kpimart.session import scratch_dir
-from kpimart.sources.tables import table
+from kpimart.sources.tables import read_parquet, table
 
 # The role rule of the derived users table (FIXTURES.md §3).
 ADMIN_EVERY = 500
@@ -135,7 +135,8 @@ def staged_sales_fact(spark: SparkSession, sf_dir: str, refresh: bool = False) -
         spark, key, "sales_fact", lambda: sales_fact(spark, sf_dir), refresh,
         partition_by="year", sort_by=("category", "brand", "region"),
     )
-    return spark.read.parquet(path).select("year", "category", "brand", "region", "sales", "quantity", "id")
+    # staged copies never change, so the path alone identifies the files
+    return read_parquet(spark, path, state=()).select("year", "category", "brand", "region", "sales", "quantity", "id")
 
 
 def users(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -187,7 +188,7 @@ def staged_access(spark: SparkSession, sf_dir: str, refresh: bool = False) -> Da
     would be stored), keyed by its source files like ``staged_sales_fact``."""
     key = ("access", _fingerprint(spark, sf_dir, ("orders", "lineitem", "supplier")))
     path = _stage(spark, key, "access", lambda: access(spark, sf_dir).distinct(), refresh)
-    return spark.read.parquet(path)
+    return read_parquet(spark, path, state=())
 
 
 def access_requests(spark: SparkSession, sf_dir: str, dashboard_slots: int = 30) -> DataFrame:
