@@ -63,6 +63,16 @@ def check_value_type(column: str, dtype: T.DataType, value: object) -> None:
         )
 
 
+def sum_type(dtype: T.DataType) -> T.DataType:
+    """The result type of Spark's ``sum`` over ``dtype`` (decimals widen by
+    10 digits up to 38; integers sum as bigint; the rest as double)."""
+    if isinstance(dtype, T.DecimalType):
+        return T.DecimalType(min(38, dtype.precision + 10), dtype.scale)
+    if isinstance(dtype, T.IntegralType):
+        return T.LongType()
+    return T.DoubleType()
+
+
 def nan_to_null(c: Column, dtype: T.DataType) -> Column:
     """NaN -> null for float columns, so min/max ignore NaN."""
     if is_floating(dtype):

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kpimart.functions.columns import is_numeric, nan_to_null, require_columns, safe_divide
+from kpimart.functions.columns import is_numeric, nan_to_null, require_columns, safe_divide, sum_type
 
 ARITHMETIC = {"+", "-", "*", "/"}
 AGGREGATES = {"sum", "mean", "avg", "count", "min", "max"}
@@ -149,7 +149,7 @@ def aggregate_column(df: DataFrame, fn: str, arg: Column) -> Column:
     if fn in ("sum", "mean", "avg") and not is_numeric(dt):
         raise ValueError(f"{fn} needs a numeric argument, got {dt.simpleString()}")
     if fn == "sum":
-        return F.coalesce(F.sum(arg), F.lit(0).cast(_dtype(df, F.sum(arg))))
+        return F.coalesce(F.sum(arg), F.lit(0).cast(sum_type(dt)))
     if fn in ("mean", "avg"):
         return F.avg(arg)
     if fn == "min":

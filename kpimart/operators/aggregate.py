@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kpimart.config import AggregationSpec, PipelineConfig, check_output_names
-from kpimart.functions.columns import column_type, is_numeric, nan_to_null, require_columns, safe_divide
+from kpimart.functions.columns import column_type, is_numeric, nan_to_null, require_columns, safe_divide, sum_type
 from kpimart.functions.registry import get_aggregate
 
 
@@ -44,9 +44,7 @@ def aggregate_expression(df: DataFrame, spec: AggregationSpec) -> Column:
     if op in ("sum", "mean") and not is_numeric(dtype):
         raise ValueError(f"{op} needs a numeric column, {spec.column} is {dtype.simpleString()}")
     if op == "sum":
-        s = F.sum(c)
-        sum_type = df.select(s.alias("_s")).schema["_s"].dataType
-        out = F.coalesce(s, F.lit(0).cast(sum_type))
+        out = F.coalesce(F.sum(c), F.lit(0).cast(sum_type(dtype)))
     elif op == "mean":
         if isinstance(dtype, T.DecimalType):
             out = safe_divide(F.sum(c).cast("double"), F.count(c))
@@ -65,8 +63,7 @@ def empty_group_value(df: DataFrame, spec: AggregationSpec) -> Column | None:
     if spec.operation == "count":
         return F.lit(0).cast("bigint")
     if spec.operation == "sum":
-        s = df.select(F.sum(spec.column).alias("_s")).schema["_s"].dataType
-        return F.lit(0).cast(s)
+        return F.lit(0).cast(sum_type(column_type(df, spec.column)))
     return None
 
 

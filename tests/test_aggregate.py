@@ -4,6 +4,7 @@ import math
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kpimart.config import AggregationSpec
@@ -103,3 +104,12 @@ def test_many_keys_many_measures_one_pass(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1  # partial + final around one shuffle
     assert out.count() == 3
+
+
+def test_sum_type_rule_matches_spark(spark):
+    from kpimart.functions.columns import sum_type
+
+    df = spark.createDataFrame([], "a int, b bigint, c decimal(18,2), d decimal(35,4), e float, f double, g smallint")
+    for f in df.schema.fields:
+        spark_type = df.select(F.sum(f.name).alias("s")).schema["s"].dataType
+        assert sum_type(f.dataType) == spark_type, f.name
