@@ -15,8 +15,10 @@ never sees a half-written snapshot. An empty result is a real snapshot
 Each dashboard keeps its own schema. Replaying a save with the same
 ``snapshot_id`` (a retried stream batch) overwrites that snapshot's data,
 and the manifest is read de-duplicated on ``(dashboard_id, snapshot_id)``.
-Superseded snapshot folders are pruned after the manifest row lands.
-One writer per dashboard is assumed.
+Superseded snapshot folders are pruned after the manifest row lands; the
+current and the previous snapshot are kept, so a reader that looked up the
+manifest just before a save can still read. Manifest entries are compacted
+once there are many. One writer per dashboard is assumed.
 """
 
 from __future__ import annotations
