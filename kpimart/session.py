@@ -16,6 +16,36 @@ from pyspark.sql import SparkSession
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
 
+# Settings for a large cluster (for example 1000 executors reading ~100 TB).
+# Pass them to the session builder or spark-submit; the engine itself never
+# changes the caller's session conf.
+CLUSTER_CONF = {
+    # AQE re-plans from runtime sizes: coalesces small shuffle partitions,
+    # turns joins into broadcasts when a side turns out small, and splits
+    # skewed partitions of sort-merge joins and rebalances.
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
+    # Start from many shuffle partitions and let AQE merge them to ~256 MB,
+    # so a 100 TB shuffle has partitions that fit executor memory without
+    # spilling, while small stages collapse to a few tasks.
+    "spark.sql.shuffle.partitions": "20000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    # Scan splits of ~512 MB of Parquet: fewer, larger tasks over 100 TB.
+    "spark.sql.files.maxPartitionBytes": "512m",
+    # Broadcast only sides AQE measured under this size at run time.
+    "spark.sql.autoBroadcastJoinThreshold": "64m",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "64m",
+    # Compact, fast columnar files for staged inputs and snapshots.
+    "spark.sql.parquet.compression.codec": "zstd",
+    # Lost executors: retry tasks, and keep shuffle files readable.
+    "spark.task.maxFailures": "8",
+    "spark.shuffle.service.enabled": "true",
+    "spark.ui.enabled": "false",
+}
+
+
 def local_session(
     cpus: int | str = "*", shuffle_partitions: int = 8, app: str = "kpimart", extra_conf: dict | None = None
 ) -> SparkSession:

@@ -75,3 +75,14 @@ def test_dashboard_config_flat_and_nested_forms():
     assert DashboardConfig.from_json("").name == "Unnamed Dashboard"
     with pytest.raises(ValueError, match="valid JSON"):
         DashboardConfig.from_json("{not json")
+
+
+def test_cluster_conf_keys_are_spark_settings(spark):
+    from kpimart.session import CLUSTER_CONF
+
+    for key in CLUSTER_CONF:
+        assert key.startswith("spark.")
+    # the SQL settings are runtime settings Spark knows
+    for key in CLUSTER_CONF:
+        if key.startswith("spark.sql."):
+            assert spark.conf.isModifiable(key), key
