@@ -18,7 +18,15 @@ from kpimart.functions.registry import register_aggregate
 from kpimart.operators.aggregate import aggregate
 from kpimart.operators.charts import chart_dataset, combined_datasets, multi_series
 from kpimart.operators.computed import with_computed_fields
-from kpimart.operators.entitlements import authorize, denied, effective_access, entitled_rows, role_gate, visible_dashboards
+from kpimart.operators.entitlements import (
+    authorize,
+    dashboard_if_permitted,
+    denied,
+    effective_access,
+    entitled_rows,
+    role_gate,
+    visible_dashboards,
+)
 from kpimart.operators.filters import GlobalFilters, apply_filters, apply_row_filters
 from kpimart.operators.latest import latest_per_key
 from kpimart.operators.metrics import ratio_of_sums, share, share_of_parent, share_of_total, yoy
@@ -414,6 +422,11 @@ def ent_visible(spark: SparkSession, d: str) -> DataFrame:
     return visible_dashboards(*_ent(spark, d), user_id=35).select("dashboard_id", "name")
 
 
+def ent_fetch(spark: SparkSession, d: str) -> DataFrame:
+    """ENT-3: dashboard 5 for user 35 if permitted, else no row."""
+    return dashboard_if_permitted(*_ent(spark, d), user_id=35, dashboard_id=5).select("dashboard_id", "name")
+
+
 def ent_check(spark: SparkSession, d: str) -> DataFrame:
     """ENT-4: authorise a batch of requests (ids 25-29 do not exist)."""
     return authorize(marts.access_requests(spark, d), *_ent(spark, d))
@@ -530,6 +543,7 @@ QUERIES: dict[str, Query] = {
     "str_backlog": str_backlog,
     "ent_effective": ent_effective,
     "ent_visible": ent_visible,
+    "ent_fetch": ent_fetch,
     "ent_check": ent_check,
     "ent_denied": ent_denied,
     "ent_rows": ent_rows,

@@ -129,6 +129,10 @@ _SQL = {
         "with {e} select d.dashboard_id, d.name from dashboards d where exists "
         "(select 1 from eff where eff.user_id = 35 and eff.dashboard_id = d.dashboard_id)"
     ),
+    "ent_fetch": (
+        "with {e} select d.dashboard_id, d.name from dashboards d where d.dashboard_id = 5 and exists "
+        "(select 1 from eff where eff.user_id = 35 and eff.dashboard_id = d.dashboard_id)"
+    ),
     "ent_check": (
         "with {e}, req as (select distinct o_custkey as user_id, o_orderkey % 30 as dashboard_id from orders) "
         "select r.user_id, r.dashboard_id, (e.user_id is not null or coalesce(u.role, '') = 'admin') as allowed "
