@@ -133,3 +133,17 @@ def test_stream_with_the_dashboards_table(spark, tmp_path):
     q = upload_stream(spark, str(incoming), CSV_SCHEMA, dashboards, store, str(tmp_path / "cp"), name="t_table")
     q.awaitTermination()
     assert store.get(1).first().s == 1.0 and store.get(2).first().s == 6.0
+
+
+def test_stream_with_a_processing_time_trigger(spark, tmp_path):
+    incoming = tmp_path / "incoming"
+    _gz(incoming / "u.csv.gz", "cat,year,sales\na,2020,1.0\na,2021,2.0\n")
+    store = SnapshotStore(spark, str(tmp_path / "store"))
+    q = upload_stream(spark, str(incoming), CSV_SCHEMA, {1: _sum_by("cat")}, store, str(tmp_path / "cp"),
+                      name="t_continuous", available_now=False, processing_time="1 second")
+    try:
+        q.processAllAvailable()
+        assert store.get(1).first().total == 3.0
+    finally:
+        q.stop()
+    assert not q.isActive
