@@ -375,6 +375,18 @@ def _land_upload(df: DataFrame, incoming: str, name: str) -> None:
             fs.rename(st.getPath(), jvm.org.apache.hadoop.fs.Path(dst_dir, f"{name}.csv.gz"))
 
 
+STREAM_TIMEOUT_S = 3600
+
+
+def _finish(q) -> None:
+    """Wait for an available-now stream; stop it and fail if it hangs."""
+    if not q.awaitTermination(STREAM_TIMEOUT_S):
+        q.stop()
+        raise TimeoutError(f"stream {q.name} did not finish within {STREAM_TIMEOUT_S} s")
+    if q.exception() is not None:
+        raise RuntimeError(f"stream {q.name} failed: {q.exception()}")
+
+
 def str_upload(spark: SparkSession, d: str) -> DataFrame:
     """STR-1: two uploads arrive (1998's rows, then the whole fact); the
     stream recomputes the dashboard per file and the second file wins."""
@@ -386,7 +398,7 @@ def str_upload(spark: SparkSession, d: str) -> DataFrame:
     cfg = PipelineConfig(filters=(FilterSpec("year", 1999),), aggregations=(_agg("id", "count", "n"),), group_by=("category",))
     store = SnapshotStore(spark, f"{base}/store")
     q = upload_stream(spark, incoming, FACT_DDL, {11: cfg}, store, f"{base}/checkpoint", name="str_upload")
-    q.awaitTermination()
+    _finish(q)
     return store.get(11)
 
 
@@ -401,7 +413,7 @@ def str_backlog(spark: SparkSession, d: str) -> DataFrame:
     cfg = PipelineConfig(filters=(FilterSpec("year", 1999),), aggregations=(_agg("id", "count", "n"),), group_by=("category",))
     store = SnapshotStore(spark, f"{base}/store")
     q = upload_stream(spark, incoming, FACT_DDL, {11: cfg}, store, f"{base}/checkpoint", name="str_backlog", latest_only=True)
-    q.awaitTermination()
+    _finish(q)
     return store.get(11)
 
 
