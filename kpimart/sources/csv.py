@@ -130,12 +130,16 @@ def validate_files(
     directory: str,
     schema: T.StructType | str | Mapping[str, str],
     glob: str = UPLOAD_GLOB,
+    multi_line: bool | None = None,
 ) -> DataFrame:
     """SRC-5: one row per file ``(path, is_valid, error, bad_rows)``, never raises.
 
     Errors: empty file, duplicate header names, missing columns. ``bad_rows``
     counts rows with a non-empty cell that does not cast to its column's type.
+    Quoted newlines are parsed for gzip files (one task per file anyway);
+    plain CSV stays splittable unless ``multi_line=True``.
     """
+    multi_line = glob.endswith(".gz") if multi_line is None else multi_line
     st = _schema(schema)
     expected = [f.name for f in st.fields]
     files = list_files(spark, directory, glob).select("path")
@@ -160,7 +164,7 @@ def validate_files(
     strings = T.StructType([T.StructField(f.name, T.StringType()) for f in st.fields])
     raw = (
         spark.read.schema(strings)
-        .options(**CSV_OPTIONS, multiLine="true")
+        .options(**CSV_OPTIONS, multiLine=str(multi_line).lower())
         .option("pathGlobFilter", glob)
         .option("recursiveFileLookup", "true")
         .csv(directory)

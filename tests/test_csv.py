@@ -102,3 +102,11 @@ def test_validate_quoted_header_names(spark, tmp_path):
     res = {r.path.rsplit("/", 1)[-1]: r for r in validate_files(spark, str(d), SCHEMA).collect()}
     assert res["q.csv.gz"].is_valid, res["q.csv.gz"]
     assert res["m.csv.gz"].error == "Missing columns: a, n"
+
+
+def test_validate_plain_csv_folder(spark, tmp_path):
+    d = tmp_path / "plain"
+    _write(d / "ok.csv", "a,n\nx,1\n")
+    _write(d / "bad.csv", "a,n\nx,zz\n")
+    res = {r.path.rsplit("/", 1)[-1]: r for r in validate_files(spark, str(d), SCHEMA, glob="*.csv").collect()}
+    assert res["ok.csv"].is_valid and res["bad.csv"].bad_rows == 1
