@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kpimart.llm import mixing, sharding, spotsigs
+from kpimart.llm import decontaminate, mixing, sharding, spotsigs
 from kpimart.session import scratch_dir
 from kpimart.sources.tables import table
 
@@ -58,8 +58,14 @@ def op9_spotsigs(spark: SparkSession, d: str) -> DataFrame:
     return spotsigs.fingerprints(table(spark, d, "documents"))
 
 
+def op10_decontamination(spark: SparkSession, d: str) -> DataFrame:
+    """Benchmark words and items in every document."""
+    found = decontaminate.find_benchmark_spans(table(spark, d, "documents"), table(spark, d, "benchmark"))
+    return decontaminate.digest(found)
+
+
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_slot_sharding, op8_source_mixing, op9_spotsigs)
+    f.__name__: f for f in (op1_slot_sharding, op8_source_mixing, op9_spotsigs, op10_decontamination)
 }
 
 ORACLE_SQL: dict[str, str] = {}
