@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kpimart.llm import decontaminate, mixing, sharding, spotsigs
+from kpimart.llm import decontaminate, jaccard_join, mixing, sharding, spotsigs
 from kpimart.session import scratch_dir
 from kpimart.sources.tables import table
 
@@ -34,6 +34,12 @@ def op1_slot_sharding(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def op2_ngram_jaccard(spark: SparkSession, d: str) -> DataFrame:
+    """Groups of documents whose 5-word shingles reach a Jaccard of 0.75."""
+    found = jaccard_join.jaccard_components(table(spark, d, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
 def written(df: DataFrame, purpose: str) -> DataFrame:
     """``df`` written under the shared scratch folder and read again."""
     path = scratch_dir(df.sparkSession, purpose)
@@ -65,7 +71,7 @@ def op10_decontamination(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_slot_sharding, op8_source_mixing, op9_spotsigs, op10_decontamination)
+    f.__name__: f for f in (op1_slot_sharding, op2_ngram_jaccard, op8_source_mixing, op9_spotsigs, op10_decontamination)
 }
 
 ORACLE_SQL: dict[str, str] = {}
