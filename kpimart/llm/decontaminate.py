@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kpimart.llm import textvec
+from kpimart.llm.tasks import share
 
 WINDOW = 10
 SAMPLE = 16
@@ -312,11 +313,12 @@ def find_benchmark_spans(
     )
 
     def scan(block: list) -> DataFrame:
-        phrases = spark.sparkContext.broadcast(Phrases(block, window))
+        shared = share(spark, Phrases(block, window))
 
         def run(batches):
+            phrases = shared()
             for batch in batches:
-                columns = scan_batch(batch.column(len(keep)), phrases.value, shard_symbols)
+                columns = scan_batch(batch.column(len(keep)), phrases, shard_symbols)
                 yield pa.RecordBatch.from_arrays(
                     [*batch.columns[: len(keep)], *columns], [*keep, "n_words", "spans", "items"]
                 )

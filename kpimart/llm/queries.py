@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kpimart.llm import decontaminate, jaccard_join, mixing, sharding, spotsigs
+from kpimart.llm import decontaminate, jaccard_join, language_id, mixing, sharding, spotsigs
 from kpimart.session import scratch_dir
 from kpimart.sources.tables import table
 
@@ -40,6 +40,13 @@ def op2_ngram_jaccard(spark: SparkSession, d: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id")
 
 
+def op3_language_id(spark: SparkSession, d: str) -> DataFrame:
+    """The language of every document, learned from those not held out."""
+    docs = table(spark, d, "documents")
+    found = language_id.identify(docs, language_id.language_model(docs), ["doc_id"])
+    return found.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def written(df: DataFrame, purpose: str) -> DataFrame:
     """``df`` written under the shared scratch folder and read again."""
     path = scratch_dir(df.sparkSession, purpose)
@@ -71,7 +78,7 @@ def op10_decontamination(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_slot_sharding, op2_ngram_jaccard, op8_source_mixing, op9_spotsigs, op10_decontamination)
+    f.__name__: f for f in (op1_slot_sharding, op2_ngram_jaccard, op3_language_id, op8_source_mixing, op9_spotsigs, op10_decontamination)
 }
 
 ORACLE_SQL: dict[str, str] = {}
