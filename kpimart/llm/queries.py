@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kpimart.llm import decontaminate, jaccard_join, language_id, mixing, sharding, spotsigs
+from kpimart.llm import decontaminate, jaccard_join, language_id, mixing, quality, sharding, spotsigs
 from kpimart.session import scratch_dir
 from kpimart.sources.tables import table
 
@@ -54,6 +54,13 @@ def written(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def op6_quality(spark: SparkSession, d: str) -> DataFrame:
+    """The quality of every document, learned from the labels not held out."""
+    docs = table(spark, d, "documents")
+    found = quality.score(docs, quality.train(docs, table(spark, d, "labels")), ["doc_id"])
+    return found.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op8_source_mixing(spark: SparkSession, d: str) -> DataFrame:
     """The words that a mix of all documents takes of each."""
     sized = written(mixing.size_documents(table(spark, d, "documents")), "mix-sizes")
@@ -78,7 +85,7 @@ def op10_decontamination(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_slot_sharding, op2_ngram_jaccard, op3_language_id, op8_source_mixing, op9_spotsigs, op10_decontamination)
+    f.__name__: f for f in (op1_slot_sharding, op2_ngram_jaccard, op3_language_id, op6_quality, op8_source_mixing, op9_spotsigs, op10_decontamination)
 }
 
 ORACLE_SQL: dict[str, str] = {}
