@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kpimart.llm import decontaminate, jaccard_join, language_id, mixing, quality, sharding, spotsigs
+from kpimart.llm import decontaminate, jaccard_join, language_id, mixing, pii, quality, sharding, spotsigs
 from kpimart.session import scratch_dir
 from kpimart.sources.tables import table
 
@@ -61,6 +61,12 @@ def op6_quality(spark: SparkSession, d: str) -> DataFrame:
     return found.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op7_pii(spark: SparkSession, d: str) -> DataFrame:
+    """Personal data in every document."""
+    docs = table(spark, d, "documents")
+    return pii.scan(docs, pii.train(docs), ["doc_id"])
+
+
 def op8_source_mixing(spark: SparkSession, d: str) -> DataFrame:
     """The words that a mix of all documents takes of each."""
     sized = written(mixing.size_documents(table(spark, d, "documents")), "mix-sizes")
@@ -85,7 +91,7 @@ def op10_decontamination(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_slot_sharding, op2_ngram_jaccard, op3_language_id, op6_quality, op8_source_mixing, op9_spotsigs, op10_decontamination)
+    f.__name__: f for f in (op1_slot_sharding, op2_ngram_jaccard, op3_language_id, op6_quality, op7_pii, op8_source_mixing, op9_spotsigs, op10_decontamination)
 }
 
 ORACLE_SQL: dict[str, str] = {}
