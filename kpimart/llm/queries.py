@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kpimart.llm import decontaminate, jaccard_join, language_id, mixing, pii, quality, sharding, spotsigs
+from kpimart.llm import decontaminate, html_extract, jaccard_join, language_id, mixing, pii, quality, sharding, spotsigs
 from kpimart.session import scratch_dir
 from kpimart.sources.tables import table
 
@@ -54,6 +54,12 @@ def written(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def op4_html_extract(spark: SparkSession, d: str) -> DataFrame:
+    """The main text of every page."""
+    pages = table(spark, d, "pages")
+    return html_extract.extract_pages(pages, written(html_extract.wrappers(pages), "wrappers"), ["page_id", "url"])
+
+
 def op6_quality(spark: SparkSession, d: str) -> DataFrame:
     """The quality of every document, learned from the labels not held out."""
     docs = table(spark, d, "documents")
@@ -91,7 +97,7 @@ def op10_decontamination(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_slot_sharding, op2_ngram_jaccard, op3_language_id, op6_quality, op7_pii, op8_source_mixing, op9_spotsigs, op10_decontamination)
+    f.__name__: f for f in (op1_slot_sharding, op2_ngram_jaccard, op3_language_id, op4_html_extract, op6_quality, op7_pii, op8_source_mixing, op9_spotsigs, op10_decontamination)
 }
 
 ORACLE_SQL: dict[str, str] = {}
