@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kpimart.llm import decontaminate, html_extract, jaccard_join, language_id, mixing, pii, quality, sharding, spotsigs
+from kpimart.llm import decontaminate, html_extract, jaccard_join, language_id, mixing, pii, quality, secret_scan, sharding, spotsigs
 from kpimart.session import scratch_dir
 from kpimart.sources.tables import table
 
@@ -60,6 +60,21 @@ def op4_html_extract(spark: SparkSession, d: str) -> DataFrame:
     return html_extract.extract_pages(pages, written(html_extract.wrappers(pages), "wrappers"), ["page_id", "url"])
 
 
+def op5_secret_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Every secret candidate of every document, with the forest's verdict.
+    Values are given by their SHA-256 only."""
+    found = secret_scan.scan(table(spark, d, "documents"))
+    return found.select(
+        "doc_id",
+        "start",
+        "end",
+        F.sha2("value", 256).alias("value_sha256"),
+        secret_scan.held_out(F.col("doc_id")).alias("held_out"),
+        "probability",
+        "secret",
+    )
+
+
 def op6_quality(spark: SparkSession, d: str) -> DataFrame:
     """The quality of every document, learned from the labels not held out."""
     docs = table(spark, d, "documents")
@@ -97,7 +112,7 @@ def op10_decontamination(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_slot_sharding, op2_ngram_jaccard, op3_language_id, op4_html_extract, op6_quality, op7_pii, op8_source_mixing, op9_spotsigs, op10_decontamination)
+    f.__name__: f for f in (op1_slot_sharding, op2_ngram_jaccard, op3_language_id, op4_html_extract, op5_secret_scan, op6_quality, op7_pii, op8_source_mixing, op9_spotsigs, op10_decontamination)
 }
 
 ORACLE_SQL: dict[str, str] = {}
