@@ -19,9 +19,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 SHARDS = 24
 
 
-def op1_slot_sharding(spark: SparkSession, d: str) -> DataFrame:
-    """All documents in 24 shards of nearly equal bytes, by 4,096 virtual slots."""
-    placed = sharding.shard_by_slots(table(spark, d, "documents"), SHARDS, scratch_dir(spark, "slot-map"))
+def shard_rows(docs: DataFrame) -> DataFrame:
+    """``docs`` in 24 shards of nearly equal bytes, by 4,096 virtual slots."""
+    placed = sharding.shard_by_slots(docs, SHARDS, scratch_dir(docs.sparkSession, "slot-map"))
     return placed.select(
         "doc_id",
         "size",
@@ -34,6 +34,11 @@ def op1_slot_sharding(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def op1_slot_sharding(spark: SparkSession, d: str) -> DataFrame:
+    """All documents in 24 shards of nearly equal bytes, by 4,096 virtual slots."""
+    return shard_rows(table(spark, d, "documents"))
+
+
 def op2_ngram_jaccard(spark: SparkSession, d: str) -> DataFrame:
     """Groups of documents whose 5-word shingles reach a Jaccard of 0.75."""
     found = jaccard_join.jaccard_components(table(spark, d, "documents"))
