@@ -42,7 +42,7 @@ TABLE_BITS = 18
 HASHES = 2
 MAX_LANGUAGES = 64
 UNKNOWN = "und"
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 1 << 20
 
 _LETTER = np.zeros(256, dtype=np.uint8)
 _LETTER[97:123] = np.arange(97, 123)
@@ -172,18 +172,21 @@ def train(rows: DataFrame, per_language: int = TRAIN_PER_LANGUAGE) -> LanguageFi
     """A filter from labelled rows (``lang``, ``text``); of each language the
     ``per_language`` rows first in the order of a hash of the text."""
     known = rows.filter("lang is not null and text is not null").select(
-        "lang", "text", F.pmod(F.xxhash64("text"), F.lit(1 << 40)).alias("__order")
+        "lang", "text", F.xxhash64(*rows.columns).alias("__order")
     )
     sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").take(MAX_LANGUAGES)}
     if not sizes:
         return LanguageFilter([], np.zeros(1 << TABLE_BITS, np.uint64), np.zeros(0))
-    # a hash bound that about twice the sample passes, then the exact sample
-    near = F.lit(False)
-    for name, n in sizes.items():
-        bound = int(min(1.0, 2 * per_language / n) * (1 << 40))
-        near = near | ((F.col("lang") == name) & (F.col("__order") < bound))
-    order = Window.partitionBy("lang").orderBy("__order", "text")
-    sample = known.filter(near).withColumn("__rank", F.row_number().over(order)).filter(F.col("__rank") <= per_language)
+    # the order value at which each language's sample ends: only order values
+    # are ranked, so no text is shuffled
+    order = Window.partitionBy("lang").orderBy("__order")
+    ranked = known.select("lang", "__order").withColumn("__rank", F.row_number().over(order))
+    last = ranked.filter(F.col("__rank") <= per_language).groupBy("lang").agg(F.max("__order").alias("last"))
+    bounds = {r["lang"]: r["last"] for r in last.collect() if r["lang"] in sizes}
+    inside = F.lit(False)
+    for name, bound in bounds.items():
+        inside = inside | ((F.col("lang") == name) & (F.col("__order") <= bound))
+    sample = known.filter(inside)
     counted = sample.select("lang", "text").mapInArrow(_count_grams, "lang string, gram long, n long")
     taken = {n: min(c, per_language) for n, c in sizes.items()}
     least = F.lit(2.0)
