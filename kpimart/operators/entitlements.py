@@ -7,19 +7,10 @@ Inputs::
     access     : user_id, dashboard_id    (duplicates allowed)
 
 A user may see a dashboard if the user is an admin, owns it, or holds a
-grant. Checks (ENT-2/3/4/6) never list admin pairs: they test the role and
-look the request up in the owner/grant pairs, so their size follows the
-requests, not users x dashboards.
-
-Listing everything (ENT-1) does include one row per admin and dashboard,
-the size of the answer itself. It is built without a join operator: the
-dashboard ids become one array through a scalar subquery (only after a
-row-count check bounds them), and each admin row, in its own partition,
-explodes that array. Above the bound the ids cannot travel as one value, so
-admins get a hash salt in ``[0, n)``, the dashboard ids are replicated ``n``
-times, and an equi-join on the salt spreads the expansion over ``n`` tasks.
-(A join on a constant ``role`` key would not do: the optimizer folds the
-constant away and plans a nested-loop cross product.)
+grant. That an admin sees all stays a rule: it is one row (``sees_all``), not
+one row per dashboard, so no result grows with users x dashboards. Checks
+(ENT-2/3/4/6) test the role and look the request up in the owner/grant pairs;
+their size follows the requests. Nothing here runs a job when a plan is built.
 """
 
 from __future__ import annotations
@@ -32,14 +23,6 @@ from kpimart.functions.columns import require_columns
 ADMIN = "admin"
 WRITE_ROLES = ("admin", "editor")
 WRITE_ACTIONS = ("upload", "recompute")
-DEFAULT_BROADCAST_ROWS = 1_000_000
-
-
-def fits(df: DataFrame, max_rows: int) -> bool:
-    """True if ``df`` has at most ``max_rows`` rows: the size check before
-    something is gathered into one value (the frames checked are small by
-    role: the dashboards table, an aggregate to export)."""
-    return df.count() <= max_rows
 
 
 def direct_access(dashboards: DataFrame, access: DataFrame) -> DataFrame:
@@ -53,30 +36,17 @@ def direct_access(dashboards: DataFrame, access: DataFrame) -> DataFrame:
     return owners.unionByName(grants).distinct()
 
 
-def _expand_to_all(members: DataFrame, dashboard_ids: DataFrame, max_ids: int) -> DataFrame:
-    """``(user_id, dashboard_id)`` for every member and every dashboard id."""
-    if fits(dashboard_ids, max_ids):
-        ids = dashboard_ids.agg(F.collect_list("dashboard_id").alias("_ids")).scalar()
-        return members.select("user_id", F.explode(ids).alias("dashboard_id"))
-    n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    salted = members.select("user_id", F.pmod(F.xxhash64("user_id"), F.lit(n)).alias("salt"))
-    salts = F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))
-    copies = dashboard_ids.select("dashboard_id", F.explode(salts).alias("salt"))
-    return salted.join(copies, "salt").select("user_id", "dashboard_id")
-
-
 def effective_access(
-    users: DataFrame,
-    dashboards: DataFrame,
-    access: DataFrame,
-    admin_role: str = ADMIN,
-    max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS,
+    users: DataFrame, dashboards: DataFrame, access: DataFrame, admin_role: str = ADMIN
 ) -> DataFrame:
-    """ENT-1/SET-1: every ``(user_id, dashboard_id)`` a user may see."""
+    """ENT-1/SET-1: what every user may see, as ``(user_id, dashboard_id,
+    sees_all)``: one row per owned or granted dashboard, and one row with
+    ``sees_all`` (and no dashboard) per admin."""
     require_columns(users, ("user_id", "role"))
-    admins = users.where(F.col("role") == F.lit(admin_role)).select("user_id")
-    expanded = _expand_to_all(admins, dashboards.select("dashboard_id"), max_broadcast_rows)
-    return expanded.unionByName(direct_access(dashboards, access)).distinct()
+    admins = users.where(F.col("role") == F.lit(admin_role)).select("user_id").distinct()
+    ids = direct_access(dashboards, access)
+    rule = admins.select("user_id", F.lit(None).cast(ids.schema["dashboard_id"].dataType).alias("dashboard_id"))
+    return rule.withColumn("sees_all", F.lit(True)).unionByName(ids.withColumn("sees_all", F.lit(False)))
 
 
 def _is_admin(users: DataFrame, user_id: int, admin_role: str = ADMIN) -> Column:
@@ -85,14 +55,8 @@ def _is_admin(users: DataFrame, user_id: int, admin_role: str = ADMIN) -> Column
     return hit.agg((F.count(F.lit(1)) > 0).alias("_a")).scalar()
 
 
-def visible_dashboards(
-    users: DataFrame, dashboards: DataFrame, access: DataFrame, user_id: int | None = None
-) -> DataFrame:
-    """ENT-2: dashboards a user may see (all of them for an admin). Without a
-    user: one row per ``(user_id, dashboard)`` over all users."""
-    if user_id is None:
-        eff = effective_access(users, dashboards, access)
-        return eff.join(dashboards, "dashboard_id")
+def visible_dashboards(users: DataFrame, dashboards: DataFrame, access: DataFrame, user_id: int) -> DataFrame:
+    """ENT-2: dashboards a user may see (all of them for an admin)."""
     mine = (
         direct_access(dashboards, access)
         .where(F.col("user_id") == F.lit(user_id))
@@ -137,18 +101,18 @@ def denied(requests: DataFrame, users: DataFrame, dashboards: DataFrame, access:
     return authorize(requests, users, dashboards, access).where(~F.col("allowed")).drop("allowed")
 
 
-def entitled_rows(rows: DataFrame, eff: DataFrame, key: str = "dashboard_id", user_id: int | None = None) -> DataFrame:
-    """ENT-5: rows of per-dashboard aggregates, one copy per user entitled to
-    their dashboard (or only the rows one user may see)."""
+def entitled_rows(
+    rows: DataFrame, users: DataFrame, dashboards: DataFrame, access: DataFrame, user_id: int, key: str = "dashboard_id"
+) -> DataFrame:
+    """ENT-5: the rows of per-dashboard aggregates that one user may see."""
     require_columns(rows, (key,))
-    if user_id is not None:
-        mine = eff.where(F.col("user_id") == F.lit(user_id)).select(F.col("dashboard_id").alias(key))
-        return rows.join(mine, key, "left_semi")
-    return eff.withColumnRenamed("dashboard_id", key).join(rows, key)
+    mine = visible_dashboards(users, dashboards, access, user_id).select(F.col("dashboard_id").alias(key))
+    return rows.join(mine, key, "left_semi")
 
 
 def role_gate(eff: DataFrame, users: DataFrame, alias: str = "can_upload") -> DataFrame:
-    """ENT-6: for each effective pair, whether the user may upload/recompute."""
+    """ENT-6: for each row of ``effective_access``, whether the user may
+    upload and recompute there."""
     return eff.join(users.select("user_id", "role"), "user_id").select(
-        "user_id", "dashboard_id", F.col("role").isin(list(WRITE_ROLES)).alias(alias)
+        *eff.columns, F.col("role").isin(list(WRITE_ROLES)).alias(alias)
     )

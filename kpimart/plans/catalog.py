@@ -14,10 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kpimart.config import AggregationSpec, ChartConfig, ComputedField, FilterSpec, PipelineConfig
-from kpimart.functions.registry import register_aggregate
+from kpimart.functions.registry import apply_transformation, register, register_aggregate
 from kpimart.operators.aggregate import aggregate
 from kpimart.operators.charts import chart_dataset, combined_datasets, multi_series
-from kpimart.operators.computed import with_computed_fields
+from kpimart.operators.computed import growth_ratio, with_computed_fields
 from kpimart.operators.entitlements import (
     authorize,
     dashboard_if_permitted,
@@ -33,11 +33,12 @@ from kpimart.operators.metrics import ratio_of_sums, share, share_of_parent, sha
 from kpimart.plans import marts
 from kpimart.plans.dashboards import PipelineDashboard, StoredDashboard
 from kpimart.plans.families import fan_out_table
-from kpimart.plans.fanout import fan_out
+from kpimart.plans.fanout import fan_out, trigger_processing
 from kpimart.plans.processing import run
 from kpimart.session import scratch_dir
+from kpimart.sinks.codec import from_json_lines, to_json_lines, write_json
 from kpimart.sinks.store import SnapshotStore
-from kpimart.sources.csv import load_csv, write_csv_gz
+from kpimart.sources.csv import admit_files, list_files, load_csv, validate_files, write_csv_gz
 from kpimart.sources.tables import table
 from kpimart.streaming.upload import upload_stream
 
@@ -112,7 +113,6 @@ def flt_post_agg(spark: SparkSession, d: str) -> DataFrame:
 def prj_chain(spark: SparkSession, d: str) -> DataFrame:
     """PRJ-1/PRJ-2/SCL-1: chained computed fields with safe division."""
     cfg = PipelineConfig(
-        filters=(FilterSpec("year", 1995), FilterSpec("quantity", 45, ">")),
         computed_fields=(
             ComputedField("q2", {"op": "+", "args": [{"op": "*", "args": [{"col": "quantity"}, {"lit": 2}]}, {"lit": 1}]}),
             ComputedField("q3", {"op": "/", "args": [{"col": "q2"}, {"lit": 4}]}),
@@ -123,13 +123,30 @@ def prj_chain(spark: SparkSession, d: str) -> DataFrame:
 
 def prj_broadcast(spark: SparkSession, d: str) -> DataFrame:
     """PRJ-4: a whole-frame aggregate inside a row expression (scalar
-    subquery), computed over the whole fact, then rows filtered."""
+    subquery) over the whole fact."""
     below = ComputedField("below_max", {"op": "-", "args": [{"agg": "max", "arg": {"col": "quantity"}}, {"col": "quantity"}]})
     f = with_computed_fields(marts.staged_sales_fact(spark, d), [below])
-    f = apply_row_filters(f, [FilterSpec("year", 1995), FilterSpec("brand", "Brand#3")])
     return f.select("id", "category", "quantity", "below_max")
 
 
+def prj_grouped(spark: SparkSession, d: str) -> DataFrame:
+    """PRJ-4: a per-group aggregate inside a row expression (``over``)."""
+    below = ComputedField(
+        "below_max", {"op": "-", "args": [{"agg": "max", "arg": {"col": "quantity"}, "over": ["brand"]}, {"col": "quantity"}]}
+    )
+    return with_computed_fields(marts.staged_sales_fact(spark, d), [below]).select("id", "brand", "quantity", "below_max")
+
+
+def prj_growth(spark: SparkSession, d: str) -> DataFrame:
+    """PRJ-3: growth of each order line's price over its order's total."""
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
+    o = table(spark, d, "orders").select("o_orderkey", "o_totalprice")
+    j = li.join(o, li.l_orderkey == o.o_orderkey)
+    return growth_ratio(j, "l_extendedprice", "o_totalprice").select(
+        F.col("o_orderkey").alias("id"), F.col("l_linenumber").alias("line"), "growth"
+    )
+
+
 # ------------------------------------------------------------ aggregates
 
 
@@ -170,7 +187,7 @@ def agg_multi(spark: SparkSession, d: str) -> DataFrame:
 
 def agg_global(spark: SparkSession, d: str) -> DataFrame:
     """AGG-7: global aggregate (no keys) -> one row."""
-    cfg = PipelineConfig(filters=(FilterSpec("year", 1997),), aggregations=(_agg("sales", "sum"), _agg("id", "count")))
+    cfg = PipelineConfig(aggregations=(_agg("sales", "sum"), _agg("id", "count")))
     return _double(run(marts.staged_sales_fact(spark, d), cfg), "sum_sales")
 
 
@@ -185,9 +202,7 @@ def agg_global_empty(spark: SparkSession, d: str) -> DataFrame:
 
 def agg_passthrough(spark: SparkSession, d: str) -> DataFrame:
     """AGG-8: no ``aggregations`` key -> rows pass through despite ``group_by``."""
-    cfg = PipelineConfig.from_dict(
-        {"filters": [{"column": "year", "value": 1999}, {"column": "brand", "value": "Brand#5"}], "group_by": ["category"]}
-    )
+    cfg = PipelineConfig.from_dict({"group_by": ["category"]})
     return run(marts.staged_sales_fact(spark, d), cfg).select("year", "category", "brand", "id")
 
 
@@ -309,18 +324,67 @@ def pip_family(spark: SparkSession, d: str) -> DataFrame:
     return _double(out, "total_sales").select("dashboard_id", "category", "year", "total_sales", "n")
 
 
+def _family_sums(store: SnapshotStore, snapshot_id: str) -> DataFrame:
+    """Per dashboard: the rows of its current snapshot by the manifest, and the
+    sum of ``n`` over the family rows read back (null for shared snapshots)."""
+    sums = store.read_batch(snapshot_id).groupBy("dashboard_id").agg(F.sum("n").alias("n"))
+    return store.current().select("dashboard_id", "row_count").join(sums, "dashboard_id", "left")
+
+
+def pip_families(spark: SparkSession, d: str) -> DataFrame:
+    """AGG-12: dashboards of three shapes (two with parameters, one shared)
+    saved under one snapshot id and read back."""
+    store = SnapshotStore(spark, scratch_dir(spark, "families-store"))
+    boards = marts.shaped_dashboards(spark, d)
+    status = fan_out_table(marts.staged_sales_fact(spark, d), boards, store, snapshot_id="shapes", stage_input=False)
+    failed = status.where(F.col("status") != "ok").limit(5).collect()
+    if failed:
+        raise RuntimeError(f"family fan-out failed: {failed}")
+    return _family_sums(store, "shapes")
+
+
+def pip_trigger(spark: SparkSession, d: str) -> DataFrame:
+    """PIP-4: one upload processed for one dashboard by its own config."""
+    folder = scratch_dir(spark, "trigger-upload")
+    write_csv_gz(marts.staged_sales_fact(spark, d), folder)
+    store = SnapshotStore(spark, scratch_dir(spark, "trigger-store"))
+    result = trigger_processing(spark, folder, 3, marts.dashboards(spark, d), store, FACT_DDL)
+    if result.status != "ok":
+        raise RuntimeError(f"processing failed: {result.error}")
+    return _double(store.get(3), "total_sales")
+
+
 def snk_latest(spark: SparkSession, d: str) -> DataFrame:
     """SNK-1/SNK-2: save two results for one dashboard, read the latest."""
     store = SnapshotStore(spark, scratch_dir(spark, "snapshot-store"))
     fact = marts.staged_sales_fact(spark, d)
-    by_brand = lambda year: PipelineConfig(
-        filters=(FilterSpec("year", year),), aggregations=(_agg("id", "count", "n"),), group_by=("brand",)
-    )
-    store.save(7, run(fact, by_brand(1999)))
-    store.save(7, run(fact, by_brand(2000)))
+    count_by = lambda *keys: PipelineConfig(aggregations=(_agg("id", "count", "n"),), group_by=keys)
+    store.save(7, run(fact, count_by("brand")))
+    store.save(7, run(fact, count_by("brand", "year")))
     return store.get(7)
 
 
+def snk_prune(spark: SparkSession, d: str) -> DataFrame:
+    """SNK-4: three saves, the superseded two pruned, the last one read."""
+    store = SnapshotStore(spark, scratch_dir(spark, "prune-store"))
+    fact = marts.staged_sales_fact(spark, d)
+    for keys in (("category",), ("region",), ("brand",)):
+        store.save(7, run(fact, PipelineConfig(aggregations=(_agg("id", "count", "n"),), group_by=keys)), prune=False)
+    removed = store.prune(7, retain=1)
+    return store.get(7).withColumn("removed", F.lit(removed))
+
+
+def snk_json(spark: SparkSession, d: str) -> DataFrame:
+    """SNK-5/SNK-6/SCL-4: a result exported as JSON lines, through a folder and
+    through a column, and parsed back."""
+    cfg = PipelineConfig(aggregations=(_agg("sales", "sum", "total_sales"), _agg("id", "count", "n")), group_by=("category", "year"))
+    result = run(marts.staged_sales_fact(spark, d), cfg)
+    folder = scratch_dir(spark, "json-export")
+    write_json(result, folder)
+    back = spark.read.schema(result.schema).json(folder)
+    return _double(from_json_lines(to_json_lines(back), result.schema), "total_sales")
+
+
 def pip_get_data(spark: SparkSession, d: str) -> DataFrame:
     """PIP-5/FLT-7/FLT-9/REG-2: a stored dashboard (region NATION_3, sales by
     category and year) read back through its permitted ``year`` filter."""
@@ -359,64 +423,138 @@ def src_csv(spark: SparkSession, d: str) -> DataFrame:
     return _double(run(df, cfg), "total_sales")
 
 
+def src_admit(spark: SparkSession, d: str) -> DataFrame:
+    """SRC-2: the fact as ``.csv.gz`` files in a folder per region; for each
+    region whether all of its files are admitted, and whether a limit of one
+    byte refuses them all. Files of other names are not listed."""
+    folder = scratch_dir(spark, "admission")
+    fact = marts.staged_sales_fact(spark, d)
+    fact.hint("rebalance", "region").write.partitionBy("region").options(header="true", compression="gzip").csv(folder)
+    region = F.regexp_extract("path", "/region=([^/]+)/", 1).alias("region")
+    every = admit_files(spark, folder).groupBy(region).agg(F.bool_and("admitted").alias("admitted"))
+    small = admit_files(spark, folder, max_bytes=1).groupBy(region).agg(F.bool_and(~F.col("admitted")).alias("refused"))
+    return every.join(small, "region")
+
+
+def _uploads(spark: SparkSession, d: str) -> str:
+    """The fact as five uploads: as expected, with reordered columns, with an
+    extra column in front, without a column, and with bad cells."""
+    folder = scratch_dir(spark, "uploads")
+    fact = marts.staged_sales_fact(spark, d)
+    write_csv_gz(fact, f"{folder}/plain")
+    write_csv_gz(fact.select(*reversed(fact.columns)), f"{folder}/reordered")
+    write_csv_gz(fact.select(F.lit("x").alias("note"), *fact.columns), f"{folder}/extra")
+    write_csv_gz(fact.drop("quantity"), f"{folder}/missing")
+    bad = F.when(F.col("year") == 1997, F.lit("oops")).otherwise(F.col("sales").cast("string"))
+    write_csv_gz(fact.withColumn("sales", bad), f"{folder}/bad")
+    return folder
+
+
+def src_validate(spark: SparkSession, d: str) -> DataFrame:
+    """SRC-3/4/5: validation of the uploads, one row per upload."""
+    report = validate_files(spark, _uploads(spark, d), FACT_DDL)
+    return report.groupBy(F.regexp_extract("path", "/([^/]+)/[^/]+$", 1).alias("upload")).agg(
+        F.bool_and("is_valid").alias("is_valid"), F.max("error").alias("error"), F.sum("bad_rows").alias("bad_rows")
+    )
+
+
+def src_reordered(spark: SparkSession, d: str) -> DataFrame:
+    """SRC-1: one folder of files that order their columns differently, some
+    with an extra one; columns are bound by name, malformed rows would fail."""
+    folder = scratch_dir(spark, "reordered")
+    fact = marts.staged_sales_fact(spark, d)
+    write_csv_gz(fact.where("year <= 1994"), f"{folder}/a")
+    write_csv_gz(fact.where("year > 1994").select(F.lit("x").alias("note"), *reversed(fact.columns)), f"{folder}/b")
+    df = load_csv(spark, folder, FACT_DDL, multi_line=True, malformed="fail")
+    cfg = PipelineConfig(
+        aggregations=(_agg("id", "count", "n"), _agg("sales", "sum", "total_sales")), group_by=("category", "brand")
+    )
+    return _double(run(df, cfg), "total_sales")
+
+
 def _land_upload(df: DataFrame, incoming: str, name: str) -> None:
-    """Write one ``.csv.gz`` elsewhere and rename it into ``incoming``
-    (a file appears in a watched folder atomically)."""
+    """Write an upload of many ``.csv.gz`` parts elsewhere and rename its
+    folder into ``incoming`` (it appears there at once)."""
     spark = df.sparkSession
     tmp = scratch_dir(spark, "landing")
-    write_csv_gz(df.coalesce(1), tmp)
+    write_csv_gz(df.hint("rebalance"), tmp)
     jvm = spark.sparkContext._jvm
     src = jvm.org.apache.hadoop.fs.Path(tmp)
     fs = src.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    dst_dir = jvm.org.apache.hadoop.fs.Path(incoming)
-    fs.mkdirs(dst_dir)
-    for st in fs.listStatus(src):
-        if st.getPath().getName().endswith(".csv.gz"):
-            fs.rename(st.getPath(), jvm.org.apache.hadoop.fs.Path(dst_dir, f"{name}.csv.gz"))
-
-
-STREAM_TIMEOUT_S = 3600
+    fs.mkdirs(jvm.org.apache.hadoop.fs.Path(incoming))
+    fs.rename(src, jvm.org.apache.hadoop.fs.Path(f"{incoming}/{name}"))
 
 
 def _finish(q) -> None:
-    """Wait for an available-now stream; stop it and fail if it hangs."""
-    if not q.awaitTermination(STREAM_TIMEOUT_S):
-        q.stop()
-        raise TimeoutError(f"stream {q.name} did not finish within {STREAM_TIMEOUT_S} s")
+    """Wait for an available-now stream; fail if it failed."""
+    q.awaitTermination()
     if q.exception() is not None:
         raise RuntimeError(f"stream {q.name} failed: {q.exception()}")
 
 
+_BY_CATEGORY_YEAR = PipelineConfig(aggregations=(AggregationSpec("id", "count", "n"),), group_by=("category", "year"))
+
+
 def str_upload(spark: SparkSession, d: str) -> DataFrame:
-    """STR-1: two uploads arrive (1998's rows, then the whole fact); the
-    stream recomputes the dashboard per file and the second file wins."""
+    """STR-1: two uploads arrive one after the other (1998's rows, then the
+    whole fact); each is a batch, and the second wins."""
     base = scratch_dir(spark, "stream")
-    incoming = f"{base}/incoming"
     fact = marts.staged_sales_fact(spark, d)
-    _land_upload(apply_row_filters(fact, [FilterSpec("year", 1998)]), incoming, "upload-1")
-    _land_upload(fact, incoming, "upload-2")
-    cfg = PipelineConfig(filters=(FilterSpec("year", 1999),), aggregations=(_agg("id", "count", "n"),), group_by=("category",))
     store = SnapshotStore(spark, f"{base}/store")
-    q = upload_stream(spark, incoming, FACT_DDL, {11: cfg}, store, f"{base}/checkpoint", name="str_upload")
-    _finish(q)
+    for name, rows in (("upload-1", apply_row_filters(fact, [FilterSpec("year", 1998)])), ("upload-2", fact)):
+        _land_upload(rows, f"{base}/incoming", name)
+        _finish(upload_stream(spark, f"{base}/incoming", FACT_DDL, {11: _BY_CATEGORY_YEAR}, store, f"{base}/checkpoint",
+                              name="str_upload", folders=True))
     return store.get(11)
 
 
 def str_backlog(spark: SparkSession, d: str) -> DataFrame:
     """STR-1 with a backlog: both uploads are pending when the stream starts;
-    one batch takes them and keeps only the newest file's rows."""
+    one batch takes them and opens only the newest one's files."""
     base = scratch_dir(spark, "stream-backlog")
-    incoming = f"{base}/incoming"
     fact = marts.staged_sales_fact(spark, d)
-    _land_upload(apply_row_filters(fact, [FilterSpec("year", 1998)]), incoming, "upload-1")
-    _land_upload(fact, incoming, "upload-2")
-    cfg = PipelineConfig(filters=(FilterSpec("year", 1999),), aggregations=(_agg("id", "count", "n"),), group_by=("category",))
+    _land_upload(apply_row_filters(fact, [FilterSpec("year", 1998)]), f"{base}/incoming", "upload-1")
+    _land_upload(fact, f"{base}/incoming", "upload-2")
     store = SnapshotStore(spark, f"{base}/store")
-    q = upload_stream(spark, incoming, FACT_DDL, {11: cfg}, store, f"{base}/checkpoint", name="str_backlog", latest_only=True)
-    _finish(q)
+    _finish(upload_stream(spark, f"{base}/incoming", FACT_DDL, {11: _BY_CATEGORY_YEAR}, store, f"{base}/checkpoint",
+                          name="str_backlog", folders=True, latest_only=True))
     return store.get(11)
 
 
+def str_table(spark: SparkSession, d: str) -> DataFrame:
+    """STR-1/AGG-12: a stream over the dashboards table, three shapes in it."""
+    base = scratch_dir(spark, "stream-table")
+    _land_upload(marts.staged_sales_fact(spark, d), f"{base}/incoming", "upload-1")
+    store = SnapshotStore(spark, f"{base}/store")
+    _finish(upload_stream(spark, f"{base}/incoming", FACT_DDL, marts.shaped_dashboards(spark, d), store, f"{base}/checkpoint",
+                          name="str_table", folders=True))
+    return _family_sums(store, "str_table-000000000000")
+
+
+def snk_consume(spark: SparkSession, d: str) -> DataFrame:
+    """SNK-7: the stream removes what it consumed; the result and the number
+    of upload files that are left."""
+    base = scratch_dir(spark, "stream-consume")
+    _land_upload(marts.staged_sales_fact(spark, d), f"{base}/incoming", "upload-1")
+    store = SnapshotStore(spark, f"{base}/store")
+    _finish(upload_stream(spark, f"{base}/incoming", FACT_DDL, {11: _BY_CATEGORY_YEAR}, store, f"{base}/checkpoint",
+                          name="snk_consume", folders=True, clean_source=True))
+    left = list_files(spark, f"{base}/incoming").count()
+    return store.get(11).withColumn("left", F.lit(left))
+
+
+@register("top_sales")
+def _top_sales(df: DataFrame, least: float) -> DataFrame:
+    """A registered transformation: rows of at least ``least`` sales."""
+    return df.where(F.col("sales") >= F.lit(least))
+
+
+def reg_transform(spark: SparkSession, d: str) -> DataFrame:
+    """REG-1: a named transformation, then a count per category."""
+    kept = apply_transformation(marts.staged_sales_fact(spark, d), "top_sales", least=50000)
+    return aggregate(kept, [_agg("id", "count", "n")], ["category"])
+
+
 # ---------------------------------------------------------- entitlements
 
 
@@ -425,7 +563,7 @@ def _ent(spark: SparkSession, d: str):
 
 
 def ent_effective(spark: SparkSession, d: str) -> DataFrame:
-    """ENT-1/SET-1: every (user, dashboard) pair a user may see."""
+    """ENT-1/SET-1: what every user may see; "an admin sees all" is one row."""
     return effective_access(*_ent(spark, d))
 
 
@@ -449,18 +587,27 @@ def ent_denied(spark: SparkSession, d: str) -> DataFrame:
     return denied(marts.access_requests(spark, d), *_ent(spark, d))
 
 
+def ent_action(spark: SparkSession, d: str) -> DataFrame:
+    """ENT-6: requests with an action; uploads also need a writing role."""
+    o = table(spark, d, "orders")
+    action = F.when(F.col("o_orderkey") % 2 == 0, F.lit("upload")).otherwise(F.lit("view"))
+    requests = o.select(
+        F.col("o_custkey").alias("user_id"), (F.col("o_orderkey") % 30).alias("dashboard_id"), action.alias("action")
+    ).distinct()
+    return authorize(requests, *_ent(spark, d))
+
+
 def ent_rows(spark: SparkSession, d: str) -> DataFrame:
-    """ENT-5: per-region aggregates, one copy per user entitled to the region's dashboard."""
+    """ENT-5: the per-region aggregates that user 35 may see."""
     users, dashboards, access = _ent(spark, d)
     agg = _double(run(marts.staged_sales_fact(spark, d), PipelineConfig(
         aggregations=(_agg("sales", "sum", "total_sales"),), group_by=("region",))), "total_sales")
     rows = agg.join(dashboards.select("dashboard_id", F.col("name").alias("region")), "region")
-    eff = effective_access(users, dashboards, access)
-    return entitled_rows(rows, eff).select("user_id", "region", "total_sales")
+    return entitled_rows(rows, users, dashboards, access, user_id=35).select("region", "total_sales")
 
 
 def ent_role(spark: SparkSession, d: str) -> DataFrame:
-    """ENT-6: whether each effective pair may upload (editor or admin)."""
+    """ENT-6: for what each user may see, whether they may upload there."""
     users, dashboards, access = _ent(spark, d)
     return role_gate(effective_access(users, dashboards, access), users)
 
@@ -529,6 +676,8 @@ QUERIES: dict[str, Query] = {
     "flt_post_agg": flt_post_agg,
     "prj_chain": prj_chain,
     "prj_broadcast": prj_broadcast,
+    "prj_grouped": prj_grouped,
+    "prj_growth": prj_growth,
     "agg_sum": agg_sum,
     "agg_mean": agg_mean,
     "agg_count": agg_count,
@@ -547,17 +696,28 @@ QUERIES: dict[str, Query] = {
     "pip_run": pip_run,
     "pip_fanout": pip_fanout,
     "pip_family": pip_family,
+    "pip_families": pip_families,
+    "pip_trigger": pip_trigger,
     "snk_latest": snk_latest,
+    "snk_prune": snk_prune,
+    "snk_json": snk_json,
+    "snk_consume": snk_consume,
     "pip_get_data": pip_get_data,
     "srt_latest": srt_latest,
     "src_csv": src_csv,
+    "src_admit": src_admit,
+    "src_validate": src_validate,
+    "src_reordered": src_reordered,
     "str_upload": str_upload,
     "str_backlog": str_backlog,
+    "str_table": str_table,
+    "reg_transform": reg_transform,
     "ent_effective": ent_effective,
     "ent_visible": ent_visible,
     "ent_fetch": ent_fetch,
     "ent_check": ent_check,
     "ent_denied": ent_denied,
+    "ent_action": ent_action,
     "ent_rows": ent_rows,
     "ent_role": ent_role,
     "cht_bar": cht_bar,

@@ -140,7 +140,14 @@ def members_frame(df: DataFrame, fam: Family) -> DataFrame:
         [T.StructField("dashboard_id", T.LongType(), False)]
         + [T.StructField(p, t) for p, t in zip(_pcols(len(fam.params)), types)]
     )
-    return df.sparkSession.createDataFrame([(d, *v) for d, v in sorted(fam.members.items())], schema)
+    # a fraction matches no row of a column of whole numbers
+    def held(value, dtype):
+        if isinstance(dtype, T.IntegralType) and isinstance(value, float):
+            return int(value) if value.is_integer() else None
+        return value
+
+    rows = [(d, *map(held, v, types)) for d, v in sorted(fam.members.items())]
+    return df.sparkSession.createDataFrame(rows, schema)
 
 
 def run_family(df: DataFrame, shape: PipelineConfig, params: tuple[str, ...], members: DataFrame) -> DataFrame:
@@ -171,17 +178,18 @@ def run_family(df: DataFrame, shape: PipelineConfig, params: tuple[str, ...], me
 
 
 def save_family(store: SnapshotStore, result: DataFrame, dashboard_ids: DataFrame, snapshot_id: str | None = None) -> DataFrame:
-    """Write all members' snapshots in one job; append their manifest rows.
-    Returns the manifest rows written (one per dashboard)."""
+    """Write all members' snapshots in one job, into a folder of this attempt;
+    append their manifest rows last. Returns those rows (one per dashboard)."""
     spark = result.sparkSession
     store.ensure()
     sid = snapshot_id or new_snapshot_id()
     created_at = _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)
-    batch = f"{store.root}/batches/snapshot_id={sid}"
-    result.hint("rebalance", "dashboard_id").write.mode("overwrite").partitionBy("dashboard_id").parquet(batch)
-    empty_path = f"{batch}/_empty"
-    spark.createDataFrame([], result.drop("dashboard_id").schema).coalesce(1).write.mode("overwrite").parquet(empty_path)
-    counts = spark.read.parquet(batch).groupBy(F.col("dashboard_id").cast("bigint").alias("dashboard_id")).agg(
+    batch = store.batch_path(sid)
+    result.hint("rebalance", "dashboard_id").write.partitionBy("dashboard_id").parquet(batch)
+    empty_path = store.batch_path(f"{sid}-empty")
+    spark.createDataFrame([], result.drop("dashboard_id").schema).coalesce(1).write.parquet(empty_path)
+    # read with the known schema: no member may have a row
+    counts = spark.read.schema(result.schema).parquet(batch).groupBy(F.col("dashboard_id").cast("bigint").alias("dashboard_id")).agg(
         F.count(F.lit(1)).alias("row_count")
     )
     rows = dashboard_ids.join(counts, "dashboard_id", "left").select(
@@ -193,11 +201,7 @@ def save_family(store: SnapshotStore, result: DataFrame, dashboard_ids: DataFram
         .otherwise(F.concat(F.lit(f"{batch}/dashboard_id="), F.col("dashboard_id").cast("string")))
         .alias("path"),
     )
-    rows.coalesce(1).write.parquet(store._entry_path())
-    store.compact_manifest(store.max_manifest_entries)
-    # The rows themselves (recomputed from the written data and the member
-    # ids), not a read of the entry folder, which a later compaction removes.
-    return rows
+    return store.append_manifest(rows)
 
 
 def save_shared(store: SnapshotStore, result: DataFrame, dashboard_ids: DataFrame, snapshot_id: str | None = None) -> DataFrame:
@@ -206,9 +210,9 @@ def save_shared(store: SnapshotStore, result: DataFrame, dashboard_ids: DataFram
     store.ensure()
     sid = snapshot_id or new_snapshot_id()
     created_at = _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)
-    path = f"{store.root}/batches/snapshot_id={sid}/shared-{uuid.uuid4().hex}"
+    path = store.batch_path(f"{sid}-shared")
     obs = Observation(f"shared_{uuid.uuid4().hex}")
-    result.observe(obs, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(path)
+    result.observe(obs, F.count(F.lit(1)).alias("rows")).write.parquet(path)
     rows = dashboard_ids.select(
         F.col("dashboard_id").cast("bigint"),
         F.lit(sid).alias("snapshot_id"),
@@ -216,11 +220,7 @@ def save_shared(store: SnapshotStore, result: DataFrame, dashboard_ids: DataFram
         F.lit(int(obs.get["rows"])).cast("bigint").alias("row_count"),
         F.lit(path).alias("path"),
     )
-    rows.coalesce(1).write.parquet(store._entry_path())
-    store.compact_manifest(store.max_manifest_entries)
-    # The rows themselves (member ids and the observed count), not a read of
-    # the entry folder, which a later compaction removes.
-    return rows
+    return store.append_manifest(rows)
 
 
 def _ok(rows: DataFrame) -> DataFrame:
@@ -279,7 +279,7 @@ def fan_out_grouped(
         try:
             frames.append(_run_shape(source, fam.shape, fam.params, members_frame(source, fam), store, snapshot_id))
         except Exception as exc:  # noqa: BLE001 - reported per dashboard
-            msg = f"{type(exc).__name__}: {exc}"[:2000]
+            msg = f"{type(exc).__name__}: {exc}"
             statuses.extend((d, "error", None, None, msg) for d in sorted(fam.members))
     if singles:
         frames.append(results_frame(spark, fan_out(source, singles, store, snapshot_id, stage_input=False)))
@@ -297,7 +297,9 @@ def config_shapes(dashboards: DataFrame) -> DataFrame:
     filter values taken out), ``values`` (those values as VARIANTs, in filter
     order) and ``bad_json``. Nested ``{"pipeline": ...}`` and flat configs
     are read; a flat top-level ``filters`` list of names belongs to the view."""
-    v = F.try_parse_json(F.col("config"))
+    # no config (null or blank) is the empty pipeline, as in ``as_pipeline``
+    blank = F.coalesce(F.trim("config") == F.lit(""), F.lit(True))
+    v = F.try_parse_json(F.when(blank, F.lit("{}")).otherwise(F.col("config")))
     nested = F.try_variant_get(v, "$.pipeline", "variant")
     pipe = F.coalesce(nested, v)
     raw = F.try_variant_get(pipe, "$.filters", "array<variant>")
@@ -362,6 +364,16 @@ def _variant_fits(value: Column, dtype: T.DataType) -> Column:
     return F.is_variant_null(value) | ok
 
 
+def _param_value(value: Column, dtype: T.DataType) -> Column:
+    """A parameter value in its column's type; null (which matches no row) if
+    the type cannot hold it, such as 2020.5 for an int column."""
+    typed = F.try_variant_get(value, "$", dtype.simpleString())
+    if isinstance(dtype, T.IntegralType):
+        exact = F.try_variant_get(value, "$", "decimal(38,10)")
+        return F.when(typed.cast("decimal(38,10)") == exact, typed)
+    return typed
+
+
 def fan_out_table(
     df: DataFrame,
     dashboards: DataFrame,
@@ -418,13 +430,10 @@ def fan_out_table(
             mismatch = F.coalesce(mismatch, F.when(~ok, text_of))
         checked = in_shape.withColumn("__fits", fits).withColumn("__mismatch", mismatch)
         out = out.unionByName(_errors(checked.where(~F.col("__fits")), F.col("__mismatch")))
-        typed = [
-            F.try_variant_get(F.get(F.col("values"), i), "$", t.simpleString()).alias(p)
-            for i, (p, t) in enumerate(zip(pcols, types))
-        ]
+        typed = [_param_value(F.get(F.col("values"), i), t).alias(p) for i, (p, t) in enumerate(zip(pcols, types))]
         members = checked.where(F.col("__fits")).select("dashboard_id", *typed)
         try:
             out = out.unionByName(_run_shape(source, shape, params, members, store, snapshot_id))
         except Exception as exc:  # noqa: BLE001 - reported per dashboard
-            out = out.unionByName(_errors(members, f"{type(exc).__name__}: {exc}"[:2000]))
+            out = out.unionByName(_errors(members, f"{type(exc).__name__}: {exc}"))
     return out

@@ -22,12 +22,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kpimart.config import DashboardConfig
-from kpimart.operators.entitlements import authorize
 from kpimart.operators.filters import apply_row_filters, check_permitted, to_specs
 from kpimart.plans.processing import as_pipeline, run
 from kpimart.session import scratch_dir
-from kpimart.sinks.store import SnapshotStore
-from kpimart.sources.csv import load_csv
+from kpimart.sinks.store import SnapshotStore, delete_path
+from kpimart.sources.csv import check_admitted, load_csv
 
 RESULT_SCHEMA = T.StructType(
     [
@@ -89,7 +88,7 @@ def fan_out(
             info = store.save(dash_id, run(source, pipeline), snapshot_id=snapshot_id)
             return DashboardResult(dash_id, "ok", info.row_count, info.snapshot_id)
         except Exception as exc:  # noqa: BLE001 - reported per dashboard
-            return DashboardResult(dash_id, "error", error=f"{type(exc).__name__}: {exc}"[:2000])
+            return DashboardResult(dash_id, "error", error=f"{type(exc).__name__}: {exc}")
 
     with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(pipelines)))) as pool:
         for r in pool.map(one, sorted(pipelines.items())):
@@ -123,18 +122,25 @@ def upload(
     access: DataFrame,
     store: SnapshotStore,
     schema=None,
-) -> list[DashboardResult]:
-    """The upload flow: load the file, find the dashboards the uploader may
-    recompute (ENT-4/ENT-6), run each one's config, replace its snapshot.
-    Families are planned in Spark from the entitled rows of the dashboards
-    table; returns the per-dashboard status rows."""
+    max_bytes: int | None = None,
+    clean_source: bool = False,
+) -> DataFrame:
+    """The upload flow: admit the file (SRC-2), load it, find the dashboards
+    the uploader may recompute (ENT-4/ENT-6), run each one's config, replace
+    its snapshot. Families are planned in Spark from the entitled rows of the
+    dashboards table. Returns the status rows ``(dashboard_id, status, rows,
+    snapshot_id, error)``. With ``clean_source`` the file is removed at the
+    end, on success and on error (SNK-7)."""
     from kpimart.plans.families import fan_out_table
+    from kpimart.streaming.upload import entitled_dashboards
 
-    df = load_csv(spark, path, schema)
-    requests = dashboards.select(F.lit(user_id).cast("bigint").alias("user_id"), "dashboard_id", F.lit("upload").alias("action"))
-    allowed = authorize(requests, users, dashboards, access).where("allowed").select("dashboard_id")
-    entitled = dashboards.join(allowed, "dashboard_id", "left_semi")
-    return [DashboardResult(**r.asDict()) for r in fan_out_table(df, entitled, store).collect()]
+    try:
+        check_admitted(spark, path, max_bytes)
+        df = load_csv(spark, path, schema)
+        return fan_out_table(df, entitled_dashboards(user_id, users, dashboards, access), store)
+    finally:
+        if clean_source:
+            delete_path(spark, path)
 
 
 def trigger_processing(
@@ -154,20 +160,23 @@ def get_data(
     mode: str = "stored",
     source: DataFrame | None = None,
     config=None,
-) -> DataFrame | None:
+) -> DataFrame:
     """PIP-5: a dashboard's data through request filters.
 
     ``stored`` (FLT-7): filter the latest saved aggregate; filters must name
     its columns. ``raw`` (FLT-6): filter ``source`` rows first, then run the
     dashboard's pipeline. The two agree when every filter column is a group
     key. When a config with a view is given, only its permitted filters are
-    accepted (FLT-9). An unknown dashboard gives None."""
+    accepted (FLT-9). A dashboard that was never saved gives an empty result
+    without columns."""
     specs = to_specs(filters)
     if isinstance(config, DashboardConfig):
         check_permitted(config.view, specs)
     if mode == "stored":
         agg = store.get(dashboard_id)
-        return None if agg is None else apply_row_filters(agg, specs)
+        if agg is None:
+            return store.spark.createDataFrame([], T.StructType([]))
+        return apply_row_filters(agg, specs)
     if mode == "raw":
         if source is None or config is None:
             raise ValueError("raw mode needs the source rows and the dashboard config")

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kpimart.session import scratch_dir
-from kpimart.sources.tables import read_parquet, table
+from kpimart.sources.tables import file_state, read_parquet, table
 
 # The role rule of the derived users table (FIXTURES.md §3).
 ADMIN_EVERY = 500
@@ -74,20 +74,10 @@ FACT_SOURCES = ("lineitem", "orders", "part", "supplier", "nation")
 
 
 def _fingerprint(spark: SparkSession, sf_dir: str, names) -> tuple:
-    """Path, size and modification time of each source file (metadata only),
-    so a changed table gives a new staged copy."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    parts = []
-    for name in names:
-        p = jvm.org.apache.hadoop.fs.Path(f"{sf_dir.rstrip('/')}/{name}.parquet")
-        fs = p.getFileSystem(conf)
-        total, newest = 0, 0
-        for st in fs.listStatus(p):
-            total += st.getLen()
-            newest = max(newest, st.getModificationTime())
-        parts.append((name, total, newest))
-    return (spark.sparkContext.applicationId, sf_dir.rstrip("/"), tuple(parts))
+    """Name, size and modification time of every source file, nested ones
+    included (metadata only), so that a changed table gives a new copy."""
+    states = tuple((name, file_state(spark, f"{sf_dir.rstrip('/')}/{name}.parquet")) for name in names)
+    return (spark.sparkContext.applicationId, sf_dir.rstrip("/"), states)
 
 
 def _stage(
@@ -172,6 +162,20 @@ def dashboards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def shaped_dashboards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations as dashboards of three shapes: their region's rows counted by
+    category, their region's rows counted by year, and all rows by brand."""
+    n = table(spark, sf_dir, "nation")
+    own = '"filters": [{"column": "region", "value": "%s"}], '
+    count = '"aggregations": [{"column": "id", "operation": "count", "alias": "n"}], "group_by": ["%s"]}}'
+    config = (
+        F.when(F.col("n_nationkey") % 3 == 0, F.format_string('{"pipeline": {' + own + count.replace("%s", "category"), "n_name"))
+        .when(F.col("n_nationkey") % 3 == 1, F.format_string('{"pipeline": {' + own + count.replace("%s", "year"), "n_name"))
+        .otherwise(F.lit('{"pipeline": {' + count.replace("%s", "brand")))
+    )
+    return n.select(F.col("n_nationkey").cast("bigint").alias("dashboard_id"), F.col("n_name").alias("name"), config.alias("config"))
+
+
 def access(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Grants: each customer sees the dashboards (nations) of the suppliers
     of its orders. Duplicates are left in, as in a grant table without a

@@ -21,7 +21,10 @@ E_CTE = (
     "access as (select distinct o_custkey as user_id, cast(s_nationkey as bigint) as dashboard_id "
     "from orders join lineitem on o_orderkey = l_orderkey join supplier on l_suppkey = s_suppkey), "
     "eff as (select u.user_id, d.dashboard_id from users u cross join dashboards d where u.role = 'admin' "
-    "union select owner_id, dashboard_id from dashboards union select user_id, dashboard_id from access)"
+    "union select owner_id, dashboard_id from dashboards union select user_id, dashboard_id from access), "
+    "rule as (select user_id, cast(null as bigint) as dashboard_id, true as sees_all from users where role = 'admin' "
+    "union all select user_id, dashboard_id, false from (select owner_id as user_id, dashboard_id from dashboards "
+    "union select user_id, dashboard_id from access) x)"
 )
 
 _SQL = {
@@ -41,12 +44,10 @@ _SQL = {
         "having sum(sales) > 1000000 and category <> 'PROMO'"
     ),
     "prj_chain": (
-        "with {f} select id, category, quantity * 2 + 1 as q2, (quantity * 2 + 1) / 4 as q3 from f "
-        "where year = 1995 and quantity > 45"
+        "with {f} select id, category, quantity * 2 + 1 as q2, (quantity * 2 + 1) / 4 as q3 from f"
     ),
     "prj_broadcast": (
-        "with {f} select id, category, quantity, (select max(quantity) from f) - quantity as below_max from f "
-        "where year = 1995 and brand = 'Brand#3'"
+        "with {f} select id, category, quantity, (select max(quantity) from f) - quantity as below_max from f"
     ),
     "agg_sum": "with {f} select category, cast(sum(sales) as double) as total_sales from f group by category",
     "agg_mean": (
@@ -62,12 +63,12 @@ _SQL = {
         "with {f} select category, region, cast(sum(sales) as double) as total_sales, count(*) as n, "
         "max(quantity) as max_quantity from f group by category, region"
     ),
-    "agg_global": "with {f} select cast(sum(sales) as double) as sum_sales, count(*) as count_id from f where year = 1997",
+    "agg_global": "with {f} select cast(sum(sales) as double) as sum_sales, count(*) as count_id from f",
     "agg_global_empty": (
         "with {f} select cast(coalesce(sum(sales), 0) as double) as sum_sales, count(*) as count_id, "
         "max(quantity) as max_quantity from f where year = 2050"
     ),
-    "agg_passthrough": "with {f} select year, category, brand, id from f where year = 1999 and brand = 'Brand#5'",
+    "agg_passthrough": "with {f} select year, category, brand, id from f",
     "agg_keys_only": "with {f} select distinct category, brand from f",
     "met_yoy": (
         "with {f}, a as (select category, year, sum(sales) as s from f group by category, year), "
@@ -112,19 +113,65 @@ _SQL = {
         "cast(sum(sales) as double) as total_sales, count(*) as n from f join nation on region = n_name "
         "group by n_nationkey, category, year"
     ),
-    "snk_latest": "with {f} select brand, count(*) as n from f where year = 2000 group by brand",
+    "pip_families": (
+        "with {f}, s as (select cast(n_nationkey as bigint) as dashboard_id, n_name, n_nationkey % 3 as shape from nation) "
+        "select dashboard_id, count(distinct category) as row_count, nullif(count(f.id), 0) as n from s left join f on region = n_name "
+        "where shape = 0 group by dashboard_id union all "
+        "select dashboard_id, count(distinct year), nullif(count(f.id), 0) from s left join f on region = n_name "
+        "where shape = 1 group by dashboard_id union all "
+        "select dashboard_id, (select count(distinct brand) from f), null from s where shape = 2"
+    ),
+    "str_table": (
+        "with {f}, s as (select cast(n_nationkey as bigint) as dashboard_id, n_name, n_nationkey % 3 as shape from nation) "
+        "select dashboard_id, count(distinct category) as row_count, nullif(count(f.id), 0) as n from s left join f on region = n_name "
+        "where shape = 0 group by dashboard_id union all "
+        "select dashboard_id, count(distinct year), nullif(count(f.id), 0) from s left join f on region = n_name "
+        "where shape = 1 group by dashboard_id union all "
+        "select dashboard_id, (select count(distinct brand) from f), null from s where shape = 2"
+    ),
+    "pip_trigger": (
+        "with {f} select category, year, cast(sum(sales) as double) as total_sales, count(*) as n from f "
+        "where region = 'NATION_3' group by category, year"
+    ),
+    "prj_grouped": (
+        "with {f} select id, brand, quantity, max(quantity) over (partition by brand) - quantity as below_max from f"
+    ),
+    "prj_growth": (
+        "select o_orderkey as id, l_linenumber as line, l_extendedprice / nullif(o_totalprice, 0) - 1 as growth "
+        "from lineitem join orders on l_orderkey = o_orderkey"
+    ),
+    "snk_prune": "with {f} select brand, count(*) as n, 2 as removed from f group by brand",
+    "snk_json": (
+        "with {f} select category, year, cast(sum(sales) as double) as total_sales, count(*) as n from f group by category, year"
+    ),
+    "snk_consume": "with {f} select category, year, count(*) as n, 0 as left from f group by category, year",
+    "src_admit": "with {f} select distinct region, true as admitted, true as refused from f",
+    "src_validate": (
+        "with {f} select upload, upload not in ('missing', 'bad') as is_valid, "
+        "case when upload = 'missing' then 'Missing columns: quantity' end as error, "
+        "case when upload = 'bad' then (select count(*) from f where year = 1997) else 0 end as bad_rows "
+        "from (values ('plain'), ('reordered'), ('extra'), ('missing'), ('bad')) u(upload)"
+    ),
+    "src_reordered": (
+        "with {f} select category, brand, count(*) as n, cast(sum(sales) as double) as total_sales "
+        "from f group by category, brand"
+    ),
+    "reg_transform": "with {f} select category, count(*) as n from f where sales >= 50000 group by category",
+    "snk_latest": "with {f} select brand, year, count(*) as n from f group by brand, year",
     "pip_get_data": (
         "with {f} select category, year, cast(sum(sales) as double) as total_sales, count(*) as n from f "
         "where region = 'NATION_3' and year = 1998 group by category, year"
     ),
-    "srt_latest": "select user_id, max(ts) as created_at, max_by(event_type, ts) as event_type from events group by user_id",
+    "srt_latest": (
+        "select user_id, max(ts) as created_at, max_by(event_type, (ts, event_id)) as event_type from events group by user_id"
+    ),
     "src_csv": (
         "with {f} select category, brand, count(*) as n, cast(sum(sales) as double) as total_sales "
         "from f group by category, brand"
     ),
-    "str_upload": "with {f} select category, count(*) as n from f where year = 1999 group by category",
-    "str_backlog": "with {f} select category, count(*) as n from f where year = 1999 group by category",
-    "ent_effective": "with {e} select user_id, dashboard_id from eff",
+    "str_upload": "with {f} select category, year, count(*) as n from f group by category, year",
+    "str_backlog": "with {f} select category, year, count(*) as n from f group by category, year",
+    "ent_effective": "with {e} select user_id, dashboard_id, sees_all from rule",
     "ent_visible": (
         "with {e} select d.dashboard_id, d.name from dashboards d where exists "
         "(select 1 from eff where eff.user_id = 35 and eff.dashboard_id = d.dashboard_id)"
@@ -147,12 +194,20 @@ _SQL = {
     ),
     "ent_rows": (
         "with {f}, {e}, agg as (select region, cast(sum(sales) as double) as total_sales from f group by region) "
-        "select e.user_id, d.name as region, agg.total_sales from eff e join dashboards d "
-        "on e.dashboard_id = d.dashboard_id join agg on agg.region = d.name"
+        "select d.name as region, agg.total_sales from dashboards d join agg on agg.region = d.name "
+        "where exists (select 1 from eff e where e.user_id = 35 and e.dashboard_id = d.dashboard_id)"
     ),
     "ent_role": (
-        "with {e} select e.user_id, e.dashboard_id, u.role in ('admin','editor') as can_upload "
-        "from eff e join users u on e.user_id = u.user_id"
+        "with {e} select r.user_id, r.dashboard_id, r.sees_all, u.role in ('admin','editor') as can_upload "
+        "from rule r join users u on r.user_id = u.user_id"
+    ),
+    "ent_action": (
+        "with {e}, req as (select distinct o_custkey as user_id, o_orderkey % 30 as dashboard_id, "
+        "case when o_orderkey % 2 = 0 then 'upload' else 'view' end as action from orders) "
+        "select r.user_id, r.dashboard_id, r.action, (e.user_id is not null or coalesce(u.role, '') = 'admin') and "
+        "(r.action = 'view' or coalesce(u.role, '') in ('admin','editor')) as allowed "
+        "from req r left join users u on r.user_id = u.user_id left join eff e on r.user_id = e.user_id "
+        "and r.dashboard_id = e.dashboard_id"
     ),
     "cht_bar": "with {f} select year as x, 'n' as series, count(*) as value from f group by year",
     "cht_line": "with {f} select year as x, 'n' as series, count(*) as value from f group by year",

@@ -74,12 +74,15 @@ def local_session(
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared checkpoint folder: ``spark.checkpoint.dir`` as the cluster
     names it, else the context's checkpoint folder. Only when neither is set
-    (a single machine, as in tests) is a local folder created and registered
-    with ``SparkContext.setCheckpointDir`` (the conf itself cannot change at
-    run time)."""
+    and the master is ``local`` (a single machine, as in tests) is a local
+    folder created and registered with ``SparkContext.setCheckpointDir`` (the
+    conf itself cannot change at run time). On a cluster that would be a
+    folder of the driver's own disk, so there it is an error."""
     sc = spark.sparkContext
     root = spark.conf.get(CHECKPOINT_CONF, None) or sc.getConf().get(CHECKPOINT_CONF, None) or sc.getCheckpointDir()
     if not root:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError(f"Set {CHECKPOINT_CONF} to shared storage: the session has no checkpoint folder")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="kpimart-checkpoints-"))
         root = sc.getCheckpointDir()
     elif sc.getCheckpointDir() is None:

@@ -1,4 +1,4 @@
-"""JSON export / import of results (SNK-5, SNK-6, SCL-4).
+"""JSON-lines export / import of results (SNK-5, SNK-6, SCL-4).
 
 Records are the DataFrame itself; JSON is only an export format. Nulls are
 written explicitly so every record has every field.
@@ -10,8 +10,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kpimart.operators.entitlements import fits
-
 JSON_OPTIONS = {"ignoreNullFields": "false"}
 
 
@@ -28,24 +26,3 @@ def from_json_lines(df: DataFrame, schema: T.StructType | str, column: str = "js
 def write_json(df: DataFrame, path: str) -> None:
     """Distributed JSON-lines export (one file per partition)."""
     df.write.mode("overwrite").options(**JSON_OPTIONS).json(path)
-
-
-def to_column_document(df: DataFrame, max_rows: int = 100_000, column: str = "document") -> DataFrame:
-    """The one-document form ``{"col": [values...], ...}`` for a small aggregate.
-
-    All rows meet in one group, so the row count is checked first; larger
-    frames must use ``write_json``. Rows are collected as structs (a plain
-    ``collect_list(col)`` would drop nulls and misalign the columns)."""
-    if not fits(df, max_rows):
-        raise ValueError(f"Frame has more than {max_rows} rows; export it with write_json")
-    rows = F.collect_list(F.struct(*[F.col(c) for c in df.columns])).alias("rows")
-    doc = F.struct(*[F.col("rows")[c].alias(c) for c in df.columns])
-    return df.agg(rows).select(F.to_json(doc, JSON_OPTIONS).alias(column))
-
-
-def from_column_document(df: DataFrame, schema: T.StructType, column: str = "document") -> DataFrame:
-    """Inverse of ``to_column_document``: zip the column arrays into rows."""
-    arrays = T.StructType([T.StructField(f.name, T.ArrayType(f.dataType)) for f in schema.fields])
-    parsed = df.select(F.from_json(F.col(column), arrays).alias("d"))
-    zipped = F.arrays_zip(*[F.col("d")[f.name].alias(f.name) for f in schema.fields])
-    return parsed.select(F.explode(zipped).alias("r")).select(*[F.col("r")[f.name].alias(f.name) for f in schema.fields])

@@ -2,29 +2,31 @@
 
 Layout under ``root``::
 
-    data/dashboard_id=<id>/snapshot_id=<sid>/part-*.parquet
+    data/dashboard_id=<id>/snapshot_id=<sid>-<attempt>/part-*.parquet
+    batches/<sid>-<attempt>/dashboard_id=<id>/part-*.parquet     (families)
     _manifest/entry-<uuid>/part-*.parquet   (dashboard_id, snapshot_id, created_at, row_count, path)
 
 Each manifest entry is its own small folder, so concurrent saves of
 different dashboards never share an output path (or a committer's
 temporary folder); the manifest is read recursively.
 
-Saving writes the data first and appends one manifest row last, so a reader
-never sees a half-written snapshot. An empty result is a real snapshot
-(Parquet keeps its schema), distinct from "never saved" (no manifest row).
-Each dashboard keeps its own schema. Replaying a save with the same
-``snapshot_id`` (a retried stream batch) overwrites that snapshot's data,
-and the manifest is read de-duplicated on ``(dashboard_id, snapshot_id)``.
-Superseded snapshot folders are pruned after the manifest row lands; the
-current and the previous snapshot are kept, so a reader that looked up the
-manifest just before a save can still read. Manifest entries are compacted
-once there are many. One writer per dashboard is assumed.
+Every attempt writes to a folder of its own and never replaces one. The
+manifest rows are appended last and readers go by the manifest's paths, so a
+reader sees a whole snapshot or the one before. Replaying a save with the
+same ``snapshot_id`` (a retried stream batch) adds a newer row for it; the
+manifest is read de-duplicated on ``(dashboard_id, snapshot_id)``, newest
+first. An empty result is a real snapshot (Parquet keeps its schema),
+distinct from "never saved" (no manifest row). Each dashboard keeps its own
+schema. A save prunes the dashboard's superseded folders after its manifest
+row has landed; the current and the previous snapshot are kept, so a reader
+that looked up the manifest just before a save can still read.
+``compact_manifest`` and ``vacuum`` are maintenance calls for a time without
+readers and writers. One writer per dashboard is assumed.
 """
 
 from __future__ import annotations
 
 import datetime as _dt
-import threading
 import uuid
 from dataclasses import dataclass
 
@@ -85,18 +87,27 @@ def new_snapshot_id(now: _dt.datetime | None = None) -> str:
 
 
 class SnapshotStore:
-    def __init__(self, spark: SparkSession, root: str, max_manifest_entries: int = 64):
+    def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root.rstrip("/")
-        self.max_manifest_entries = max_manifest_entries
-        self._compact_lock = threading.Lock()
 
     @property
     def manifest_path(self) -> str:
         return f"{self.root}/_manifest"
 
-    def snapshot_path(self, dashboard_id: int, snapshot_id: str) -> str:
-        return f"{self.root}/data/dashboard_id={int(dashboard_id)}/snapshot_id={snapshot_id}"
+    def attempt_path(self, dashboard_id: int, snapshot_id: str) -> str:
+        """A fresh folder for one attempt to save a dashboard's snapshot."""
+        return f"{self.root}/data/dashboard_id={int(dashboard_id)}/snapshot_id={snapshot_id}-{uuid.uuid4().hex[:12]}"
+
+    def batch_path(self, snapshot_id: str) -> str:
+        """A fresh folder for one attempt to save a family of dashboards."""
+        return f"{self.root}/batches/{snapshot_id}-{uuid.uuid4().hex[:12]}"
+
+    def append_manifest(self, rows: DataFrame) -> DataFrame:
+        """Append manifest rows as one entry; returns them as written."""
+        path = self._entry_path()
+        rows.select(*MANIFEST_SCHEMA.names).write.parquet(path)
+        return self.spark.read.schema(MANIFEST_SCHEMA).parquet(path)
 
     # SNK-3
     def ensure(self) -> "SnapshotStore":
@@ -127,16 +138,15 @@ class SnapshotStore:
         self.ensure()
         created_at = created_at or _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)
         snapshot_id = snapshot_id or new_snapshot_id()
-        path = self.snapshot_path(dashboard_id, snapshot_id)
+        path = self.attempt_path(dashboard_id, snapshot_id)
         obs = Observation(f"snapshot_{uuid.uuid4().hex}")
-        df.observe(obs, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(path)
+        df.observe(obs, F.count(F.lit(1)).alias("rows")).write.parquet(path)
         rows = int(obs.get["rows"])
         info = SnapshotInfo(int(dashboard_id), snapshot_id, created_at, rows, path)
         row = [(info.dashboard_id, info.snapshot_id, info.created_at, info.row_count, info.path)]
-        self.spark.createDataFrame(row, MANIFEST_SCHEMA).coalesce(1).write.parquet(self._entry_path())
+        self.append_manifest(self.spark.createDataFrame(row, MANIFEST_SCHEMA).coalesce(1))
         if prune:
             self.prune(dashboard_id, retain=retain)
-        self.compact_manifest(self.max_manifest_entries)
         return info
 
     def manifest(self) -> DataFrame:
@@ -163,11 +173,22 @@ class SnapshotStore:
         info = self.latest_info(dashboard_id)
         return None if info is None else self.spark.read.parquet(info.path)
 
-    def read_batch(self, snapshot_id: str) -> DataFrame:
-        """All dashboards of one family write (``dashboard_id`` from the
-        folder names; partition pruning reads only that snapshot)."""
-        out = self.spark.read.parquet(f"{self.root}/batches")
-        return out.where(F.col("snapshot_id") == F.lit(snapshot_id)).drop("snapshot_id")
+    def read_batch(self, snapshot_id: str) -> DataFrame | None:
+        """The rows of the family members saved under one snapshot id, with
+        their ``dashboard_id``; None if there are none. One scan per family
+        folder (one per pipeline shape), found through the manifest; shapes
+        with different columns are united by name. Other dashboards of the
+        snapshot (shared or saved alone) are read with ``get``."""
+        mine = self.manifest().where((F.col("snapshot_id") == F.lit(snapshot_id)) & (F.col("row_count") > 0))
+        rows = mine.select("dashboard_id", F.regexp_extract("path", "^(.*)/dashboard_id=[^/]*$", 1).alias("family"))
+        rows = rows.where(F.col("family").startswith(f"{self.root}/batches/"))
+        out = None
+        for r in rows.select("family").distinct().collect():
+            ids = rows.where(F.col("family") == F.lit(r.family)).select("dashboard_id")
+            data = self.spark.read.parquet(r.family).withColumn("dashboard_id", F.col("dashboard_id").cast("bigint"))
+            data = data.join(ids, "dashboard_id", "left_semi")
+            out = data if out is None else out.unionByName(data, allowMissingColumns=True)
+        return out
 
     # SNK-4
     def _retained(self, dashboard_id: int | None, retain: int) -> DataFrame:
@@ -198,44 +219,44 @@ class SnapshotStore:
                 removed += 1
         return removed
 
-    def vacuum(self, retain: int = 2) -> int:
-        """Delete snapshot and family-batch folders that no retained snapshot
-        uses. Reads one path per retained snapshot to the driver."""
-        keep = {_norm(r.path) for r in self._retained(None, retain).collect()}
+    def vacuum(self, retain: int = 2, older_than: _dt.timedelta = _dt.timedelta(0)) -> int:
+        """Delete data folders that no retained snapshot uses, left-overs of
+        failed attempts included, once their files are older than
+        ``older_than`` (give it the time that the longest write may take).
+        Returns the number of folders."""
+        tops = [t for t in (f"{self.root}/data", f"{self.root}/batches") if path_exists(self.spark, t)]
+        if not tops:
+            return 0
+        files = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(tops)
+        plain = lambda c: F.regexp_replace(c, "^file:/+", "/")
+        folders = files.groupBy(plain(F.regexp_replace("path", "/[^/]*$", "")).alias("folder")).agg(
+            F.max("modificationTime").alias("newest")
+        )
+        kept = self._retained(None, retain).select(plain(F.col("path")).alias("folder")).distinct()
+        limit = _dt.datetime.now(_dt.timezone.utc) - older_than
+        unused = folders.where(F.col("newest") <= F.lit(limit)).join(kept, "folder", "left_anti")
         removed = 0
-        for top in ("data", "batches"):
-            fs, base = _fs(self.spark, f"{self.root}/{top}")
-            if not fs.exists(base):
-                continue
-            dirs = [s.getPath() for s in fs.listStatus(base) if s.isDirectory()]
-            if top == "data":  # data/dashboard_id=N/snapshot_id=S
-                dirs = [s.getPath() for d in dirs for s in fs.listStatus(d) if s.isDirectory()]
-            for d in dirs:
-                name = _norm(d.toString())
-                if not any(k == name or k.startswith(name + "/") for k in keep):
-                    fs.delete(d, True)
-                    removed += 1
+        for row in unused.select("folder").toLocalIterator():
+            removed += delete_path(self.spark, row.folder)
         return removed
 
     def compact_manifest(self, max_entries: int = 64) -> bool:
-        """Rewrite the manifest as one entry once saves made it many.
-
-        The compacted entry is written first and the old entries deleted
-        after; a reader in between sees duplicates, which ``manifest()``
-        removes."""
+        """Rewrite the manifest as one entry if it has more than
+        ``max_entries``. The new entry is written first and the old ones are
+        deleted after; a reader that listed the old ones before may fail and
+        can retry, so call this when nothing else runs."""
         fs, base = _fs(self.spark, self.manifest_path)
         if not fs.exists(base):
             return False
-        with self._compact_lock:
-            entries = [s.getPath() for s in fs.listStatus(base) if s.isDirectory()]
-            if len(entries) <= max_entries:
-                return False
-            # Only the listed entries are compacted and deleted; an entry a
-            # concurrent save adds meanwhile stays as it is.
-            listed = self.spark.read.schema(MANIFEST_SCHEMA).parquet(*[p.toString() for p in entries])
-            latest_row = F.max_by(F.struct(*listed.columns), F.col("created_at"))
-            deduped = listed.groupBy("dashboard_id", "snapshot_id").agg(latest_row.alias("r")).select("r.*")
-            deduped.coalesce(1).write.parquet(self._entry_path("compact"))
-            for p in entries:
-                fs.delete(p, True)
+        entries = [s.getPath() for s in fs.listStatus(base) if s.isDirectory()]
+        if len(entries) <= max_entries:
+            return False
+        # Only the listed entries are compacted and deleted; an entry that a
+        # save adds meanwhile stays as it is.
+        listed = self.spark.read.schema(MANIFEST_SCHEMA).parquet(*[p.toString() for p in entries])
+        latest_row = F.max_by(F.struct(*listed.columns), F.col("created_at"))
+        deduped = listed.groupBy("dashboard_id", "snapshot_id").agg(latest_row.alias("r")).select("r.*")
+        deduped.hint("rebalance").write.parquet(self._entry_path("compact"))
+        for p in entries:
+            fs.delete(p, True)
         return True

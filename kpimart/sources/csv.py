@@ -13,7 +13,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,37 +42,124 @@ def read_header(spark: SparkSession, path: str, multi_line: bool = True) -> list
     return None if first is None else [("" if v is None else v) for v in first]
 
 
+def file_headers(spark: SparkSession, paths: str | list[str], glob: str | None = None) -> DataFrame:
+    """``(path, header)`` of every non-empty file: the cells of its first line."""
+    reader = spark.read.option("recursiveFileLookup", "true")
+    lines = (reader.option("pathGlobFilter", glob) if glob else reader).text(paths)
+    lines = lines.select(
+        F.col("_metadata.file_path").alias("path"),
+        F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("pos"),
+        "value",
+    )
+    first = lines.groupBy("path").agg(F.min_by("value", "pos").alias("line"))
+    # split on commas outside quotes; strip the quotes, undo doubled quotes
+    outside_quotes = ',(?=(?:[^"]*"[^"]*")*[^"]*$)'
+    cells = F.transform(
+        F.split(F.col("line"), outside_quotes),
+        lambda s: F.regexp_replace(F.regexp_replace(F.trim(s), '^"|"$', ""), '""', '"'),
+    )
+    return first.select("path", cells.alias("header"))
+
+
+def header_groups(headers: DataFrame) -> list[tuple[list[str], list[str]]]:
+    """Distinct headers with the files that have them (a file listing, as
+    Spark keeps one on the driver for any read)."""
+    rows = headers.groupBy("header").agg(F.sort_array(F.collect_list("path")).alias("paths")).collect()
+    return sorted(([list(r.header), list(r.paths)] for r in rows), key=lambda g: g[1][0])
+
+
+WIDTH_ERROR = "__wrong_width"
+
+
+def read_group(spark: SparkSession, header: list[str], paths: list[str] | str, multi_line: bool) -> DataFrame:
+    """Files of one header as string columns named by it, with the file's path
+    (``__path``) and whether a row has too few or too many cells
+    (``__wrong_width``)."""
+    names = [f"_c{i}" for i in range(len(header))]
+    fields = [T.StructField(n, T.StringType()) for n in (*names, "_corrupt")]
+    # all cells are parsed (no column pruning): only then is the width of a row known
+    raw = (
+        spark.read.schema(T.StructType(fields))
+        .options(**CSV_OPTIONS, multiLine=str(multi_line).lower(), mode="PERMISSIVE")
+        .options(columnNameOfCorruptRecord="_corrupt", columnPruning="false")
+        .csv(paths)
+    )
+    return raw.select(
+        *[F.col(n).alias(h) for n, h in zip(names, header)],
+        F.col("_metadata.file_path").alias("__path"),
+        F.col("_corrupt").isNotNull().alias(WIDTH_ERROR),
+    )
+
+
+def _bad_cell(f: T.StructField) -> Column:
+    c = F.col(f"`{f.name}`")
+    return c.isNotNull() & c.try_cast(f.dataType).isNull()
+
+
+def _typed(strings: DataFrame, st: T.StructType, malformed: str) -> DataFrame:
+    """The schema's columns by name. Malformed rows: ``null`` keeps them with
+    null cells, ``drop`` leaves them out, ``fail`` stops with an error."""
+    check_columns(strings, [f.name for f in st.fields])
+    bad = F.col(WIDTH_ERROR)
+    for f in st.fields:
+        bad = bad | _bad_cell(f)
+    if malformed == "drop":
+        strings = strings.where(~bad)
+    columns = [F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in st.fields]
+    if malformed == "fail":
+        message = F.concat(F.lit("Failed to load CSV file: malformed row in "), F.col("__path"))
+        columns = [F.when(bad, F.raise_error(message).cast(f.dataType)).otherwise(c).alias(f.name) for f, c in zip(st.fields, columns)]
+    return strings.select(*columns)
+
+
 def load_csv(
     spark: SparkSession,
-    path: str,
+    path: str | list[str],
     schema: T.StructType | str | Mapping[str, str] | None = None,
     multi_line: bool | None = None,
+    malformed: str = "null",
 ) -> DataFrame:
-    """SRC-1: read CSV (gzip or plain) with a header row.
+    """SRC-1: read CSV files (gzip or plain, a file, a folder or a list of
+    files) with a header row each.
 
-    With a schema the columns are typed as given (bad cells become null and
-    are counted by ``validate_files``); without one, types are inferred.
-    Any failure is one ``ValueError("Failed to load CSV file: ...")``: a
-    missing path, an empty file, duplicate header names.
+    Columns are bound by header name, file by file: the files may order their
+    columns differently and have extra ones. With a schema the columns are
+    typed as given; ``malformed`` says what becomes of rows with the wrong
+    number of cells or with cells that do not cast (``null``, ``drop`` or
+    ``fail``; ``validate_files`` counts them). Without a schema, types are
+    inferred. Any failure is one ``ValueError("Failed to load CSV file: ...")``:
+    a missing path, an empty file, duplicate header names.
     """
-    multi_line = path.endswith(".gz") if multi_line is None else multi_line
+    if malformed not in ("null", "drop", "fail"):
+        raise ValueError(f"Unknown treatment of malformed rows: {malformed}")
+    paths = [path] if isinstance(path, str) else list(path)
+    gzipped = all(p.endswith(".gz") for p in paths)
+    multi_line = gzipped if multi_line is None else multi_line
+    single = len(paths) == 1 and paths[0].endswith((".gz", ".csv"))
     try:
-        header = read_header(spark, path, multi_line)
+        if single:
+            header = read_header(spark, paths[0], multi_line)
+            groups = [(header, paths)] if header else []
+        else:
+            groups = header_groups(file_headers(spark, paths))
     except AnalysisException as exc:
         raise ValueError(f"Failed to load CSV file: {exc}") from exc
-    if not header or all(h == "" for h in header):
+    if not groups or any(all(h == "" for h in header) for header, _ in groups):
         raise ValueError(f"Failed to load CSV file: {path} is empty (no header)")
-    dups = sorted({h for h in header if header.count(h) > 1})
-    if dups:
-        raise ValueError(f"Failed to load CSV file: duplicate column names {dups}")
-    reader = spark.read.options(**CSV_OPTIONS, multiLine=str(multi_line).lower(), mode="PERMISSIVE")
+    for header, _ in groups:
+        dups = sorted({h for h in header if header.count(h) > 1})
+        if dups:
+            raise ValueError(f"Failed to load CSV file: duplicate column names {dups}")
     st = _schema(schema)
-    if st is not None:
-        # Select the schema's columns by header name (extra columns pass).
-        strings = reader.option("inferSchema", "false").csv(path)
-        check_columns(strings, [f.name for f in st.fields])
-        return strings.select(*[F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in st.fields])
-    return reader.option("inferSchema", "true").csv(path)
+    out = None
+    for header, files in groups:
+        if st is not None:
+            df = _typed(read_group(spark, header, files, multi_line), st, malformed)
+        else:
+            reader = spark.read.options(**CSV_OPTIONS, multiLine=str(multi_line).lower(), mode="PERMISSIVE")
+            df = reader.option("inferSchema", "true").csv(files)
+        out = df if out is None else out.unionByName(df)
+    return out
 
 
 def check_columns(df: DataFrame, expected) -> bool:
@@ -112,19 +199,31 @@ def list_files(spark: SparkSession, directory: str, glob: str = UPLOAD_GLOB) ->
 
 
 def admit_files(
-    spark: SparkSession, directory: str, glob: str = UPLOAD_GLOB, max_bytes: int = MAX_UPLOAD_BYTES
+    spark: SparkSession, directory: str, glob: str = UPLOAD_GLOB, max_bytes: int | None = None
 ) -> DataFrame:
-    """SRC-2: ``(path, size, admitted, reason)`` for each candidate upload."""
+    """SRC-2: ``(path, size, admitted, reason)`` for each candidate upload. A
+    size limit (such as ``MAX_UPLOAD_BYTES``) is opt-in."""
     files = list_files(spark, directory, glob)
-    too_big = F.col("size") > F.lit(max_bytes)
+    too_big = F.lit(False) if max_bytes is None else F.col("size") > F.lit(max_bytes)
     return files.select(
         "path",
         "size",
         (~too_big).alias("admitted"),
-        F.when(too_big, F.format_string("File is larger than %d bytes", F.lit(max_bytes))).alias("reason"),
+        F.when(too_big, F.lit(f"File is larger than {max_bytes} bytes")).alias("reason"),
     )
 
 
+def check_admitted(spark: SparkSession, path: str, max_bytes: int | None = None) -> None:
+    """SRC-2 for one upload: its name must match ``*.csv.gz``, and its size the
+    limit, if one is given."""
+    if not path.endswith(UPLOAD_GLOB[1:]):
+        raise ValueError(f"Only {UPLOAD_GLOB} files are accepted: {path}")
+    if max_bytes is not None:
+        refused = list_files(spark, path).where(F.col("size") > F.lit(max_bytes)).first()
+        if refused is not None:
+            raise ValueError(f"File is larger than {max_bytes} bytes: {path}")
+
+
 def validate_files(
     spark: SparkSession,
     directory: str,
@@ -134,49 +233,33 @@ def validate_files(
 ) -> DataFrame:
     """SRC-5: one row per file ``(path, is_valid, error, bad_rows)``, never raises.
 
-    Errors: empty file, duplicate header names, missing columns. ``bad_rows``
-    counts rows with a non-empty cell that does not cast to its column's type.
-    Quoted newlines are parsed for gzip files (one task per file anyway);
-    plain CSV stays splittable unless ``multi_line=True``.
+    Errors: empty file, duplicate header names, missing columns; extra columns
+    pass. ``bad_rows`` counts rows with too few or too many cells, or with a
+    non-empty cell that does not cast to its column's type; columns are bound
+    by the file's own header. Quoted newlines are parsed for gzip files (one
+    task per file anyway); plain CSV stays splittable unless ``multi_line=True``.
     """
     multi_line = glob.endswith(".gz") if multi_line is None else multi_line
     st = _schema(schema)
     expected = [f.name for f in st.fields]
     files = list_files(spark, directory, glob).select("path")
-
-    lines = spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", "true").text(directory)
-    lines = lines.select(
-        F.col("_metadata.file_path").alias("path"),
-        F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("pos"),
-        "value",
-    )
-    first = lines.groupBy("path").agg(F.min_by("value", "pos").alias("header_line"))
-    # split on commas outside quotes; strip the quotes, undo doubled quotes
-    outside_quotes = ',(?=(?:[^"]*"[^"]*")*[^"]*$)'
-    cells = F.transform(
-        F.split(F.col("header_line"), outside_quotes),
-        lambda s: F.regexp_replace(F.regexp_replace(F.trim(s), '^"|"$', ""), '""', '"'),
-    )
-    headers = first.select("path", cells.alias("header"))
-
-    # Cells as strings in the expected column order (positional, the same
-    # for every file; header mismatches are reported by the header check).
-    strings = T.StructType([T.StructField(f.name, T.StringType()) for f in st.fields])
-    raw = (
-        spark.read.schema(strings)
-        .options(**CSV_OPTIONS, multiLine=str(multi_line).lower())
-        .option("pathGlobFilter", glob)
-        .option("recursiveFileLookup", "true")
-        .csv(directory)
-    )
-    bad_cell = [F.col(f"`{f.name}`").isNotNull() & F.col(f"`{f.name}`").try_cast(f.dataType).isNull() for f in st.fields]
-    is_bad = F.lit(False)
-    for b in bad_cell:
-        is_bad = is_bad | b
-    bad = raw.select(F.col("_metadata.file_path").alias("path"), is_bad.alias("bad")).groupBy("path").agg(
-        F.sum(F.col("bad").cast("long")).alias("bad_rows")
-    )
-
+    headers = file_headers(spark, directory, glob)
+    bad = None
+    for header, paths in header_groups(headers):
+        if len(set(header)) < len(header) or not set(expected) <= set(header):
+            continue  # reported by its header
+        is_bad = F.col(WIDTH_ERROR)
+        for f in st.fields:
+            is_bad = is_bad | _bad_cell(f)
+        counted = (
+            read_group(spark, header, paths, multi_line)
+            .select(F.col("__path").alias("path"), is_bad.alias("bad"))
+            .groupBy("path")
+            .agg(F.sum(F.col("bad").cast("long")).alias("bad_rows"))
+        )
+        bad = counted if bad is None else bad.unionByName(counted)
+    if bad is None:
+        bad = files.limit(0).select("path", F.lit(0).cast("long").alias("bad_rows"))
     j = files.join(headers, "path", "left").join(bad, "path", "left")
     missing = F.array_except(F.array(*[F.lit(c) for c in expected]), F.col("header"))
     error = (

@@ -1,20 +1,21 @@
 """File-arrival trigger (STR-1) with Structured Streaming.
 
-Each ``.csv.gz`` landing in the input folder is one micro-batch
-(``maxFilesPerTrigger=1``, files taken in modification-time order). The
-batch body fans the file out to every configured dashboard and replaces
-their snapshots, so the newest file wins and nothing accumulates across
-files. The snapshot id is derived from the stream name and ``batch_id``: a
-batch replayed after a failure overwrites its own snapshot.
-
-With ``latest_only=True`` a backlog is handled in one batch instead: the
-batch takes every pending file and keeps only the rows of the newest one
-(greatest modification time, then path), since older files would be
-superseded anyway. A backlog of k uploads then costs one recomputation, not k.
-
-``cleanSource=delete`` removes a consumed file only once a later batch
-commits, so with one file per run the newest file stays in place.
-Files should land atomically (write elsewhere, then rename into the folder).
+The stream watches the folder's listing (path and modification time of every
+``.csv.gz``), not the files' contents. A batch picks its upload from the
+listing and opens only that upload's files, with the same by-name CSV reader
+as a batch load; the rows are staged once and the entitled dashboards'
+snapshots are replaced, so the newest upload wins and nothing accumulates.
+
+An upload is one file, or with ``folders=True`` a folder of part files (moved
+in with one rename, so that a batch sees all of it). By default each upload is
+processed in the order of arrival; with ``latest_only=True`` a batch takes all
+pending uploads and processes only the newest, since the older ones would be
+superseded: a backlog of k uploads costs one computation and one parse.
+
+The snapshot id is derived from the stream's name and ``batch_id``: a batch
+that is replayed after a failure writes that snapshot anew. ``clean_source``
+removes the files a batch consumed, whether their dashboards succeeded or
+failed; an upload that is gone when its batch is replayed was consumed before.
 """
 
 from __future__ import annotations
@@ -25,12 +26,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from kpimart.operators.entitlements import authorize
 from kpimart.plans.families import fan_out_table
-from kpimart.plans.fanout import fan_out
-from kpimart.sinks.store import SnapshotStore
-from kpimart.sources.csv import CSV_OPTIONS, UPLOAD_GLOB, _schema
+from kpimart.plans.fanout import fan_out, stage
+from kpimart.session import scratch_dir
+from kpimart.sinks.store import SnapshotStore, delete_path, path_exists
+from kpimart.sources.csv import UPLOAD_GLOB, load_csv
+
+LISTING = "path string, modificationTime timestamp, length long, content binary"
+
+
+def entitled_dashboards(user_id: int, users: DataFrame, dashboards: DataFrame, access: DataFrame) -> DataFrame:
+    """The dashboards that a user may recompute (ENT-4/ENT-6)."""
+    requests = dashboards.select(F.lit(user_id).cast("bigint").alias("user_id"), "dashboard_id", F.lit("upload").alias("action"))
+    allowed = authorize(requests, users, dashboards, access).where("allowed").select("dashboard_id")
+    return dashboards.join(allowed, "dashboard_id", "left_semi")
 
-_FILE, _MTIME = "__source_file", "__source_mtime"
+
+def pending_uploads(listing: DataFrame, folders: bool, latest_only: bool) -> list[tuple[str, list[str]]]:
+    """``(upload, files)`` to process, oldest first, from a batch's listing."""
+    name = F.regexp_replace("path", "/[^/]*$", "") if folders else F.col("path")
+    uploads = listing.select(name.alias("upload"), "path", "modificationTime").groupBy("upload").agg(
+        F.max("modificationTime").alias("arrived"), F.sort_array(F.collect_list("path")).alias("files")
+    )
+    ordered = uploads.orderBy(F.desc("arrived"), F.desc("upload"))
+    rows = (ordered.limit(1) if latest_only else ordered).collect()
+    return [(r.upload, list(r.files)) for r in reversed(rows)]
 
 
 def upload_stream(
@@ -45,37 +66,51 @@ def upload_stream(
     available_now: bool = True,
     processing_time: str | None = None,
     latest_only: bool = False,
+    folders: bool = False,
+    uploader: tuple[int, DataFrame, DataFrame] | None = None,
+    malformed: str = "null",
 ) -> StreamingQuery:
-    """Start the stream; with ``available_now`` it processes the files present
-    and stops (call ``awaitTermination``). ``configs`` is a mapping of
+    """Start the stream; with ``available_now`` it processes the uploads
+    present and stops (call ``awaitTermination``). ``configs`` is a mapping of
     dashboard id to config, or the dashboards table ``(dashboard_id,
-    config)`` itself, whose families are then planned inside Spark."""
+    config)`` itself, whose families are then planned inside Spark. With
+    ``uploader`` (user id, users, access) only the dashboards of the table
+    that this user may recompute are touched."""
+    if uploader is not None and not isinstance(configs, DataFrame):
+        raise ValueError("An uploader's entitlement needs the dashboards table")
     reader = (
-        spark.readStream.schema(_schema(schema))
-        .options(**CSV_OPTIONS, multiLine="true", mode="PERMISSIVE")
+        spark.readStream.format("binaryFile")
+        .schema(LISTING)
         .option("pathGlobFilter", UPLOAD_GLOB)
+        .option("recursiveFileLookup", "true")
     )
-    if not latest_only:
+    if not latest_only and not folders:
         reader = reader.option("maxFilesPerTrigger", 1)
-    if clean_source:
-        reader = reader.option("cleanSource", "delete")
-    stream = reader.csv(input_dir).select(
-        "*",
-        F.col("_metadata.file_path").alias(_FILE),
-        F.col("_metadata.file_modification_time").alias(_MTIME),
-    )
+    # the content column is not selected, so no file is read here
+    listing = reader.load(input_dir).select("path", "modificationTime")
+
+    def process(files: list[str], sid: str) -> None:
+        path = scratch_dir(spark, "staged")
+        try:
+            staged = stage(load_csv(spark, files, schema, multi_line=True, malformed=malformed), path)
+            if not isinstance(configs, DataFrame):
+                fan_out(staged, configs, store, snapshot_id=sid, stage_input=False)
+                return
+            boards = configs if uploader is None else entitled_dashboards(uploader[0], uploader[1], configs, uploader[2])
+            fan_out_table(staged, boards, store, snapshot_id=sid, stage_input=False)
+        finally:  # the snapshots are written: the staged copy is no longer read
+            delete_path(spark, path)
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
-        if latest_only:
-            newest = batch.agg(F.max_by(_FILE, F.struct(_MTIME, _FILE)).alias("_f")).scalar()
-            batch = batch.where(F.col(_FILE) == newest)
-        sid = f"{name}-{batch_id:012d}"
-        if isinstance(configs, DataFrame):  # the dashboards table: families planned in Spark
-            fan_out_table(batch.drop(_FILE, _MTIME), configs, store, snapshot_id=sid).collect()
-        else:
-            fan_out(batch.drop(_FILE, _MTIME), configs, store, snapshot_id=sid)
-
-    writer = stream.writeStream.queryName(name).foreachBatch(on_batch).option("checkpointLocation", checkpoint_location)
+        taken = [f for _, files in pending_uploads(batch, folders, False) for f in files] if clean_source else []
+        uploads = pending_uploads(batch, folders, latest_only)
+        for i, (_, files) in enumerate(uploads):
+            if all(path_exists(spark, f) for f in files):
+                process(files, f"{name}-{batch_id:012d}" + (f"-{i:04d}" if len(uploads) > 1 else ""))
+        for f in taken:
+            delete_path(spark, f)
+
+    writer = listing.writeStream.queryName(name).foreachBatch(on_batch).option("checkpointLocation", checkpoint_location)
     if available_now:
         writer = writer.trigger(availableNow=True)
     elif processing_time:

@@ -110,3 +110,23 @@ def test_validate_plain_csv_folder(spark, tmp_path):
     _write(d / "bad.csv", "a,n\nx,zz\n")
     res = {r.path.rsplit("/", 1)[-1]: r for r in validate_files(spark, str(d), SCHEMA, glob="*.csv").collect()}
     assert res["ok.csv"].is_valid and res["bad.csv"].bad_rows == 1
+
+
+def test_files_of_one_folder_are_bound_by_their_own_headers(spark, tmp_path):
+    _write(tmp_path / "f" / "a.csv.gz", "n,a\n1,x\n", gz=True)
+    _write(tmp_path / "f" / "b.csv.gz", "extra,a,n\nq,y,2\n", gz=True)
+    df = load_csv(spark, str(tmp_path / "f"), "a string, n int", multi_line=True)
+    assert sorted((r.a, r.n) for r in df.collect()) == [("x", 1), ("y", 2)]
+    report = {r.path.rsplit("/", 1)[-1]: r for r in validate_files(spark, str(tmp_path / "f"), "a string, n int").collect()}
+    assert all(r.is_valid and r.bad_rows == 0 for r in report.values())
+
+
+def test_malformed_rows_are_counted_kept_dropped_or_fatal(spark, tmp_path):
+    path = _write(tmp_path / "m" / "m.csv.gz", "a,n\nx,1,extra\ny,oops\nz\nok,4\n", gz=True)
+    report = validate_files(spark, str(tmp_path / "m"), "a string, n int").first()
+    assert not report.is_valid and report.bad_rows == 3
+    load = lambda how: load_csv(spark, path, "a string, n int", malformed=how)
+    assert load("null").count() == 4
+    assert [(r.a, r.n) for r in load("drop").collect()] == [("ok", 4)]
+    with pytest.raises(Exception, match="malformed row"):
+        load("fail").collect()

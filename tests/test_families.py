@@ -159,7 +159,60 @@ def test_many_shapes_with_manifest_compaction(spark, df, tmp_path):
         agg = {"column": "sales", "operation": "sum", "alias": f"s{i}"}
         rows.append((i, json.dumps({"pipeline": {"aggregations": [agg], "group_by": [key]}})))
     dashboards = spark.createDataFrame(rows, "dashboard_id long, config string")
-    store = SnapshotStore(spark, str(tmp_path / "store"), max_manifest_entries=2)
-    status = fan_out_table(df, dashboards, store).collect()  # collected after several compactions
+    store = SnapshotStore(spark, str(tmp_path / "store"))
+    status = fan_out_table(df, dashboards, store).collect()
+    assert store.compact_manifest(max_entries=2)
     assert sorted(r.dashboard_id for r in status) == list(range(6)) and all(r.status == "ok" for r in status)
     assert store.current().count() == 6
+
+
+def _board(**pipeline):
+    import json
+
+    return json.dumps({"pipeline": pipeline})
+
+
+SUM = [{"column": "sales", "operation": "sum", "alias": "s"}]
+
+
+def test_shapes_under_one_snapshot_id_do_not_touch_each_other(spark, df, tmp_path):
+    from kpimart.plans.families import fan_out_table
+
+    cats = sorted(r.cat for r in df.select("cat").distinct().collect() if r.cat is not None)[:2]
+    boards = [
+        *((i, _board(filters=[{"column": "cat", "value": c}], aggregations=SUM, group_by=["year"])) for i, c in enumerate(cats)),
+        *((10 + i, _board(filters=[{"column": "cat", "value": c}], aggregations=SUM, group_by=["region"])) for i, c in enumerate(cats)),
+        (20, _board(aggregations=SUM)),
+        (21, _board(aggregations=SUM)),
+    ]
+    dashboards = spark.createDataFrame(boards, "dashboard_id long, config string")
+    store = SnapshotStore(spark, str(tmp_path / "store"))
+    for _ in range(2):  # a replay of the same snapshot id
+        status = fan_out_table(df, dashboards, store, snapshot_id="run").collect()
+        assert [r.status for r in status] == ["ok"] * 6
+        for i, _ in boards:
+            assert store.get(i).count() == store.latest_info(i).row_count > 0
+    batch = store.read_batch("run")
+    assert sorted(r.dashboard_id for r in batch.select("dashboard_id").distinct().collect()) == [0, 1, 10, 11]
+    assert {"year", "region"} <= set(batch.columns)
+
+
+def test_empty_family_fractional_value_and_missing_config(spark, df, tmp_path):
+    from kpimart.plans.families import fan_out_grouped, fan_out_table
+
+    year = df.first().year
+    own = lambda v: _board(filters=[{"column": "year", "value": v}], aggregations=SUM, group_by=["cat"])
+    boards = [(1, own(1)), (2, own(2)), (3, None), (4, "  "), (5, "{not json")]
+    dashboards = spark.createDataFrame(boards, "dashboard_id long, config string")
+    store = SnapshotStore(spark, str(tmp_path / "store"))
+    status = {r.dashboard_id: r for r in fan_out_table(df, dashboards, store).collect()}
+    assert (status[1].status, status[1].rows) == ("ok", 0) and store.get(2).count() == 0  # no member has a row
+    assert status[3].rows == status[4].rows == df.count()  # no config: rows pass through
+    assert status[5].status == "error"
+    halves = spark.createDataFrame([(1, own(year + 0.5)), (2, own(year))], "dashboard_id long, config string")
+    for store, rows in (
+        (SnapshotStore(spark, str(tmp_path / "table")), lambda s: fan_out_table(df, halves, s)),
+        (SnapshotStore(spark, str(tmp_path / "grouped")), lambda s: fan_out_grouped(df, {r.dashboard_id: r.config for r in halves.collect()}, s)),
+    ):
+        assert all(r.status == "ok" for r in rows(store).collect())
+        assert store.get(1).count() == 0 and store.get(2).count() > 0

@@ -4,6 +4,8 @@ import gzip
 import os
 import time
 
+import pytest
+
 from kpimart.config import PipelineConfig
 from kpimart.plans.fanout import fan_out, get_data, records_processed, results_frame, trigger_processing, upload
 from kpimart.plans.processing import apply_transformations, run
@@ -53,7 +55,7 @@ def test_raw_and_stored_reads_agree_on_key_filters(spark, tmp_path):
     stored = get_data(store, 1, {"cat": "a"})
     raw = get_data(store, 1, {"cat": "a"}, mode="raw", source=df, config=cfg)
     assert sorted(stored.collect()) == sorted(raw.collect())
-    assert get_data(store, 42, {"cat": "a"}) is None  # unknown dashboard
+    assert get_data(store, 42, {"cat": "a"}).collect() == []  # unknown dashboard: an empty result
 
 
 def test_transform_only(spark):
@@ -69,10 +71,10 @@ def test_upload_flow_respects_the_role_gate(spark, tmp_path):
     dashboards = spark.createDataFrame([(10, "d", cfg, 1), (11, "e", cfg, 2)], "dashboard_id long, name string, config string, owner_id long")
     access = spark.createDataFrame([(1, 11)], "user_id long, dashboard_id long")
     store = SnapshotStore(spark, str(tmp_path / "store"))
-    res = upload(spark, path, 1, users, dashboards, access, store, CSV_SCHEMA)
+    res = upload(spark, path, 1, users, dashboards, access, store, CSV_SCHEMA).collect()
     assert sorted(r.dashboard_id for r in res) == [10, 11]
     res_viewer = upload(spark, path, 2, users, dashboards, access, SnapshotStore(spark, str(tmp_path / "s2")), CSV_SCHEMA)
-    assert res_viewer == []  # a viewer may not recompute, not even its own dashboard
+    assert res_viewer.collect() == []  # a viewer may not recompute, not even its own dashboard
     one = trigger_processing(spark, path, 10, dashboards, store, CSV_SCHEMA)
     assert one.status == "ok" and one.rows == 2
     assert trigger_processing(spark, path, 99, dashboards, store, CSV_SCHEMA).status == "error"
@@ -92,9 +94,9 @@ def test_stream_newest_file_wins(spark, tmp_path):
     assert sorted(r.year for r in store.get(2).collect()) == [2020, 2021]
     ids = sorted(r.snapshot_id for r in store.manifest().where("dashboard_id = 1").collect())
     assert ids == ["t_stream-000000000000", "t_stream-000000000001"]
-    # cleanSource removes a file once a later batch commits: the newest stays
+    # consumed files are removed (SNK-7)
     assert not (incoming / "first.csv.gz").exists()
-    assert (incoming / "second.csv.gz").exists()
+    assert not (incoming / "second.csv.gz").exists()
 
 
 def test_stream_backlog_in_one_batch_keeps_only_the_newest_file(spark, tmp_path):
@@ -147,3 +149,37 @@ def test_stream_with_a_processing_time_trigger(spark, tmp_path):
     finally:
         q.stop()
     assert not q.isActive
+
+
+def test_upload_admits_by_name_and_size_and_removes_its_input(spark, tmp_path):
+    users = spark.createDataFrame([(1, "editor")], "user_id long, role string")
+    cfg = '{"pipeline": {"aggregations": [{"column": "sales", "operation": "sum", "alias": "total"}]}}'
+    boards = spark.createDataFrame([(10, "d", cfg, 1)], "dashboard_id long, name string, config string, owner_id long")
+    access = spark.createDataFrame([], "user_id long, dashboard_id long")
+    store = SnapshotStore(spark, str(tmp_path / "store"))
+    args = (1, users, boards, access, store, CSV_SCHEMA)
+    plain = tmp_path / "in" / "u.csv"
+    path = _gz(tmp_path / "in" / "u.csv.gz", "cat,year,sales\na,2020,1.5\n")
+    plain.write_text("cat,year,sales\na,2020,1.5\n")
+    with pytest.raises(ValueError, match="Only"):
+        upload(spark, str(plain), *args)
+    with pytest.raises(ValueError, match="larger"):
+        upload(spark, path, *args, max_bytes=3, clean_source=True)
+    assert not os.path.exists(path)  # removed on error too
+    path = _gz(tmp_path / "in" / "v.csv.gz", "cat,year,sales\na,2020,1.5\n")
+    assert [r.status for r in upload(spark, path, *args, clean_source=True).collect()] == ["ok"]
+    assert not os.path.exists(path) and store.get(10).first().total == 1.5
+
+
+def test_stream_binds_columns_by_name_and_touches_entitled_dashboards_only(spark, tmp_path):
+    incoming = tmp_path / "incoming"
+    _gz(incoming / "u.csv.gz", "sales,extra,year,cat\n1.0,x,2020,a\n2.0,y,2021,a\n")
+    cfg = '{"pipeline": {"aggregations": [{"column": "sales", "operation": "sum", "alias": "total"}], "group_by": ["cat"]}}'
+    boards = spark.createDataFrame([(1, cfg, 7), (2, cfg, 8)], "dashboard_id long, config string, owner_id long")
+    users = spark.createDataFrame([(7, "editor"), (8, "editor")], "user_id long, role string")
+    access = spark.createDataFrame([], "user_id long, dashboard_id long")
+    store = SnapshotStore(spark, str(tmp_path / "store"))
+    q = upload_stream(spark, str(incoming), CSV_SCHEMA, boards, store, str(tmp_path / "cp"), name="t_named", uploader=(7, users, access))
+    q.awaitTermination()
+    assert [(r.cat, r.total) for r in store.get(1).collect()] == [("a", 3.0)]
+    assert store.get(2) is None
