@@ -55,14 +55,4 @@ def growth_ratio(df: DataFrame, value: str, prev: str, alias: str = "growth") ->
     )
 
 
-def literal(value) -> dict:
-    """Shorthand for a literal node in the structured form."""
-    return {"lit": value}
-
-
-def col(name: str) -> dict:
-    """Shorthand for a column node in the structured form."""
-    return {"col": name}
-
-
-__all__ = ["growth_ratio", "with_computed_field", "with_computed_fields", "col", "literal"]
+__all__ = ["growth_ratio", "with_computed_field", "with_computed_fields"]
