@@ -42,6 +42,9 @@ TRAIN_DOCS = 4000
 TRAIN_TOKENS = 40000
 FEATURES = 1 << 12
 ROUNDS = 12
+#: Equal or similar tokens of a document agree by this log potential unless
+#: the training tokens say otherwise.
+SKIP_PRIOR = 4.0
 ACCEPT = 0.5
 
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
@@ -231,7 +234,8 @@ class SkipChainField:
         np.add.at(total, inverse, gold)
         others = (total[inverse] - gold) / np.maximum(size[inverse] - 1, 1)[:, None]
         w = np.zeros((FEATURES, LABELS))
-        chain, skip = np.zeros((LABELS, LABELS)), np.zeros((LABELS, LABELS))
+        prior = SKIP_PRIOR * np.eye(LABELS)
+        chain, skip = np.zeros((LABELS, LABELS)), prior.copy()
         squares = [np.full_like(x, 1e-8) for x in (w, chain, skip)]
         for _ in range(steps):
             z = w[features].sum(axis=1) + before @ chain + after @ chain.T + others @ skip
@@ -242,7 +246,7 @@ class SkipChainField:
             gw = 1e-5 * w
             np.add.at(gw, features.ravel(), np.repeat(error, features.shape[1], axis=0))
             gc = 1e-4 * chain + before.T @ error + (after.T @ error).T
-            gs = 1e-4 * skip + others.T @ error
+            gs = 1e-4 * (skip - prior) + others.T @ error
             for x, g, s in zip((w, chain, skip), (gw, gc, (gs + gs.T) / 2), squares, strict=True):
                 s += g * g
                 x -= 0.3 * g / np.sqrt(s)

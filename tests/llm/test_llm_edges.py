@@ -1,0 +1,177 @@
+"""Nulls, empty and very long texts, ties, repeated rows, empty tables and
+extra columns of clashing names, for every operator and pipeline stage."""
+
+import pytest
+
+from kpimart.llm import (
+    decontaminate,
+    html_extract,
+    jaccard_join,
+    language_id,
+    mixing,
+    pii,
+    quality,
+    secret_scan,
+    sharding,
+    spotsigs,
+    stages,
+)
+from kpimart.session import scratch_dir
+
+LONG = " ".join(f"word{i % 977} the {i}" for i in range(60_000))
+EDGE = [
+    (1, "The house and the garden of a friend are in the town, not far away.", "en", "a"),
+    (2, "The house and the garden of a friend are in the town, not far away.", "en", "a"),
+    (3, None, "en", "a"),
+    (4, "", None, None),
+    (5, " \t\n ", "fr", None),
+    (6, "!!! 123 ...", "fr", "b"),
+    (None, "La maison et le jardin sont dans la ville, mais pas trop loin.", "fr", "b"),
+    (None, None, None, None),
+    (7, LONG, "en", "a"),
+    (8, "x" * 300_000, "en", "b"),
+    (9, "one two", "de", "b"),
+    (9, "one two", "de", "b"),
+    (10, "Der Garten und das Haus mail me@site.org +1 (212) 555-0100 4111111111111111 10.0.0.1", "de", "c"),
+]
+#: Columns that operators use names of, given to every input.
+CLASH = "size slot shard token node sig n n_words spans items score cell tie path value start rank block target taken".split()
+DDL = "doc_id long, text string, lang string, source string"
+
+
+@pytest.fixture(scope="module")
+def edge(spark):
+    df = spark.createDataFrame(EDGE, DDL)
+    from pyspark.sql import functions as F
+
+    return df.withColumns({c: F.lit("clash") for c in CLASH}).repartition(3, "source")
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], DDL)
+
+
+@pytest.fixture(scope="module")
+def bench(spark):
+    rows = [(1, "garden of a friend are in the town not far away"), (2, "one two"), (None, "haus mail"), (3, None), (4, " ")]
+    return spark.createDataFrame(rows, "item_id long, text string")
+
+
+@pytest.fixture(scope="module")
+def labels(spark):
+    rows = [(1, 1, 0), (2, 1, 0), (6, 0, 0), (8, 0, 0), (9, None, 0), (None, 1, 0), (7, 1, 1)]
+    return spark.createDataFrame(rows, "doc_id long, quality int, toxic int")
+
+
+def test_sharding(edge, empty):
+    rows = sharding.shard_by_slots(edge, 3, scratch_dir(edge.sparkSession, "t")).collect()
+    assert len(rows) == len(EDGE)
+    by_id = {r.doc_id: r for r in rows}
+    assert by_id[3].size == 8 and by_id[3].text_crc32 is None and by_id[4].text_crc32 == 0
+    for s in {r.shard for r in rows}:
+        assert sorted(r.place for r in rows if r.shard == s) == list(range(sum(r.shard == s for r in rows)))
+    assert sharding.shard_by_slots(empty, 3, scratch_dir(edge.sparkSession, "t")).count() == 0
+
+
+def test_jaccard_join(edge, empty):
+    rows = jaccard_join.jaccard_components(edge).collect()
+    got = {(r.doc_id, r.n_shingles, r.component_id) for r in rows}
+    assert len(rows) == len(EDGE)
+    assert {(1, 11, 1), (2, 11, 1), (3, 0, 3), (4, 0, 4), (5, 0, 5), (8, 1, 8), (9, 1, 9), (None, 0, None)} <= got
+    assert jaccard_join.jaccard_components(empty).count() == 0
+
+
+def test_language_id(edge, empty):
+    rows = language_id.identify(edge, language_id.train(edge), ["doc_id"]).collect()
+    assert len(rows) == len(EDGE)
+    by_id = {r.doc_id: r for r in rows if r.doc_id is not None}
+    assert all(by_id[i].lang_pred == "und" and by_id[i].score == 0 for i in (3, 4, 5, 6))
+    assert by_id[1].lang_pred == "en" and 0 < by_id[1].score <= 1
+    model = language_id.train(empty)
+    assert language_id.identify(empty, model, ["doc_id"]).count() == 0
+    assert {r.lang_pred for r in language_id.identify(edge, model, ["doc_id"]).collect()} == {"und"}
+
+
+def test_quality(edge, empty, labels):
+    rows = quality.score(edge, quality.train(edge, labels), ["doc_id"]).collect()
+    assert len(rows) == len(EDGE)
+    assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in rows)
+    assert {r.score for r in quality.score(edge, quality.train(empty, labels), ["doc_id"]).collect()} == {0.5}
+    assert quality.score(empty, quality.train(edge, labels), ["doc_id"]).count() == 0
+
+
+def test_pii(edge, empty):
+    rows = {r.doc_id: r for r in pii.scan(edge, pii.train(edge), ["doc_id"]).collect()}
+    r = rows[10]
+    assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == (1, 1, 1, 1)
+    assert all(rows[i].spans == "" for i in (1, 3, 4, 5, 8))
+    assert pii.scan(empty, pii.train(empty), ["doc_id"]).count() == 0
+
+
+def test_mixing(edge, empty):
+    mix = mixing.plan_mix(mixing.size_documents(edge), slots=1 << 12)
+    rows = mixing.words_taken(mix).collect()
+    assert len(rows) == len(EDGE)
+    assert all(0 <= r.taken <= 3 * r["size"] for r in rows)
+    assert all(r.taken == 0 for r in rows if r.doc_id in (3, 4, 5))
+    assert mixing.words_taken(mixing.plan_mix(mixing.size_documents(empty))).count() == 0
+
+
+def test_spotsigs(edge, empty, spark):
+    rows = spotsigs.fingerprints(edge).collect()
+    assert len(rows) == len(EDGE)
+    by_id = {r.doc_id: r for r in rows if r.doc_id is not None}
+    assert by_id[1].fingerprint == by_id[2].fingerprint and by_id[3].fingerprint == by_id[4].fingerprint
+    assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in rows)
+    assert by_id[2].near_next == 1.0  # document 1 follows
+    assert spotsigs.fingerprints(empty).count() == 0
+    one = spotsigs.fingerprints(spark.createDataFrame(EDGE[:1], DDL)).collect()
+    assert one[0].near_next == 1.0
+
+
+def test_decontamination(edge, empty, bench):
+    rows = {r.doc_id: r for r in decontaminate.digest(decontaminate.find_benchmark_spans(edge, bench)).collect()}
+    assert rows[1].n_hit == 11 and rows[1].n_items == 1
+    assert rows[9].n_hit == 2 and rows[10].n_hit == 2 and rows[10].n_items == 0
+    assert not rows[3].contaminated and rows[3].n_words == 0
+    assert decontaminate.find_benchmark_spans(empty, bench).count() == 0
+    assert not any(r.spans for r in decontaminate.find_benchmark_spans(edge, bench.limit(0)).collect())
+
+
+def test_secret_scan(edge, empty):
+    rows = secret_scan.scan(edge).collect()
+    assert all(r.doc_id in (8, 10, 7) for r in rows)
+    assert secret_scan.scan(empty).count() == 0
+
+
+def test_html(spark):
+    body = "<nav><a>Menu</a></nav><div class='main'><p>{}</p><p>Same foot line</p></div>"
+    rows = [(i, f"http://h.org/{i}", body.format(f"text number {i} &amp; more")) for i in range(4)]
+    rows += [(10, None, None), (11, "x", ""), (12, "http://h.org/9", "<p>open <b>bold<p>next\n line<script>var a='<p>'"), (None, "u", "plain")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {
+        r.page_id: r.text
+        for r in html_extract.extract_pages(pages, html_extract.wrappers(pages), ["page_id", "url"]).collect()
+    }
+    assert got[0] == "text number 0 & more"  # the menu and the constant line are gone
+    assert got[10] == got[11] == "" and got[12] == "open bold\n\nnext line" and got[None] == "plain"
+    none = pages.limit(0)
+    assert html_extract.extract_pages(none, html_extract.wrappers(none), ["page_id", "url"]).count() == 0
+
+
+@pytest.mark.parametrize("name", ["keep_known_languages", "keep_one_of_each_group", "drop_contaminated", "mix_sources"])
+def test_stage_keeps_columns(edge, empty, bench, name, tmp_path):
+    bench.write.parquet(f"{tmp_path}/benchmark.parquet")
+    stage = getattr(stages, name)
+    out = stage(edge.sparkSession, edge, str(tmp_path))
+    assert out.columns == edge.columns
+    ids = [r.doc_id for r in out.collect()]
+    expected = {
+        "keep_known_languages": lambda: 3 not in ids and 6 not in ids and 1 in ids,
+        "keep_one_of_each_group": lambda: ids.count(1) == 1 and 2 not in ids and ids.count(9) == 1 and 3 in ids,
+        "drop_contaminated": lambda: 1 not in ids and 9 not in ids and 7 in ids and 3 in ids,
+        "mix_sources": lambda: 3 not in ids and 7 in ids,
+    }[name]
+    assert expected()
+    assert stage(edge.sparkSession, empty, str(tmp_path)).columns == empty.columns
