@@ -13,10 +13,20 @@ length of the sets (a power of two per length band, so that both sides agree),
 which keeps the pairs in proportion to the set.
 
 Candidates of a signature are compared with its hub only: the member with the
-fewest rare tokens. Whatever is linked that way is one component; signatures
-whose members are still in different components get all pairs across their
-components compared. So a large group of near copies costs one comparison per
-member, and no link that changes a component is lost.
+fewest rare tokens. What is linked that way is one component, so a large group
+of near copies costs one comparison per member. Two members of a hub's group
+that are not both linked with it may still be similar. They are found in the
+space of differences from the hub: ``D(x)`` holds the tokens that x adds to the
+hub's set, then those it lacks. |x ^ y| = |D(x) ^ D(y)|, so a similar pair's
+differences must overlap by at least (|D(x)| + |D(y)| - c(|x| + |y|)) / 2,
+where c = (1 - t) / (1 + t); one of the two is not linked with the hub, hence
+|D| > c(|x| + |hub|), which makes that overlap about half of either, and never
+less than |D| - |x|(1 - t) / t. So these differences are joined by their own
+prefixes (added tokens first, as these are the rare ones), and the pairs found
+are verified. That needs members that resemble the hub. A member whose
+difference is larger than most of its own size shares little more than a
+passage with the hub; it is paired with the other members of the signature's
+run instead, if sizes and places in the common order allow. No link is lost.
 
 Counts cover all documents: every task counts the tokens of a batch and
 reports those found in two or more distinct sets. The order only needs to be
@@ -32,18 +42,21 @@ non-null id).
 
 from __future__ import annotations
 
+import gc
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from kpimart.llm import textvec
 from kpimart.llm.components import connected_components
 from kpimart.session import scratch_dir
+from kpimart.sinks.store import delete_path
 
 SHINGLE = 5
 #: The similarity that links, in hundredths.
@@ -55,9 +68,15 @@ PAIR_CLASS = 6
 #: Tokens of a set per part of the frequent classes.
 PART_TOKENS = 16
 #: Bytes of text a task turns into sets at a time.
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 4 << 20
 #: Rows of a side that is broadcast at most.
 BROADCAST_ROWS = 1 << 20
+#: A member is far from its hub if their difference is more than this many
+#: times the member's size; far members are paired by shared signatures.
+FAR = 0.7
+#: Bits of the packed rank: rare tokens (saturating) above the set's size
+#: above the signature's place (saturating).
+SIZE_BITS, PLACE_BITS, RARE_MOST = 28, 19, (1 << 16) - 1
 
 
 def text_sets(texts: pa.Array, k: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -128,9 +147,10 @@ def token_classes(texts: DataFrame, k: int = SHINGLE, rows: int = TABLE_ROWS) ->
 
 def _band_parts(n: int, percent: int) -> list[tuple[int, int]]:
     """``(band, parts)`` of the length bands that a partner of a set of ``n``
-    tokens can make the longer set fall into."""
-    bands = range(n.bit_length() - 1, (n * 100 // percent).bit_length())
-    return [(b, max(1, (1 << b) // PART_TOKENS)) for b in bands]
+    tokens can make the longer set fall into; bands grow by a third."""
+    step = math.log(4 / 3)
+    low, high = (int(math.log(m) / step + 1e-9) for m in (n, n * 100 // percent))
+    return [(b, max(1, int(math.exp(b * step)) // PART_TOKENS)) for b in range(low, high + 1)]
 
 
 def set_signatures(tokens: np.ndarray, classes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -207,31 +227,39 @@ def _signatures(k: int, percent: int, table: Broadcast):
                         batch.column(1).slice(lo, hi - lo),
                         pa.array(counts, pa.int64()),
                         pa.array(nodes),
-                        pa.array(rare.astype(np.int32)),
+                        pa.array((np.minimum(rare, RARE_MOST) << (SIZE_BITS + PLACE_BITS)) | (counts << PLACE_BITS)),
                         *lists,
                     ],
-                    ["doc_id", "text_key", "n", "node", "rare", "singles", "pairs"],
+                    ["doc_id", "text_key", "n", "node", "rank", "singles", "pairs"],
                 )
 
     return run
 
 
+def _pair_sets(batch: pa.RecordBatch, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The two sets of every row (texts in columns 2 and 3)."""
+    sides = []
+    for column in (batch.column(2), batch.column(3)):
+        sets: list[np.ndarray] = []
+        for _, _, tokens, counts in text_sets(column, k):
+            sets += np.split(tokens, np.cumsum(counts)[:-1])
+        sides.append(sets)
+    return zip(*sides, strict=True)
+
+
+def _is_in(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which elements of x are in y (both sorted, without repeats)."""
+    if not len(y):
+        return np.zeros(len(x), dtype=bool)
+    return y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x
+
+
 def _verify(k: int, percent: int):
     def run(batches):
         for batch in batches:
-            sides = []
-            for column in (batch.column(2), batch.column(3)):
-                sets: list[np.ndarray] = []
-                for _, _, tokens, counts in text_sets(column, k):
-                    sets += np.split(tokens, np.cumsum(counts)[:-1])
-                sides.append(sets)
             linked = np.zeros(batch.num_rows, dtype=bool)
-            for i, (x, y) in enumerate(zip(*sides, strict=True)):
-                if len(x) > len(y):
-                    x, y = y, x
-                if not len(x):
-                    continue
-                shared = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+            for i, (x, y) in enumerate(_pair_sets(batch, k)):
+                shared = int(_is_in(x, y).sum())
                 linked[i] = 100 * shared >= percent * (len(x) + len(y) - shared)
             kept = pa.array(linked)
             yield pa.RecordBatch.from_arrays(
@@ -241,6 +269,56 @@ def _verify(k: int, percent: int):
     return run
 
 
+def difference_prefix(n_hub: int, n: int, d: int, linked: bool, percent: int) -> int:
+    """How many tokens of the difference of a set of ``n`` tokens from its hub
+    are looked at: as one side of any pair whose other side is not linked with
+    the hub, and if it is not linked itself, also as that other side."""
+    low, high = 100 - percent, 100 + percent
+    # overlap > (d + c (n_hub - n)) / 2
+    prefix = d - (high * d + low * (n_hub - n)) // (2 * high)
+    if not linked:
+        # overlap >= (d - c (n + n_hub)) / 2
+        prefix = max(prefix, d - max(1, -((low * (n + n_hub) - high * d) // (2 * high))) + 1)
+    # the other difference is at least d - c (n + m) long, and m <= n / t: so
+    # the overlap is at least d - n (1 - t) / t
+    return max(0, min(d, prefix, n * low // percent + 1))
+
+
+def _compare_with_hub(k: int, percent: int):
+    """Rows (hub, node, ...): whether they are linked, and the start of the
+    node's difference from the hub, added tokens first."""
+
+    def run(batches):
+        for batch in batches:
+            linked, sizes, differences, starts = [], [], [], []
+            for hub, x in _pair_sets(batch, k):
+                in_hub = _is_in(x, hub)
+                shared = int(in_hub.sum())
+                linked.append(100 * shared >= percent * (len(x) + len(hub) - shared))
+                d = len(x) + len(hub) - 2 * shared
+                sizes.append((len(hub), len(x), d))
+                start = np.concatenate((x[~in_hub], hub[~_is_in(hub, x)]))
+                size = 0 if d > FAR * len(x) else difference_prefix(len(hub), len(x), d, linked[-1], percent)
+                starts.append(start[:size])
+            counts = [len(s) for s in starts]
+            flat = np.concatenate(starts).view(np.int64) if starts else np.zeros(0, np.int64)
+            at = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
+            differences = pa.ListArray.from_arrays(pa.array(at), pa.array(flat))
+            columns = np.array(sizes, dtype=np.int64).reshape(-1, 3)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0),
+                    batch.column(1),
+                    pa.array(linked, pa.bool_()),
+                    *(pa.array(c) for c in columns.T),
+                    differences,
+                ],
+                ["hub", "node", "linked", "n_hub", "n", "d", "start"],
+            )
+
+    return run
+
+
 class JaccardJoin:
     """One run of the join; every step is a written table in shared storage."""
 
@@ -254,8 +332,11 @@ class JaccardJoin:
         df.write.parquet(f"{self.folder}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{name}")
 
-    def _near_in_size(self, a: Column, b: Column) -> Column:
-        return F.least(a, b) * 100 >= F.greatest(a, b) * self.percent
+    def _release(self) -> None:
+        """Let Spark's cleaner drop the shuffle files of finished steps: it acts
+        when the driver's JVM collects the plans that refer to them."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
 
     def sets(self) -> DataFrame:
         """One row per document: its set's node, size and signatures."""
@@ -263,40 +344,65 @@ class JaccardJoin:
         doc_id = self.docs.schema["doc_id"].dataType.simpleString()
         found = self.docs.mapInArrow(
             _signatures(self.k, self.percent, table),
-            f"doc_id {doc_id}, text_key long, n long, node long, rare int, singles array<long>, pairs array<long>",
+            f"doc_id {doc_id}, text_key long, n long, node long, rank long, singles array<long>, pairs array<long>",
         )
         return self._written(found, "sets")
 
-    def shared_signatures(self, sets: DataFrame) -> DataFrame:
-        """``sig, node, n, hub, hub_n`` for signatures of two or more nodes."""
-        member = F.struct("rare", "node", "n")
-        single = sets.select(F.explode("singles").alias("sig"), "node", "n", "rare")
-        same = Window.partitionBy("sig")
+    def hub_groups(self, sets: DataFrame) -> DataFrame:
+        """``group, hub, node, n, left``: the members (but the hub) of the runs
+        of every shared signature; ``left`` is what is left of a member's
+        tokens from the signature's place on (all, for pairs of tokens)."""
+        member = F.struct("rank", "node")
+        most = (1 << PLACE_BITS) - 1
+        single = sets.select(F.posexplode("singles").alias("place", "sig"), "node", "rank").select(
+            "sig", "node", F.col("rank").bitwiseOR(F.least("place", F.lit(most)).cast("long")).alias("rank")
+        )
+        n = F.shiftright("rank", PLACE_BITS).bitwiseAND(F.lit((1 << SIZE_BITS) - 1))
+        # a signature's sets in the order of their sizes: similar ones lie in
+        # one run without a gap wider than the threshold; lone sets go
+        by_size, run = Window.partitionBy("sig").orderBy("n"), Window.partitionBy("sig", "run")
+        gap = lambda small, large: small.isNull() | large.isNull() | (small * 100 < large * self.percent)
         single = (
-            single.withColumn("hub", F.min(member).over(same))
-            .withColumn("lo", F.min("node").over(same))
-            .withColumn("hi", F.max("node").over(same))
-            .filter("lo < hi")
-            .select("sig", "node", "n", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n"))
+            single.withColumn("n", n)
+            .withColumn("starts", gap(F.lag("n").over(by_size), F.col("n")))
+            .withColumn("ends", gap(F.col("n"), F.lead("n").over(by_size)))
+            .filter("not (starts and ends)")
+            .withColumn("run", F.sum(F.col("starts").cast("int")).over(by_size))
+        )
+        # at their first shared signature, what is left of two similar sets
+        # from its place on is at least the overlap they need: room(x) =
+        # (100 + p) left(x) - p n(x) must reach p n(y), for one y of the run
+        left = F.col("n") - F.col("rank").bitwiseAND(F.lit(most))
+        room = left * (100 + self.percent) - F.col("n") * self.percent
+        single = (
+            single.withColumn("room", room)
+            .withColumn("most_room", F.max("room").over(run))
+            .withColumn("least_n", F.min("n").over(run))
+            .filter((F.col("most_room") >= F.col("n") * self.percent) & (F.col("room") >= F.col("least_n") * self.percent))
+            .withColumn("hub", F.min(member).over(run)["node"])
+            .filter("node != hub")
+            .select(F.xxhash64("sig", "run").alias("group"), "hub", "node", "n", left.alias("left"))
         )
         # pairs of frequent tokens may belong to very many sets: summed up
         # before the shuffle, then joined, where a hot signature can be split
         pair = self._written(
-            sets.filter(F.size("pairs") > 0).select(F.explode("pairs").alias("sig"), "node", "n", "rare"), "pairs"
+            sets.filter(F.size("pairs") > 0).select(F.explode("pairs").alias("sig"), "node", "rank"), "pairs"
         )
         hubs = self._written(
             pair.groupBy("sig")
-            .agg(F.min(member).alias("hub"), F.min("node").alias("lo"), F.max("node").alias("hi"))
+            .agg(F.min(member)["node"].alias("hub"), F.min("node").alias("lo"), F.max("node").alias("hi"))
             .filter("lo < hi")
-            .select("sig", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n")),
+            .select("sig", "hub"),
             "pair-hubs",
         )
-        pair = pair.join(hubs, "sig").select("sig", "node", "n", "hub", "hub_n")
-        return self._written(single.unionByName(pair).distinct(), "shared")
+        pair = pair.join(hubs, "sig").filter("node != hub").withColumn("n", n)
+        pair = pair.select(F.xxhash64("sig", F.lit(-1)).alias("group"), "hub", "node", "n", F.col("n").alias("left"))
+        return single.unionByName(pair).distinct()
 
-    def links(self, sets: DataFrame, candidates: DataFrame, name: str) -> DataFrame:
-        """The candidate pairs ``a, b`` of nodes that reach the threshold."""
+    def with_texts(self, sets: DataFrame, candidates: DataFrame, name: str) -> DataFrame:
+        """``a, b, text_a, text_b`` of distinct pairs of nodes."""
         candidates = self._written(candidates.distinct(), f"{name}-candidates")
+        self._release()
         nodes = candidates.select(F.col("a").alias("node")).union(candidates.select("b")).distinct()
         keys = self._written(
             sets.select("node", "text_key").join(nodes, "node").groupBy("node").agg(F.min("text_key").alias("text_key")),
@@ -308,37 +414,80 @@ class JaccardJoin:
         texts = self._written(texts.groupBy("node").agg(F.first("text").alias("text")), f"{name}-texts")
         one = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
         other = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
-        both = candidates.join(one, "b").join(other, "a").select("a", "b", "text_a", "text_b")
-        return self._written(both.mapInArrow(_verify(self.k, self.percent), "a long, b long"), f"{name}-links")
+        return candidates.join(one, "b").join(other, "a").select("a", "b", "text_a", "text_b")
+
+    def far_pairs(self, groups: DataFrame, members: DataFrame, parts: DataFrame) -> DataFrame:
+        """``a, b``: members of one signature's run, at least one far from its
+        hub, whose sizes and places allow the overlap they need."""
+        far = members.select("hub", "node", (F.col("d") > F.col("n") * FAR).alias("far"))
+        rows = groups.join(far, ["hub", "node"]).join(parts, "node", "left")
+        rows = rows.withColumn("component", F.coalesce("component", "node"))
+        # only runs that hold a far member
+        some = rows.groupBy("group").agg(F.bool_or("far").alias("some"), F.count("node").alias("rows"))
+        rows = self._written(rows.join(some.filter("some and rows > 1").select("group"), "group"), "far-runs")
+        x, y = rows.filter("far").alias("x"), rows.alias("y")
+        needed = (F.col("x.n") + F.col("y.n")) * self.percent
+        enough = F.least(F.col("x.left"), F.col("y.left")) * (100 + self.percent) >= needed
+        sizes = F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * self.percent
+        once = ~F.col("y.far") | (F.col("x.node") < F.col("y.node"))
+        other = (F.col("x.component") != F.col("y.component")) & (F.col("x.node") != F.col("y.node"))
+        pairs = x.join(y, (F.col("x.group") == F.col("y.group")) & enough & sizes & once & other)
+        return pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+
+    def near_differences(self, members: DataFrame, parts: DataFrame) -> DataFrame:
+        """``a, b``: members of one hub's group, at least one not linked with
+        the hub, whose differences from it may overlap enough."""
+        placed = members.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        placed = self._written(placed, "placed")
+        # groups with one member, or in one component, have nothing to find
+        mixed = placed.groupBy("hub").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+        placed = placed.join(mixed.filter("lo < hi").select("hub"), "hub")
+        token = placed.select(
+            "hub", "node", "linked", "n", "d", "component", F.posexplode("start").alias("place", "token")
+        ).select(
+            F.xxhash64("hub", "token").alias("key"),
+            "node",
+            "component",
+            F.shiftleft("n", 32).bitwiseOR(F.col("d")).alias("sizes"),
+            F.shiftleft(F.col("place").cast("long"), 1).bitwiseOR(F.col("linked").cast("long")).alias("at"),
+        )
+        x, y = token.filter("at % 2 = 0").alias("x"), token.alias("y")
+        n = {t: F.shiftright(f"{t}.sizes", 32) for t in "xy"}
+        d = {t: F.col(f"{t}.sizes").bitwiseAND(F.lit((1 << 32) - 1)) for t in "xy"}
+        place = {t: F.shiftright(f"{t}.at", 1) for t in "xy"}
+        low, high = 100 - self.percent, 100 + self.percent
+        # the overlap that the pair needs
+        overlap = F.ceil(((d["x"] + d["y"]) * high - (n["x"] + n["y"]) * low) / F.lit(2 * high))
+        inside = (place["x"] <= d["x"] - overlap) & (place["y"] <= d["y"] - overlap)
+        sizes = F.least(n["x"], n["y"]) * 100 >= F.greatest(n["x"], n["y"]) * self.percent
+        once = (F.col("y.at") % 2 == 1) | (F.col("x.node") < F.col("y.node"))
+        other = F.col("x.component") != F.col("y.component")
+        pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & inside & sizes & once & other)
+        return pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
 
     def run(self) -> DataFrame:
-        """``doc_id, n_shingles, node, component_id`` of every document."""
-        sets = self.sets()
-        shared = self.shared_signatures(sets)
-        near = self._near_in_size(F.col("n"), F.col("hub_n"))
-        to_hub = shared.filter(near & (F.col("node") != F.col("hub")))
-        links = self.links(sets, to_hub.select(F.col("hub").alias("a"), F.col("node").alias("b")), "hub")
-        parts = self._written(connected_components(links), "hub-components")
-        # signatures whose members are not all in one component yet
-        placed = shared.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        opened = (
-            placed.groupBy("sig")
-            .agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-            .filter("lo < hi")
-            .select("sig")
+        """``doc_id, n_shingles, node, text_key, component_id`` of every document."""
+        signed = self.sets()
+        sets = self._written(signed.select("doc_id", "text_key", "n", "node"), "nodes")
+        groups = self._written(self.hub_groups(signed), "groups")
+        for name in ("sets", "pairs"):  # read for the last time
+            delete_path(self.spark, f"{self.folder}/{name}")
+        self._release()
+        members = self._written(
+            self.with_texts(sets, groups.select(F.col("hub").alias("a"), F.col("node").alias("b")), "hub").mapInArrow(
+                _compare_with_hub(self.k, self.percent),
+                "hub long, node long, linked boolean, n_hub long, n long, d long, start array<long>",
+            ),
+            "members",
         )
-        rest = self._written(
-            placed.join(opened, "sig").filter("node != hub").select("sig", "node", "n", "component"), "open"
-        )
-        across = (
-            rest.alias("l")
-            .join(rest.alias("r"), "sig")
-            .filter("l.node < r.node and l.component != r.component")
-            .filter(self._near_in_size(F.col("l.n"), F.col("r.n")))
-            .select(F.col("l.node").alias("a"), F.col("r.node").alias("b"))
-        )
-        more = self.links(sets, across, "rest")
-        parts = self._written(connected_components(links.union(more)), "components")
+        self._release()
+        links = members.filter("linked").select(F.col("hub").alias("a"), F.col("node").alias("b"))
+        parts = self._written(connected_components(links), "hub-components")
+        pairs = self.near_differences(members, parts).unionByName(self.far_pairs(groups, members, parts))
+        rest = self.with_texts(sets, pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "rest")
+        more = self._written(rest.mapInArrow(_verify(self.k, self.percent), "a long, b long"), "rest-links")
+        if more.first() is not None:
+            parts = self._written(connected_components(links.union(more)), "components")
         return self._labelled(sets, parts)
 
     def _labelled(self, sets: DataFrame, parts: DataFrame) -> DataFrame:
