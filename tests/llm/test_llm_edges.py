@@ -32,7 +32,7 @@ EDGE = [
     (8, "x" * 300_000, "en", "b"),
     (9, "one two", "de", "b"),
     (9, "one two", "de", "b"),
-    (10, "Der Garten und das Haus mail me@site.org +1 (212) 555-0100 4111111111111111 10.0.0.1", "de", "c"),
+    (10, "Der Garten und das Haus mail me@site.org or +1 (212) 555-0100 or 4111111111111111 or 10.0.0.1", "de", "c"),
 ]
 #: Columns that operators use names of, given to every input.
 CLASH = "size slot shard token node sig n n_words spans items score cell tie path value start rank block target taken".split()
