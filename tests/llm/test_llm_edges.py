@@ -160,6 +160,24 @@ def test_html(spark):
     assert html_extract.extract_pages(none, html_extract.wrappers(none), ["page_id", "url"]).count() == 0
 
 
+def test_html_host_of_copies(spark):
+    body = "<div class='main'><p>{}</p><p>Same foot line</p></div>"
+    rows = [(i, "http://a.org/1", body.format("copied page")) for i in range(40)]
+    # one article under many urls, in frames that differ
+    rows += [(100 + i, f"http://b.org/{i}", f"<nav>{i}</nav>" + body.format("copied article")) for i in range(40)]
+    rows += [(200 + 10 * k + i, f"http://{h}.org/x{i}", body.format(f"text {i}")) for k, h in enumerate("ab") for i in range(3)]
+    # three copies beside two other pages
+    rows += [(300 + i, f"http://c.org/{i}", body.format("thrice" if i < 3 else f"text {i}")) for i in range(5)]
+    rows += [(400 + i, f"http://d.org/{i}", body.format(f"text {i}")) for i in range(60)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_extract.extract_pages(pages, html_extract.wrappers(pages), ["page_id"]).collect()}
+    assert len(got) == len(rows)
+    assert {got[i] for i in range(40)} == {"copied page"} and {got[100 + i] for i in range(40)} == {"copied article"}
+    assert [got[300 + i] for i in range(5)] == ["thrice"] * 3 + ["text 3", "text 4"]
+    assert all(got[200 + 10 * k + i] == f"text {i}" for k in range(2) for i in range(3))
+    assert all(got[400 + i] == f"text {i}" for i in range(60))
+
+
 @pytest.mark.parametrize("name", ["keep_known_languages", "keep_one_of_each_group", "drop_contaminated", "mix_sources"])
 def test_stage_keeps_columns(edge, empty, bench, name, tmp_path):
     bench.write.parquet(f"{tmp_path}/benchmark.parquet")
