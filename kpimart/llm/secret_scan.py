@@ -1,7 +1,9 @@
 """Secret scanning with a random forest against false positives (native).
 
-Candidates are found by form: long tokens that mix letters and digits or are
-all digits, and values assigned to a name. A random forest then tells secrets
+Candidates are found by form, wherever they stand in a word (compact JSON,
+CSV, urls, options, joined settings): long tokens that mix letters and digits
+or are all digits, values assigned to a name, shorter values after a keyword
+and a blank, and known formats inside a longer token. A random forest then tells secrets
 from look-alikes by the candidate's length, the transitions between its
 character classes, how much of it dictionary words cover, the path it was
 found under (the document's source) and its neighbouring words. It is trained
@@ -37,11 +39,6 @@ TREES = 24
 DEPTH = 6
 ACCEPT = 0.5
 
-#: A word that holds a candidate: an assigned value of 8 characters or more, or
-#: 14 or more characters with a digit among letters, digits and a few signs.
-CANDIDATE = r"""[A-Za-z_]{3,}[=:]["']?[A-Za-z0-9+/_.~-]{8,}|(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{14,}"""
-VALUE = r"""^["'(\[{<]*(?:[A-Za-z_]{3,}[=:]["']?)?([A-Za-z0-9+/_~-]+(?:\.[A-Za-z0-9+/_~-]+)*=*)"""
-
 # Names that secrets are given, and formats of known secrets.
 KEYWORDS = "token password passwd pwd secret key apikey api_key auth bearer credential access private".split()
 KNOWN_FORMATS = (
@@ -52,42 +49,101 @@ KNOWN_FORMATS = (
     r"^(?=.*[0-9])(?=.*[a-f])([0-9a-f]{16,20}|[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64})$",
 )
 
+#: A token: a value's characters, or a percent escape of a sign, which parts values.
+TOKEN = r"%(?:2[0-9A-Fa-f]|3[A-Fa-f]|5[BbDd]|7[BbDd])|[A-Za-z0-9+/_~-]+(?:\.[A-Za-z0-9+/_~-]+)*=*"
+#: A value by its own form: 14 or more characters with a digit among letters, digits and a few signs.
+LONG_VALUE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{14,}"
+#: The end of what stands before a value of 8 characters or more that is assigned to a name.
+ASSIGNED = r"""[A-Za-z_]{3}\\?["']?[=:]\\?["']?$"""
+#: A word with such a value (what comes after the name may be a value's first character, too).
+ASSIGNMENT = r"""[A-Za-z_]{3}\\?["']?[=:]\\?["']?[A-Za-z0-9+/_.~-]{8,}"""
+#: The end of a word that is a keyword, and one that also assigns.
+KEYWORD_END = rf"""(?i)(?<![a-z])(?:{"|".join(KEYWORDS)})["'\])]*(?:=>|:=|[=:])?$"""
+KEYWORD_ASSIGNS = r"""(?:=>|:=|[=:])$"""
+ASSIGNING = ("=", ":", "=>", ":=")
+#: What makes a short value after a bare keyword more than a word of prose: a digit, or capitals inside.
+NOT_PROSE = r"[0-9]|[a-z][A-Z]"
+SHORT = 8
+#: Texts that may hold a candidate.
+CANDIDATE = (
+    rf"{ASSIGNMENT}|{LONG_VALUE}"
+    rf"""|(?i:{"|".join(KEYWORDS)})["'\])]*(?:=>|:=|[=:])?\s+(?:(?:is|=>|:=|=|:)\s+)?[^A-Za-z0-9+/_~\s-]*[A-Za-z0-9+/_~.-]{{8,}}"""
+)
+#: Known formats within a token, between other signs than letters and digits.
+KNOWN_INSIDE = "(?<![A-Za-z0-9])(?:" + "|".join(f"(?:{p[1:-1]})" for p in KNOWN_FORMATS[:-1]) + (
+    "|(?=[a-f]*[0-9])(?=[0-9]*[a-f])(?:[0-9a-f]{16,20}|[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64}))(?![A-Za-z0-9])"
+)
+
 FEATURES = (
     "length class_changes case_changes vowel_changes distinct_share digit_share upper_share hex_share "
     "word_share assigned quoted after_keyword after_equals before_keyword"
 ).split() + [f"path_{i}" for i in range(PATH_BUCKETS)]
 
 
+def _length_before(parts: Column, i: Column) -> Column:
+    """The length of the first ``i`` strings of an array."""
+    return F.aggregate(F.slice(parts, 1, i), F.lit(0), lambda acc, p: acc + F.length(p))
+
+
 def find_candidates(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """``key, path, start, end, value, left1, left2, left3, right1, word`` for
-    every candidate; places are code points, the end is exclusive."""
+    """``key, path, start, end, value, word, left1, left2, left3, right1`` for
+    every candidate; places are code points, the end is exclusive. ``word`` is
+    the value with its name and quotes, the others are the words around."""
     words = F.split("text", r"\s")
     rows = docs.select(F.col(key).alias(key), F.col("source").alias("path"), F.col("text").alias("text"))
-    rows = rows.filter(F.col("text").rlike(CANDIDATE)).withColumn("words", words).drop("text")
+    rows = rows.filter(F.col("text").rlike(CANDIDATE)).select(key, "path", words.alias("words"))
 
     def around(word: Column, i: Column) -> Column:
         near = {f"left{n}": F.get(F.col("words"), i - n) for n in (1, 2, 3)} | {"right1": F.get(F.col("words"), i + 1)}
-        parts = [i.alias("place"), word.alias("word"), *(c.alias(n) for n, c in near.items())]
-        return F.when(word.rlike(CANDIDATE), F.struct(*parts))
+        left1, left2 = F.coalesce(near["left1"], F.lit("")), F.coalesce(near["left2"], F.lit(""))
+        # 0: no keyword before, 1: a keyword, 2: a keyword that the word is assigned to
+        told = (
+            F.when(left1.rlike(KEYWORD_END), F.when(left1.rlike(KEYWORD_ASSIGNS), 2).otherwise(1))
+            .when(left1.isin(*ASSIGNING) & left2.rlike(KEYWORD_END), 2)
+            .when((left1 == "is") & left2.rlike(KEYWORD_END), 1)
+            .otherwise(0)
+        )
+        before = _length_before(F.col("words"), i) + i
+        parts = [before.alias("before"), word.alias("word"), told.alias("told"), *(c.alias(n) for n, c in near.items())]
+        own = word.rlike(f"{ASSIGNMENT}|{LONG_VALUE}")
+        return F.when(own | ((F.length(word) >= SHORT) & (told > 0)), F.struct(*parts))
 
     hits = F.filter(F.transform("words", around), lambda x: x.isNotNull())
-    found = rows.withColumn("hit", F.explode(hits))
-    before = F.aggregate(
-        F.slice("words", 1, F.col("hit.place")), F.lit(0), lambda acc, w: acc + F.length(w) + 1
-    )
-    value = F.regexp_extract("hit.word", VALUE, 1)
-    start = F.col("before") + F.expr("locate(value, hit.word)") - 1
-    return (
-        found.withColumn("before", before)
-        .withColumn("value", value)
-        .filter(F.length("value") >= 8)
-        .withColumn("start", start.cast("long"))
-        .select(
-            key, "path", "start", (F.col("start") + F.length("value")).alias("end"), "value",
-            "hit.word", "hit.left1", "hit.left2", "hit.left3", "hit.right1",
-        )
+    # every token of the word, and what stands between them
+    found = (
+        rows.select(key, "path", F.explode(hits).alias("hit"))
+        .withColumn("tokens", F.regexp_extract_all("hit.word", F.lit(TOKEN), F.lit(0)))
+        .withColumn("gaps", F.split("hit.word", TOKEN))
     )
 
+    def value(token: Column, i: Column) -> Column:
+        ahead = F.concat(F.coalesce(F.get(F.col("tokens"), i - 1), F.lit("")), F.get(F.col("gaps"), i))
+        told = (i == 0) & ((F.col("hit.told") == 2) | ((F.col("hit.told") == 1) & token.rlike(NOT_PROSE)))
+        named = ahead.rlike(ASSIGNED) | told
+        start = _length_before(F.col("tokens"), i) + _length_before(F.col("gaps"), i + 1)
+        behind = F.regexp_extract(F.get(F.col("gaps"), i + 1), "^[\"']?", 0)
+        parts = [token.alias("token"), start.alias("start"), F.concat(ahead, token, behind).alias("word")]
+        return F.when(token.rlike(LONG_VALUE) | ((F.length(token) >= SHORT) & named), F.struct(*parts))
+
+    values = F.filter(F.transform("tokens", value), lambda x: x.isNotNull())
+    found = found.select(key, "path", "hit", F.explode(values).alias("at"))
+    found = found.withColumn("inner", F.regexp_extract_all("at.token", F.lit(KNOWN_INSIDE), F.lit(0)))
+    outer = F.struct(F.col("at.token").alias("value"), F.lit(0).alias("start"))
+    rest = F.split("at.token", KNOWN_INSIDE)
+
+    def inside(known: Column, i: Column) -> Column:
+        start = _length_before(F.col("inner"), i) + _length_before(rest, i + 1)
+        return F.struct(known.alias("value"), start.alias("start"))
+
+    # a token that is itself of a known format is found once
+    each = F.array_distinct(F.concat(F.array(outer), F.transform("inner", inside)))
+    found = found.withColumn("one", F.explode(each))
+    start = (F.col("hit.before") + F.col("at.start") + F.col("one.start")).cast("long")
+    return found.select(
+        key, "path", start.alias("start"), (start + F.length("one.value")).alias("end"), "one.value",
+        "at.word", "hit.left1", "hit.left2", "hit.left3", "hit.right1",
+    )
+
 
 def dictionary(docs: DataFrame, most_docs: int = DICTIONARY_DOCS, most_words: int = DICTIONARY_WORDS) -> list[str]:
     """The most frequent words of three to twelve letters in a bounded sample."""
@@ -127,10 +183,10 @@ def with_features(found: DataFrame, words: list[str]) -> DataFrame:
     columns |= {name: F.regexp_count(v, F.lit(p)) / n for name, p in (changes | shares).items()}
     columns |= {
         "distinct_share": F.size(F.array_distinct(F.split(v, ""))) / n,
-        "assigned": F.col("word").rlike("^[\"']?[A-Za-z_]{3,}[=:]").cast("double"),
+        "assigned": F.col("word").rlike(r"""[A-Za-z_]{3}\\?["']?[=:]""").cast("double"),
         "quoted": F.col("word").rlike("[\"']").cast("double"),
         "after_keyword": F.greatest(*(_is_keyword(F.col(c)) for c in ("left1", "left2", "left3"))),
-        "after_equals": F.coalesce(F.col("left1").isin("=", ":", "=>", ":=").cast("double"), F.lit(0.0)),
+        "after_equals": F.coalesce(F.col("left1").isin(*ASSIGNING).cast("double"), F.lit(0.0)),
         "before_keyword": _is_keyword(F.col("right1")),
     }
     bucket = F.pmod(F.xxhash64("path"), F.lit(PATH_BUCKETS))
