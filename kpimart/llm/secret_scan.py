@@ -11,9 +11,9 @@ from labelled findings (``candidate`` columns with ``label``); for want of
 reviewed ones, ``label_by_format`` labels the candidates of known formats.
 
 Only DataFrame functions and Spark's own RandomForestClassifier are used. The
-training sample is bounded (``TRAIN_FINDINGS``, first in hash order), and so is
-the dictionary (``DICTIONARY_WORDS`` most frequent words of ``DICTIONARY_DOCS``
-documents). Every whole text is scanned.
+training sample is bounded (``TRAIN_FINDINGS``, first in hash order). The
+dictionary holds the ``DICTIONARY_WORDS`` words that the most documents have,
+counted over all of them. Every whole text is scanned.
 
 Edge cases: null and empty texts have no candidates; a null source is a path
 of its own; with findings of one label only, that label's share is every
@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 from kpimart.session import scratch_dir
 
 TRAIN_FINDINGS = 5000
-DICTIONARY_DOCS = 2000
-DICTIONARY_WORDS = 200
+#: Enough for the common words of a dozen languages and more.
+DICTIONARY_WORDS = 1 << 15
 PATH_BUCKETS = 8
 TREES = 24
 DEPTH = 6
@@ -145,15 +145,10 @@ def find_candidates(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     )
 
 
-def dictionary(docs: DataFrame, most_docs: int = DICTIONARY_DOCS, most_words: int = DICTIONARY_WORDS) -> list[str]:
-    """The most frequent words of three to twelve letters in a bounded sample."""
-    picked = docs.select(F.xxhash64("text").alias("pick")).distinct().orderBy("pick").limit(most_docs)
-    last = picked.agg(F.max("pick")).first()[0]
-    if last is None:
-        return []
+def dictionary(docs: DataFrame, most_words: int = DICTIONARY_WORDS) -> list[str]:
+    """The words of three to twelve letters that the most documents have."""
     words = (
-        docs.filter(F.xxhash64("text") <= last)
-        .select(F.explode(F.array_distinct(F.split(F.lower("text"), "[^a-z]+"))).alias("word"))
+        docs.select(F.explode(F.array_distinct(F.split(F.lower("text"), "[^a-z]+"))).alias("word"))
         .filter(F.length("word").between(3, 12))
         .groupBy("word")
         .count()
@@ -163,6 +158,25 @@ def dictionary(docs: DataFrame, most_docs: int = DICTIONARY_DOCS, most_words: in
     return sorted((r["word"] for r in words.collect()), key=lambda w: (-len(w), w))
 
 
+def any_of(words: list[str]) -> str:
+    """A pattern of the longest word at a place: the words as a tree of their
+    letters, so that a match takes as many steps as the word has letters."""
+    root: dict = {}
+    for word in words:
+        node = root
+        for letter in word:
+            node = node.setdefault(letter, {})
+        node[""] = {}
+
+    def pattern(node: dict) -> str:
+        rest = [c + pattern(n) for c, n in sorted(node.items()) if c]
+        if not rest:
+            return ""
+        return f"(?:{'|'.join(rest)})" + ("?" if "" in node else "")
+
+    return pattern(root)
+
+
 def _is_keyword(word: Column) -> Column:
     plain = F.regexp_replace(F.lower(F.coalesce(word, F.lit(""))), "[^a-z_]", "")
     return plain.isin(KEYWORDS).cast("double")
@@ -172,7 +186,7 @@ def with_features(found: DataFrame, words: list[str]) -> DataFrame:
     """The candidates with the forest's inputs, all double."""
     v, n = F.col("value"), F.length("value").cast("double")
     low = F.lower(v)
-    covered = (F.length(v) - F.length(F.regexp_replace(low, "|".join(words), ""))) if words else F.lit(0)
+    covered = (F.length(v) - F.length(F.regexp_replace(low, any_of(words), ""))) if words else F.lit(0)
     changes = {
         "class_changes": r"(?<=[0-9])(?=[A-Za-z])|(?<=[A-Za-z])(?=[0-9])",
         "case_changes": r"(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[a-z])",

@@ -1,6 +1,8 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and
 extra columns of clashing names, for every operator and pipeline stage."""
 
+import re
+
 import pytest
 
 from kpimart.llm import (
@@ -171,6 +173,15 @@ def test_secrets_wherever_they_stand(spark):
         assert set(planted) <= {v for _, _, v in got} and (planted or not got), (text, got)
 
 
+def test_dictionary_counts_all_documents(spark):
+    words = ["".join(chr(97 + i // 26**k % 26) for k in range(3)) + "q" for i in range(5000)]
+    docs = spark.createDataFrame([(w + " " + w + "s",) for w in words] + [(words[-1],), (None,)], "text string")
+    assert set(secret_scan.dictionary(docs)) == {*words, *(w + "s" for w in words)}
+    assert secret_scan.dictionary(docs, 1) == [words[-1]]
+    pattern = re.compile(secret_scan.any_of(["the", "them", "theme", "cat"]))
+    assert pattern.findall("xthemesthecatthemthx") == ["theme", "the", "cat", "them"]
+
+
 def test_html(spark):
     body = "<nav><a>Menu</a></nav><div class='main'><p>{}</p><p>Same foot line</p></div>"
     rows = [(i, f"http://h.org/{i}", body.format(f"text number {i} &amp; more")) for i in range(4)]
