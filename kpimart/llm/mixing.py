@@ -6,13 +6,14 @@ among the others by weight.
 
 Schedule: slot ``j`` has the golden-ratio point ``frac(j * 0.618...)``. The
 point falls into the source whose interval of the cumulative targets holds
-it, so that every stretch of the schedule has the target mix. The rank of a
-slot among its source's slots picks the block. A source's documents are
-shuffled by hash, laid end to end and cut into blocks of equally many words;
-rank ``r`` takes block ``r mod blocks``, and ``r div blocks`` is the pass.
-Slots past the last allowed pass take nothing.
+it, so that every stretch of the schedule has the target mix. A source's
+documents are shuffled by hash, laid end to end and repeated. The slots of a
+source share its target (in whole words) evenly: they cut the first ``target``
+words of the repeated source into stretches, taken in the order of the slots.
+So each source gets its target to the word, however small it is; a source
+that no point falls into has one slot after the others.
 
-The number of slots is a fixed parameter; the words of a block follow from it.
+The number of slots is a fixed parameter; the words of a slot follow from it.
 
 Edge cases: a null or empty text has no words and is taken for 0; null
 sources are a source of their own, ordered last; an empty table gives an
@@ -41,13 +42,14 @@ LAYOUT_BITS = 10
 @dataclass(frozen=True)
 class Mix:
     """What a mix is made of: ``sources`` (source_key, source_size, target,
-    lo, hi), ``schedule`` (slot, source_key, rank, block, pass) and ``layout``
-    (the documents with ``start``, their first word's place in the source)."""
+    rn), ``schedule`` (slot, source_key, source_size, rank, first, words: the
+    place of its first word in the repeated source, and how many it takes) and
+    ``layout`` (the documents with ``start``, their first word's place in the
+    source)."""
 
     sources: DataFrame
     schedule: DataFrame
     layout: DataFrame
-    block_words: int
 
 
 def word_count(text: Column) -> Column:
@@ -83,8 +85,9 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, passes:
     return shared.withColumn("level", level).select("source_key", "rn", "source_size", target.alias("target"))
 
 
-def make_schedule(sources: DataFrame, slots: int, block_words: int, passes: int = MAX_PASSES) -> DataFrame:
-    """``slot, source_key, rank, block, pass`` for ``slots`` slots."""
+def make_schedule(sources: DataFrame, slots: int) -> DataFrame:
+    """``slot, source_key, source_size, rank, first, words`` for ``slots`` slots,
+    and for one more of each source that has none of them."""
     upto = Window.partitionBy(F.lit(0)).orderBy("rn")
     everything = Window.partitionBy(F.lit(0))
     hi = F.sum("target").over(upto) / F.sum("target").over(everything)
@@ -105,14 +108,26 @@ def make_schedule(sources: DataFrame, slots: int, block_words: int, passes: int
         .withColumn("cell", F.least(F.floor(F.col("point") * CELLS), F.lit(CELLS - 1)))
     )
     placed = points.join(cells, "cell").filter((F.col("lo") <= F.col("point")) & (F.col("point") < F.col("hi")))
-    rank = F.row_number().over(Window.partitionBy("source_key").orderBy("slot")) - 1
-    blocks = F.ceil(F.col("source_size") / F.lit(block_words))
+    columns = ["slot", "source_key", "source_size", "target"]
+    spare = spans.withColumn("slot", F.lit(slots).cast("long") + F.col("rn")).select(*columns, F.lit(1).alias("spare"))
+    every = placed.select(*columns, F.lit(0).alias("spare")).unionByName(spare)
+    of_source = Window.partitionBy("source_key")
+    # a source's spare slot is the last of its slots
+    rank = F.row_number().over(of_source.orderBy("slot")).cast("long") - 1
+    used = F.greatest(F.count(F.lit(1)).over(of_source) - 1, F.lit(1))
+    whole = F.round("target").cast("decimal(38,0)")
+
+    def upto(n: Column) -> Column:
+        # whole numbers, as target times rank may pass 2^63
+        return F.floor(whole * n / F.col("used")).cast("long")
+
     return (
-        placed.withColumn("rank", rank)
-        .withColumn("blocks", blocks)
-        .withColumn("pass", F.floor(F.col("rank") / F.col("blocks")))
-        .filter(F.col("pass") < passes)
-        .select("slot", "source_key", "rank", F.pmod("rank", "blocks").alias("block"), "pass")
+        every.withColumn("rank", rank)
+        .withColumn("used", used)
+        .filter(F.col("rank") < F.col("used"))
+        .withColumn("first", upto(F.col("rank")))
+        .withColumn("words", upto(F.col("rank") + 1) - F.col("first"))
+        .select("slot", "source_key", "source_size", "rank", "first", "words")
     )
 
 
@@ -162,21 +177,8 @@ def plan_mix(
     written table: it is used three times)."""
     sizes = sized.groupBy("source_key").agg(F.sum("size").alias("source_size"))
     total = sizes.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0]
-    block_words = max(1, -(-total // slots))
     targets = source_targets(sizes, weights, passes)
-    schedule = make_schedule(targets, -(-total // block_words), block_words, passes)
-    return Mix(targets, schedule, lay_out(sized, seed), block_words)
-
-
-def pieces(mix: Mix) -> DataFrame:
-    """The blocks' contents: each document's ``words`` in each of its blocks."""
-    b = F.lit(mix.block_words)
-    end = F.col("start") + F.col("size")
-    cut = mix.layout.filter(F.col("size") > 0).withColumn(
-        "block", F.explode(F.sequence(F.floor(F.col("start") / b), F.floor((end - 1) / b)))
-    )
-    words = F.least(end, (F.col("block") + 1) * b) - F.greatest(F.col("start"), F.col("block") * b)
-    return cut.select("doc_id", "text_key", "source_key", "block", words.alias("words"))
+    return Mix(targets, make_schedule(targets, min(total, slots)), lay_out(sized, seed))
 
 
 def words_taken(mix: Mix) -> DataFrame:
@@ -184,11 +186,14 @@ def words_taken(mix: Mix) -> DataFrame:
     that the schedule takes of it, repeats counted. What is taken of rows that
     agree in id, text and source is dealt out among them evenly."""
     keys = ["doc_id", "text_key", "source_key"]
-    uses = mix.schedule.groupBy("source_key", "block").agg(F.count(F.lit(1)).alias("uses"))
+    # the stretches of a source's slots adjoin: so many words of the repeated source
+    reach = mix.schedule.groupBy("source_key", "source_size").agg(F.sum("words").alias("reach"))
+    part = F.least(F.col("start") + F.col("size"), F.expr("reach % source_size")) - F.col("start")
+    n = F.expr("reach div source_size") * F.col("size") + F.greatest(part, F.lit(0))
     taken = (
-        pieces(mix)
-        .join(uses, ["source_key", "block"])
-        .select(*keys, F.lit(0).cast("long").alias("size"), F.lit(0).alias("one"), (F.col("words") * F.col("uses")).alias("n"))
+        mix.layout.filter(F.col("size") > 0)
+        .join(reach, "source_key")
+        .select(*keys, F.lit(0).cast("long").alias("size"), F.lit(0).alias("one"), n.alias("n"))
     )
     rows = mix.layout.select(*keys, "size", F.lit(1).alias("one"), F.lit(0).cast("long").alias("n"))
     sums = rows.unionByName(taken).groupBy(*keys).agg(

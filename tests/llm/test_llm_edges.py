@@ -120,6 +120,23 @@ def test_mixing(edge, empty):
     assert mixing.words_taken(mixing.plan_mix(mixing.size_documents(empty))).count() == 0
 
 
+def test_mix_of_small_sources_beside_large_ones(spark):
+    rows = [(i, "0big", 10**8, i) for i in range(10)] + [(100 + i, "0mid", 10**9, i) for i in range(4)]
+    for k, n in enumerate((1, 1000, 2000, 10_000)):
+        rows += [(1000 + 100 * k + i, f"0s{n}", max(1, n // 10), i) for i in range(min(n, 10))]
+    sized = spark.createDataFrame(rows, "doc_id long, source_key string, size long, text_key long")
+    mix = mixing.plan_mix(sized)
+    want = {r.source_key: (r.source_size, r.target) for r in mix.sources.collect()}
+    got = {}
+    for r in mixing.words_taken(mix).collect():
+        got[r.source_key] = got.get(r.source_key, 0) + r.taken
+    assert all(got[k] == round(target) for k, (_, target) in want.items())
+    assert all(got[f"0s{n}"] == 3 * n for n in (1, 1000, 2000, 10_000))
+    # slots of a source adjoin and share its target
+    slots = sorted((r.source_key, r.rank, r.first, r.words) for r in mix.schedule.filter("source_key <> '0mid'").collect())
+    assert all(a[2] + a[3] == b[2] and abs(a[3] - b[3]) <= 1 for a, b in zip(slots, slots[1:], strict=False) if a[0] == b[0])
+
+
 def test_spotsigs(edge, empty, spark):
     rows = spotsigs.fingerprints(edge).collect()
     assert len(rows) == len(EDGE)
