@@ -10,7 +10,9 @@ documents at a time, and the labels of the ``NEIGHBOURS`` nearest ones are
 averaged, weighted by similarity.
 
 The labelled rows are a bounded sample: the ``LABELLED`` first in the order of
-a hash of the id. So the broadcast and the work per document are fixed.
+a hash of the id, and of the distinct texts that these ids have, every id's
+first one before any second one. So the broadcast, what reaches the driver and
+the work per document are fixed, however often an id or a text repeats.
 
 Edge cases: a null or empty text has no terms and gets the mean label; ties in
 similarity go to the labelled row first in order; labels other than 0 and 1
@@ -27,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from kpimart.llm import textvec
 from kpimart.llm.tasks import share
@@ -148,8 +151,8 @@ def _labelled_counts(batches):
                 for v in (column, counts[row, column])
             ]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(at, end - at), batch.column(2).slice(at, end - at), *lists],
-                ["order", "quality", "terms", "counts"],
+                [batch.column(0).slice(at, end - at), *(batch.column(i).slice(at, end - at) for i in (2, 3, 4)), *lists],
+                ["order", "quality", "nth", "text_key", "terms", "counts"],
             )
 
 
@@ -161,14 +164,22 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = LABELLED) -> Neighbour
     sample = usable.select("doc_id", order, F.col("quality").cast("int").alias("quality")).distinct()
     # the sample's size is the bound
     sample = F.broadcast(sample.orderBy("order", "doc_id", "quality").limit(rows))
+    # one row per id, label and text, by hashes; texts only of the rows that are used
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("text_key"))
+    distinct = keyed.join(sample, "doc_id").distinct()
+    nth = F.row_number().over(Window.partitionBy("doc_id", "quality").orderBy("text_key"))
+    order = ["nth", "order", "doc_id", "quality"]
+    used = F.broadcast(distinct.withColumn("nth", nth).filter(F.col("nth") <= rows).orderBy(*order).limit(rows))
     found = (
-        docs.select("doc_id", "text")
-        .join(sample, "doc_id")
-        .select("order", "text", "quality")
-        .mapInArrow(_labelled_counts, "order long, quality int, terms array<int>, counts array<int>")
+        docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
+        .join(used, ["doc_id", "text_key"])
+        .groupBy("doc_id", "order", "quality", "nth", "text_key")
+        .agg(F.min("text").alias("text"))
+        .select("order", "text", "quality", "nth", "text_key")
+        .mapInArrow(_labelled_counts, "order long, quality int, nth int, text_key long, terms array<int>, counts array<int>")
         .toArrow()
     )
-    found = found.sort_by([("order", "ascending"), ("quality", "ascending")]).slice(0, rows)
+    found = found.sort_by([(c, "ascending") for c in ("nth", "order", "quality", "text_key")])
     counts = np.zeros((found.num_rows, TERMS))
     for i, (terms, n) in enumerate(zip(found["terms"], found["counts"], strict=True)):
         counts[i, terms.values.to_numpy()] = n.values.to_numpy()

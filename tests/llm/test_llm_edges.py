@@ -2,6 +2,7 @@
 extra columns of clashing names, for every operator and pipeline stage."""
 
 import re
+import zlib
 
 import pytest
 
@@ -103,6 +104,22 @@ def test_quality(edge, empty, labels):
     assert quality.score(empty, quality.train(edge, labels), ["doc_id"]).count() == 0
 
 
+def test_quality_of_a_repeated_label(spark, monkeypatch):
+    usable = [i for i in range(40) if zlib.crc32(str(i).encode()) % 4 != 2]
+    hashed = {r.id: r.h for r in spark.range(40).selectExpr("id", "xxhash64(id) h").collect()}
+    hot = min(usable, key=lambda i: hashed[i])  # first in the order of the sample
+    rows = [(i, f"text {i} of its own") for i in usable]
+    rows += [(hot, "copied text")] * 500 + [(hot, f"other text {i}") for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in usable], "doc_id long, quality int")
+    kept = []
+    monkeypatch.setattr(quality.NeighbourVote, "fit", classmethod(lambda cls, counts, labels: kept.append(labels.tolist())))
+    quality.train(docs, labels, len(usable))
+    quality.train(docs, labels, 1000)
+    assert sorted(kept[0]) == sorted(i % 2 for i in usable)  # one text of every id
+    assert len(kept[1]) == len(usable) + 101  # the copied text counts once
+
+
 def test_pii(edge, empty):
     rows = {r.doc_id: r for r in pii.scan(edge, pii.train(edge), ["doc_id"]).collect()}
     r = rows[10]
