@@ -282,7 +282,7 @@ def _merge_spans(spans: Column) -> Column:
     def add(acc: Column, s: Column) -> Column:
         last = F.get(acc, F.size(acc) - 1)
         joins = (F.size(acc) > 0) & (s["first"] <= last["last"] + 1)
-        grown = F.struct(last["first"].alias("first"), F.greatest(last["last"], s["last"]).alias("last"))
+        grown = F.named_struct(F.lit("first"), last["first"], F.lit("last"), F.greatest(last["last"], s["last"]))
         return F.when(joins, F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(grown))).otherwise(
             F.concat(acc, F.array(s))
         )
@@ -306,6 +306,7 @@ def find_benchmark_spans(
     found = T.StructType(
         [
             *[docs.schema[c] for c in keep],
+            T.StructField("__key", T.LongType()),
             T.StructField("n_words", T.LongType()),
             T.StructField("spans", SPANS),
             T.StructField("items", T.ArrayType(T.StringType())),
@@ -318,23 +319,25 @@ def find_benchmark_spans(
         def run(batches):
             phrases = shared()
             for batch in batches:
-                columns = scan_batch(batch.column(len(keep)), phrases, shard_symbols)
+                columns = scan_batch(batch.column(len(keep) + 1), phrases, shard_symbols)
                 yield pa.RecordBatch.from_arrays(
-                    [*batch.columns[: len(keep)], *columns], [*keep, "n_words", "spans", "items"]
+                    [*batch.columns[: len(keep) + 1], *columns], [*keep, "__key", "n_words", "spans", "items"]
                 )
 
-        return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(run, found)
+        # a null text and an empty one are alike: no words
+        key = F.xxhash64(F.coalesce("text", F.lit(""))).alias("__key")
+        return docs.select(*keep, key, F.col("text").alias("__text")).mapInArrow(run, found)
 
     parts = [scan(block) for block in _blocks_of(benchmark, block_bytes)]
     if len(parts) == 1:
-        return parts[0]
-    # rows that agree in what is kept and in their text agree in their spans
+        return parts[0].drop("__key")
+    # rows that agree in what is kept and in their text (by its hash) agree in their spans
     blocks = [
-        p.select(*keep, "n_words", F.lit(i).alias("__block"), "spans", "items") for i, p in enumerate(parts)
+        p.select(*keep, "__key", "n_words", F.lit(i).alias("__block"), "spans", "items") for i, p in enumerate(parts)
     ]
     merged = (
         reduce(DataFrame.unionByName, blocks)
-        .groupBy(*keep, "n_words")
+        .groupBy(*keep, "__key", "n_words")
         .agg(
             F.count(F.when(F.col("__block") == 0, 1)).alias("__copies"),
             F.flatten(F.collect_set("spans")).alias("spans"),

@@ -175,6 +175,19 @@ def test_decontamination(edge, empty, bench):
     assert not any(r.spans for r in decontaminate.find_benchmark_spans(edge, bench.limit(0)).collect())
 
 
+@pytest.mark.parametrize("block_bytes", [1 << 20, 8])
+def test_decontamination_of_repeated_ids(spark, block_bytes):
+    items = spark.createDataFrame([(1, "red green blue"), (2, "one two three")], "item_id long, text string")
+    texts = ["a red green blue b", "a one two three b", "all five words are clean", "all five words are clean", "", "", None]
+    rows = [(i, t) for i in (None, 7) for t in texts]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = decontaminate.find_benchmark_spans(docs, items, block_bytes=block_bytes)
+    assert found.columns == ["doc_id", "n_words", "spans", "items"]
+    got = sorted((r.doc_id or 0, r.n_words, [tuple(x) for x in r.spans], r["items"]) for r in found.collect())
+    hits = [(5, [], []), (5, [], []), (5, [(1, 3)], ["1"]), (5, [(1, 3)], ["2"]), (0, [], []), (0, [], []), (0, [], [])]
+    assert got == sorted((i, *h) for i in (0, 7) for h in hits)
+
+
 def test_secret_scan(edge, empty):
     rows = secret_scan.scan(edge).collect()
     assert all(r.doc_id in (8, 10, 7) for r in rows)
