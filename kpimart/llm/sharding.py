@@ -8,9 +8,13 @@ while the shard has room under the mean load, and moves to the least loaded
 shard otherwise, so an edit moves little. Records follow their slot; only the
 map (one row per slot) changes hands.
 
+Rows that agree in id, size and CRC are counted and dealt out over the slots,
+one after the other from the slot of their hash on, so that no slot has more
+than its part of a row's copies.
+
 Edge cases: a null text has 8 bytes and a null CRC; null ids hash by text; a
-repeated row lands in the slot of its first copy; an empty table gives an
-empty result; columns that the operator does not name are ignored.
+repeated row's copies lie in the slots after its first one's; an empty table
+gives an empty result; columns that the operator does not name are ignored.
 """
 
 from __future__ import annotations
@@ -38,9 +42,20 @@ def with_slots(docs: DataFrame, slots: int = SLOTS, key: str = "doc_id", text: s
     sized = docs.select(
         F.col(key).alias(key), record_size(F.col(text)).alias("size"), text_crc32(F.col(text)).alias("text_crc32")
     )
-    return sized.withColumn(
-        "virtual_slot", F.pmod(F.xxhash64(F.col(key), F.col("text_crc32")), F.lit(slots)).cast("int")
+    # copies are counted before the shuffle, and parted before they are rows again
+    parts = F.least("copies", F.lit(slots).cast("long"))
+    each = F.expr("copies div parts") + F.when(F.col("part") < F.col("copies") % F.col("parts"), 1).otherwise(0)
+    first = F.xxhash64(F.col(key), F.col("text_crc32"))
+    dealt = (
+        sized.groupBy(key, "size", "text_crc32")
+        .agg(F.count(F.lit(1)).alias("copies"))
+        .withColumn("parts", parts)
+        .withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+        .withColumn("virtual_slot", F.pmod(F.pmod(first, F.lit(slots)) + F.col("part"), F.lit(slots)).cast("int"))
+        .select(key, "size", "text_crc32", "virtual_slot", each.cast("long").alias("copies"))
+        .repartition("virtual_slot")
     )
+    return dealt.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).drop("copies", "copy")
 
 
 def slot_loads(slotted: DataFrame, slots: int = SLOTS) -> DataFrame:

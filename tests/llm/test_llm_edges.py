@@ -77,6 +77,23 @@ def test_sharding(edge, empty):
     assert sharding.shard_by_slots(empty, 3, scratch_dir(edge.sparkSession, "t")).count() == 0
 
 
+def test_sharding_of_repeated_rows(spark):
+    rows = [(i, f"text number {i}") for i in range(3000)] + [(5, "a row of many copies")] * 1500 + [(None, None)] * 500
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = sharding.shard_by_slots(docs, 24, scratch_dir(spark, "t")).collect()
+    assert sorted(map(str, ((r.doc_id, r.size, r.text_crc32) for r in found))) == sorted(
+        str((i, len((t or "").encode()) + 8, None if t is None else zlib.crc32(t.encode()))) for i, t in rows
+    )
+    sizes, places = [0] * 24, [[] for _ in range(24)]
+    for r in found:
+        sizes[r.shard] += r.size
+        places[r.shard].append(r.place)
+    assert max(sizes) <= 1.02 * sum(sizes) / 24
+    assert all(sorted(p) == list(range(len(p))) for p in places)
+    slots = [r.virtual_slot for r in found]
+    assert max(map(slots.count, set(slots))) <= 20
+
+
 def test_jaccard_join(edge, empty):
     rows = jaccard_join.jaccard_components(edge).collect()
     got = {(r.doc_id, r.n_shingles, r.component_id) for r in rows}
