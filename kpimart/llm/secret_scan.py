@@ -146,16 +146,29 @@ def find_candidates(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def dictionary(docs: DataFrame, most_words: int = DICTIONARY_WORDS) -> list[str]:
-    """The words of three to twelve letters that the most documents have."""
-    words = (
+    """The words of three to twelve letters that the most documents have, at
+    most ``most_words``: those from a number of documents on, which is found
+    in a histogram of the counts, so that only these words reach the driver."""
+    counts = (
         docs.select(F.explode(F.array_distinct(F.split(F.lower("text"), "[^a-z]+"))).alias("word"))
         .filter(F.length("word").between(3, 12))
         .groupBy("word")
-        .count()
-        .orderBy(F.desc("count"), "word")
-        .limit(most_words)
+        .agg(F.count(F.lit(1)).alias("n"))
+        .withColumn("level", F.floor(F.log2("n") * 64).cast("int"))
     )
-    return sorted((r["word"] for r in words.collect()), key=lambda w: (-len(w), w))
+    path = scratch_dir(docs.sparkSession, "word-counts")
+    counts.write.parquet(path)
+    counts = docs.sparkSession.read.schema(counts.schema).parquet(path)
+    least, total = None, 0
+    for level, n in sorted(counts.groupBy("level").count().collect(), reverse=True):
+        total += n
+        if total > most_words:
+            break
+        least = level
+    if least is None:
+        return []
+    words = counts.filter(F.col("level") >= least).select("word").collect()
+    return sorted((r["word"] for r in words), key=lambda w: (-len(w), w))
 
 
 def any_of(words: list[str]) -> str:
