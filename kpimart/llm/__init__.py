@@ -1,4 +1,4 @@
-"""Training-data operators: ten large-corpus operators and their queries.
+"""Training-data operators for large corpora, and their queries.
 
 Functions that run inside Spark's Python tasks are shipped by value, so the
 executors need NumPy, pandas and Arrow but not this package on their path.

@@ -10,7 +10,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kpimart.llm import decontaminate, html_extract, jaccard_join, language_id, mixing, pii, quality, secret_scan, sharding, spotsigs
+from kpimart.llm import (
+    decontaminate,
+    html_extract,
+    jaccard_join,
+    language_id,
+    lexical_search,
+    mixing,
+    pii,
+    prefix_trie,
+    quality,
+    secret_scan,
+    sharding,
+    spotsigs,
+    warc,
+)
+from kpimart.llm.oracles import ORACLE_SQL
+from kpimart.llm.tasks import written
 from kpimart.session import scratch_dir
 from kpimart.sources.tables import table
 
@@ -52,13 +68,6 @@ def op3_language_id(spark: SparkSession, d: str) -> DataFrame:
     return found.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
-def written(df: DataFrame, purpose: str) -> DataFrame:
-    """``df`` written under the shared scratch folder and read again."""
-    path = scratch_dir(df.sparkSession, purpose)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def op4_html_extract(spark: SparkSession, d: str) -> DataFrame:
     """The main text of every page."""
     pages = table(spark, d, "pages")
@@ -116,12 +125,41 @@ def op10_decontamination(spark: SparkSession, d: str) -> DataFrame:
     return decontaminate.digest(found)
 
 
+def op11_warc(spark: SparkSession, d: str) -> DataFrame:
+    """Every page as a record of a WARC archive, as read back."""
+    found = warc.archive_index(table(spark, d, "pages"), scratch_dir(spark, "warc"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op12_prefix_trie(spark: SparkSession, d: str) -> DataFrame:
+    """Every node of the prefix trie of the rebuilt conversations."""
+    return prefix_trie.prefix_trie(table(spark, d, "conversations"))
+
+
+def op13_lexical_search(spark: SparkSession, d: str) -> DataFrame:
+    """The ten best documents of every benchmark item."""
+    return lexical_search.search(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_slot_sharding, op2_ngram_jaccard, op3_language_id, op4_html_extract, op5_secret_scan, op6_quality, op7_pii, op8_source_mixing, op9_spotsigs, op10_decontamination)
+    f.__name__: f
+    for f in (
+        op1_slot_sharding,
+        op2_ngram_jaccard,
+        op3_language_id,
+        op4_html_extract,
+        op5_secret_scan,
+        op6_quality,
+        op7_pii,
+        op8_source_mixing,
+        op9_spotsigs,
+        op10_decontamination,
+        op11_warc,
+        op12_prefix_trie,
+        op13_lexical_search,
+    )
 }
 
-ORACLE_SQL: dict[str, str] = {}
-
 
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
