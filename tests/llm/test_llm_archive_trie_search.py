@@ -93,7 +93,7 @@ def test_archive_of_edge_rows(spark):
     assert warc.archive_index(pages.limit(0), scratch_dir(spark, "t")).count() == 0
 
 
-@pytest.mark.parametrize("split_bytes", [700, 1500, 50_000])
+@pytest.mark.parametrize("split_bytes", [700, 50_000])
 def test_magic_inside_payloads(spark, split_bytes):
     rows = tricky_pages(120, split_bytes)
     pages = spark.createDataFrame(rows, PAGES).repartition(2)
@@ -178,7 +178,7 @@ def trie_rows(df):
 CONVERSATIONS = "conv_id long, turn long, role string, text string"
 
 
-@pytest.mark.parametrize("block,stretch", [(4, 1024), (1, 2), (3, 1)])
+@pytest.mark.parametrize("block,stretch", [(4, 1024), (3, 1)])
 def test_trie_equals_brute_force(spark, block, stretch):
     rng = random.Random(block)
     rows = []
@@ -198,10 +198,10 @@ def test_trie_equals_brute_force(spark, block, stretch):
 
 def test_trie_of_copies_and_of_a_long_conversation(spark):
     rows = [(c, t, "user", f"same {t}") for c in range(0, 4000, 10) for t in range(3)]
-    rows += [(5, t, "user", f"long {t % 7}") for t in range(1500)]
+    rows += [(5, t, "user", f"long {t % 7}") for t in range(300)]
     df = spark.createDataFrame(rows, CONVERSATIONS).repartition(4)
     got = trie_rows(prefix_trie.prefix_trie(df, stretch=8))
-    assert max(r[1] for r in got) == 1499  # three turns of conversation 0, and its own after four
+    assert max(r[1] for r in got) == 299  # three turns of conversation 0, and its own after four
     root = next(r for r in got if r[1] == 0)
     assert root[3] == 401 and root[2] is None
     deepest = max(got, key=lambda r: r[1])
