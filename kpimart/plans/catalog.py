@@ -40,6 +40,7 @@ from kpimart.sinks.codec import from_json_lines, to_json_lines, write_json
 from kpimart.sinks.store import SnapshotStore
 from kpimart.sources.csv import admit_files, list_files, load_csv, validate_files, write_csv_gz
 from kpimart.sources.tables import table
+from kpimart.streaming.log import UploadLog
 from kpimart.streaming.upload import upload_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -343,6 +344,28 @@ def pip_families(spark: SparkSession, d: str) -> DataFrame:
     return _family_sums(store, "shapes")
 
 
+def _family_rows(spark: SparkSession, d: str, boards: DataFrame, snapshot_id: str) -> DataFrame:
+    """A table of dashboards of one shape run over the fact and read back."""
+    store = SnapshotStore(spark, scratch_dir(spark, f"{snapshot_id}-store"))
+    status = fan_out_table(marts.staged_sales_fact(spark, d), boards, store, snapshot_id=snapshot_id, stage_input=False)
+    failed = status.where(F.col("status") != "ok").limit(5).collect()
+    if failed:
+        raise RuntimeError(f"family fan-out failed: {failed}")
+    return store.read_batch(snapshot_id)
+
+
+def pip_ranges(spark: SparkSession, d: str) -> DataFrame:
+    """AGG-12: dashboards over spans of years and sales, one interval join."""
+    out = _family_rows(spark, d, marts.ranged_dashboards(spark, d), "ranges")
+    return _double(out, "total_sales").select("dashboard_id", "category", "n", "total_sales")
+
+
+def pip_in_lists(spark: SparkSession, d: str) -> DataFrame:
+    """AGG-12: dashboards over overlapping lists of regions and years, one
+    equi-join; a row counts once for a dashboard, however often it is listed."""
+    return _family_rows(spark, d, marts.listed_dashboards(spark, d), "lists").select("dashboard_id", "brand", "n")
+
+
 def pip_trigger(spark: SparkSession, d: str) -> DataFrame:
     """PIP-4: one upload processed for one dashboard by its own config."""
     folder = scratch_dir(spark, "trigger-upload")
@@ -543,6 +566,27 @@ def snk_consume(spark: SparkSession, d: str) -> DataFrame:
     return store.get(11).withColumn("left", F.lit(left))
 
 
+def str_quarantine(spark: SparkSession, d: str) -> DataFrame:
+    """STR-1/SNK-7: an upload without a column lies between two good ones. The
+    last one wins, the bad one is a dead letter, and no file is left."""
+    base = scratch_dir(spark, "stream-quarantine")
+    fact = marts.staged_sales_fact(spark, d)
+    first = apply_row_filters(fact, [FilterSpec("year", 1998)])
+    for name, rows in (("upload-1", first), ("upload-2", fact.drop("quantity")), ("upload-3", fact)):
+        _land_upload(rows, f"{base}/incoming", name)
+    store = SnapshotStore(spark, f"{base}/store")
+    _finish(upload_stream(spark, f"{base}/incoming", FACT_DDL, {11: _BY_CATEGORY_YEAR}, store, f"{base}/checkpoint",
+                          name="str_quarantine", folders=True, clean_source=True))
+    records = UploadLog(spark, store.root).records()
+    told = records.agg(
+        F.count_if(F.col("status") == "ok").alias("ok"),
+        F.count_if(F.col("status") == "failed").alias("failed"),
+        F.max("error").alias("error"),
+    ).first()
+    left = list_files(spark, f"{base}/incoming").count()
+    return store.get(11).select("*", *(F.lit(v).alias(k) for k, v in (*told.asDict().items(), ("left", left))))
+
+
 @register("top_sales")
 def _top_sales(df: DataFrame, least: float) -> DataFrame:
     """A registered transformation: rows of at least ``least`` sales."""
@@ -697,6 +741,8 @@ QUERIES: dict[str, Query] = {
     "pip_fanout": pip_fanout,
     "pip_family": pip_family,
     "pip_families": pip_families,
+    "pip_ranges": pip_ranges,
+    "pip_in_lists": pip_in_lists,
     "pip_trigger": pip_trigger,
     "snk_latest": snk_latest,
     "snk_prune": snk_prune,
@@ -711,6 +757,7 @@ QUERIES: dict[str, Query] = {
     "str_upload": str_upload,
     "str_backlog": str_backlog,
     "str_table": str_table,
+    "str_quarantine": str_quarantine,
     "reg_transform": reg_transform,
     "ent_effective": ent_effective,
     "ent_visible": ent_visible,

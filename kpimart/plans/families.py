@@ -1,7 +1,8 @@
 """Dashboard families: many dashboards, one job (AGG-12 at scale).
 
 Dashboards often share a pipeline *shape* and differ only in the values of
-their equality filters (one dashboard per region, say). Running one job per
+their equality, list and range filters (one dashboard per region, group of
+brands or span of years, say). Running one job per
 dashboard would make the driver loop over thousands of plans. A family
 instead runs as one plan:
 
@@ -9,7 +10,12 @@ instead runs as one plan:
    values; the distinct value tuples are computed once;
 2. the input (after the shape's other filters) is joined to those tuples on
    the filter columns, so each row meets the tuples it matches; AQE
-   broadcasts the tuple table when its runtime size is small;
+   broadcasts the tuple table when its runtime size is small. A list of
+   values is exploded to an equi-join. Ranges are an interval join: the line
+   is cut into cells at sampled parameter values, a tuple is listed for every
+   cell its range meets, a row has one cell, and the exact test follows the
+   equi-join on the cell. The least and greatest parameter values bound the
+   scan;
 3. computed fields, then the aggregate with the parameter columns as extra
    keys (partial aggregation before the shuffle, as for a single dashboard);
    global aggregates give one row per tuple, also for tuples without rows;
@@ -21,8 +27,8 @@ instead runs as one plan:
 
 Identical configs (a shape without parameters) are run once and every member
 points at the one snapshot. Shapes that cannot be shared (an aggregate inside
-a computed field, SQL-text or ``Column`` expressions, two equality filters on
-one column) run per dashboard through ``kpimart.plans.fanout.fan_out``.
+a computed field, SQL-text or ``Column`` expressions, two equality or list
+filters on one column) run per dashboard through ``kpimart.plans.fanout.fan_out``.
 
 Two entry points: ``fan_out_grouped`` takes configs held in Python;
 ``fan_out_table`` takes the dashboards table itself and plans families in
@@ -42,7 +48,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kpimart.config import FilterSpec, PipelineConfig
+from kpimart.config import FILTER_OPERATOR_ALIASES, FilterSpec, PipelineConfig
 from kpimart.functions.columns import check_value_type, column_type
 from kpimart.operators.aggregate import aggregate, empty_group_value
 from kpimart.operators.computed import with_computed_fields
@@ -52,8 +58,12 @@ from kpimart.plans.processing import as_pipeline, run
 from kpimart.session import checkpoint_root
 from kpimart.sinks.store import SnapshotStore, new_snapshot_id
 
-# Fixed value: the operator spellings that mean equality in a config.
-EQ_OPS = ("==", "=", "eq")
+# Filters whose values are parameters of a family, and all their spellings.
+LOWER_OPS, UPPER_OPS = (">", ">="), ("<", "<=")
+PARAM_OPS = ("==", "in", *LOWER_OPS, *UPPER_OPS)
+PARAM_SPELLINGS = {**{op: op for op in PARAM_OPS}, **{k: v for k, v in FILTER_OPERATOR_ALIASES.items() if v in PARAM_OPS}}
+# Cells that the interval join cuts a range column into, at most one more.
+CELLS = 64
 RESERVED = ("dashboard_id",)
 
 
@@ -61,6 +71,22 @@ def _pcols(k: int) -> list[str]:
     return [f"__p{i}" for i in range(k)]
 
 
+class Param(str):
+    """The column of a parameter, and the operator that compares it."""
+
+    op: str
+
+    def __new__(cls, column: str, op: str = "=="):
+        made = super().__new__(cls, column)
+        made.op = op
+        return made
+
+    def type_in(self, df: DataFrame) -> T.DataType:
+        """The type of this parameter's value: a list has the column's type."""
+        dtype = column_type(df, self)
+        return T.ArrayType(dtype) if self.op == "in" else dtype
+
+
 @dataclass
 class Family:
     shape: PipelineConfig
@@ -84,7 +110,8 @@ def shareable(cfg: PipelineConfig, params: tuple[str, ...] = ()) -> bool:
     if cfg.aggregations is not None and not cfg.aggregations and not cfg.group_by:
         return False  # zero-column result
     names = set(cfg.group_by) | {a.output_name for a in cfg.aggregations or ()} | {c.name for c in cfg.computed_fields}
-    return not (names & set(RESERVED)) and len(params) == len(set(params))
+    single = [p for p in params if getattr(p, "op", "==") in ("==", "in")]
+    return not (names & set(RESERVED)) and len(single) == len(set(single))
 
 
 def plan_families(configs: Mapping[int, object]) -> tuple[list[Family], dict[int, PipelineConfig]]:
@@ -94,15 +121,15 @@ def plan_families(configs: Mapping[int, object]) -> tuple[list[Family], dict[int
     singles: dict[int, PipelineConfig] = {}
     for dash_id, raw in configs.items():
         cfg = as_pipeline(raw)
-        eq = tuple(f for f in cfg.filters if f.op == "==")
-        rest = tuple(f for f in cfg.filters if f.op != "==")
-        params = tuple(f.column for f in eq)
+        eq = tuple(f for f in cfg.filters if f.op in PARAM_OPS)
+        rest = tuple(f for f in cfg.filters if f.op not in PARAM_OPS)
+        params = tuple(Param(f.column, f.op) for f in eq)
         shape = PipelineConfig(rest, cfg.computed_fields, cfg.aggregations, cfg.group_by)
         if not shareable(shape, params):
             singles[int(dash_id)] = cfg
             continue
         key = json.dumps(
-            [params, repr(rest), [(c.name, c.expression) for c in cfg.computed_fields], repr(cfg.aggregations), cfg.group_by],
+            [[(p, p.op) for p in params], repr(rest), [(c.name, c.expression) for c in cfg.computed_fields], repr(cfg.aggregations), cfg.group_by],
             sort_keys=True,
             default=str,
         )
@@ -114,7 +141,7 @@ def plan_families(configs: Mapping[int, object]) -> tuple[list[Family], dict[int
             families.append(fam)
         else:
             (dash_id, values), = fam.members.items()
-            filters = tuple(fam.shape.filters) + tuple(FilterSpec(c, v) for c, v in zip(fam.params, values))
+            filters = tuple(fam.shape.filters) + tuple(FilterSpec(str(c), v, c.op) for c, v in zip(fam.params, values))
             singles[dash_id] = PipelineConfig(filters, fam.shape.computed_fields, fam.shape.aggregations, fam.shape.group_by)
     return families, singles
 
@@ -127,7 +154,8 @@ def invalid_members(df: DataFrame, fam: Family) -> dict[int, str]:
     for dash_id, values in fam.members.items():
         try:
             for c, t, v in zip(fam.params, types, values):
-                check_value_type(c, t, v)
+                for one in v if c.op == "in" else (v,):
+                    check_value_type(c, t, one)
         except ValueError as exc:
             bad[dash_id] = str(exc)
     return bad
@@ -135,13 +163,15 @@ def invalid_members(df: DataFrame, fam: Family) -> dict[int, str]:
 
 def members_frame(df: DataFrame, fam: Family) -> DataFrame:
     """``(dashboard_id, __p0..__pk)`` for members held in Python."""
-    types = [column_type(df, c) for c in fam.params]
+    types = [c.type_in(df) for c in fam.params]
     schema = T.StructType(
         [T.StructField("dashboard_id", T.LongType(), False)]
         + [T.StructField(p, t) for p, t in zip(_pcols(len(fam.params)), types)]
     )
     # a fraction matches no row of a column of whole numbers
     def held(value, dtype):
+        if isinstance(dtype, T.ArrayType):
+            return sorted({v for v in (held(x, dtype.elementType) for x in value) if v is not None})
         if isinstance(dtype, T.IntegralType) and isinstance(value, float):
             return int(value) if value.is_integer() else None
         return value
@@ -150,6 +180,58 @@ def members_frame(df: DataFrame, fam: Family) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, schema)
 
 
+def _compared(op: str, column: Column, value: Column) -> Column:
+    return {">": column > value, ">=": column >= value, "<": column < value, "<=": column <= value}[op]
+
+
+def _range_bounds(values: DataFrame, pcols: list[str]) -> list:
+    """Parameter values to cut a column at: a hash-ordered sample of the
+    distinct ones, which is even whatever their distribution and type."""
+    v = values.select(F.explode(F.array(*pcols)).alias("v")).where("v is not null").distinct()
+    return sorted(r.v for r in v.orderBy(F.xxhash64("v"), "v").limit(CELLS).collect())
+
+
+def matching_rows(base: DataFrame, values: DataFrame, params: tuple[str, ...]) -> DataFrame:
+    """Every row of ``base`` with each tuple of ``values`` that it matches,
+    once, whatever the tuple's lists and ranges hold."""
+    named = list(zip(_pcols(len(params)), params))
+    ranges = [(p, c) for p, c in named if c.op in (*LOWER_OPS, *UPPER_OPS)]
+    keyed, conditions = values, []
+    for i, (p, c) in enumerate(named):
+        if c.op == "==":
+            conditions.append(F.col(c) == F.col(p))
+        elif c.op == "in":
+            keyed = keyed.withColumn(f"__v{i}", F.explode(F.array_distinct(p)))
+            conditions.append(F.col(c) == F.col(f"__v{i}"))
+        else:
+            keyed = keyed.where(F.col(p).isNotNull())
+            conditions.append(_compared(c.op, F.col(c), F.col(p)))
+    # the outermost values bound the scan
+    ends = [(F.min(p) if c.op in LOWER_OPS else F.max(p)).alias(p) for p, c in ranges]
+    outer = values.agg(*ends).first() if ends else None
+    for p, c in ranges:
+        limit = F.lit(outer[p]).cast(column_type(base, c))
+        base = base.where(_compared(c.op, F.col(c), limit))
+    if ranges:
+        column = ranges[0][1]
+        lows = [p for p, c in ranges if c == column and c.op in LOWER_OPS]
+        highs = [p for p, c in ranges if c == column and c.op in UPPER_OPS]
+        bounds = _range_bounds(values, lows + highs)
+        cuts = F.array(*[F.lit(b).cast(column_type(base, column)) for b in bounds])
+
+        def cell(x: Column) -> Column:
+            return F.size(F.filter(cuts, lambda b: b <= x)) if bounds else F.lit(0)
+
+        first = F.array_max(F.array(*[cell(F.col(p)) for p in lows])) if lows else F.lit(0)
+        last = F.array_min(F.array(*[cell(F.col(p)) for p in highs])) if highs else F.lit(len(bounds))
+        keyed = keyed.withColumn("__first", first).withColumn("__last", last).where("__first <= __last")
+        keyed = keyed.withColumn("__cell", F.explode(F.sequence("__first", "__last"))).drop("__first", "__last")
+        base = base.withColumn("__row_cell", cell(F.col(column)))
+        conditions.append(F.col("__row_cell") == F.col("__cell"))
+    joined = base.join(keyed, conditions)
+    return joined.drop("__row_cell", "__cell", *[f"__v{i}" for i in range(len(params))])
+
+
 def run_family(df: DataFrame, shape: PipelineConfig, params: tuple[str, ...], members: DataFrame) -> DataFrame:
     """All members' results: ``dashboard_id`` + the shape's output columns."""
     if not params:
@@ -157,7 +239,7 @@ def run_family(df: DataFrame, shape: PipelineConfig, params: tuple[str, ...], me
     pcols = _pcols(len(params))
     values = members.select(*pcols).distinct()
     base = apply_row_filters(df, shape.filters)
-    joined = base.join(values, [base[c] == values[p] for c, p in zip(params, pcols)])
+    joined = matching_rows(base, values, tuple(c if isinstance(c, Param) else Param(c) for c in params))
     computed = with_computed_fields(joined, shape.computed_fields)
     aggs, keys = shape.aggregations, shape.group_by
     out = aggregate(computed, aggs, (*pcols, *keys)) if aggs is not None else computed
@@ -293,9 +375,9 @@ def fan_out_grouped(
 
 
 def config_shapes(dashboards: DataFrame) -> DataFrame:
-    """Per dashboard: ``shape`` (JSON text of its pipeline with equality
-    filter values taken out), ``values`` (those values as VARIANTs, in filter
-    order) and ``bad_json``. Nested ``{"pipeline": ...}`` and flat configs
+    """Per dashboard: ``shape`` (JSON text of its pipeline with the values of
+    equality, list and range filters taken out), ``values`` (those values as
+    VARIANTs, in filter order) and ``bad_json``. Nested ``{"pipeline": ...}`` and flat configs
     are read; a flat top-level ``filters`` list of names belongs to the view."""
     # no config (null or blank) is the empty pipeline, as in ``as_pipeline``
     blank = F.coalesce(F.trim("config") == F.lit(""), F.lit(True))
@@ -307,15 +389,18 @@ def config_shapes(dashboards: DataFrame) -> DataFrame:
     none = F.filter(raw, lambda f: F.lit(False))
     filters = F.when(names_only, none).otherwise(raw)
 
-    def is_eq(f: Column) -> Column:
-        op = F.coalesce(F.try_variant_get(f, "$.op", "string"), F.try_variant_get(f, "$.operator", "string"), F.lit("=="))
-        return op.isin(*EQ_OPS)
+    def op(f: Column) -> Column:
+        """The operator if the filter's value is a parameter, else null."""
+        said = F.coalesce(F.try_variant_get(f, "$.op", "string"), F.try_variant_get(f, "$.operator", "string"), F.lit("=="))
+        plain = F.create_map(*[F.lit(x) for pair in PARAM_SPELLINGS.items() for x in pair])
+        return F.try_element_at(plain, said)
 
-    eq = F.filter(filters, is_eq)
-    rest = F.filter(filters, lambda f: ~is_eq(f))
+    eq = F.filter(filters, lambda f: op(f).isNotNull())
+    rest = F.filter(filters, lambda f: op(f).isNull())
     shape = F.to_json(
         F.struct(
             F.coalesce(F.transform(eq, lambda f: F.try_variant_get(f, "$.column", "string")), F.array()).alias("params"),
+            F.coalesce(F.transform(eq, op), F.array()).alias("ops"),
             F.coalesce(F.transform(eq, lambda f: F.try_variant_get(f, "$.value", "variant").isNull()), F.array()).alias("missing_value"),
             F.coalesce(F.transform(rest, lambda f: F.to_json(f)), F.array()).alias("rest"),
             F.to_json(F.try_variant_get(pipe, "$.computed_fields", "variant")).alias("computed_fields"),
@@ -346,12 +431,16 @@ def _shape_config(text: str) -> tuple[PipelineConfig, tuple[str, ...]]:
         "aggregations": load(s.get("aggregations"), None),
         "group_by": load(s.get("group_by"), []) or [],
     }
-    return PipelineConfig.from_dict(d), tuple(s.get("params", []))
+    return PipelineConfig.from_dict(d), tuple(map(Param, s.get("params", []), s.get("ops", [])))
 
 
 def _variant_fits(value: Column, dtype: T.DataType) -> Column:
     """The JSON type of a parameter value fits the column type (no silent
-    '2023' == 2023); JSON null fits anything (it matches no row)."""
+    '2023' == 2023); JSON null fits anything (it matches no row). A list
+    needs a JSON array of such values."""
+    if isinstance(dtype, T.ArrayType):
+        items = F.try_variant_get(value, "$", "array<variant>")
+        return F.coalesce(F.forall(items, lambda v: _variant_fits(v, dtype.elementType)), F.lit(False))
     t = F.schema_of_variant(value)
     if isinstance(dtype, T.BooleanType):
         ok = t == F.lit("BOOLEAN")
@@ -366,7 +455,12 @@ def _variant_fits(value: Column, dtype: T.DataType) -> Column:
 
 def _param_value(value: Column, dtype: T.DataType) -> Column:
     """A parameter value in its column's type; null (which matches no row) if
-    the type cannot hold it, such as 2020.5 for an int column."""
+    the type cannot hold it, such as 2020.5 for an int column. A list has its
+    distinct values in order."""
+    if isinstance(dtype, T.ArrayType):
+        items = F.try_variant_get(value, "$", "array<variant>")
+        typed = F.transform(items, lambda v: _param_value(v, dtype.elementType))
+        return F.array_sort(F.array_distinct(F.filter(typed, lambda v: v.isNotNull())))
     typed = F.try_variant_get(value, "$", dtype.simpleString())
     if isinstance(dtype, T.IntegralType):
         exact = F.try_variant_get(value, "$", "decimal(38,10)")
@@ -407,7 +501,7 @@ def fan_out_table(
         in_shape = frame.where(~F.col("bad_json") & (F.col("shape") == F.lit(text)))
         try:
             shape, params = _shape_config(text)
-            types = [column_type(source, c) for c in params]
+            types = [c.type_in(source) for c in params]
         except ValueError as exc:
             out = out.unionByName(_errors(in_shape, str(exc)))
             continue
@@ -423,10 +517,8 @@ def fan_out_table(
             val = F.get(F.col("values"), i)
             ok = _variant_fits(val, t)
             fits = fits & ok
-            text_of = F.concat(
-                F.lit(f"Type mismatch for column {c}: column is {t.simpleString()}, value is "),
-                F.lower(F.schema_of_variant(val)),
-            )
+            wanted = f"Type mismatch for column {c}: column is {column_type(source, c).simpleString()}, value is "
+            text_of = F.concat(F.lit(wanted), F.lower(F.schema_of_variant(val)))
             mismatch = F.coalesce(mismatch, F.when(~ok, text_of))
         checked = in_shape.withColumn("__fits", fits).withColumn("__mismatch", mismatch)
         out = out.unionByName(_errors(checked.where(~F.col("__fits")), F.col("__mismatch")))

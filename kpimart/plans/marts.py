@@ -176,6 +176,33 @@ def shaped_dashboards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.select(F.col("n_nationkey").cast("bigint").alias("dashboard_id"), F.col("n_name").alias("name"), config.alias("config"))
 
 
+def ranged_dashboards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations as dashboards over spans of years and of sales (one shape)."""
+    config = (
+        '{"pipeline": {"filters": [{"column": "year", "op": ">=", "value": %d}, {"column": "year", "op": "<", "value": %d}, '
+        '{"column": "sales", "op": ">", "value": %d}], "group_by": ["category"], "aggregations": '
+        '[{"column": "id", "operation": "count", "alias": "n"}, {"column": "sales", "operation": "sum", "alias": "total_sales"}]}}'
+    )
+    n = table(spark, sf_dir, "nation").withColumn("k", F.col("n_nationkey").cast("int"))
+    first = F.lit(1992) + F.col("k") % 5
+    values = (first, first + 1 + F.col("k") % 3, F.col("k") * 1000)
+    return n.select(F.col("n_nationkey").cast("bigint").alias("dashboard_id"), F.format_string(config, *values).alias("config"))
+
+
+def listed_dashboards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations as dashboards over overlapping lists of regions and years (one
+    shape; a list may name a region twice)."""
+    config = (
+        '{"pipeline": {"filters": [{"column": "region", "op": "in", "value": ["NATION_%d", "NATION_%d", "NATION_%d"]}, '
+        '{"column": "year", "op": "in", "value": [1993, %d, 1997]}], "group_by": ["brand"], "aggregations": '
+        '[{"column": "id", "operation": "count", "alias": "n"}]}}'
+    )
+    n = table(spark, sf_dir, "nation").withColumn("k", F.col("n_nationkey").cast("int"))
+    k = F.col("k")
+    values = (k, (k + 1) % 25, (k + k % 2) % 25, F.lit(1992) + k % 7)
+    return n.select(F.col("n_nationkey").cast("bigint").alias("dashboard_id"), F.format_string(config, *values).alias("config"))
+
+
 def access(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Grants: each customer sees the dashboards (nations) of the suppliers
     of its orders. Duplicates are left in, as in a grant table without a

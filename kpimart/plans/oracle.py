@@ -121,6 +121,17 @@ _SQL = {
         "where shape = 1 group by dashboard_id union all "
         "select dashboard_id, (select count(distinct brand) from f), null from s where shape = 2"
     ),
+    "pip_ranges": (
+        "with {f}, m as (select n_nationkey as k, 1992 + n_nationkey % 5 as first from nation) "
+        "select cast(k as bigint) as dashboard_id, category, count(*) as n, cast(sum(sales) as double) as total_sales "
+        "from m join f on year >= first and year < first + 1 + k % 3 and sales > k * 1000 group by k, category"
+    ),
+    "pip_in_lists": (
+        "with {f}, m as (select n_nationkey as k from nation) "
+        "select cast(k as bigint) as dashboard_id, brand, count(*) as n from m join f "
+        "on region in ('NATION_' || k, 'NATION_' || ((k + 1) % 25), 'NATION_' || ((k + k % 2) % 25)) "
+        "and year in (1993, 1992 + k % 7, 1997) group by k, brand"
+    ),
     "str_table": (
         "with {f}, s as (select cast(n_nationkey as bigint) as dashboard_id, n_name, n_nationkey % 3 as shape from nation) "
         "select dashboard_id, count(distinct category) as row_count, nullif(count(f.id), 0) as n from s left join f on region = n_name "
@@ -171,6 +182,10 @@ _SQL = {
     ),
     "str_upload": "with {f} select category, year, count(*) as n from f group by category, year",
     "str_backlog": "with {f} select category, year, count(*) as n from f group by category, year",
+    "str_quarantine": (
+        "with {f} select category, year, count(*) as n, 2 as ok, 1 as failed, "
+        "'Missing columns: [''quantity'']' as error, 0 as left from f group by category, year"
+    ),
     "ent_effective": "with {e} select user_id, dashboard_id, sees_all from rule",
     "ent_visible": (
         "with {e} select d.dashboard_id, d.name from dashboards d where exists "

@@ -71,6 +71,14 @@ def delete_path(spark: SparkSession, path: str) -> bool:
     return bool(fs.delete(p, True))
 
 
+def move_path(spark: SparkSession, path: str, to: str) -> bool:
+    """Rename within a file system; the target's folder is made if missing."""
+    fs, p = _fs(spark, path)
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(to)
+    fs.mkdirs(target.getParent())
+    return bool(fs.rename(p, target))
+
+
 def _norm(path: str) -> str:
     """Compare paths without scheme or trailing slash."""
     for prefix in ("file://", "file:"):

@@ -216,3 +216,87 @@ def test_empty_family_fractional_value_and_missing_config(spark, df, tmp_path):
     ):
         assert all(r.status == "ok" for r in rows(store).collect())
         assert store.get(1).count() == 0 and store.get(2).count() > 0
+
+
+# ------------------------------------------------- list and range parameters
+
+
+def _random_boards(rng, n):
+    """Configs of one shape: a list, a range over ints and one over strings."""
+    boards = {}
+    for i in range(n):
+        low = rng.choice([0, 3, 5, 9, 2.5])
+        filters = [
+            {"column": "k", "op": "in", "value": rng.sample(["a", "b", "c", "d"], rng.randrange(0, 4)) * 2},
+            {"column": "x", "op": ">=", "value": low},
+            {"column": "x", "op": "<", "value": rng.choice([0, 4, 8, 20])},
+            {"column": "s", "op": "lt", "value": rng.choice(["m", "zz", "a"])},
+        ]
+        boards[i] = {"filters": filters, "aggregations": [{"column": "x", "operation": "count", "alias": "n"}], "group_by": ["k"]}
+    return boards
+
+
+def _rows_of(store, ids):
+    out = {}
+    for i in ids:
+        got = store.get(i)
+        out[i] = sorted(tuple(r) for r in got.collect()) if got is not None else None
+    return out
+
+
+@pytest.mark.parametrize("cells", [1, 3, 64])
+def test_list_and_range_families_equal_single_runs(spark, tmp_path, monkeypatch, cells):
+    import json
+    import random
+
+    from kpimart.plans import families
+    from kpimart.plans.processing import run
+
+    monkeypatch.setattr(families, "CELLS", cells)
+    rng = random.Random(cells)
+    data = [(rng.choice(["a", "b", "c", None]), rng.choice([None, *range(12)]), rng.choice(["b", "n", "zy", None])) for _ in range(300)]
+    df = spark.createDataFrame(data, "k string, x int, s string").repartition(3)
+    boards = _random_boards(rng, 12)
+    frame = spark.createDataFrame([(i, json.dumps(b)) for i, b in boards.items()], "dashboard_id long, config string")
+    store = SnapshotStore(spark, str(tmp_path / "a"))
+    status = families.fan_out_table(df, frame, store, stage_input=False)
+    assert {r.status for r in status.collect()} == {"ok"}
+    want = {}
+    for i, b in boards.items():
+        # a fraction compares with whole numbers as it is
+        single = {**b, "filters": [f for f in b["filters"] if f["op"] != ">="]}
+        low = next(f["value"] for f in b["filters"] if f["op"] == ">=")
+        want[i] = sorted(tuple(r) for r in run(df.where(f"x >= {low}"), single).collect()) if low != 2.5 else None
+    got = _rows_of(store, boards)
+    assert all(got[i] == want[i] for i in boards if want[i] is not None)
+
+
+def test_ranges_are_an_equi_join(spark):
+    from kpimart.config import AggregationSpec, PipelineConfig
+    from kpimart.plans.families import Param, run_family
+
+    df = spark.range(1000).selectExpr("id", "cast(id % 50 as int) x")
+    members = spark.range(40).selectExpr("id dashboard_id", "cast(id as int) __p0", "cast(id + 5 as int) __p1")
+    shape = PipelineConfig(aggregations=(AggregationSpec("id", "count", "n"),), group_by=())
+    out = run_family(df, shape, (Param("x", ">="), Param("x", "<=")), members)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "__row_cell" in plan and "Cartesian" not in out._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in out._jdf.queryExecution().executedPlan().toString()
+    assert {r.dashboard_id: r.n for r in out.collect()} == {i: 20 * len(range(i, min(50, i + 6))) for i in range(40)}
+
+
+def test_bad_lists_and_ranges_are_told(spark, tmp_path):
+    import json
+
+    from kpimart.plans.families import fan_out_table
+
+    df = spark.createDataFrame([("a", 1)], "k string, x int")
+
+    def board(op, column, value):
+        return json.dumps({"filters": [{"column": column, "op": op, "value": value}], "aggregations": [], "group_by": ["k"]})
+
+    configs = [board("in", "k", "a"), board("in", "k", ["a", 1]), board("in", "k", ["a"]), board(">", "x", "1"), board(">", "x", 0), board("in", "y", [1])]
+    frame = spark.createDataFrame(list(enumerate(configs)), "dashboard_id long, config string")
+    rows = {r.dashboard_id: r for r in fan_out_table(df, frame, SnapshotStore(spark, str(tmp_path)), stage_input=False).collect()}
+    assert [rows[i].status for i in range(6)] == ["error", "error", "ok", "error", "ok", "error"]
+    assert "Type mismatch" in rows[0].error and "Type mismatch" in rows[3].error and "y" in rows[5].error
