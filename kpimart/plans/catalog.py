@@ -495,6 +495,39 @@ def src_reordered(spark: SparkSession, d: str) -> DataFrame:
     return _double(run(df, cfg), "total_sales")
 
 
+def src_headers(spark: SparkSession, d: str) -> DataFrame:
+    """SRC-1/SRC-5: uploads in folders of awkward names, one with a line break
+    in its header; each header is read by a task that stops after it."""
+    folder = scratch_dir(spark, "header-uploads")
+    fact = marts.staged_sales_fact(spark, d)
+    write_csv_gz(fact.select(F.lit("x").alias("a note,\nin two lines"), *fact.columns), f"{folder}/a b")
+    write_csv_gz(fact, f"{folder}/50% off+1")
+    write_csv_gz(fact.select(*reversed(fact.columns)), f"{folder}/[x]")
+    bad = validate_files(spark, folder, FACT_DDL).where("not is_valid").count()
+    cfg = PipelineConfig(
+        aggregations=(_agg("id", "count", "n"), _agg("sales", "sum", "total_sales")), group_by=("category", "brand")
+    )
+    out = _double(run(load_csv(spark, folder, FACT_DDL, multi_line=True), cfg), "total_sales")
+    return out.withColumn("bad_files", F.lit(bad))
+
+
+def src_infer(spark: SparkSession, d: str) -> DataFrame:
+    """SRC-1 without a schema: files with an extra column, without one, and
+    with whole or broken numbers load as one schema by name."""
+    folder = scratch_dir(spark, "inferred-uploads")
+    fact = marts.staged_sales_fact(spark, d)
+    write_csv_gz(fact.withColumn("quantity", F.col("quantity").cast("int")), f"{folder}/whole")
+    broken = fact.withColumn("quantity", F.col("quantity") + 0.5)
+    write_csv_gz(broken.select(F.lit("x").alias("note"), *reversed(fact.columns)), f"{folder}/extra")
+    write_csv_gz(fact.drop("region"), f"{folder}/less")
+    df = load_csv(spark, folder, multi_line=True)
+    kinds = ",".join(sorted(f"{n}:{t}" for n, t in df.dtypes if n not in ("id", "brand")))
+    out = df.groupBy("category").agg(
+        F.count("id").alias("n"), F.count("region").alias("with_region"), F.sum("quantity").alias("quantity")
+    )
+    return out.withColumn("kinds", F.lit(kinds))
+
+
 def _land_upload(df: DataFrame, incoming: str, name: str) -> None:
     """Write an upload of many ``.csv.gz`` parts elsewhere and rename its
     folder into ``incoming`` (it appears there at once)."""
@@ -754,6 +787,8 @@ QUERIES: dict[str, Query] = {
     "src_admit": src_admit,
     "src_validate": src_validate,
     "src_reordered": src_reordered,
+    "src_headers": src_headers,
+    "src_infer": src_infer,
     "str_upload": str_upload,
     "str_backlog": str_backlog,
     "str_table": str_table,

@@ -167,6 +167,14 @@ _SQL = {
         "with {f} select category, brand, count(*) as n, cast(sum(sales) as double) as total_sales "
         "from f group by category, brand"
     ),
+    "src_headers": (
+        "with {f} select category, brand, 3 * count(*) as n, cast(3 * sum(sales) as double) as total_sales, 0 as bad_files "
+        "from f group by category, brand"
+    ),
+    "src_infer": (
+        "with {f} select category, 3 * count(*) as n, 2 * count(*) as with_region, 3 * sum(quantity) + 0.5 * count(*) as quantity, "
+        "'category:string,note:string,quantity:double,region:string,sales:double,year:int' as kinds from f group by category"
+    ),
     "reg_transform": "with {f} select category, count(*) as n from f where sales >= 50000 group by category",
     "snk_latest": "with {f} select brand, year, count(*) as n from f group by brand, year",
     "pip_get_data": (

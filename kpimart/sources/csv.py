@@ -10,9 +10,15 @@ quote; a quoted empty string stays ``""`` while a blank cell is null.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
-
-from pyspark.errors import AnalysisException
+import csv
+import io
+import re
+from collections.abc import Iterator, Mapping
+from functools import reduce
+
+import pyarrow as pa
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,23 +48,64 @@ def read_header(spark: SparkSession, path: str, multi_line: bool = True) -> list
     return None if first is None else [("" if v is None else v) for v in first]
 
 
+#: Lines of a file that a header task asks for at a time.
+HEADER_LINES = 16
+
+
+def _header_session(spark: SparkSession) -> SparkSession:
+    """A session like ``spark`` in which every file, or split, is a task of its
+    own that sends few lines at a time: a header task reads no further than
+    its header."""
+    own = spark.newSession()
+    for key, value in spark.conf.getAll.items():
+        if key.startswith("spark.sql.") and own.conf.isModifiable(key):
+            own.conf.set(key, value)
+    own.conf.set("spark.sql.files.openCostInBytes", own.conf.get("spark.sql.files.maxPartitionBytes"))
+    own.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(HEADER_LINES))
+    return own
+
+
+def plain_path(uri: Column) -> Column:
+    """A path of ``_metadata.file_path``, which is percent-encoded, as the file
+    system spells it."""
+    return F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B")))
+
+
+def literal_path(path: str) -> str:
+    """A path for a reader, none of its characters taken as a pattern."""
+    return re.sub(r"([{}\[\]*?\\])", r"\\\1", path)
+
+
 def file_headers(spark: SparkSession, paths: str | list[str], glob: str | None = None) -> DataFrame:
-    """``(path, header)`` of every non-empty file: the cells of its first line."""
-    reader = spark.read.option("recursiveFileLookup", "true")
+    """``(path, header)`` of every non-empty file: the cells of its first
+    record. A task opens one file and stops after that record; no row is
+    scanned for it."""
+    reader = _header_session(spark).read.option("recursiveFileLookup", "true")
     lines = (reader.option("pathGlobFilter", glob) if glob else reader).text(paths)
     lines = lines.select(
-        F.col("_metadata.file_path").alias("path"),
-        F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("pos"),
-        "value",
+        plain_path(F.col("_metadata.file_path")).alias("path"), F.col("_metadata.file_block_start").alias("start"), "value"
     )
-    first = lines.groupBy("path").agg(F.min_by("value", "pos").alias("line"))
-    # split on commas outside quotes; strip the quotes, undo doubled quotes
-    outside_quotes = ',(?=(?:[^"]*"[^"]*")*[^"]*$)'
-    cells = F.transform(
-        F.split(F.col("line"), outside_quotes),
-        lambda s: F.regexp_replace(F.regexp_replace(F.trim(s), '^"|"$', ""), '""', '"'),
-    )
-    return first.select("path", cells.alias("header"))
+
+    def first_record(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        path, record, quotes = None, [], 0
+        for batch in batches:
+            if batch.num_rows and batch.column(1)[0].as_py() > 0:
+                return  # a later split of a file
+            for path, line in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                record.append(line)
+                quotes += line.count('"')
+                if quotes % 2 == 0:  # no quoted line break is open
+                    break
+            if record and quotes % 2 == 0:
+                break
+        if path is not None:
+            cells = next(csv.reader(io.StringIO("\n".join(record), newline=""), skipinitialspace=True), None) or [""]
+            header = pa.array([[c.strip() for c in cells]], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([pa.array([path]), header], ["path", "header"])
+
+    found = lines.mapInArrow(first_record, "path string, header array<string>")
+    # a row per file, as a listing has it
+    return spark.createDataFrame(found.collect(), "path string, header array<string>")
 
 
 def header_groups(headers: DataFrame) -> list[tuple[list[str], list[str]]]:
@@ -71,10 +118,10 @@ def header_groups(headers: DataFrame) -> list[tuple[list[str], list[str]]]:
 WIDTH_ERROR = "__wrong_width"
 
 
-def read_group(spark: SparkSession, header: list[str], paths: list[str] | str, multi_line: bool) -> DataFrame:
+def read_group(spark: SparkSession, header: list[str], paths: list[str], multi_line: bool, literal: bool = True) -> DataFrame:
     """Files of one header as string columns named by it, with the file's path
     (``__path``) and whether a row has too few or too many cells
-    (``__wrong_width``)."""
+    (``__wrong_width``). ``literal``: the paths are of a listing, not patterns."""
     names = [f"_c{i}" for i in range(len(header))]
     fields = [T.StructField(n, T.StringType()) for n in (*names, "_corrupt")]
     # all cells are parsed (no column pruning): only then is the width of a row known
@@ -82,11 +129,11 @@ def read_group(spark: SparkSession, header: list[str], paths: list[str] | str, m
         spark.read.schema(T.StructType(fields))
         .options(**CSV_OPTIONS, multiLine=str(multi_line).lower(), mode="PERMISSIVE")
         .options(columnNameOfCorruptRecord="_corrupt", columnPruning="false")
-        .csv(paths)
+        .csv([literal_path(p) for p in paths] if literal else paths)
     )
     return raw.select(
         *[F.col(n).alias(h) for n, h in zip(names, header)],
-        F.col("_metadata.file_path").alias("__path"),
+        plain_path(F.col("_metadata.file_path")).alias("__path"),
         F.col("_corrupt").isNotNull().alias(WIDTH_ERROR),
     )
 
@@ -127,8 +174,10 @@ def load_csv(
     typed as given; ``malformed`` says what becomes of rows with the wrong
     number of cells or with cells that do not cast (``null``, ``drop`` or
     ``fail``; ``validate_files`` counts them). Without a schema, types are
-    inferred. Any failure is one ``ValueError("Failed to load CSV file: ...")``:
-    a missing path, an empty file, duplicate header names.
+    inferred; over files of several headers the result has every column, typed
+    to hold all files' cells, and null where a file lacks it. Any failure is
+    one ``ValueError("Failed to load CSV file: ...")``: a missing path, an
+    unreadable or empty file, duplicate header names.
     """
     if malformed not in ("null", "drop", "fail"):
         raise ValueError(f"Unknown treatment of malformed rows: {malformed}")
@@ -142,8 +191,10 @@ def load_csv(
             groups = [(header, paths)] if header else []
         else:
             groups = header_groups(file_headers(spark, paths))
-    except AnalysisException as exc:
-        raise ValueError(f"Failed to load CSV file: {exc}") from exc
+    except (AnalysisException, Py4JJavaError, PySparkException) as exc:
+        # the message without the JVM's stack
+        told = [line for line in str(exc).splitlines() if line.strip() and not line.lstrip().startswith("at ")]
+        raise ValueError(f"Failed to load CSV file: {' '.join(told[:2])}") from exc
     if not groups or any(all(h == "" for h in header) for header, _ in groups):
         raise ValueError(f"Failed to load CSV file: {path} is empty (no header)")
     for header, _ in groups:
@@ -151,15 +202,55 @@ def load_csv(
         if dups:
             raise ValueError(f"Failed to load CSV file: duplicate column names {dups}")
     st = _schema(schema)
-    out = None
-    for header, files in groups:
-        if st is not None:
-            df = _typed(read_group(spark, header, files, multi_line), st, malformed)
-        else:
-            reader = spark.read.options(**CSV_OPTIONS, multiLine=str(multi_line).lower(), mode="PERMISSIVE")
-            df = reader.option("inferSchema", "true").csv(files)
-        out = df if out is None else out.unionByName(df)
-    return out
+    if st is None and len(groups) == 1:
+        reader = spark.read.options(**CSV_OPTIONS, multiLine=str(multi_line).lower(), mode="PERMISSIVE")
+        files = paths if single else [literal_path(p) for p in groups[0][1]]
+        return reader.option("inferSchema", "true").csv(files)
+    strings = [read_group(spark, header, files, multi_line, literal=not single) for header, files in groups]
+    if st is not None:
+        return reduce(DataFrame.unionByName, [_typed(df, st, malformed) for df in strings])
+    united = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), strings)
+    return _typed(united, infer_types(united), malformed)
+
+
+#: What inference tries, narrowest first; a column that fits none is a string.
+INFERRED = {
+    "boolean": T.BooleanType(),
+    "int": T.IntegerType(),
+    "bigint": T.LongType(),
+    "double": T.DoubleType(),
+    "date": T.DateType(),
+    "timestamp": T.TimestampType(),
+}
+
+
+def infer_types(strings: DataFrame) -> T.StructType:
+    """A type for each string column: the narrowest that holds every non-empty
+    cell of every file (int, bigint, double; date, timestamp; boolean), else
+    string. Whether cells fit is a conjunction, so files and tasks merge in
+    any order: one aggregate over the rows, one row to the driver."""
+    names = [c for c in strings.columns if c not in ("__path", WIDTH_ERROR)]
+    fits = []
+    for i, name in enumerate(names):
+        c = F.col(f"`{name}`")
+        for kind, dtype in INFERRED.items():
+            ok = c.try_cast(dtype).isNotNull()
+            if kind == "boolean":  # not 0 and 1, t and f, yes and no
+                ok = F.lower(F.trim(c)).isin("true", "false")
+            elif kind in ("int", "bigint"):
+                ok = ok & c.rlike(r"^\s*[+-]?\d+\s*$")
+            elif kind == "date":
+                ok = ok & c.rlike(r"^\s*\d{4}-\d{1,2}-\d{1,2}\s*$")
+            elif kind == "timestamp":
+                ok = ok & c.rlike(r"^\s*\d{4}-\d{1,2}-\d{1,2}")
+            fits.append(F.every(c.isNull() | ok).alias(f"{i}-{kind}"))
+        fits.append(F.count(c).alias(f"{i}-cells"))
+    row = strings.agg(*fits).first().asDict() if names else {}
+    found = []
+    for i, name in enumerate(names):
+        kind = next((k for k in INFERRED if row[f"{i}-cells"] and row[f"{i}-{k}"]), None)
+        found.append(T.StructField(name, INFERRED[kind] if kind else T.StringType()))
+    return T.StructType(found)
 
 
 def check_columns(df: DataFrame, expected) -> bool:

@@ -130,3 +130,51 @@ def test_malformed_rows_are_counted_kept_dropped_or_fatal(spark, tmp_path):
     assert [(r.a, r.n) for r in load("drop").collect()] == [("ok", 4)]
     with pytest.raises(Exception, match="malformed row"):
         load("fail").collect()
+
+
+# ------------------------------------------- headers, folder names, inference
+
+
+def _file(folder, name, text):
+    folder.mkdir(parents=True, exist_ok=True)
+    data = text.encode()
+    (folder / name).write_bytes(gzip.compress(data) if name.endswith(".gz") else data)
+
+
+@pytest.mark.parametrize("suffix", ["csv", "csv.gz"])
+def test_folders_of_any_name(spark, tmp_path, suffix):
+    for i, name in enumerate(["a b", "50% off", "x+y", "[z]{1}", "é*?"]):
+        _file(tmp_path / name, f"p.{suffix}", f"id,v\n{i},{name}\n")
+    _file(tmp_path / "other order", f"p.{suffix}", "v,id\nlast,9\n")
+    rows = {(r.id, r.v) for r in load_csv(spark, str(tmp_path), "id int, v string").collect()}
+    assert rows == {(0, "a b"), (1, "50% off"), (2, "x+y"), (3, "[z]{1}"), (4, "é*?"), (9, "last")}
+    found = validate_files(spark, str(tmp_path), "id int, v string", glob=f"*.{suffix}").collect()
+    assert len(found) == 6 and all(r.is_valid for r in found)
+
+
+def test_headers_are_first_records(spark, tmp_path):
+    from kpimart.sources.csv import file_headers
+
+    _file(tmp_path, "a.csv.gz", '"x, ""y""","two\n\nlines", z \n1,2,3\n')
+    _file(tmp_path, "b.csv.gz", "x\n" * 5000)
+    _file(tmp_path, "c.csv.gz", "")
+    _file(tmp_path, "d.csv.gz", '"never closed\n1\n')
+    got = {r.path.rpartition("/")[2]: r.header for r in file_headers(spark, str(tmp_path), "*.csv.gz").collect()}
+    assert got["a.csv.gz"] == ['x, "y"', "two\n\nlines", "z"] and got["b.csv.gz"] == ["x"]
+    assert "c.csv.gz" not in got and len(got["d.csv.gz"]) == 1
+
+
+def test_inference_merges_files(spark, tmp_path):
+    _file(tmp_path, "a.csv", "n,d,b,s\n1,2024-01-02,true,x\n-2,2024-1-3,FALSE,\n")
+    _file(tmp_path, "b.csv", "s,n,extra,d,t,none\n7,2.5,5000000000,2024-01-02,2024-01-02 03:04:05,\n")
+    df = load_csv(spark, str(tmp_path))
+    assert dict(df.dtypes) == {
+        "n": "double", "d": "date", "b": "boolean", "s": "string", "extra": "bigint", "t": "timestamp", "none": "string",
+    }
+    assert sorted((r.n, r.s, r.extra) for r in df.collect()) == [(-2.0, None, None), (1.0, "x", None), (2.5, "7", 5000000000)]
+
+
+def test_unreadable_files_are_the_one_error(spark, tmp_path):
+    (tmp_path / "a.csv.gz").write_bytes(gzip.compress(b"id\n" + b"1\n" * 9000)[:-20])
+    with pytest.raises(ValueError, match="Failed to load CSV file"):
+        load_csv(spark, [str(tmp_path / "a.csv.gz")], "id int").count()
