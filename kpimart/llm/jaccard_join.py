@@ -28,6 +28,12 @@ difference is larger than most of its own size shares little more than a
 passage with the hub; it is paired with the other members of the signature's
 run instead, if sizes and places in the common order allow. No link is lost.
 
+Most pairs of a signature share a passage and no more. Every set has a bitmap of
+its tokens' hash buckets, about four bits a token: buckets that one set fills and
+another does not hold as many tokens of the difference at least, which bounds
+the overlap from above. Texts are fetched only for pairs that the bound leaves
+open; it settles no pair that it does not prove.
+
 Counts cover all documents: every task counts the tokens of a batch and
 reports those found in two or more distinct sets. The order only needs to be
 the same for all; results do not depend on it. The table of classes is cut at
@@ -74,6 +80,8 @@ BROADCAST_ROWS = 1 << 20
 #: A member is far from its hub if their difference is more than this many
 #: times the member's size; far members are paired by shared signatures.
 FAR = 0.7
+#: Buckets of a set's bitmap per token, before rounding up to a power of two.
+BUCKETS = 4
 #: Bits of the packed rank: rare tokens (saturating) above the set's size
 #: above the signature's place (saturating).
 SIZE_BITS, PLACE_BITS, RARE_MOST = 28, 19, (1 << 16) - 1
@@ -185,6 +193,38 @@ def set_signatures(tokens: np.ndarray, classes: np.ndarray, percent: int) -> tup
     return singles, np.concatenate(out) if out else tokens[:0]
 
 
+def bitmap(tokens: np.ndarray) -> bytes:
+    """The hash buckets of a set's tokens; their number is a power of two, so
+    that a larger bitmap folds to a smaller one."""
+    buckets = 1 << max(6, (BUCKETS * len(tokens) - 1).bit_length())
+    filled = np.zeros(buckets, dtype=bool)
+    filled[((tokens >> np.uint64(16)) & np.uint64(buckets - 1)).astype(np.int64)] = True
+    return np.packbits(filled, bitorder="little").tobytes()
+
+
+def least_differences(x: bytes, y: bytes) -> tuple[int, int]:
+    """How many tokens of each of two sets are not in the other, at least."""
+    a, b = np.frombuffer(x, dtype=np.uint8), np.frombuffer(y, dtype=np.uint8)
+    while len(a) > len(b):
+        a = a[: len(a) // 2] | a[len(a) // 2 :]
+    while len(b) > len(a):
+        b = b[: len(b) // 2] | b[len(b) // 2 :]
+    return int(np.bitwise_count(a & ~b).sum()), int(np.bitwise_count(b & ~a).sum())
+
+
+def _bounds(batches):
+    """Rows (a, b, n_a, n_b, bits_a, bits_b): the least difference of the two
+    sets, and the most that they can share."""
+    for batch in batches:
+        less = [least_differences(x, y) for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)]
+        sizes = np.array(less, dtype=np.int64).reshape(-1, 2)
+        n_a, n_b = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+        most = np.minimum(n_a - sizes[:, 0], n_b - sizes[:, 1])
+        yield pa.RecordBatch.from_arrays(
+            [*batch.columns[:4], pa.array(sizes.sum(axis=1)), pa.array(most)], ["a", "b", "n_a", "n_b", "d", "most"]
+        )
+
+
 def _signatures(k: int, percent: int, table: Broadcast):
     def run(batches):
         token, token_class = table.value
@@ -205,6 +245,7 @@ def _signatures(k: int, percent: int, table: Broadcast):
                 plain = textvec.segment_sum((classes > 0).astype(np.int64), counts) == 0
                 upto = np.concatenate(([0], np.cumsum(counts)))
                 singles, pairs, n_singles, n_pairs = [], [], np.zeros(hi - lo, int), np.zeros(hi - lo, int)
+                bits: list[bytes | None] = [None] * (hi - lo)
                 for i in np.flatnonzero(first):
                     t = tokens[upto[i] : upto[i + 1]]
                     if plain[i]:
@@ -216,6 +257,7 @@ def _signatures(k: int, percent: int, table: Broadcast):
                     singles.append(s)
                     pairs.append(p)
                     n_singles[i], n_pairs[i] = len(s), len(p)
+                    bits[i] = bitmap(t)
                 lists = []
                 for found, each in ((singles, n_singles), (pairs, n_pairs)):
                     flat = np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64)
@@ -229,8 +271,9 @@ def _signatures(k: int, percent: int, table: Broadcast):
                         pa.array(nodes),
                         pa.array((np.minimum(rare, RARE_MOST) << (SIZE_BITS + PLACE_BITS)) | (counts << PLACE_BITS)),
                         *lists,
+                        pa.array(bits, pa.binary()),
                     ],
-                    ["doc_id", "text_key", "n", "node", "rank", "singles", "pairs"],
+                    ["doc_id", "text_key", "n", "node", "rank", "singles", "pairs", "bits"],
                 )
 
     return run
@@ -344,14 +387,28 @@ class JaccardJoin:
         doc_id = self.docs.schema["doc_id"].dataType.simpleString()
         found = self.docs.mapInArrow(
             _signatures(self.k, self.percent, table),
-            f"doc_id {doc_id}, text_key long, n long, node long, rank long, singles array<long>, pairs array<long>",
+            f"doc_id {doc_id}, text_key long, n long, node long, rank long, singles array<long>, pairs array<long>, "
+            "bits binary",
         )
         return self._written(found, "sets")
 
+    def bounded(self, sketches: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
+        """``a, b, n_a, n_b, d`` (the least difference), ``most`` (the most that
+        is shared) of distinct pairs of nodes."""
+        pairs = self._written(pairs.select("a", "b").distinct(), f"{name}-pairs")
+        nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        known = sketches.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
+        known = self._written(known, f"{name}-bits")
+        a, b = (known.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}")) for x in "ab")
+        both = pairs.join(a, "a").join(b, "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b")
+        found = both.mapInArrow(_bounds, "a long, b long, n_a long, n_b long, d long, most long")
+        return self._written(found, f"{name}-bounds")
+
     def hub_groups(self, sets: DataFrame) -> DataFrame:
         """``group, hub, node, n, left``: the members (but the hub) of the runs
         of every shared signature; ``left`` is what is left of a member's
-        tokens from the signature's place on (all, for pairs of tokens)."""
+        tokens from the signature's place on (all, for pairs of tokens). Runs
+        of equal members are one group."""
         member = F.struct("rank", "node")
         most = (1 << PLACE_BITS) - 1
         single = sets.select(F.posexplode("singles").alias("place", "sig"), "node", "rank").select(
@@ -380,8 +437,9 @@ class JaccardJoin:
             .withColumn("least_n", F.min("n").over(run))
             .filter((F.col("most_room") >= F.col("n") * self.percent) & (F.col("room") >= F.col("least_n") * self.percent))
             .withColumn("hub", F.min(member).over(run)["node"])
+            .withColumn("alike", F.bit_xor(F.xxhash64("node")).over(run))
             .filter("node != hub")
-            .select(F.xxhash64("sig", "run").alias("group"), "hub", "node", "n", left.alias("left"))
+            .select(F.xxhash64("alike", "hub").alias("group"), "hub", "node", "n", left.alias("left"))
         )
         # pairs of frequent tokens may belong to very many sets: summed up
         # before the shuffle, then joined, where a hot signature can be split
@@ -397,7 +455,9 @@ class JaccardJoin:
         )
         pair = pair.join(hubs, "sig").filter("node != hub").withColumn("n", n)
         pair = pair.select(F.xxhash64("sig", F.lit(-1)).alias("group"), "hub", "node", "n", F.col("n").alias("left"))
-        return single.unionByName(pair).distinct()
+        # runs of the same members (of the signatures of one passage) are one
+        # group; their first signature in the common order leaves the most
+        return single.unionByName(pair).groupBy("group", "hub", "node", "n").agg(F.max("left").alias("left"))
 
     def with_texts(self, sets: DataFrame, candidates: DataFrame, name: str) -> DataFrame:
         """``a, b, text_a, text_b`` of distinct pairs of nodes."""
@@ -419,9 +479,10 @@ class JaccardJoin:
     def far_pairs(self, groups: DataFrame, members: DataFrame, parts: DataFrame) -> DataFrame:
         """``a, b``: members of one signature's run, at least one far from its
         hub, whose sizes and places allow the overlap they need."""
-        far = members.select("hub", "node", (F.col("d") > F.col("n") * FAR).alias("far"))
-        rows = groups.join(far, ["hub", "node"]).join(parts, "node", "left")
-        rows = rows.withColumn("component", F.coalesce("component", "node"))
+        far = members.join(parts, "node", "left").select(
+            "hub", "node", (F.col("d") > F.col("n") * FAR).alias("far"), F.coalesce("component", "node").alias("component")
+        )
+        rows = groups.join(far, ["hub", "node"])
         # only runs that hold a far member
         some = rows.groupBy("group").agg(F.bool_or("far").alias("some"), F.count("node").alias("rows"))
         rows = self._written(rows.join(some.filter("some and rows > 1").select("group"), "group"), "far-runs")
@@ -469,22 +530,34 @@ class JaccardJoin:
         """``doc_id, n_shingles, node, text_key, component_id`` of every document."""
         signed = self.sets()
         sets = self._written(signed.select("doc_id", "text_key", "n", "node"), "nodes")
+        sketches = self._written(signed.filter("bits is not null").select("node", "n", "bits"), "sketches")
         groups = self._written(self.hub_groups(signed), "groups")
         for name in ("sets", "pairs"):  # read for the last time
             delete_path(self.spark, f"{self.folder}/{name}")
         self._release()
-        members = self._written(
-            self.with_texts(sets, groups.select(F.col("hub").alias("a"), F.col("node").alias("b")), "hub").mapInArrow(
-                _compare_with_hub(self.k, self.percent),
-                "hub long, node long, linked boolean, n_hub long, n long, d long, start array<long>",
-            ),
-            "members",
+        bounds = self.bounded(sketches, groups.select(F.col("hub").alias("a"), F.col("node").alias("b")), "hub")
+        is_far = F.col("d") > F.col("n_b") * FAR  # such a member cannot be linked with the hub
+        kind = "hub long, node long, linked boolean, n_hub long, n long, d long, start array<long>"
+        compared = self.with_texts(sets, bounds.filter(~is_far).select("a", "b"), "hub").mapInArrow(
+            _compare_with_hub(self.k, self.percent), kind
+        )
+        far = bounds.filter(is_far).select(
+            F.col("a").alias("hub"),
+            F.col("b").alias("node"),
+            F.lit(False).alias("linked"),
+            F.col("n_a").alias("n_hub"),
+            F.col("n_b").alias("n"),
+            "d",
+            F.array().cast("array<long>").alias("start"),
         )
+        members = self._written(compared.unionByName(far), "members")
         self._release()
         links = members.filter("linked").select(F.col("hub").alias("a"), F.col("node").alias("b"))
         parts = self._written(connected_components(links), "hub-components")
         pairs = self.near_differences(members, parts).unionByName(self.far_pairs(groups, members, parts))
-        rest = self.with_texts(sets, pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "rest")
+        bounds = self.bounded(sketches, pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "rest")
+        open_ = bounds.filter(F.col("most") * (100 + self.percent) >= (F.col("n_a") + F.col("n_b")) * self.percent)
+        rest = self.with_texts(sets, open_.select("a", "b"), "rest")
         more = self._written(rest.mapInArrow(_verify(self.k, self.percent), "a long, b long"), "rest-links")
         if more.first() is not None:
             parts = self._written(connected_components(links.union(more)), "components")
