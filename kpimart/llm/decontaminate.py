@@ -33,9 +33,11 @@ from kpimart.llm.tasks import share
 
 WINDOW = 10
 SAMPLE = 16
-#: Symbols of a shard, and bytes of benchmark text in one broadcast block.
+#: Symbols of a shard, bytes of benchmark text in one broadcast block, and
+#: bytes of document text that a task works on at a time (or one longer text).
 SHARD_SYMBOLS = 1 << 21
 BLOCK_BYTES = 32 << 20
+SLICE_BYTES = 4 << 20
 
 SPANS = T.ArrayType(T.StructType([T.StructField("first", T.LongType()), T.StructField("last", T.LongType())]))
 
@@ -217,9 +219,21 @@ def _shards(counts: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         yield at, len(counts)
 
 
-def scan_batch(texts: pa.Array, phrases: Phrases, shard_symbols: int = SHARD_SYMBOLS):
-    """``(n_words, spans, items)`` Arrow columns of a column of texts."""
+def scan_batch(texts: pa.Array, phrases: Phrases, shard_symbols: int = SHARD_SYMBOLS, slice_bytes: int = SLICE_BYTES):
+    """``(n_words, spans, items)`` Arrow columns of a column of texts, found
+    slice by slice of the column."""
     data, offsets, _ = textvec.utf8(texts)
+    found, at = [], 0
+    while at < len(texts) or not found:
+        end = int(np.searchsorted(offsets, offsets[at] + slice_bytes, side="right")) - 1
+        end = max(min(at + 1, len(texts)), end)
+        found.append(_scan_slice(data[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at], phrases, shard_symbols))
+        at = end
+    return tuple(pa.concat_arrays(columns) for columns in zip(*found, strict=True))
+
+
+def _scan_slice(data: np.ndarray, offsets: np.ndarray, phrases: Phrases, shard_symbols: int):
+    """``scan_batch`` of a few texts."""
     keep, values = textvec.word_bytes(textvec.NOT_ALNUM), textvec.byte_values()
     hashes, counts = textvec.words(data, offsets, keep, values)
     symbols = phrases.encode(hashes)
@@ -297,16 +311,17 @@ def find_benchmark_spans(
     window: int = WINDOW,
     block_bytes: int = BLOCK_BYTES,
     shard_symbols: int = SHARD_SYMBOLS,
+    prefix: str = "",
 ) -> DataFrame:
     """The ``keep`` columns of every document (default: ``doc_id``) with
     ``n_words``, ``spans`` (merged removal spans: first and last word, from 0)
-    and ``items`` (ids of the items with an occurring phrase, as sorted text)."""
+    and ``items`` (ids of the items with an occurring phrase, as sorted text);
+    ``prefix`` sets the names of these apart from columns of ``keep``."""
     keep = ["doc_id"] if keep is None else keep
     spark = docs.sparkSession
-    found = T.StructType(
+    n_words, spans, items = (prefix + c for c in ("n_words", "spans", "items"))
+    kind = T.StructType(
         [
-            *[docs.schema[c] for c in keep],
-            T.StructField("__key", T.LongType()),
             T.StructField("n_words", T.LongType()),
             T.StructField("spans", SPANS),
             T.StructField("items", T.ArrayType(T.StringType())),
@@ -316,39 +331,41 @@ def find_benchmark_spans(
     def scan(block: list) -> DataFrame:
         shared = share(spark, Phrases(block, window))
 
-        def run(batches):
+        @F.arrow_udf(kind)
+        def told(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             phrases = shared()
-            for batch in batches:
-                columns = scan_batch(batch.column(len(keep) + 1), phrases, shard_symbols)
-                yield pa.RecordBatch.from_arrays(
-                    [*batch.columns[: len(keep) + 1], *columns], [*keep, "__key", "n_words", "spans", "items"]
-                )
+            for texts in batches:
+                columns = scan_batch(texts, phrases, shard_symbols)
+                yield pa.StructArray.from_arrays(columns, ["n_words", "spans", "items"])
 
-        # a null text and an empty one are alike: no words
-        key = F.xxhash64(F.coalesce("text", F.lit(""))).alias("__key")
-        return docs.select(*keep, key, F.col("text").alias("__text")).mapInArrow(run, found)
+        # a null text and an empty one are alike: no words. Only the text goes
+        # to the task's Python worker; other columns stay behind
+        key = F.xxhash64(F.coalesce("text", F.lit("")))
+        found = docs.select(*keep, key.alias("__key"), told("text").alias("__told"))
+        names = zip(("n_words", "spans", "items"), (n_words, spans, items), strict=True)
+        return found.select(*keep, "__key", *(F.col("__told")[a].alias(b) for a, b in names))
 
     parts = [scan(block) for block in _blocks_of(benchmark, block_bytes)]
     if len(parts) == 1:
         return parts[0].drop("__key")
     # rows that agree in what is kept and in their text (by its hash) agree in their spans
     blocks = [
-        p.select(*keep, "__key", "n_words", F.lit(i).alias("__block"), "spans", "items") for i, p in enumerate(parts)
+        p.select(*keep, "__key", n_words, F.lit(i).alias("__block"), spans, items) for i, p in enumerate(parts)
     ]
     merged = (
         reduce(DataFrame.unionByName, blocks)
-        .groupBy(*keep, "__key", "n_words")
+        .groupBy(*keep, "__key", n_words)
         .agg(
             F.count(F.when(F.col("__block") == 0, 1)).alias("__copies"),
-            F.flatten(F.collect_set("spans")).alias("spans"),
-            F.flatten(F.collect_set("items")).alias("items"),
+            F.flatten(F.collect_set(spans)).alias(spans),
+            F.flatten(F.collect_set(items)).alias(items),
         )
     )
     return merged.select(
         *keep,
-        "n_words",
-        _merge_spans(F.col("spans")).alias("spans"),
-        F.array_sort(F.array_distinct("items")).alias("items"),
+        n_words,
+        _merge_spans(F.col(spans)).alias(spans),
+        F.array_sort(F.array_distinct(items)).alias(items),
         F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))).alias("__copy"),
     ).drop("__copy")
 

@@ -212,29 +212,24 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def identify(docs: DataFrame, model: LanguageFilter, keep: list[str]) -> DataFrame:
-    """The ``keep`` columns of every row with ``lang_pred`` and ``score``."""
+def identify(docs: DataFrame, model: LanguageFilter, keep: list[str], prefix: str = "") -> DataFrame:
+    """The ``keep`` columns of every row with ``lang_pred`` and ``score``;
+    ``prefix`` sets the names of these apart from columns of ``keep``."""
     shared = share(docs.sparkSession, model)
 
-    def run(batches):
+    @F.arrow_udf("struct<lang_pred: string, score: double>")
+    def told(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = shared()
-        for batch in batches:
-            texts = batch.column(len(keep))
+        for texts in parts:
             names, scores = model.predict(texts)
             known = has_letter(texts)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *batch.columns[: len(keep)],
-                    pa.array([n if k else UNKNOWN for n, k in zip(names, known, strict=True)], pa.string()),
-                    pa.array(np.where(known, scores, 0.0)),
-                ],
-                [*keep, "lang_pred", "score"],
-            )
+            lang = pa.array([n if k else UNKNOWN for n, k in zip(names, known, strict=True)], pa.string())
+            yield pa.StructArray.from_arrays([lang, pa.array(np.where(known, scores, 0.0))], ["lang_pred", "score"])
 
-    schema = T.StructType(
-        [*[docs.schema[c] for c in keep], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
-    )
-    return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(run, schema)
+    # only the text goes to the task's Python worker; other columns stay behind
+    found = docs.select(*keep, told("text").alias(prefix + "__told"))
+    told_at = F.col(prefix + "__told")
+    return found.select(*keep, told_at["lang_pred"].alias(prefix + "lang_pred"), told_at["score"].alias(prefix + "score"))
 
 
 def language_model(docs: DataFrame, per_language: int = TRAIN_PER_LANGUAGE) -> LanguageFilter:

@@ -2,6 +2,8 @@
 
 Each takes ``(spark, docs, sf_dir)``. All but the last return the columns of
 ``docs``, whatever these are; rows keep their id, text, language and source.
+Columns of names that the operators use themselves are kept as they are, an
+empty table gives an empty result, and null ids and texts are told below.
 """
 
 from __future__ import annotations
@@ -13,12 +15,16 @@ from kpimart.llm import decontaminate, jaccard_join, language_id, mixing
 from kpimart.llm.queries import shard_rows, written
 from kpimart.sources.tables import table
 
+#: Names of an operator's own columns inside a stage.
+OWN = "__stage_"
+
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; those without any letter go."""
+    """Documents whose language can be told; those without any letter (null and
+    empty texts among them) go. Repeated rows are judged each."""
     model = language_id.language_model(docs)
-    found = language_id.identify(docs, model, docs.columns)
-    return found.filter(F.col("lang_pred") != language_id.UNKNOWN).select(*docs.columns)
+    found = language_id.identify(docs, model, docs.columns, OWN)
+    return found.filter(F.col(OWN + "lang_pred") != language_id.UNKNOWN).select(*docs.columns)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,9 +49,10 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no phrase of the benchmark."""
-    found = decontaminate.find_benchmark_spans(docs, table(spark, sf_dir, "benchmark"), docs.columns)
-    return found.filter(F.size("spans") == 0).select(*docs.columns)
+    """Documents that hold no phrase of the benchmark; null and empty texts
+    hold none. Repeated rows are judged each."""
+    found = decontaminate.find_benchmark_spans(docs, table(spark, sf_dir, "benchmark"), docs.columns, prefix=OWN)
+    return found.filter(F.size(OWN + "spans") == 0).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
