@@ -225,17 +225,17 @@ class Chains:
 
     def _entries(self) -> DataFrame:
         """Where the chain from a file's start enters its splits."""
-        every = self.starts.select("file", "start")
+        # tables of possible starts grow with the records: never broadcast
         reached = written(self.starts.filter("start = 0").select("file", "start"), "warc-reached")
-        targets = every.withColumnRenamed("start", "leave")
+        targets = self.starts.select("file", F.col("start").alias("leave")).hint("merge")
         jumps = written(self.starts.select("file", "start", "leave").join(targets, ["file", "leave"], "left_semi"), "warc-jumps")
         while True:
-            new = written(reached.join(jumps, ["file", "start"]).select("file", F.col("leave").alias("start")), "warc-reached")
+            new = written(reached.join(jumps.hint("merge"), ["file", "start"]).select("file", F.col("leave").alias("start")), "warc-reached")
             if new.isEmpty():
                 break
             reached = written(reached.unionByName(new), "warc-reached")
             on = jumps.select("file", F.col("start").alias("leave"), F.col("leave").alias("further"))
-            jumps = written(jumps.join(on, ["file", "leave"]).select("file", "start", F.col("further").alias("leave")), "warc-jumps")
+            jumps = written(jumps.join(on.hint("merge"), ["file", "leave"]).select("file", "start", F.col("further").alias("leave")), "warc-jumps")
         return written(self.starts.join(reached, ["file", "start"], "left_semi"), "warc-entries")
 
     def ends(self) -> DataFrame:
