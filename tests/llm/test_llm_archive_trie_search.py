@@ -207,7 +207,7 @@ def test_trie_of_copies_and_of_a_long_conversation(spark):
     deepest = max(got, key=lambda r: r[1])
     assert deepest[0] == 5 and deepest[7] == hashlib.sha256(b"5").hexdigest()
     full = max((r for r in got if r[1] == 3), key=lambda r: r[3])
-    assert full[3] == 400 and full[7] == hashlib.sha256(",".join(map(str, range(0, 4000, 10))).encode()).hexdigest()
+    assert full[3] == 401 and full[7] == hashlib.sha256(",".join(map(str, range(0, 4000, 10))).encode()).hexdigest()
 
 
 def test_trie_of_nothing(spark):
