@@ -37,7 +37,7 @@ from kpimart.plans.fanout import fan_out, trigger_processing
 from kpimart.plans.processing import run
 from kpimart.session import scratch_dir
 from kpimart.sinks.codec import from_json_lines, to_json_lines, write_json
-from kpimart.sinks.store import SnapshotStore
+from kpimart.sinks.store import SnapshotStore, path_exists
 from kpimart.sources.csv import admit_files, list_files, load_csv, validate_files, write_csv_gz
 from kpimart.sources.tables import table
 from kpimart.streaming.log import UploadLog
@@ -683,6 +683,29 @@ def ent_rows(spark: SparkSession, d: str) -> DataFrame:
     return entitled_rows(rows, users, dashboards, access, user_id=35).select("region", "total_sales")
 
 
+def ent_snapshots(spark: SparkSession, d: str) -> DataFrame:
+    """ENT-5/SNK-2: the current snapshots of all dashboards that user 35 may
+    see, out of a store of all dashboards: only their folders are opened."""
+    users, dashboards, access = _ent(spark, d)
+    store = SnapshotStore(spark, scratch_dir(spark, "entitled-store"))
+    fan_out_table(marts.staged_sales_fact(spark, d), dashboards, store, snapshot_id="all", stage_input=False)
+    mine = visible_dashboards(users, dashboards, access, user_id=35).select("dashboard_id")
+    return _double(store.read_many(mine), "total_sales").select("dashboard_id", "category", "year", "total_sales", "n")
+
+
+def snk_prune_family(spark: SparkSession, d: str) -> DataFrame:
+    """SNK-4: three runs of a family, one snapshot retained: the folders of
+    the first two are gone, and the current ones are read."""
+    store = SnapshotStore(spark, scratch_dir(spark, "prune-store"))
+    boards = marts.dashboards(spark, d)
+    for i in (1, 2, 3):
+        fan_out_table(marts.staged_sales_fact(spark, d), boards, store, f"run-{i}", stage_input=False, retain=1)
+    families = [r[0] for r in store.manifest().select(F.regexp_extract("path", "^(.*)/dashboard_id=[^/]*$", 1)).distinct().collect()]
+    gone = sum(not path_exists(spark, f) for f in families if f)
+    out = _double(store.read_many(boards), "total_sales").withColumn("gone", F.lit(gone))
+    return out.select("dashboard_id", "category", "year", "total_sales", "n", "gone")
+
+
 def ent_role(spark: SparkSession, d: str) -> DataFrame:
     """ENT-6: for what each user may see, whether they may upload there."""
     users, dashboards, access = _ent(spark, d)
@@ -779,6 +802,7 @@ QUERIES: dict[str, Query] = {
     "pip_trigger": pip_trigger,
     "snk_latest": snk_latest,
     "snk_prune": snk_prune,
+    "snk_prune_family": snk_prune_family,
     "snk_json": snk_json,
     "snk_consume": snk_consume,
     "pip_get_data": pip_get_data,
@@ -801,6 +825,7 @@ QUERIES: dict[str, Query] = {
     "ent_denied": ent_denied,
     "ent_action": ent_action,
     "ent_rows": ent_rows,
+    "ent_snapshots": ent_snapshots,
     "ent_role": ent_role,
     "cht_bar": cht_bar,
     "cht_line": cht_line,

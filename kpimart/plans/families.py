@@ -474,6 +474,7 @@ def fan_out_table(
     store: SnapshotStore,
     snapshot_id: str | None = None,
     stage_input: bool = True,
+    retain: int | None = 2,
 ) -> DataFrame:
     """AGG-12 straight from the dashboards table ``(dashboard_id, config)``.
 
@@ -483,8 +484,10 @@ def fan_out_table(
     whose values do not fit the column types are reported, the rest run.
     Shapes that cannot be shared run per dashboard (their configs are read
     for that). The input is staged once when several shapes read it, unless
-    it already is a columnar copy (``stage_input=False``). Returns
-    ``(dashboard_id, status, rows, snapshot_id, error)``.
+    it already is a columnar copy (``stage_input=False``). Family folders that
+    none of the newest ``retain`` snapshots of any dashboard uses are dropped
+    at the end (None: kept). Returns ``(dashboard_id, status, rows,
+    snapshot_id, error)``.
     """
     spark = df.sparkSession
     frame = config_shapes(dashboards)
@@ -528,4 +531,6 @@ def fan_out_table(
             out = out.unionByName(_run_shape(source, shape, params, members, store, snapshot_id))
         except Exception as exc:  # noqa: BLE001 - reported per dashboard
             out = out.unionByName(_errors(members, f"{type(exc).__name__}: {exc}"))
+    if retain is not None and store.has_batches():
+        store.prune_families(retain)
     return out

@@ -194,6 +194,16 @@ _SQL = {
         "with {f} select category, year, count(*) as n, 2 as ok, 1 as failed, "
         "'Missing columns: [''quantity'']' as error, 0 as left from f group by category, year"
     ),
+    "snk_prune_family": (
+        "with {f} select cast(n_nationkey as bigint) as dashboard_id, category, year, "
+        "cast(sum(sales) as double) as total_sales, count(*) as n, 2 as gone from f join nation on region = n_name "
+        "group by n_nationkey, category, year"
+    ),
+    "ent_snapshots": (
+        "with {f}, {e} select cast(n_nationkey as bigint) as dashboard_id, category, year, "
+        "cast(sum(sales) as double) as total_sales, count(*) as n from f join nation on region = n_name "
+        "where n_nationkey in (select dashboard_id from eff where eff.user_id = 35) group by n_nationkey, category, year"
+    ),
     "ent_effective": "with {e} select user_id, dashboard_id, sees_all from rule",
     "ent_visible": (
         "with {e} select d.dashboard_id, d.name from dashboards d where exists "

@@ -27,10 +27,12 @@ readers and writers. One writer per dashboard is assumed.
 from __future__ import annotations
 
 import datetime as _dt
+import re
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Observation, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -198,7 +200,70 @@ class SnapshotStore:
             out = data if out is None else out.unionByName(data, allowMissingColumns=True)
         return out
 
+    def folders_of(self, dashboards: DataFrame) -> DataFrame:
+        """``dashboard_id, path`` of the current snapshots of the dashboards in
+        a table ``(dashboard_id)``, those with rows: what reading them opens."""
+        ids = dashboards.select(F.col("dashboard_id").cast("bigint").alias("dashboard_id")).distinct()
+        return self.current().where("row_count > 0").join(ids, "dashboard_id", "left_semi").select("dashboard_id", "path")
+
+    def read_many(self, dashboards: DataFrame) -> DataFrame | None:
+        """The current snapshots of the dashboards in a table, with their
+        ``dashboard_id``; None if there are none. Folders are read as one scan
+        per schema, and only those the manifest names; a snapshot that several
+        dashboards share is read once. Snapshots of different columns are
+        united by name. The list of folders reaches the driver, as for any
+        scan of many folders."""
+        folders = self.folders_of(dashboards)
+        paths = [r.path for r in folders.select("path").distinct().collect()]
+        by_schema: dict[str, list[str]] = {}
+        kinds = {}
+        for schema, path in self._schemas(paths):
+            by_schema.setdefault(schema.json(), []).append(path)
+            kinds[schema.json()] = schema
+
+        def plain(path: Column) -> Column:
+            """Without scheme and authority."""
+            return F.regexp_replace(F.regexp_replace(path, "^[A-Za-z][A-Za-z0-9+.-]*://[^/]+", ""), "^[A-Za-z][A-Za-z0-9+.-]*:/+", "/")
+
+        mine = folders.select("dashboard_id", plain(F.col("path")).alias("__folder"))
+        out = None
+        for kind, group in sorted(by_schema.items()):
+            data = self.spark.read.schema(kinds[kind]).parquet(*sorted(group))
+            folder = F.regexp_replace(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))), "/[^/]*$", "")
+            data = data.select("*", plain(folder).alias("__folder")).join(mine, "__folder").drop("__folder")
+            data = data.select("dashboard_id", *[c for c in kinds[kind].names if c != "dashboard_id"])
+            out = data if out is None else out.unionByName(data, allowMissingColumns=True)
+        return out
+
+    def _schemas(self, paths: list[str]):
+        """``(schema, path)`` of snapshot folders, by a footer of each; the
+        folders of one family have one schema."""
+        family = {p: p.rpartition("/dashboard_id=")[0] if p.startswith(f"{self.root}/batches/") and "/dashboard_id=" in p else p for p in paths}
+        sample = {f: p for p, f in family.items()}
+        with ThreadPoolExecutor(max_workers=8) as pool:
+            known = dict(pool.map(lambda f: (f, self.spark.read.parquet(sample[f]).schema), sample))
+        return [(known[f], p) for p, f in family.items()]
+
     # SNK-4
+    def has_batches(self) -> bool:
+        """Are there folders beyond one save's (its rows and its empty one)?"""
+        fs, base = _fs(self.spark, f"{self.root}/batches")
+        return bool(fs.exists(base)) and len(fs.listStatus(base)) > 2
+
+    def prune_families(self, retain: int = 2) -> int:
+        """Delete family folders that no retained snapshot uses. Uses are
+        counted from the manifest: a folder goes with the save that supersedes
+        the last dashboard on it. Only folders with manifest rows are looked
+        at, so a save that is under way keeps its own. Returns the number."""
+        family = F.regexp_extract("path", f"^({re.escape(self.root)}/batches/[^/]+)", 1)
+        kept = self._retained(None, retain).select("path", F.lit(1).alias("used"))
+        uses = self.manifest().select("path").join(kept, "path", "left").withColumn("family", family).where("family <> ''")
+        unused = uses.groupBy("family").agg(F.count("used").alias("uses")).where("uses = 0")
+        removed = 0
+        for row in unused.select("family").toLocalIterator():
+            removed += delete_path(self.spark, row.family)
+        return removed
+
     def _retained(self, dashboard_id: int | None, retain: int) -> DataFrame:
         """Snapshots to keep: the newest ``retain`` per dashboard, by
         ``(created_at, snapshot_id)`` (the current one and, with retain=2, the
@@ -211,7 +276,7 @@ class SnapshotStore:
 
     def prune(self, dashboard_id: int, retain: int = 2) -> int:
         """Delete the dashboard's own snapshot folders beyond the newest
-        ``retain`` (family batches are shared and left to ``vacuum``)."""
+        ``retain`` (family batches are shared: ``prune_families``)."""
         fs, base = _fs(self.spark, f"{self.root}/data/dashboard_id={int(dashboard_id)}")
         if not fs.exists(base):
             return 0

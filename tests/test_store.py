@@ -135,3 +135,42 @@ def test_a_replayed_save_writes_anew_and_keeps_the_old_data_until_then(spark, st
     assert store.manifest().where("dashboard_id = 5").count() == 1
     assert store.latest_info(5).path == again.path
     assert store.vacuum(retain=1) == 1 and store.get(5).first().n == 1
+
+
+def test_many_snapshots_are_read_by_the_manifest(spark, tmp_path):
+    from kpimart.plans.families import fan_out_table
+
+    store = SnapshotStore(spark, str(tmp_path / "a b%"))
+    assert store.read_many(spark.range(3).toDF("dashboard_id")) is None
+    df = spark.createDataFrame([("a", 1), ("b", 2), ("b", 3)], "k string, x int")
+    count = '{"aggregations": [{"column": "x", "operation": "count", "alias": "n"}], "group_by": ["k"]'
+    own = ', "filters": [{"column": "k", "value": "%s"}]}'
+    boards = [(1, count + own % "a"), (2, count + own % "b"), (3, count + own % "none"), (4, count + "}"), (5, count + "}")]
+    boards = spark.createDataFrame(boards, "dashboard_id long, config string")
+    fan_out_table(df, boards, store, "one", stage_input=False)
+    store.save(6, df)
+    got = store.read_many(spark.createDataFrame([(i,) for i in (1, 1, 2, 3, 4, 6, 99)], "dashboard_id int")).collect()
+    rows = sorted((r.dashboard_id, r.k, r.n, r.x) for r in got if r.dashboard_id != 6)
+    assert rows == [(1, "a", 1, None), (2, "b", 2, None), (4, "a", 1, None), (4, "b", 2, None)]
+    assert sorted(r.x for r in got if r.dashboard_id == 6) == [1, 2, 3]
+
+
+def test_family_folders_go_with_their_last_user(spark, tmp_path):
+    from kpimart.plans.families import fan_out_table
+
+    store = SnapshotStore(spark, str(tmp_path))
+    df = spark.createDataFrame([("a", 1), ("b", 2)], "k string, x int")
+    own = '{"aggregations": [], "group_by": ["k"], "filters": [{"column": "k", "value": "%s"}]}'
+    boards = spark.createDataFrame([(1, own % "a"), (2, own % "b")], "dashboard_id long, config string")
+
+    def folders():
+        return {r[0] for r in store.manifest().selectExpr("regexp_extract(path, '/batches/([^-]+)', 1)").distinct().collect() if any(
+            p.name.startswith(r[0] + "-") and not p.name.startswith(f"{r[0]}-empty") for p in (tmp_path / "batches").iterdir())}
+
+    for name in ("one", "two", "three"):
+        fan_out_table(df, boards, store, name, stage_input=False)
+    assert folders() == {"two", "three"}
+    # dashboard 2 stays on an older snapshot: its folder stays
+    fan_out_table(df, boards.where("dashboard_id = 1"), store, "four", stage_input=False, retain=1)
+    assert folders() == {"three", "four"}
+    assert [r.k for r in store.get(2).collect()] == ["b"] and [r.k for r in store.get(1).collect()] == ["a"]
