@@ -43,6 +43,7 @@ import json
 import uuid
 from collections.abc import Mapping
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
@@ -217,10 +218,11 @@ def matching_rows(base: DataFrame, values: DataFrame, params: tuple[str, ...]) -
         lows = [p for p, c in ranges if c == column and c.op in LOWER_OPS]
         highs = [p for p, c in ranges if c == column and c.op in UPPER_OPS]
         bounds = _range_bounds(values, lows + highs)
-        cuts = F.array(*[F.lit(b).cast(column_type(base, column)) for b in bounds])
+        cuts = [F.lit(b).cast(column_type(base, column)) for b in bounds]
 
         def cell(x: Column) -> Column:
-            return F.size(F.filter(cuts, lambda b: b <= x)) if bounds else F.lit(0)
+            """How many cuts are not above (a plain sum: no lambda in a join key)."""
+            return reduce(lambda n, cut: n + F.when(cut <= x, 1).otherwise(0), cuts, F.lit(0))
 
         first = F.array_max(F.array(*[cell(F.col(p)) for p in lows])) if lows else F.lit(0)
         last = F.array_min(F.array(*[cell(F.col(p)) for p in highs])) if highs else F.lit(len(bounds))
