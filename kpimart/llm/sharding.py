@@ -163,7 +163,8 @@ def shard_by_slots(docs: DataFrame, shards: int, map_path: str, slots: int = SLO
     store = SlotMap(docs.sparkSession, map_path)
     slotted = with_slots(docs, slots)
     loads_path = f"{store.path}/loads"
-    slot_loads(slotted, slots).coalesce(1).write.mode("errorifexists").parquet(loads_path)
+    # an exchange, so that the one writing task only gets the row of each slot
+    slot_loads(slotted, slots).repartition(1).write.mode("errorifexists").parquet(loads_path)
     loads = docs.sparkSession.read.parquet(loads_path)
     balanced = store.write(1, rebalance(store.start(slots, shards), loads, shards))
     return assign(slotted, loads, balanced)
