@@ -1,7 +1,7 @@
 """Language ID by bit-sliced Bloom filters of character n-grams.
 
-One filter holds all languages: a table of 64-bit masks in which bit l belongs
-to language l. A language's n-grams set its bit in ``HASHES`` rows of the
+One filter holds all languages: tables of 64-bit masks, one table for every 64
+languages, in which a bit belongs to each language. A language's n-grams set its bit in ``HASHES`` rows of the
 table; the AND of a gram's rows is the set of all languages that contain it
 (and, rarely, of some that don't). The bits are counted over all n-grams of a
 text, each language's count is corrected for its false positives, and the
@@ -9,13 +9,14 @@ language of the largest corrected count wins.
 
 Grams are four bytes of lower-cased UTF-8 in which everything but letters is
 one space. A language's grams are those found in at least ``MIN_SHARE`` of
-its training texts, the ``TABLE_GRAMS`` most frequent ones at most; so the
-filter's size is fixed. It is trained on a bounded sample of labelled rows,
+its training texts; the table has rows enough for the language of the most
+grams. It is trained on a bounded sample of labelled rows,
 ``TRAIN_PER_LANGUAGE`` of each language, taken in the order of a hash.
 
 Edge cases: a text that is null or has no letter is ``und`` with score 0; ties
 go to the language with more training rows, and so does a text without known
-grams, with score 0; without training rows all is ``und``. At most 64 languages are learned.
+grams, with score 0; without training rows all is ``und``. Every language of the
+training rows is learned. Columns of maps don't enter the sample's order.
 """
 
 from __future__ import annotations
@@ -36,11 +37,11 @@ from kpimart.llm.tasks import share
 
 GRAM = 4
 TRAIN_PER_LANGUAGE = 8000
-TABLE_GRAMS = 20000
 MIN_SHARE = 0.01
 TABLE_BITS = 18
 HASHES = 2
-MAX_LANGUAGES = 64
+WORD_BITS = 64
+MAX_FILL = 0.25
 UNKNOWN = "und"
 SLICE_BYTES = 1 << 20
 
@@ -91,8 +92,8 @@ def table_rows(grams: np.ndarray, bits: int) -> Iterator[np.ndarray]:
 
 @dataclass
 class LanguageFilter:
-    """The bit-sliced filter: ``masks`` by row, and each language's share of
-    set bits (``fill``), which gives its false positive rate."""
+    """The bit-sliced filter: ``masks``, with a line for every 64 languages, and each language's share of set bits (``fill``), which gives
+    its false positive rate."""
 
     languages: list[str]
     masks: np.ndarray
@@ -100,19 +101,28 @@ class LanguageFilter:
     bits: int = TABLE_BITS
 
     @classmethod
-    def build(cls, languages: list[str], grams: dict[str, np.ndarray], bits: int = TABLE_BITS) -> LanguageFilter:
-        masks = np.zeros(1 << bits, dtype=np.uint64)
+    def build(cls, languages: list[str], grams: dict[str, np.ndarray], bits: int | None = None) -> LanguageFilter:
+        """Rows enough that a language sets a quarter of them at most."""
+        if bits is None:
+            most = max((len(g) for g in grams.values()), default=0)
+            bits = max(TABLE_BITS, int(np.ceil(np.log2(max(1, HASHES * most) / MAX_FILL))))
+        words = -(-len(languages) // WORD_BITS)
+        masks = np.zeros((words, 1 << bits), dtype=np.uint64)
         for i, name in enumerate(languages):
             for rows in table_rows(grams[name], bits):
-                masks[rows] |= np.uint64(1 << i)
-        fill = np.array([((masks >> np.uint64(i)) & np.uint64(1)).mean() for i in range(len(languages))])
+                masks[i // WORD_BITS][rows] |= np.uint64(1 << (i % WORD_BITS))
+        fill = np.array([cls._bit(masks, i).mean() for i in range(len(languages))])
         return cls(languages, masks, fill, bits)
 
+    @staticmethod
+    def _bit(masks: np.ndarray, language: int) -> np.ndarray:
+        return (masks[language // WORD_BITS] >> np.uint64(language % WORD_BITS)) & np.uint64(1)
+
     def containing(self, grams: np.ndarray) -> np.ndarray:
-        """A mask of all languages that contain each gram."""
-        found = np.full(len(grams), np.uint64(0xFFFFFFFFFFFFFFFF))
+        """Masks of all languages that contain each gram."""
+        found = np.full((len(self.masks), len(grams)), np.uint64(0xFFFFFFFFFFFFFFFF))
         for rows in table_rows(grams, self.bits):
-            found &= self.masks[rows]
+            found &= self.masks[:, rows]
         return found
 
     def corrected(self, masks: np.ndarray, owners: np.ndarray, n: int) -> np.ndarray:
@@ -121,7 +131,7 @@ class LanguageFilter:
         total = np.bincount(owners, minlength=n).astype(float)
         out = np.zeros((n, len(self.languages)))
         for i in range(len(self.languages)):
-            hits = np.bincount(owners, weights=((masks >> np.uint64(i)) & np.uint64(1)).astype(float), minlength=n)
+            hits = np.bincount(owners, weights=self._bit(masks, i).astype(float), minlength=n)
             rate = self.fill[i] ** HASHES
             out[:, i] = np.maximum(0.0, (hits - rate * total) / (1 - rate)) if rate < 1 else 0.0
         return out
@@ -170,19 +180,20 @@ def _count_grams(batches):
 
 def train(rows: DataFrame, per_language: int = TRAIN_PER_LANGUAGE) -> LanguageFilter:
     """A filter from labelled rows (``lang``, ``text``); of each language the
-    ``per_language`` rows first in the order of a hash of the text."""
+    ``per_language`` rows first in the order of a hash of the row."""
+    hashed = [f.name for f in rows.schema if not any(t in f.dataType.simpleString() for t in ("map<", "variant"))]
     known = rows.filter("lang is not null and text is not null").select(
-        "lang", "text", F.xxhash64(*rows.columns).alias("__order")
+        "lang", "text", F.xxhash64(*hashed).alias("__order")
     )
-    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").take(MAX_LANGUAGES)}
+    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
     if not sizes:
-        return LanguageFilter([], np.zeros(1 << TABLE_BITS, np.uint64), np.zeros(0))
+        return LanguageFilter.build([], {})
     # the order value at which each language's sample ends: only order values
     # are ranked, so no text is shuffled
     order = Window.partitionBy("lang").orderBy("__order")
     ranked = known.select("lang", "__order").withColumn("__rank", F.row_number().over(order))
     last = ranked.filter(F.col("__rank") <= per_language).groupBy("lang").agg(F.max("__order").alias("last"))
-    bounds = {r["lang"]: r["last"] for r in last.collect() if r["lang"] in sizes}
+    bounds = {r["lang"]: r["last"] for r in last.collect()}
     inside = F.lit(False)
     for name, bound in bounds.items():
         inside = inside | ((F.col("lang") == name) & (F.col("__order") <= bound))
@@ -192,13 +203,10 @@ def train(rows: DataFrame, per_language: int = TRAIN_PER_LANGUAGE) -> LanguageFi
     least = F.lit(2.0)
     for name, c in taken.items():
         least = F.when(F.col("lang") == name, F.lit(max(2.0, MIN_SHARE * c)) if c > 4 else F.lit(1.0)).otherwise(least)
-    best = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     grams = (
         counted.groupBy("lang", "gram")
         .agg(F.sum("n").alias("n"))
         .filter(F.col("n") >= least)
-        .withColumn("rank", F.row_number().over(best))
-        .filter(F.col("rank") <= TABLE_GRAMS)
         .select("lang", "gram")
         .toPandas()
     )
