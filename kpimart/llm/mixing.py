@@ -6,18 +6,26 @@ among the others by weight.
 
 Schedule: slot ``j`` has the golden-ratio point ``frac(j * 0.618...)``. The
 point falls into the source whose interval of the cumulative targets holds
-it, so that every stretch of the schedule has the target mix. A source's
-documents are shuffled by hash, laid end to end and repeated. The slots of a
-source share its target (in whole words) evenly: they cut the first ``target``
-words of the repeated source into stretches, taken in the order of the slots.
-So each source gets its target to the word, however small it is; a source
+it, so that every stretch of the schedule has the target mix. Slots are ranked
+per source, and share the source's target (in whole words) evenly.
+
+Blocks: a source's documents are shuffled by hash, laid end to end and cut into
+blocks of as many words as a slot of it takes (the last may be short). The
+blocks are shuffled in their turn; a pass of the source is all blocks in that
+order, the short one last. The slots take the words of the passes one after
+the other: slots and blocks meet by (source, place of the block in the pass),
+and a document gets what the slots take of the blocks that it lies in. So the
+number of points in a source's interval sets where its blocks begin, and which
+documents a broken pass takes; each source gets its target to the word however
+small it is, as its slots reach over the ends of blocks and passes. A source
 that no point falls into has one slot after the others.
 
 The number of slots is a fixed parameter; the words of a slot follow from it.
 
 Edge cases: a null or empty text has no words and is taken for 0; null
-sources are a source of their own, ordered last; an empty table gives an
-empty result.
+sources are a source of their own, ordered last; rows that agree in id, text
+and source each have places of their own; a very long text lies in many
+blocks; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -35,20 +43,26 @@ SCHEDULE_SLOTS = 1 << 20
 GOLDEN = 0.6180339887498949
 #: Parts of the unit interval that the schedule and the sources are joined on.
 CELLS = 1024
-#: Parts of a source's shuffled order (a power of two).
-LAYOUT_BITS = 10
+#: Slots that are ranked together.
+CHUNK_SLOTS = 1 << 12
+#: Rows of a part of a source's shuffled order, and copies of a row that stay together.
+PART_ROWS = 1 << 12
+COPIES = 1 << 8
+#: A prime: block ``i`` of ``n`` goes to place ``(i * STRIDE + shift) % n``.
+STRIDE = 7_368_787
 
 
 @dataclass(frozen=True)
 class Mix:
     """What a mix is made of: ``sources`` (source_key, source_size, target,
-    rn), ``schedule`` (slot, source_key, source_size, rank, first, words: the
-    place of its first word in the repeated source, and how many it takes) and
-    ``layout`` (the documents with ``start``, their first word's place in the
-    source)."""
+    rn), ``schedule`` (slot, source_key, source_size, rank, first, words: how
+    many words the source's earlier slots and this one take), ``blocks`` (a row
+    per source: source_size, block_words, n_blocks, shift) and ``layout`` (the
+    documents with ``start``, their first word's place in the source)."""
 
     sources: DataFrame
     schedule: DataFrame
+    blocks: DataFrame
     layout: DataFrame
 
 
@@ -111,10 +125,21 @@ def make_schedule(sources: DataFrame, slots: int) -> DataFrame:
     columns = ["slot", "source_key", "source_size", "target"]
     spare = spans.withColumn("slot", F.lit(slots).cast("long") + F.col("rn")).select(*columns, F.lit(1).alias("spare"))
     every = placed.select(*columns, F.lit(0).alias("spare")).unionByName(spare)
-    of_source = Window.partitionBy("source_key")
-    # a source's spare slot is the last of its slots
-    rank = F.row_number().over(of_source.orderBy("slot")).cast("long") - 1
-    used = F.greatest(F.count(F.lit(1)).over(of_source) - 1, F.lit(1))
+    # slots are ranked within chunks, after the slots of earlier chunks; a
+    # source's spare slot is its last
+    every = every.withColumn("chunk", F.expr(f"slot div {CHUNK_SLOTS}"))
+    before = Window.partitionBy("source_key").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    chunks = (
+        every.groupBy("source_key", "chunk")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .select(
+            "source_key",
+            "chunk",
+            F.coalesce(F.sum("n").over(before), F.lit(0)).alias("chunk_first"),
+            F.greatest(F.sum("n").over(Window.partitionBy("source_key")) - 1, F.lit(1)).alias("used"),
+        )
+    )
+    rank = F.row_number().over(Window.partitionBy("source_key", "chunk").orderBy("slot")).cast("long") - 1
     whole = F.round("target").cast("decimal(38,0)")
 
     def upto(n: Column) -> Column:
@@ -122,8 +147,9 @@ def make_schedule(sources: DataFrame, slots: int) -> DataFrame:
         return F.floor(whole * n / F.col("used")).cast("long")
 
     return (
-        every.withColumn("rank", rank)
-        .withColumn("used", used)
+        every.withColumn("in_chunk", rank)
+        .join(chunks, ["source_key", "chunk"])
+        .withColumn("rank", F.col("chunk_first") + F.col("in_chunk"))
         .filter(F.col("rank") < F.col("used"))
         .withColumn("first", upto(F.col("rank")))
         .withColumn("words", upto(F.col("rank") + 1) - F.col("first"))
@@ -131,28 +157,61 @@ def make_schedule(sources: DataFrame, slots: int) -> DataFrame:
     )
 
 
-def lay_out(sized: DataFrame, seed: int = 0) -> DataFrame:
-    """``sized`` with ``start``: the documents of a source in the order of a
-    seeded hash, end to end. Prefix sums run in two steps (parts of the hash
-    range, then the rows of a part), so that a hot source spreads out."""
-    mixed = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text_key"))
-    rows = sized.withColumn("mixed", mixed).withColumn("part", F.shiftright("mixed", 64 - LAYOUT_BITS))
+def cut_blocks(schedule: DataFrame, seed: int = 0) -> DataFrame:
+    """How each source is cut: ``source_key, source_size, block_words`` (what a
+    slot takes on the mean), ``n_blocks``, and ``shift`` of their order."""
+    words = F.greatest(F.expr("reach div used"), F.lit(1).cast("long"))
+    return (
+        schedule.groupBy("source_key", "source_size")
+        .agg(F.sum("words").alias("reach"), F.count(F.lit(1)).alias("used"))
+        .withColumn("block_words", words)
+        .withColumn("n_blocks", F.expr("(source_size + block_words - 1) div block_words"))
+        .withColumn("shift", F.pmod(F.xxhash64(F.lit(seed), "source_key"), F.greatest(F.col("n_blocks") - 1, F.lit(1))))
+        .select("source_key", "source_size", "block_words", "n_blocks", "shift")
+    )
+
+
+def block_place() -> Column:
+    """The place in a pass of ``block`` of ``n_blocks``; the last keeps its own."""
+    n = F.col("n_blocks") - 1
+    stride = F.when(n % STRIDE == 0, F.lit(1)).otherwise(F.lit(STRIDE)).cast("long")
+    return F.when(F.col("block") < n, (F.col("block") * stride + F.col("shift")) % F.greatest(n, F.lit(1))).otherwise(F.col("block"))
+
+
+def lay_out(sized: DataFrame, seed: int = 0, part_bits: int = 10) -> DataFrame:
+    """``doc_id, text_key, source_key, size, start`` of every row: the documents
+    of a source in the order of a seeded hash, end to end. Prefix sums run in
+    two steps (``2 ** part_bits`` parts of the hash range, then the rows of a
+    part), and copies of a row are dealt over the parts, so that neither a hot
+    source nor a hot row meets in one task."""
+    keys = ["doc_id", "text_key", "source_key", "size"]
+    together = F.least(F.lit(COPIES).cast("long"), F.col("copies") - F.col("unit") * COPIES)
+    mixed = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text_key"), F.col("unit"))
+    rows = (
+        sized.groupBy(*keys)
+        .agg(F.count(F.lit(1)).alias("copies"))
+        .withColumn("unit", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(copies - 1) div {COPIES}"))))
+        .withColumn("copies", together)
+        .withColumn("mixed", mixed)
+        .withColumn("part", F.shiftrightunsigned("mixed", 64 - part_bits))
+    )
+    words = F.col("size") * F.col("copies")
     before = Window.partitionBy("source_key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = (
         rows.groupBy("source_key", "part")
-        .agg(F.sum("size").alias("part_size"))
+        .agg(F.sum(words).alias("part_size"))
         .select("source_key", "part", F.coalesce(F.sum("part_size").over(before), F.lit(0)).alias("part_start"))
     )
     inside = (
         Window.partitionBy("source_key", "part")
-        .orderBy("mixed", "doc_id", "text_key")
+        .orderBy("mixed", "doc_id", "text_key", "unit")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     return (
-        rows.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+        rows.withColumn("inside", F.coalesce(F.sum(words).over(inside), F.lit(0)))
         .join(parts, ["source_key", "part"])
-        .withColumn("start", F.col("part_start") + F.col("inside"))
-        .drop("mixed", "part", "inside", "part_start")
+        .withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+        .select(*keys, (F.col("part_start") + F.col("inside") + F.col("copy") * F.col("size")).alias("start"))
     )
 
 
@@ -176,29 +235,70 @@ def plan_mix(
     """Plan the mix of sized documents (``size_documents``, best read from a
     written table: it is used three times)."""
     sizes = sized.groupBy("source_key").agg(F.sum("size").alias("source_size"))
-    total = sizes.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0]
+    total, rows = sized.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()
     targets = source_targets(sizes, weights, passes)
-    return Mix(targets, make_schedule(targets, min(total, slots)), lay_out(sized, seed))
+    schedule = make_schedule(targets, min(total, slots))
+    part_bits = max(4, (rows // PART_ROWS).bit_length())
+    return Mix(targets, schedule, cut_blocks(schedule, seed), lay_out(sized, seed, part_bits))
+
+
+def blocks_taken(mix: Mix) -> DataFrame:
+    """``source_key, place, words``: what all slots take of the block at each
+    place, summed over the (slot, block) pairs and the passes. The slots follow
+    each other, so of a block taken in part it is the first words."""
+
+    def place_at(y: Column) -> Column:
+        # blocks counted on over the passes
+        return F.call_function("div", y, F.col("source_size")) * F.col("n_blocks") + F.call_function(
+            "div", y % F.col("source_size"), F.col("block_words")
+        )
+
+    end = F.col("first") + F.col("words")
+    run = F.expr("nth div n_blocks") * F.col("source_size")
+    start = F.expr("(nth % n_blocks) * block_words")
+    stop = F.least(start + F.col("block_words"), F.col("source_size"))
+    return (
+        mix.schedule.filter("words > 0")
+        .join(mix.blocks, ["source_key", "source_size"])
+        .withColumn("nth", F.explode(F.sequence(place_at(F.col("first")), place_at(end - 1))))
+        .withColumn("taken", F.least(run + stop, end) - F.greatest(run + start, F.col("first")))
+        .groupBy("source_key", F.expr("nth % n_blocks").alias("place"))
+        .agg(F.sum("taken").alias("words"))
+    )
 
 
 def words_taken(mix: Mix) -> DataFrame:
     """``doc_id, text_key, source_key, size, taken`` per document: the words
-    that the schedule takes of it, repeats counted. What is taken of rows that
-    agree in id, text and source is dealt out among them evenly."""
-    keys = ["doc_id", "text_key", "source_key"]
-    # the stretches of a source's slots adjoin: so many words of the repeated source
-    reach = mix.schedule.groupBy("source_key", "source_size").agg(F.sum("words").alias("reach"))
-    part = F.least(F.col("start") + F.col("size"), F.expr("reach % source_size")) - F.col("start")
-    n = F.expr("reach div source_size") * F.col("size") + F.greatest(part, F.lit(0))
-    taken = (
-        mix.layout.filter(F.col("size") > 0)
-        .join(reach, "source_key")
-        .select(*keys, F.lit(0).cast("long").alias("size"), F.lit(0).alias("one"), n.alias("n"))
+    that the schedule takes of the blocks it lies in, repeats counted."""
+    keys = ["doc_id", "text_key", "source_key", "size"]
+    first = F.col("block") * F.col("block_words")
+    lo = F.greatest(F.col("start"), first) - first
+    hi = F.least(F.col("start") + F.col("size"), first + F.col("block_words")) - first
+    pieces = (
+        mix.layout.filter("size > 0")
+        .join(mix.blocks, "source_key")
+        .withColumn(
+            "block",
+            F.explode(F.sequence(F.expr("start div block_words"), F.expr("(start + size - 1) div block_words"))),
+        )
+        .select(
+            *keys,
+            "start",
+            lo.alias("lo"),
+            hi.alias("hi"),
+            F.least(F.col("block_words"), F.col("source_size") - first).alias("length"),
+            block_place().alias("place"),
+        )
     )
-    rows = mix.layout.select(*keys, "size", F.lit(1).alias("one"), F.lit(0).cast("long").alias("n"))
-    sums = rows.unionByName(taken).groupBy(*keys).agg(
-        F.max("size").alias("size"), F.sum("one").alias("copies"), F.sum("n").alias("n")
+    part = F.least(F.col("hi"), F.expr("words % length")) - F.col("lo")
+    n = F.expr("words div length") * (F.col("hi") - F.col("lo")) + F.greatest(part, F.lit(0))
+    # a row with words is alone at its start
+    found = (
+        pieces.join(blocks_taken(mix), ["source_key", "place"], "left")
+        .groupBy(*keys, "start")
+        .agg(F.sum(F.coalesce(n, F.lit(0))).cast("long").alias("taken"))
+        .drop("start")
     )
-    dealt = sums.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
-    each = F.expr("n div copies") + F.when(F.col("copy") < F.col("n") % F.col("copies"), 1).otherwise(0)
-    return dealt.select(*keys, "size", each.cast("long").alias("taken"))
+    none = mix.layout.filter("size = 0").select(*keys, F.lit(0).cast("long").alias("taken"))
+    columns = ["doc_id", "text_key", "source_key", "size", "taken"]
+    return found.select(*columns).unionByName(none.select(*columns))

@@ -241,6 +241,65 @@ def test_mix_caps_small_sources_and_reshares(spark):
     assert again() == again()
 
 
+def brute_taken(mix):
+    """Each source's passes spelt out: the words of its blocks in their order,
+    pass after pass, as many as its slots take."""
+    slots, docs = mix.schedule.collect(), mix.layout.collect()
+    taken = {}
+    for b in mix.blocks.collect():
+        n, size = b.n_blocks, b.source_size
+        order = {}
+        for i in range(n):
+            stride = 1 if (n - 1) % mixing.STRIDE == 0 else mixing.STRIDE
+            order[(i * stride + b["shift"]) % (n - 1) if i < n - 1 else i] = i
+        assert sorted(order) == sorted(order.values()) == list(range(n))
+        a_pass = [w for k in range(n) for w in range(order[k] * b.block_words, min((order[k] + 1) * b.block_words, size))]
+        uses = [0] * size
+        for s in slots:
+            if s.source_key == b.source_key:
+                for y in range(s["first"], s["first"] + s["words"]):
+                    uses[a_pass[y % size]] += 1
+        for d in docs:
+            if d.source_key == b.source_key:
+                taken[(d.source_key, d.start, d.doc_id)] = sum(uses[d.start : d.start + d["size"]])
+    return sorted((key[0], key[2], n) for key, n in taken.items())
+
+
+@pytest.mark.parametrize("slots", [40, 500, 1 << 20])
+def test_mix_takes_what_its_slots_and_blocks_say(spark, slots):
+    rng = random.Random(slots)
+    rows = [(i, rng.choice(["0a", "0b", "0c", "1"]) if i % 3 else "0b", rng.randrange(1, 40), i) for i in range(150)]
+    rows += [(900, "0c", 7, 900)] * 600 + [(1, "0tiny", 1, 1)]
+    sized = spark.createDataFrame(rows, "doc_id long, source_key string, size long, text_key long")
+    mix = mixing.plan_mix(sized, slots=slots)
+    got = sorted((r.source_key, r.doc_id, r.taken) for r in mixing.words_taken(mix).collect())
+    assert len(got) == len(rows) and got == brute_taken(mix)
+
+
+def test_points_decide_what_the_mix_takes(spark, sf_mid, monkeypatch):
+    sized = queries.written(mixing.size_documents(table(spark, sf_mid, "documents")), "test-sizes")
+
+    def mixed():
+        return {(r.doc_id, r.text_key): r.taken for r in mixing.words_taken(mixing.plan_mix(sized, slots=1 << 14)).collect()}
+
+    golden = mixed()
+    for other in (0.0, 0.5):
+        monkeypatch.setattr(mixing, "GOLDEN", other)
+        changed = mixed()
+        assert sum(changed[k] != golden[k] for k in golden) > len(golden) // 50
+        assert sum(changed.values()) == sum(golden.values())
+
+
+def test_every_stretch_of_the_schedule_has_the_target_mix(spark, sf_mid):
+    mix = mixing.plan_mix(mixing.size_documents(table(spark, sf_mid, "documents")), slots=1 << 14)
+    slots = mix.schedule.filter(f"slot < {1 << 14}").toPandas()
+    sources = mix.sources.toPandas()
+    share = dict(zip(sources.source_key, sources.target / sources.target.sum(), strict=True))
+    for _, stretch in slots.groupby(slots.slot // 1024):
+        words = stretch.groupby("source_key")["words"].sum()
+        assert all(abs(words.get(k, 0) / words.sum() - p) < 0.01 for k, p in share.items())
+
+
 # ------------------------------------------------------------- fingerprints
 
 
@@ -310,6 +369,17 @@ def test_bloom_filter_holds_all_and_few_others():
         assert abs(rate - f.fill[i] ** language_id.HASHES) < 0.01
 
 
+def test_more_languages_than_a_mask_has_bits(spark):
+    rng = random.Random(8)
+    names = [f"l{i:03d}" for i in range(150)]
+    words = {n: ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(6)] for n in names}
+    rows = [(n, " ".join(rng.choices(words[n], k=30)), {"m": "x"}) for n in names for _ in range(6)]
+    told = spark.createDataFrame([(n, " ".join(words[n])) for n in names], "doc_id string, text string")
+    model = language_id.train(spark.createDataFrame(rows, "lang string, text string, extra map<string, string>"))
+    assert len(model.languages) == 150 and len(model.masks) == 3 and max(model.fill) <= language_id.MAX_FILL
+    assert all(r.lang_pred == r.doc_id for r in language_id.identify(told, model, ["doc_id"]).collect())
+
+
 def test_quality_held_out(spark, sf_mid):
     rows = queries.op6_quality(spark, sf_mid).toPandas()
     rows = rows.merge(table(spark, sf_mid, "labels").toPandas(), on="doc_id")
