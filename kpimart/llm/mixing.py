@@ -36,6 +36,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from kpimart.llm.tasks import written
+
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 MAX_PASSES = 3
@@ -236,8 +238,9 @@ def plan_mix(
     written table: it is used three times)."""
     sizes = sized.groupBy("source_key").agg(F.sum("size").alias("source_size"))
     total, rows = sized.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()
-    targets = source_targets(sizes, weights, passes)
-    schedule = make_schedule(targets, min(total, slots))
+    # both are read several times
+    targets = written(source_targets(sizes, weights, passes), "mix-targets")
+    schedule = written(make_schedule(targets, min(total, slots)), "mix-schedule")
     part_bits = max(4, (rows // PART_ROWS).bit_length())
     return Mix(targets, schedule, cut_blocks(schedule, seed), lay_out(sized, seed, part_bits))
 
