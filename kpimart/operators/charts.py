@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from kpimart.config import ChartConfig, PipelineConfig
 from kpimart.functions.columns import require_columns
+from kpimart.functions.registry import get_mergeable
 from kpimart.operators.metrics import share_of_total
 
 
@@ -84,6 +85,7 @@ def _one_key_each(charts: Sequence[tuple[PipelineConfig, ChartConfig]]) -> bool:
         len(charts) > 1
         and not first.computed_fields
         and first.aggregations
+        and all(get_mergeable(a.operation) is None for a in first.aggregations)
         and all(len(k) == 1 for k in keys)
         and len({k[0] for k in keys}) == len(keys)
         and all(p.filters == first.filters and p.aggregations == first.aggregations and not p.computed_fields

@@ -10,11 +10,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kpimart.config import AggregationSpec, ChartConfig, ComputedField, FilterSpec, PipelineConfig
-from kpimart.functions.registry import apply_transformation, register, register_aggregate
+from kpimart.functions.registry import MergeableMetric, apply_transformation, register, register_aggregate, register_mergeable
 from kpimart.operators.aggregate import aggregate
 from kpimart.operators.charts import chart_dataset, combined_datasets, multi_series
 from kpimart.operators.computed import growth_ratio, with_computed_fields
@@ -268,6 +271,45 @@ def met_custom(spark: SparkSession, d: str) -> DataFrame:
     return run(marts.staged_sales_fact(spark, d), cfg)
 
 
+#: The bands of the ``band_median`` metric: so many, each so wide; the last one is open.
+BANDS, BAND_WIDTH = 128, 1000
+
+
+def _band_counts(values):
+    """The number of values per band (nulls have none; negative ones the first)."""
+    whole = pc.cast(pc.floor(values.drop_null()), pa.int64()).to_numpy(zero_copy_only=False)
+    return np.bincount(np.clip(whole // BAND_WIDTH, 0, BANDS - 1), minlength=BANDS).tolist()
+
+
+def _band_median(counts):
+    """The lower end of the band that holds the lower median; null without values."""
+    reached = np.cumsum(counts)
+    if not reached[-1]:
+        return None
+    return int(np.searchsorted(reached, (reached[-1] + 1) // 2)) * BAND_WIDTH
+
+
+register_mergeable(
+    "band_median",
+    MergeableMetric("array<bigint>", "bigint", _band_counts, lambda a, b: [x + y for x, y in zip(a, b)], _band_median),
+)
+
+
+def met_merge(spark: SparkSession, d: str) -> DataFrame:
+    """MET-4: a mergeable custom metric (the median's band) next to native ones."""
+    cfg = PipelineConfig.from_dict(
+        {
+            "aggregations": [
+                {"column": "sales", "operation": "band_median", "alias": "median_band"},
+                {"column": "sales", "operation": "count", "alias": "n"},
+                {"column": "region", "operation": "min", "alias": "first_region"},
+            ],
+            "group_by": ["category", "year"],
+        }
+    )
+    return run(marts.staged_sales_fact(spark, d), cfg)
+
+
 # -------------------------------------------------------------- pipeline
 
 
@@ -366,6 +408,13 @@ def pip_in_lists(spark: SparkSession, d: str) -> DataFrame:
     return _family_rows(spark, d, marts.listed_dashboards(spark, d), "lists").select("dashboard_id", "brand", "n")
 
 
+def pip_family_inner(spark: SparkSession, d: str) -> DataFrame:
+    """AGG-12/PRJ-4: dashboards whose computed fields hold aggregates, of their
+    own rows and per brand, as one family."""
+    out = _family_rows(spark, d, marts.relative_dashboards(spark, d), "inner")
+    return _double(out, "below", "above").select("dashboard_id", "category", "below", "above", "n")
+
+
 def pip_trigger(spark: SparkSession, d: str) -> DataFrame:
     """PIP-4: one upload processed for one dashboard by its own config."""
     folder = scratch_dir(spark, "trigger-upload")
@@ -793,12 +842,14 @@ QUERIES: dict[str, Query] = {
     "met_share_parent": met_share_parent,
     "met_share_total": met_share_total,
     "met_custom": met_custom,
+    "met_merge": met_merge,
     "pip_run": pip_run,
     "pip_fanout": pip_fanout,
     "pip_family": pip_family,
     "pip_families": pip_families,
     "pip_ranges": pip_ranges,
     "pip_in_lists": pip_in_lists,
+    "pip_family_inner": pip_family_inner,
     "pip_trigger": pip_trigger,
     "snk_latest": snk_latest,
     "snk_prune": snk_prune,

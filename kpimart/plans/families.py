@@ -16,7 +16,8 @@ instead runs as one plan:
    cell its range meets, a row has one cell, and the exact test follows the
    equi-join on the cell. The least and greatest parameter values bound the
    scan;
-3. computed fields, then the aggregate with the parameter columns as extra
+3. computed fields (an aggregate inside one is computed per tuple and joined
+   back on the parameter values), then the aggregate with the parameter columns as extra
    keys (partial aggregation before the shuffle, as for a single dashboard);
    global aggregates give one row per tuple, also for tuples without rows;
 4. the aggregated rows are joined back to the members (null-safe on the
@@ -26,9 +27,8 @@ instead runs as one plan:
    written files) are built by Spark and appended as one entry.
 
 Identical configs (a shape without parameters) are run once and every member
-points at the one snapshot. Shapes that cannot be shared (an aggregate inside
-a computed field, SQL-text or ``Column`` expressions, two equality or list
-filters on one column) run per dashboard through ``kpimart.plans.fanout.fan_out``.
+points at the one snapshot. Shapes that cannot be shared (SQL-text or
+``Column`` expressions, two equality or list filters on one column) run per dashboard through ``kpimart.plans.fanout.fan_out``.
 
 Two entry points: ``fan_out_grouped`` takes configs held in Python;
 ``fan_out_table`` takes the dashboards table itself and plans families in
@@ -49,7 +49,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kpimart.config import FILTER_OPERATOR_ALIASES, FilterSpec, PipelineConfig
+from kpimart.config import FILTER_OPERATOR_ALIASES, ComputedField, FilterSpec, PipelineConfig
 from kpimart.functions.columns import check_value_type, column_type
 from kpimart.operators.aggregate import aggregate, empty_group_value
 from kpimart.operators.computed import with_computed_fields
@@ -96,14 +96,27 @@ class Family:
 
 
 def _structured(expr) -> bool:
-    """A JSON-tree expression without an inner aggregate."""
+    """A JSON-tree expression."""
     if isinstance(expr, dict):
-        return "agg" not in expr and all(_structured(v) for v in expr.values() if isinstance(v, (dict, list)))
+        return all(_structured(v) for v in expr.values() if isinstance(v, (dict, list)))
     if isinstance(expr, list):
         return all(_structured(v) for v in expr)
     return isinstance(expr, (int, float, bool, str)) or expr is None
 
 
+def per_tuple(expr, pcols: list[str]):
+    """The expression with its inner aggregates per parameter tuple: what is
+    the whole frame (or a group of it) for one dashboard is the tuple's rows."""
+    if isinstance(expr, list):
+        return [per_tuple(e, pcols) for e in expr]
+    if not isinstance(expr, dict):
+        return expr
+    out = {k: v if k == "over" else per_tuple(v, pcols) for k, v in expr.items()}
+    if "agg" in expr:
+        out["over"] = [*pcols, *(expr.get("over") or ())]
+    return out
+
+
 def shareable(cfg: PipelineConfig, params: tuple[str, ...] = ()) -> bool:
     """Can members of this shape run as one family?"""
     if not all(isinstance(c.expression, dict) and _structured(c.expression) for c in cfg.computed_fields):
@@ -242,7 +255,8 @@ def run_family(df: DataFrame, shape: PipelineConfig, params: tuple[str, ...], me
     values = members.select(*pcols).distinct()
     base = apply_row_filters(df, shape.filters)
     joined = matching_rows(base, values, tuple(c if isinstance(c, Param) else Param(c) for c in params))
-    computed = with_computed_fields(joined, shape.computed_fields)
+    fields = [ComputedField(f.name, per_tuple(f.expression, pcols)) for f in shape.computed_fields]
+    computed = with_computed_fields(joined, fields)
     aggs, keys = shape.aggregations, shape.group_by
     out = aggregate(computed, aggs, (*pcols, *keys)) if aggs is not None else computed
     if aggs and not keys:

@@ -203,6 +203,22 @@ def listed_dashboards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.select(F.col("n_nationkey").cast("bigint").alias("dashboard_id"), F.format_string(config, *values).alias("config"))
 
 
+def relative_dashboards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations as dashboards of one shape with aggregates inside computed
+    fields: how far a sale is below the dashboard's greatest one, and above the
+    least one of its brand there."""
+    config = (
+        '{"pipeline": {"filters": [{"column": "region", "value": "%s"}, {"column": "year", "op": ">=", "value": %d}], "computed_fields": ['
+        '{"name": "below", "expression": {"op": "-", "args": [{"agg": "max", "arg": {"col": "sales"}}, {"col": "sales"}]}}, '
+        '{"name": "above", "expression": {"op": "-", "args": [{"col": "sales"}, {"agg": "min", "arg": {"col": "sales"}, "over": ["brand"]}]}}], '
+        '"group_by": ["category"], "aggregations": [{"column": "below", "operation": "sum", "alias": "below"}, '
+        '{"column": "above", "operation": "sum", "alias": "above"}, {"column": "id", "operation": "count", "alias": "n"}]}}'
+    )
+    n = table(spark, sf_dir, "nation")
+    first = F.lit(1992) + F.col("n_nationkey").cast("int") % 5
+    return n.select(F.col("n_nationkey").cast("bigint").alias("dashboard_id"), F.format_string(config, "n_name", first).alias("config"))
+
+
 def access(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Grants: each customer sees the dashboards (nations) of the suppliers
     of its orders. Duplicates are left in, as in a grant table without a

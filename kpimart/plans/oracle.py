@@ -99,6 +99,12 @@ _SQL = {
         "with {f} select brand, cast(sum(sales) as double) / nullif(cast(sum(cast(quantity as decimal(18,2))) "
         "as double), 0) as unit_price from f group by brand"
     ),
+    "met_merge": (
+        "with {f}, b as (select category, year, least(greatest(cast(floor(sales) as bigint) // 1000, 0), 127) as band, count(*) as k, "
+        "min(region) as r from f group by all), c as (select *, sum(k) over (partition by category, year order by band) as reached, "
+        "sum(k) over (partition by category, year) as n from b) select category, year, min(band) filter (reached >= (n + 1) // 2) * 1000 "
+        "as median_band, cast(max(n) as bigint) as n, min(r) as first_region from c group by category, year"
+    ),
     "pip_run": (
         "with {f}, g as (select category, brand, cast(quantity * 2 as decimal(18,2)) as q2 from f where year = 1996) "
         "select category, brand, cast(sum(q2) as double) as sum_q2, count(*) as n from g group by category, brand"
@@ -132,6 +138,12 @@ _SQL = {
         "on region in ('NATION_' || k, 'NATION_' || ((k + 1) % 25), 'NATION_' || ((k + k % 2) % 25)) "
         "and year in (1993, 1992 + k % 7, 1997) group by k, brand"
     ),
+    "pip_family_inner": (
+        "with {f}, m as (select n_nationkey as k, f.* from nation join f on region = n_name and year >= 1992 + n_nationkey % 5), "
+        "w as (select *, max(sales) over (partition by k) - sales as below, sales - min(sales) over (partition by k, brand) as above from m) "
+        "select cast(k as bigint) as dashboard_id, category, cast(sum(below) as double) as below, cast(sum(above) as double) as above, "
+        "count(*) as n from w group by k, category"
+    ),
     "str_table": (
         "with {f}, s as (select cast(n_nationkey as bigint) as dashboard_id, n_name, n_nationkey % 3 as shape from nation) "
         "select dashboard_id, count(distinct category) as row_count, nullif(count(f.id), 0) as n from s left join f on region = n_name "

@@ -68,7 +68,7 @@ def _final_plan(df) -> str:
     return "\n".join(out)
 
 
-FACT_QUERIES = sorted(n for n in QUERIES if n.startswith(("flt_", "prj_", "agg_", "met_", "cht_")) and n not in ("met_share_cols", "prj_growth", "prj_grouped"))
+FACT_QUERIES = sorted(n for n in QUERIES if n.startswith(("flt_", "prj_", "agg_", "met_", "cht_")) and n not in ("met_share_cols", "prj_growth", "prj_grouped", "met_merge"))
 
 
 @pytest.mark.parametrize("name", FACT_QUERIES)
