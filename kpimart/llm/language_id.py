@@ -30,7 +30,6 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from kpimart.llm import textvec
 from kpimart.llm.tasks import share
@@ -179,8 +178,9 @@ def _count_grams(batches):
 
 
 def train(rows: DataFrame, per_language: int = TRAIN_PER_LANGUAGE) -> LanguageFilter:
-    """A filter from labelled rows (``lang``, ``text``); of each language the
-    ``per_language`` rows first in the order of a hash of the row."""
+    """A filter from labelled rows (``lang``, ``text``); of each language those
+    of about ``per_language`` rows whose hash is below a bound (all, if there
+    are no more). Rows that repeat share a hash and are taken together."""
     hashed = [f.name for f in rows.schema if not any(t in f.dataType.simpleString() for t in ("map<", "variant"))]
     known = rows.filter("lang is not null and text is not null").select(
         "lang", "text", F.xxhash64(*hashed).alias("__order")
@@ -188,15 +188,13 @@ def train(rows: DataFrame, per_language: int = TRAIN_PER_LANGUAGE) -> LanguageFi
     sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
     if not sizes:
         return LanguageFilter.build([], {})
-    # the order value at which each language's sample ends: only order values
-    # are ranked, so no text is shuffled
-    order = Window.partitionBy("lang").orderBy("__order")
-    ranked = known.select("lang", "__order").withColumn("__rank", F.row_number().over(order))
-    last = ranked.filter(F.col("__rank") <= per_language).groupBy("lang").agg(F.max("__order").alias("last"))
-    bounds = {r["lang"]: r["last"] for r in last.collect()}
+    # the order value at which each language's sample ends: hash values are
+    # even, so the share of the rows to take is the share of their range
+    bounds = {name: (1 << 64) * per_language // c - (1 << 63) for name, c in sizes.items() if c > per_language}
     inside = F.lit(False)
     for name, bound in bounds.items():
-        inside = inside | ((F.col("lang") == name) & (F.col("__order") <= bound))
+        inside = inside | ((F.col("lang") == name) & (F.col("__order") >= bound))
+    inside = ~inside
     sample = known.filter(inside)
     counted = sample.select("lang", "text").mapInArrow(_count_grams, "lang string, gram long, n long")
     taken = {n: min(c, per_language) for n, c in sizes.items()}
