@@ -105,7 +105,7 @@ def joined(spans: list[Span]) -> str:
 def _shape(token: str) -> str:
     """Runs of letters as a, digits as their number, other signs as they are."""
     out: list[str] = []
-    for run in re.finditer(r"[0-9]+|[^\W\d_]+|.", token[:64], re.S):
+    for run in re.finditer(r"[0-9]+|[^\W\d_]+|.", token, re.S):
         s = run[0]
         out.append(str(min(len(s), 20)) if s[0].isdigit() else "a" if s[0].isalpha() else s)
     return "".join(out)
