@@ -25,6 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from kpimart.llm.tasks import written
+
 # Common words of English, German, French and Spanish.
 ANCHORS = """
 the of and to in is that it was for on with as by this from be at are or
@@ -36,6 +38,7 @@ el los las de y que se del con una su por para no al lo como
 CHAIN = 2
 THRESHOLD = 0.75
 ROWS_PER_CELL = 2000
+CELLS_PER_WINDOW = 1024
 #: ASCII characters other than 0-9A-Za-z end a word.
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
@@ -113,10 +116,11 @@ def similar_pairs(sets: DataFrame, key: str, signatures: str, threshold: float =
     return scored.filter(F.col("similarity") >= threshold - 1e-12).select("a", "b", "similarity")
 
 
-def id_cells(docs: DataFrame, rows_per_cell: int = ROWS_PER_CELL) -> Column:
+def id_cells(docs: DataFrame, rows_per_cell: int) -> Column:
     """An expression that cuts the ids into ranges of bounded row counts: the
     width halves until no range holds over eight times the aim (or one id).
-    Null ids come last, cut by the hash of their text."""
+    Null ids come last, cut by the hash of their text; so are the rows of one
+    id where ids lie dense or repeat. Rows equal in both share a cell."""
     low, high, n = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("doc_id")).first()
     low, high = low or 0, high or 0
     width = max(1, (high - low + 1) * rows_per_cell // max(n, 1))
@@ -127,9 +131,29 @@ def id_cells(docs: DataFrame, rows_per_cell: int = ROWS_PER_CELL) -> Column:
             break
         width = max(1, width // 2)
     by_id = F.floor((F.col("doc_id") - low) / width).cast("long")
+    if width == 1 and n > 8 * rows_per_cell and high - low < 1 << 46:
+        # one id may hold any number of rows: its texts are cut by their hash
+        by_id = by_id * (1 << 16) + (F.shiftright("tie", 48) + (1 << 15))
     return F.when(F.col("doc_id").isNull(), F.shiftright("tie", 48) - (1 << 17)).otherwise(by_id)
 
 
+def next_below(cells: DataFrame, fan: int) -> DataFrame:
+    """``cell, next_cell`` of a table of distinct whole numbers: the greatest
+    one below each, and the greatest of all for the least. A window holds at
+    most ``fan`` of them: those of one multiple of ``fan``, the multiples in
+    turn being linked the same way."""
+    if cells.count() <= fan:
+        down = Window.orderBy(F.desc("cell"))
+        around = F.max("cell").over(Window.partitionBy())
+        return cells.select("cell", F.coalesce(F.lead("cell").over(down), around).alias("next_cell"))
+    parted = cells.withColumn("part", F.expr(f"cell div {fan} - if(cell % {fan} < 0, 1, 0)"))
+    tops = written(parted.groupBy("part").agg(F.max("cell").alias("top")), "signature-cells")
+    linked = next_below(tops.select(F.col("part").alias("cell")), fan)
+    entry = linked.join(tops.withColumnRenamed("part", "next_cell"), "next_cell").select(F.col("cell").alias("part"), "top")
+    inside = F.lead("cell").over(Window.partitionBy("part").orderBy(F.desc("cell")))
+    return parted.withColumn("next_cell", inside).join(entry, "part").select("cell", F.coalesce("next_cell", "top").alias("next_cell"))
+
+
 def with_next_text(docs: DataFrame) -> DataFrame:
     """``doc_id, text, next_text``: the text of the next document in descending
     order of the ids, and of the first one for the last.
@@ -140,12 +164,10 @@ def with_next_text(docs: DataFrame) -> DataFrame:
     rows = docs.select(
         "doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("tie")
     )
-    rows = rows.withColumn("cell", id_cells(docs))
+    rows = rows.withColumn("cell", id_cells(docs, ROWS_PER_CELL))
     order = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "tie")
     firsts = rows.groupBy("cell").agg(F.max_by("text", order).alias("first_text"))
-    down = Window.orderBy(F.desc("cell"))
-    cells = firsts.select("cell")
-    below = cells.select("cell", F.coalesce(F.lead("cell").over(down), F.max("cell").over(Window.partitionBy())).alias("next_cell"))
+    below = next_below(written(rows.select("cell").distinct(), "signature-cells"), CELLS_PER_WINDOW)
     entry = below.join(firsts.withColumnRenamed("cell", "next_cell"), "next_cell").select("cell", "first_text")
     inside = Window.partitionBy("cell").orderBy(F.desc_nulls_last("doc_id"), F.desc("tie"))
     led = rows.withColumn("next_text", F.lead("text").over(inside))

@@ -332,6 +332,41 @@ def test_spotsigs_equal_brute_force(spark, sf_small):
     assert len({rows[d].fingerprint for d in rows}) == len({frozenset(brute_signatures(t)) for t in texts.values()})
 
 
+@pytest.mark.parametrize("fan", [1000, 2, 3])
+def test_next_cell_below(spark, fan):
+    cells = sorted(random.Random(fan).sample(range(-60, 60), 25)) + [10**9, 10**12]
+    frame = spark.createDataFrame([(c,) for c in cells], "cell long")
+    got = {r.cell: r.next_cell for r in spotsigs.next_below(frame, fan).collect()}
+    assert got == {c: cells[i - 1] for i, c in enumerate(cells)}
+
+
+def test_next_text_where_one_id_holds_most_rows(spark, monkeypatch):
+    monkeypatch.setattr(spotsigs, "ROWS_PER_CELL", 2)
+    monkeypatch.setattr(spotsigs, "CELLS_PER_WINDOW", 4)
+    rows = [(7 if i % 3 else i, f"text {i}") for i in range(60)] + [(None, "none a"), (None, "none b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    tie = {r.text: r.h for r in docs.selectExpr("text", "xxhash64(text) h").collect()}
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, tie[r[1]]), reverse=True)
+    want = {(d, t, order[(i + 1) % len(order)][1]) for i, (d, t) in enumerate(order)}
+    found = spotsigs.with_next_text(docs)
+    assert {(r.doc_id, r.text, r.next_text) for r in found.collect()} == want
+    cells = docs.withColumn("tie", F.xxhash64("text")).withColumn("cell", spotsigs.id_cells(docs, 2))
+    assert cells.groupBy("cell").count().agg({"count": "max"}).first()[0] <= 16
+
+
+def test_sample_of_a_language_is_near_its_bound(spark):
+    docs = spark.range(20000).selectExpr("id doc_id", "if(id % 5 = 0, 'b', 'a') lang", "concat('word', id % 7, ' other') text")
+    for bound in (200, 10**6):
+        assert sorted(language_id.train(docs, bound).languages) == ["a", "b"]
+    order = docs.select("lang", F.xxhash64("doc_id", "lang", "text").alias("h"))
+    cut = order.filter((F.col("lang") == "a") & (F.col("h") < (1 << 64) * 200 // 16000 - (1 << 63))).count()
+    assert 120 < cut < 280
+
+
+def test_pii_shape_tells_the_end_of_a_long_token():
+    assert pii._shape("a" + "1x" * 60 + "@b") != pii._shape("a" + "1x" * 60 + "#b")
+
+
 def test_similar_signature_sets_equal_brute_force(spark):
     rng = random.Random(4)
     base = [[rng.randrange(10**6) for _ in range(rng.randrange(3, 60))] for _ in range(12)]
