@@ -1,10 +1,10 @@
 """Main-text extraction by wrapper induction.
 
 Each page becomes a tree of its block elements, in which neighbouring elements
-of one kind are one node. The trees of up to ``PAGES_PER_HOST`` distinct pages
-of a host are aligned by simple tree matching into the host's skeleton. All
-distinct pages of the host are then aligned with it, and Spark sums their
-texts by node: a text that a node holds in most of the pages that have the
+of one kind are one node. The distinct trees of all pages of a host are aligned
+by simple tree matching into the host's skeleton, ``TREES_AT_ONCE`` in a task;
+where a host has more, their skeletons are aligned again. All distinct pages of
+the host are then aligned with it, and Spark sums their texts by node: a text that a node holds in most of the pages that have the
 node (``CONSTANT_SHARE``, and ``CONSTANT_PAGES`` pages at least) is template;
 slots whose text varies are content. Pages of a host that agree in all that
 the element rules leave of them are copies of one article and count as one
@@ -16,9 +16,8 @@ adverts, forms, scripts, styles and reader comments are left out by element,
 role and class name, whatever the wrapper says. Where a page marks its article
 (``article``, ``main``), only blocks inside count.
 
-A host may hold any share of the pages: copies and counts are combined before
-the shuffle, pages to align are picked by a window with a limit, which Spark
-applies before the shuffle too; skeletons and wrappers are broadcast if their
+A host may hold any share of the pages: copies, trees and counts are combined
+before the shuffle, and the trees of a host are dealt by hash; skeletons and wrappers are broadcast if their
 measured size is small, and joined by salted host otherwise.
 
 Edge cases: a null or empty page has no text; broken markup is read as far as
@@ -38,11 +37,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from kpimart.session import scratch_dir
 
-PAGES_PER_HOST = 16
+TREES_AT_ONCE = 64
 CONSTANT_SHARE = 0.6
 CONSTANT_PAGES = 3
 BROADCAST_BYTES = 32 << 20
@@ -311,9 +309,32 @@ def _trees(batches):
         )
 
 
-def _induce_host(key, table):
-    trees = [json.loads(t) for t in table.sort_by([("pick", "ascending"), ("tree", "ascending")])["tree"].to_pylist()]
-    return pa.table({"host": [key[0].as_py()], "wrapper": [json.dumps(induce(trees))]})
+def _induce_trees(key, table):
+    table = table.sort_by([("pick", "ascending"), ("tree", "ascending")])
+    skeleton = induce([json.loads(t) for t in table["tree"].to_pylist()])
+    return pa.table({"host": [key[0].as_py()], "pick": table["pick"][:1], "tree": [json.dumps(skeleton)]})
+
+
+def skeletons_of(trees: DataFrame, at_once: int = TREES_AT_ONCE) -> DataFrame:
+    """``host, wrapper``: every host's skeleton of all its distinct trees
+    (host, pick, tree), aligned by rising ``pick``. No task aligns many more
+    than ``at_once``: those of larger hosts are dealt by hash, and the
+    skeletons are dealt and aligned again until few are left."""
+    once = lambda df: df.groupBy("host", "tree").agg(F.min("pick").alias("pick"))
+    parts = _written(once(trees), "skeletons")
+    while True:
+        large = parts.groupBy("host").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > at_once)
+        last = large.isEmpty()
+        if last:
+            dealt = parts.withColumn("deal", F.lit(0).cast("long"))
+        else:
+            deal = F.pmod(F.xxhash64("tree"), F.ceil(F.col("n") / at_once))
+            dealt = parts.join(large, "host", "left").withColumn("deal", F.coalesce(deal, F.lit(0)))
+        merged = dealt.select("host", "deal", "pick", "tree").groupBy("host", "deal")
+        found = merged.applyInArrow(_induce_trees, "host string, pick long, tree string")
+        if last:
+            return _written(found.select("host", F.col("tree").alias("wrapper")), "skeletons")
+        parts = _written(once(found), "skeletons")
 
 
 def _node_texts(batches):
@@ -374,7 +395,7 @@ def _written(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def wrappers(pages: DataFrame, pages_per_host: int = PAGES_PER_HOST) -> DataFrame:
+def wrappers(pages: DataFrame, trees_at_once: int = TREES_AT_ONCE) -> DataFrame:
     """``host, wrapper`` (JSON) of every host."""
     pick = F.xxhash64("url", "html").alias("pick")
     trees = pages.select(host_of(F.col("url")).alias("host"), pick, "html").mapInArrow(
@@ -383,14 +404,7 @@ def wrappers(pages: DataFrame, pages_per_host: int = PAGES_PER_HOST) -> DataFram
     # one page for all copies of an article
     once = trees.groupBy("host", "article").agg(F.min(F.struct("pick", "tree", "texts")).alias("page"))
     distinct = _written(once.select("host", "page.*"), "page-trees")
-    first = Window.partitionBy("host").orderBy("pick", "tree")
-    picked = (
-        distinct.select("host", "pick", "tree")
-        .withColumn("rank", F.row_number().over(first))
-        .filter(F.col("rank") <= pages_per_host)
-        .drop("rank")
-    )
-    skeletons = _written(picked.groupBy("host").applyInArrow(_induce_host, "host string, wrapper string"), "skeletons")
+    skeletons = skeletons_of(distinct.select("host", "pick", "tree"), trees_at_once)
     aligned = _join_hosts(distinct.withColumnRenamed("host", "__host"), skeletons, F.col("pick"), "inner")
     counts = (
         aligned.select("__host", "tree", "texts", "__wrapper")

@@ -279,6 +279,22 @@ def test_html_host_of_copies(spark):
     assert all(got[400 + i] == f"text {i}" for i in range(60))
 
 
+def test_html_trees_of_all_pages(spark):
+    # every page of a tree of its own; few pages hold the constant line
+    odd = "<div class='x{}'><p>{}</p></div>"
+    rows = [(h * 1000 + i, f"http://h{h}.org/{i}", odd.format("y" * i, f"text {h} {i}")) for h in range(6) for i in range(1, 90)]
+    rows += [
+        (h * 1000 + 900 + i, f"http://h{h}.org/line{i}", f"<div class='main'><p>text {i}</p></div><div class='line'>Same line</div>")
+        for h in range(6) for i in range(4)
+    ]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for at_once in (8, 64, 1000):
+        found = html_extract.wrappers(pages, at_once)
+        got = {r.page_id: r.text for r in html_extract.extract_pages(pages, found, ["page_id"]).collect()}
+        assert len(got) == len(rows) and {got[h * 1000 + 900 + i] for h in range(6) for i in range(4)} == {f"text {i}" for i in range(4)}
+        assert all(got[h * 1000 + i] == f"text {h} {i}" for h in range(6) for i in range(1, 90))
+
+
 @pytest.mark.parametrize("name", ["keep_known_languages", "keep_one_of_each_group", "drop_contaminated", "mix_sources"])
 def test_stage_keeps_columns(edge, empty, bench, name, tmp_path):
     bench.write.parquet(f"{tmp_path}/benchmark.parquet")
