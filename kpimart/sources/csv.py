@@ -138,9 +138,24 @@ def read_group(spark: SparkSession, header: list[str], paths: list[str], multi_l
     )
 
 
-def _bad_cell(f: T.StructField) -> Column:
+def may_be_number(c: Column) -> Column:
+    """False for cells that no cast to a number takes, by their first
+    character: a cast that fails costs an exception, a look at it little."""
+    first = F.ascii(c)
+    named = first.isin(*map(ord, "iInN")) & c.rlike(r"(?i)^(?:nan|inf(?:inity)?)[\x00-\x20]*$")
+    return (first <= ord("9")) | (first > 127) | named
+
+
+def _cast(f: T.StructField) -> Column:
+    """A string column's cells as the field's type, null if they do not cast."""
     c = F.col(f"`{f.name}`")
-    return c.isNotNull() & c.try_cast(f.dataType).isNull()
+    if isinstance(f.dataType, (T.DecimalType, T.DoubleType, T.FloatType)):
+        return F.when(may_be_number(c), c.try_cast(f.dataType))
+    return c.try_cast(f.dataType)
+
+
+def _bad_cell(f: T.StructField) -> Column:
+    return F.col(f"`{f.name}`").isNotNull() & _cast(f).isNull()
 
 
 def _typed(strings: DataFrame, st: T.StructType, malformed: str) -> DataFrame:
@@ -152,7 +167,7 @@ def _typed(strings: DataFrame, st: T.StructType, malformed: str) -> DataFrame:
         bad = bad | _bad_cell(f)
     if malformed == "drop":
         strings = strings.where(~bad)
-    columns = [F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in st.fields]
+    columns = [_cast(f).alias(f.name) for f in st.fields]
     if malformed == "fail":
         message = F.concat(F.lit("Failed to load CSV file: malformed row in "), F.col("__path"))
         columns = [F.when(bad, F.raise_error(message).cast(f.dataType)).otherwise(c).alias(f.name) for f, c in zip(st.fields, columns)]
@@ -230,27 +245,31 @@ def infer_types(strings: DataFrame) -> T.StructType:
     string. Whether cells fit is a conjunction, so files and tasks merge in
     any order: one aggregate over the rows, one row to the driver."""
     names = [c for c in strings.columns if c not in ("__path", WIDTH_ERROR)]
-    fits = []
-    for i, name in enumerate(names):
-        c = F.col(f"`{name}`")
-        for kind, dtype in INFERRED.items():
-            ok = c.try_cast(dtype).isNotNull()
-            if kind == "boolean":  # not 0 and 1, t and f, yes and no
-                ok = F.lower(F.trim(c)).isin("true", "false")
-            elif kind in ("int", "bigint"):
-                ok = ok & c.rlike(r"^\s*[+-]?\d+\s*$")
-            elif kind == "date":
-                ok = ok & c.rlike(r"^\s*\d{4}-\d{1,2}-\d{1,2}\s*$")
-            elif kind == "timestamp":
-                ok = ok & c.rlike(r"^\s*\d{4}-\d{1,2}-\d{1,2}")
-            fits.append(F.every(c.isNull() | ok).alias(f"{i}-{kind}"))
-        fits.append(F.count(c).alias(f"{i}-cells"))
-    row = strings.agg(*fits).first().asDict() if names else {}
+    bits = {kind: 1 << i for i, kind in enumerate(INFERRED)}
+
+    def fits(c: Column, kinds: tuple[str, ...]) -> Column:
+        """The bits of the kinds that a cell casts to."""
+        held = [F.when(c.try_cast(INFERRED[k]).isNotNull(), bits[k]).otherwise(0) for k in kinds]
+        return reduce(lambda a, b: a.bitwiseOR(b), held)
+
     found = []
     for i, name in enumerate(names):
-        kind = next((k for k in INFERRED if row[f"{i}-cells"] and row[f"{i}-{k}"]), None)
-        found.append(T.StructField(name, INFERRED[kind] if kind else T.StringType()))
-    return T.StructType(found)
+        c = F.col(f"`{name}`")
+        day = r"^\s*\d{4}-\d{1,2}-\d{1,2}"
+        # not 0 and 1, t and f, yes and no
+        truth = F.when(F.lower(F.trim(c)).isin("true", "false"), bits["boolean"]).otherwise(0)
+        # a cell has the form of a truth value, a whole number, a day or a number
+        kinds = (
+            F.when(~may_be_number(c), F.when(F.ascii(c).isin(*map(ord, "tTfF")), truth).otherwise(0))
+            .when(c.rlike(r"^\s*[+-]?\d+\s*$"), fits(c, ("int", "bigint", "double")))
+            .when(c.rlike(day), fits(c, ("timestamp",)).bitwiseOR(F.when(c.rlike(day + r"\s*$"), fits(c, ("date",))).otherwise(0)))
+            .otherwise(truth.bitwiseOR(fits(c, ("double",))))
+        )
+        found.append(F.bit_and(F.when(c.isNotNull(), kinds)).alias(f"{i}"))
+    # null: no cells
+    row = strings.agg(*found).first() if names else ()
+    held = [next((k for k in INFERRED if (mask or 0) & bits[k]), None) for mask in row]
+    return T.StructType([T.StructField(n, INFERRED[k] if k else T.StringType()) for n, k in zip(names, held)])
 
 
 def check_columns(df: DataFrame, expected) -> bool:

@@ -178,3 +178,29 @@ def test_unreadable_files_are_the_one_error(spark, tmp_path):
     (tmp_path / "a.csv.gz").write_bytes(gzip.compress(b"id\n" + b"1\n" * 9000)[:-20])
     with pytest.raises(ValueError, match="Failed to load CSV file"):
         load_csv(spark, [str(tmp_path / "a.csv.gz")], "id int").count()
+
+
+def test_cells_of_no_numbers_form_are_not_cast(spark):
+    from pyspark.sql import functions as F
+
+    from kpimart.sources.csv import may_be_number
+
+    bodies = "1 1. .5 1.5 1e5 1E-5 1.f 2d 0x1p3 0x.8P-1F NaN nan inf Infinity INF infinity \u0661\u0662 \u0661.5 oops Brand#1 NATION_3 infinite".split()
+    cells = [f"{a}{s}{b}{z}" for s in ("", "+", "-") for b in bodies for a, z in (("", ""), (" ", "\n"), ("\t", " "), ("\x01", "\x02"))]
+    c = F.col("c")
+    tried = F.coalesce(*[c.try_cast(t).cast("string") for t in ("double", "float", "decimal(18,2)")])
+    rows = spark.createDataFrame([(x,) for x in cells], "c string").select("c", tried.isNotNull().alias("casts"), may_be_number(c).alias("may"))
+    rows = rows.collect()
+    assert not [r.c for r in rows if r.casts and not r.may]
+    assert not [r.c for r in rows if r.may and r.c.startswith(("oops", "Brand", "NATION", "infinite"))]
+
+
+def test_inferred_types_of_padded_and_odd_cells(spark):
+    from kpimart.sources.csv import infer_types
+
+    rows = [(" true", " 1", "1e3", "2024-01-02 ", "\u0661", "NaN", "", "2024-01-02", "99999999999"),
+            ("FALSE ", "+2\t", "-inf", " 2024-1-3", "x", "2", "a", "2024-01-02 03:04:05", "1")]
+    df = spark.createDataFrame(rows, [f"c{i}" for i in range(9)])
+    assert [f.dataType.simpleString() for f in infer_types(df).fields] == [
+        "boolean", "int", "double", "date", "string", "double", "string", "timestamp", "bigint",
+    ]
