@@ -119,8 +119,8 @@ WIDTH_ERROR = "__wrong_width"
 
 
 def read_group(spark: SparkSession, header: list[str], paths: list[str], multi_line: bool, literal: bool = True) -> DataFrame:
-    """Files of one header as string columns named by it, with the file's path
-    (``__path``) and whether a row has too few or too many cells
+    """Files of one header as string columns named by it, with the file's uri
+    (``__uri``, for ``plain_path``) and whether a row has too few or too many cells
     (``__wrong_width``). ``literal``: the paths are of a listing, not patterns."""
     names = [f"_c{i}" for i in range(len(header))]
     fields = [T.StructField(n, T.StringType()) for n in (*names, "_corrupt")]
@@ -133,7 +133,7 @@ def read_group(spark: SparkSession, header: list[str], paths: list[str], multi_l
     )
     return raw.select(
         *[F.col(n).alias(h) for n, h in zip(names, header)],
-        plain_path(F.col("_metadata.file_path")).alias("__path"),
+        F.col("_metadata.file_path").alias("__uri"),
         F.col("_corrupt").isNotNull().alias(WIDTH_ERROR),
     )
 
@@ -169,7 +169,7 @@ def _typed(strings: DataFrame, st: T.StructType, malformed: str) -> DataFrame:
         strings = strings.where(~bad)
     columns = [_cast(f).alias(f.name) for f in st.fields]
     if malformed == "fail":
-        message = F.concat(F.lit("Failed to load CSV file: malformed row in "), F.col("__path"))
+        message = F.concat(F.lit("Failed to load CSV file: malformed row in "), plain_path(F.col("__uri")))
         columns = [F.when(bad, F.raise_error(message).cast(f.dataType)).otherwise(c).alias(f.name) for f, c in zip(st.fields, columns)]
     return strings.select(*columns)
 
@@ -244,7 +244,7 @@ def infer_types(strings: DataFrame) -> T.StructType:
     cell of every file (int, bigint, double; date, timestamp; boolean), else
     string. Whether cells fit is a conjunction, so files and tasks merge in
     any order: one aggregate over the rows, one row to the driver."""
-    names = [c for c in strings.columns if c not in ("__path", WIDTH_ERROR)]
+    names = [c for c in strings.columns if c not in ("__uri", WIDTH_ERROR)]
     bits = {kind: 1 << i for i, kind in enumerate(INFERRED)}
 
     def fits(c: Column, kinds: tuple[str, ...]) -> Column:
@@ -363,9 +363,10 @@ def validate_files(
             is_bad = is_bad | _bad_cell(f)
         counted = (
             read_group(spark, header, paths, multi_line)
-            .select(F.col("__path").alias("path"), is_bad.alias("bad"))
-            .groupBy("path")
+            .select("__uri", is_bad.alias("bad"))
+            .groupBy("__uri")
             .agg(F.sum(F.col("bad").cast("long")).alias("bad_rows"))
+            .select(plain_path(F.col("__uri")).alias("path"), "bad_rows")
         )
         bad = counted if bad is None else bad.unionByName(counted)
     if bad is None:
