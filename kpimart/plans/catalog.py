@@ -546,7 +546,7 @@ def src_reordered(spark: SparkSession, d: str) -> DataFrame:
 
 def src_headers(spark: SparkSession, d: str) -> DataFrame:
     """SRC-1/SRC-5: uploads in folders of awkward names, one with a line break
-    in its header; each header is read by a task that stops after it."""
+    in its header; each header is read from the first lines of its file."""
     folder = scratch_dir(spark, "header-uploads")
     fact = marts.staged_sales_fact(spark, d)
     write_csv_gz(fact.select(F.lit("x").alias("a note,\nin two lines"), *fact.columns), f"{folder}/a b")

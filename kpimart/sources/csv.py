@@ -48,14 +48,13 @@ def read_header(spark: SparkSession, path: str, multi_line: bool = True) -> list
     return None if first is None else [("" if v is None else v) for v in first]
 
 
-#: Lines of a file that a header task asks for at a time.
+#: Lines of a file that are looked at first for its header.
 HEADER_LINES = 16
 
 
 def _header_session(spark: SparkSession) -> SparkSession:
     """A session like ``spark`` in which every file, or split, is a task of its
-    own that sends few lines at a time: a header task reads no further than
-    its header."""
+    own, so that a task's first lines are a file's."""
     own = spark.newSession()
     for key, value in spark.conf.getAll.items():
         if key.startswith("spark.sql.") and own.conf.isModifiable(key):
@@ -78,13 +77,28 @@ def literal_path(path: str) -> str:
 
 def file_headers(spark: SparkSession, paths: str | list[str], glob: str | None = None) -> DataFrame:
     """``(path, header)`` of every non-empty file: the cells of its first
-    record. A task opens one file and stops after that record; no row is
-    scanned for it."""
+    record. Only a file's first lines go to Python (a Python task that stops is
+    sent the rest of its input all the same); files whose first record is
+    longer are read again, in whole."""
     reader = _header_session(spark).read.option("recursiveFileLookup", "true")
-    lines = (reader.option("pathGlobFilter", glob) if glob else reader).text(paths)
-    lines = lines.select(
-        plain_path(F.col("_metadata.file_path")).alias("path"), F.col("_metadata.file_block_start").alias("start"), "value"
-    )
+    found = _first_records((reader.option("pathGlobFilter", glob) if glob else reader).text(paths), HEADER_LINES)
+    longer = [r.path for r in found if not r.closed and r.lines == HEADER_LINES]
+    if longer:
+        again = reader.text([literal_path(p) for p in longer])
+        found = [r for r in found if r.closed or r.lines < HEADER_LINES] + _first_records(again, None)
+    # a row per file, as a listing has it
+    return spark.createDataFrame([(r.path, r.header) for r in found], "path string, header array<string>")
+
+
+def _first_records(text: DataFrame, n_lines: int | None) -> list:
+    """``path, header, closed, lines`` by file, from its first ``n_lines``: the
+    cells of its first record, whether its quotes are closed, and its lines."""
+    lines = text.select(F.col("_metadata.file_path").alias("path"), F.input_file_block_start().alias("start"), "value")
+    if n_lines is not None:
+        # the low bits count the rows of a task
+        nth = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+        lines = lines.withColumn("nth", nth).where(F.col("nth") < n_lines)
+    lines = lines.select(plain_path(F.col("path")).alias("path"), "start", "value")
 
     def first_record(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         path, record, quotes = None, [], 0
@@ -101,11 +115,11 @@ def file_headers(spark: SparkSession, paths: str | list[str], glob: str | None =
         if path is not None:
             cells = next(csv.reader(io.StringIO("\n".join(record), newline=""), skipinitialspace=True), None) or [""]
             header = pa.array([[c.strip() for c in cells]], pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([pa.array([path]), header], ["path", "header"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([path]), header, pa.array([quotes % 2 == 0]), pa.array([len(record)])], ["path", "header", "closed", "lines"]
+            )
 
-    found = lines.mapInArrow(first_record, "path string, header array<string>")
-    # a row per file, as a listing has it
-    return spark.createDataFrame(found.collect(), "path string, header array<string>")
+    return lines.mapInArrow(first_record, "path string, header array<string>, closed boolean, lines long").collect()
 
 
 def header_groups(headers: DataFrame) -> list[tuple[list[str], list[str]]]:

@@ -180,6 +180,19 @@ def test_unreadable_files_are_the_one_error(spark, tmp_path):
         load_csv(spark, [str(tmp_path / "a.csv.gz")], "id int").count()
 
 
+def test_a_header_task_is_sent_a_files_first_lines(spark, tmp_path):
+    from kpimart.sources.csv import HEADER_LINES, _first_records, file_headers
+
+    name = "\n".join(f"line {i}" for i in range(3 * HEADER_LINES))
+    _file(tmp_path, "long.csv.gz", f'"{name}",b\n1,2\n' * 50)
+    _file(tmp_path, "open.csv.gz", '"open\n' + "1\n" * 500)
+    _file(tmp_path, "short.csv", "a,b\n" + "1,2\n" * 500)
+    (first,) = _first_records(spark.read.text(str(tmp_path / "open.csv.gz")), HEADER_LINES)
+    assert first.lines == HEADER_LINES and not first.closed
+    got = {r.path.rpartition("/")[2]: r.header for r in file_headers(spark, str(tmp_path)).collect()}
+    assert got["long.csv.gz"] == [name, "b"] and got["short.csv"] == ["a", "b"] and len(got["open.csv.gz"]) == 1
+
+
 def test_cells_of_no_numbers_form_are_not_cast(spark):
     from pyspark.sql import functions as F
 
