@@ -10,9 +10,11 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from kpimart.config import ComputedField
 from kpimart.functions.expressions import compile_expression
+from kpimart.session import scratch_dir
 
 
 def _check_name(df: DataFrame, name: str) -> None:
@@ -21,16 +23,28 @@ def _check_name(df: DataFrame, name: str) -> None:
         raise ValueError(f"Computed field {name!r} differs only in case from column {clash[0]!r}")
 
 
+def _written(groups: DataFrame) -> DataFrame:
+    """``groups`` by way of a file, under names that any file format takes."""
+    if any(isinstance(f.dataType, T.NullType) for f in groups.schema):
+        return groups  # nothing to write
+    path = scratch_dir(groups.sparkSession, "group-values")
+    plain = groups.toDF(*[f"c{i}" for i in range(len(groups.columns))])
+    plain.write.parquet(path)
+    return groups.sparkSession.read.schema(plain.schema).parquet(path).toDF(*groups.columns)
+
+
 def with_computed_field(df: DataFrame, spec: ComputedField) -> DataFrame:
     """One computed field. Per-group aggregates inside the expression are
     computed with ``groupBy(keys).agg`` (partial aggregation first, so a hot
-    key is combined map-side) and joined back on the keys (null-safe); AQE
-    broadcasts that side when its runtime size is small."""
+    key is combined map-side) and joined back on the keys (null-safe). They are
+    written first, so that Spark knows their size as it plans the join: few
+    groups are broadcast, and the rows are not shuffled for them (AQE would find
+    that out only once they are)."""
     _check_name(df, spec.name)
     compiled = compile_expression(df, spec.expression, spec.name)
     out = df
     for g in compiled.grouped:
-        per_group = out.groupBy(*g.keys).agg(g.expr.alias(g.name))
+        per_group = _written(out.groupBy(*g.keys).agg(g.expr.alias(g.name)))
         cond = [out[k].eqNullSafe(per_group[k]) for k in g.keys]
         out = out.join(per_group, on=cond, how="left").select(out["*"], per_group[g.name])
     out = out.withColumn(spec.name, compiled.column)

@@ -81,3 +81,12 @@ def test_grouped_aggregate_matches_brute_force(df):
     right = pdf.sort_values("v").reset_index(drop=True)
     pd.testing.assert_series_equal(left["part"], right["part"], check_names=False)
     assert list(out.columns) == ["g", "v", "w", "part"]  # helper columns dropped
+
+
+def test_rows_are_not_shuffled_for_the_values_of_few_groups(spark):
+    df = spark.range(4_000_000).selectExpr("id", "if(id % 4 = 3, null, id % 4) g", "cast(id as double) v")
+    above = {"op": "-", "args": [{"col": "v"}, {"agg": "min", "arg": {"col": "v"}, "over": ["g"]}]}
+    out = with_computed_fields(df, [ComputedField("above", above)])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+    assert sorted((r.g is None, r.above) for r in out.where("id < 8").collect()) == sorted((i % 4 == 3, float(i - i % 4)) for i in range(8))
