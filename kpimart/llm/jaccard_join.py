@@ -29,7 +29,7 @@ passage with the hub; it is paired with the other members of the signature's
 run instead, if sizes and places in the common order allow. No link is lost.
 
 Most pairs of a signature share a passage and no more. Every set has a bitmap of
-its tokens' hash buckets, about four bits a token: buckets that one set fills and
+its tokens' hash buckets, two to four bits a token: buckets that one set fills and
 another does not hold as many tokens of the difference at least, which bounds
 the overlap from above. Texts are fetched only for pairs that the bound leaves
 open; it settles no pair that it does not prove.
@@ -81,7 +81,7 @@ BROADCAST_ROWS = 1 << 20
 #: times the member's size; far members are paired by shared signatures.
 FAR = 0.7
 #: Buckets of a set's bitmap per token, before rounding up to a power of two.
-BUCKETS = 4
+BUCKETS = 2
 #: Bits of the packed rank: rare tokens (saturating) above the set's size
 #: above the signature's place (saturating).
 SIZE_BITS, PLACE_BITS, RARE_MOST = 28, 19, (1 << 16) - 1
@@ -381,8 +381,10 @@ class JaccardJoin:
         gc.collect()
         self.spark.sparkContext._jvm.System.gc()
 
-    def sets(self) -> DataFrame:
-        """One row per document: its set's node, size and signatures."""
+    def sets(self) -> tuple[DataFrame, DataFrame]:
+        """One row per document, written: its set's node, size, bitmap and
+        signatures of pairs. Beside it the single signatures, which would take
+        more room than all the rest: they are made again as they are read."""
         table = self.spark.sparkContext.broadcast(token_classes(self.docs, self.k))
         doc_id = self.docs.schema["doc_id"].dataType.simpleString()
         found = self.docs.mapInArrow(
@@ -390,28 +392,39 @@ class JaccardJoin:
             f"doc_id {doc_id}, text_key long, n long, node long, rank long, singles array<long>, pairs array<long>, "
             "bits binary",
         )
-        return self._written(found, "sets")
+        return self._written(found.drop("singles"), "sets"), found.select("node", "rank", "singles")
+
+    def beside(self, pairs: DataFrame, rows_of, columns: list[str], name: str) -> DataFrame:
+        """``pairs`` with ``columns`` of both nodes; ``rows_of(nodes)`` has a row
+        per node, grouped by it. The rows of ``b`` are joined where that grouping
+        left them; those of ``a`` are written first: a hub may have very many
+        pairs, and only a join of two shuffles can be split."""
+        one = rows_of(pairs.select(F.col("b").alias("node")).distinct())
+        other = self._written(rows_of(pairs.select(F.col("a").alias("node")).distinct()), name)
+        b, a = (x.select(F.col("node").alias(t), *[F.col(c).alias(f"{c}_{t}") for c in columns]) for x, t in ((one, "b"), (other, "a")))
+        return pairs.join(b, "b").join(a, "a").select("a", "b", *[f"{c}_{t}" for c in columns for t in "ab"])
 
     def bounded(self, sketches: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
         """``a, b, n_a, n_b, d`` (the least difference), ``most`` (the most that
         is shared) of distinct pairs of nodes."""
         pairs = self._written(pairs.select("a", "b").distinct(), f"{name}-pairs")
-        nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        known = sketches.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
-        known = self._written(known, f"{name}-bits")
-        a, b = (known.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}")) for x in "ab")
-        both = pairs.join(a, "a").join(b, "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b")
+
+        def known(nodes: DataFrame) -> DataFrame:
+            rows = sketches.join(nodes, "node", "left_semi").groupBy("node")
+            return rows.agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
+
+        both = self.beside(pairs, known, ["n", "bits"], f"{name}-bits")
         found = both.mapInArrow(_bounds, "a long, b long, n_a long, n_b long, d long, most long")
         return self._written(found, f"{name}-bounds")
 
-    def hub_groups(self, sets: DataFrame) -> DataFrame:
+    def hub_groups(self, sets: DataFrame, singles: DataFrame) -> DataFrame:
         """``group, hub, node, n, left``: the members (but the hub) of the runs
         of every shared signature; ``left`` is what is left of a member's
         tokens from the signature's place on (all, for pairs of tokens). Runs
         of equal members are one group."""
         member = F.struct("rank", "node")
         most = (1 << PLACE_BITS) - 1
-        single = sets.select(F.posexplode("singles").alias("place", "sig"), "node", "rank").select(
+        single = singles.select(F.posexplode("singles").alias("place", "sig"), "node", "rank").select(
             "sig", "node", F.col("rank").bitwiseOR(F.least("place", F.lit(most)).cast("long")).alias("rank")
         )
         n = F.shiftright("rank", PLACE_BITS).bitwiseAND(F.lit((1 << SIZE_BITS) - 1))
@@ -470,11 +483,13 @@ class JaccardJoin:
         )
         # few enough nodes are broadcast, so that not all texts are shuffled
         small = keys.count() <= BROADCAST_ROWS
-        texts = self.docs.select("text_key", "text").join(F.broadcast(keys) if small else keys, "text_key")
-        texts = self._written(texts.groupBy("node").agg(F.first("text").alias("text")), f"{name}-texts")
-        one = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-        other = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
-        return candidates.join(one, "b").join(other, "a").select("a", "b", "text_a", "text_b")
+
+        def texts(nodes: DataFrame) -> DataFrame:
+            some = keys.join(nodes, "node", "left_semi")
+            rows = self.docs.select("text_key", "text").join(F.broadcast(some) if small else some, "text_key")
+            return rows.groupBy("node").agg(F.first("text").alias("text"))
+
+        return self.beside(candidates, texts, ["text"], f"{name}-texts")
 
     def far_pairs(self, groups: DataFrame, members: DataFrame, parts: DataFrame) -> DataFrame:
         """``a, b``: members of one signature's run, at least one far from its
@@ -528,10 +543,11 @@ class JaccardJoin:
 
     def run(self) -> DataFrame:
         """``doc_id, n_shingles, node, text_key, component_id`` of every document."""
-        signed = self.sets()
+        signed, singles = self.sets()
+        groups = self._written(self.hub_groups(signed, singles), "groups")
+        self._release()  # the signatures' shuffle, the largest of all, goes before these are copied
         sets = self._written(signed.select("doc_id", "text_key", "n", "node"), "nodes")
         sketches = self._written(signed.filter("bits is not null").select("node", "n", "bits"), "sketches")
-        groups = self._written(self.hub_groups(signed), "groups")
         for name in ("sets", "pairs"):  # read for the last time
             delete_path(self.spark, f"{self.folder}/{name}")
         self._release()

@@ -86,6 +86,20 @@ def test_jaccard_components_equal_brute_force(spark, monkeypatch, seed, pair_cla
     assert got == brute_components(texts)
 
 
+def test_jaccard_single_signatures_are_not_stored(spark):
+    words = [f"w{i}" for i in range(80)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words[:79], "other"])), (3, "one two three four five six seven")]
+    join = jaccard_join.JaccardJoin(spark.createDataFrame(rows, "doc_id long, text string"))
+    written, singles = join.sets()
+    assert "singles" not in written.columns and written.count() == 3
+    by_node = {r.node: set(r.singles) for r in singles.collect()}
+    node = {r.doc_id: r.node for r in written.collect()}
+    assert by_node[node[1]] & by_node[node[2]] and not by_node[node[1]] & by_node[node[3]]
+    pairs = spark.createDataFrame([(node[1], node[2]), (node[1], node[3])], "a long, b long")
+    got = {(r.a, r.b, r.text_a, r.text_b) for r in join.with_texts(written, pairs, "test").collect()}
+    assert got == {(node[1], node[i], rows[0][1], rows[i - 1][1]) for i in (2, 3)}
+
+
 def test_jaccard_query_on_the_tables(spark, sf_small):
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in queries.op2_ngram_jaccard(spark, sf_small).collect()}
     assert got == brute_components(docs_of(spark, sf_small))
