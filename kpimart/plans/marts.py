@@ -12,10 +12,11 @@ operators expect (see FIXTURES.md):
 
 They are lazy plans: Catalyst prunes every column a query does not use and
 pushes filters on ``category``/``brand``/``region`` into the dimension scans
-and filters on ``year`` below the join onto ``orders``. Join strategies are
-left to Catalyst and AQE: the runtime size of each side decides between a
-broadcast and a shuffle join (for a shuffle join with a selective dimension
-filter, Spark may also inject a runtime bloom filter on ``lineitem``).
+and filters on ``year`` below the join onto ``orders``. ``sales_fact`` joins
+``orders`` by a shuffle at every size; the other join strategies are left to
+Catalyst and AQE: the runtime size of each side decides between a broadcast
+and a shuffle join (for a shuffle join with a selective dimension filter,
+Spark may also inject a runtime bloom filter on ``lineitem``).
 """
 
 from __future__ import annotations
@@ -42,23 +43,27 @@ def sales_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
     table (or its filtered scan) whose size Spark estimates from its files:
     joining two dimensions first would make Spark's size estimate of that
     pair the product of both sizes and could flip the build side onto the
-    fact. Whether each dimension is broadcast or shuffle-joined is left to
-    the planner and AQE's runtime sizes; the lineitem-sized stream carries
-    only the five columns it needs.
+    fact. ``orders`` grows with ``lineitem``, so both are shuffled on the
+    order key at every size, and the bytes moved grow with the rows; its tasks
+    also write the staged copy. Whether each dimension is broadcast or
+    shuffle-joined is left to the planner and AQE's runtime sizes. The
+    lineitem-sized stream carries only the five columns it needs; names of
+    nations are joined last.
     """
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
+    year = F.year("o_orderdate").cast("int").alias("year")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", year).hint("merge")
     part = table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_brand")
     supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     j = (
         li.join(supplier, li.l_suppkey == supplier.s_suppkey)
-        .join(nation, supplier.s_nationkey == nation.n_nationkey)
         .join(orders, li.l_orderkey == orders.o_orderkey)
         .join(part, li.l_partkey == part.p_partkey)
+        .join(nation, supplier.s_nationkey == nation.n_nationkey)
     )
     return j.select(
-        F.year("o_orderdate").cast("int").alias("year"),
+        "year",
         F.col("p_type").alias("category"),
         F.col("p_brand").alias("brand"),
         F.col("n_name").alias("region"),
@@ -80,6 +85,14 @@ def _fingerprint(spark: SparkSession, sf_dir: str, names) -> tuple:
     return (spark.sparkContext.applicationId, sf_dir.rstrip("/"), states)
 
 
+def _sorted_files(df: DataFrame, partition_by: str | None, sort_by: tuple[str, ...]) -> DataFrame:
+    """Local sort per write task (no shuffle): Parquet row groups get narrow
+    min/max ranges, so pushed filters on these columns skip row groups. The
+    partition column goes first: a partitioned write sorts by it, and that
+    sort replaces one that does not begin with it."""
+    return df.sortWithinPartitions(*([partition_by] if partition_by else []), *sort_by)
+
+
 def _stage(
     spark: SparkSession,
     key: tuple,
@@ -94,13 +107,8 @@ def _stage(
         if path is None:
             path = scratch_dir(spark, purpose)
             df = build()
-            if partition_by:
-                df = df.hint("rebalance", partition_by)
             if sort_by:
-                # Local sort per write task (no shuffle): Parquet row groups
-                # get narrow min/max ranges, so pushed filters on these
-                # columns skip row groups.
-                df = df.sortWithinPartitions(*sort_by)
+                df = _sorted_files(df, partition_by, sort_by)
             writer = df.write.partitionBy(partition_by) if partition_by else df.write
             writer.parquet(path)
             _STAGED[key] = path
@@ -116,9 +124,9 @@ def staged_sales_fact(spark: SparkSession, sf_dir: str, refresh: bool = False) -
     lineage is cut (a lost executor re-reads staged files), every query gets
     a pruned columnar scan, and a ``year`` filter becomes partition pruning.
     The copy is keyed by the source files' sizes and modification times. The
-    write is rebalanced on ``year`` so AQE splits a large year over several
-    files, and each file is sorted by category, brand and region so filters
-    on them skip Parquet row groups.
+    tasks of the order join write it, a file per year each, without a further
+    shuffle; AQE sizes those tasks. Each file is sorted by category, brand and
+    region so filters on them skip Parquet row groups.
     """
     key = ("sales_fact", _fingerprint(spark, sf_dir, FACT_SOURCES))
     path = _stage(
